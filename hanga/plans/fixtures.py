@@ -55,3 +55,24 @@ def keypoints_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id") % N_IMAGES).alias("key"),
         F.col("vec_id").alias("kp_id"),
         as_double_array("embedding").alias("desc"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue records: artist = source, key = checksum of the content."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("artist"), F.md5("text").alias("key"))
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key::artist`` label lines, one per catalogue record, in doc order."""
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("line_no"),
+        F.concat_ws("::", "key", "artist").alias("value"))
+
+
+def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows keyed like the label map: the ``labels`` table's scores
+    for each document, keyed by the document's content checksum."""
+    docs = documents(spark, sf_dir).select("doc_id", "key")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "doc_id", "key", "quality", "toxic")

@@ -79,3 +79,68 @@ SELECT class_id, arg_min(key, (round(dist, 6), key)) AS key,
        round(arg_min(dist, (round(dist, 6), key)), 6) AS dist
 FROM qd GROUP BY class_id""",
 }
+
+# catalogue records: artist = source, key = md5 of the text; label lines in doc order
+_D = """docs AS (SELECT doc_id, source AS artist, md5(text) AS key FROM documents),
+cd AS (SELECT 'src' || CAST(i AS VARCHAR) AS class_name, CAST(i AS INTEGER) AS class_id
+       FROM range(15) t(i)),
+lines AS (SELECT doc_id AS line_no, key || '::' || artist AS value FROM docs),
+parsed AS (SELECT line_no, value, string_split(trim(value), '::') AS p FROM lines),
+ok AS (SELECT line_no, p[1] AS key, p[2] AS artist FROM parsed WHERE len(p) = 2),
+lab AS (SELECT ok.line_no, ok.key, cd.class_id FROM ok JOIN cd ON ok.artist = cd.class_name),
+dedup AS (SELECT key, arg_max(class_id, line_no) AS class_id, count(*) AS n_lines
+          FROM lab GROUP BY key),
+feats AS (SELECT l.doc_id, d.key, l.quality, l.toxic FROM labels l JOIN docs d USING (doc_id))"""
+
+ORACLE_SQL.update({
+    "artist_filter": """
+SELECT doc_id, source FROM documents
+WHERE source IN (SELECT 'src' || CAST(i AS VARCHAR) FROM range(15) t(i))""",
+
+    "label_dedup": f"""
+WITH {_D}
+SELECT key, class_id, CAST(n_lines AS BIGINT) AS n_lines FROM dedup""",
+
+    "label_rejects": f"""
+WITH {_D}
+SELECT line_no, value, 'bad_format' AS reason FROM parsed WHERE len(p) <> 2
+UNION ALL
+SELECT ok.line_no, lines.value, 'unknown_artist' AS reason
+FROM ok JOIN lines USING (line_no)
+WHERE ok.artist NOT IN (SELECT class_name FROM cd)""",
+
+    "label_join": f"""
+WITH {_D}
+SELECT f.doc_id, f.key, d.class_id, f.quality, f.toxic FROM feats f JOIN dedup d USING (key)""",
+
+    "label_counts": f"""
+WITH {_D},
+rej AS (SELECT 'rejected_bad_format' AS metric FROM parsed WHERE len(p) <> 2
+        UNION ALL SELECT 'rejected_unknown_artist' FROM ok
+        WHERE artist NOT IN (SELECT class_name FROM cd))
+SELECT 'lines_read' AS metric, CAST(count(*) AS BIGINT) AS value FROM lines
+UNION ALL SELECT metric, CAST(count(*) AS BIGINT) FROM rej GROUP BY metric
+UNION ALL SELECT 'labels_kept', CAST(count(*) AS BIGINT) FROM dedup
+UNION ALL SELECT 'samples_read', CAST(count(*) AS BIGINT) FROM feats
+UNION ALL SELECT 'samples_kept', CAST(count(*) AS BIGINT) FROM feats JOIN dedup USING (key)""",
+
+    "has_image_filter": """
+SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS key FROM events
+WHERE CAST(json_extract(props, '$.k') AS INTEGER) >= 10""",
+
+    "checksum_key": """
+SELECT doc_id, 'full/' || md5(CAST(doc_id AS VARCHAR)) || '.jpg' AS path,
+       md5(CAST(doc_id AS VARCHAR)) AS key, 'jpg' AS ext FROM documents""",
+
+    "prefix_shard": """
+SELECT doc_id, md5(text) AS key FROM documents WHERE starts_with(md5(text), 'a')""",
+
+    "manifest_filter": """
+SELECT doc_id, CAST(doc_id AS VARCHAR) || '.jpg' AS name, CAST(doc_id AS VARCHAR) AS key
+FROM documents
+WHERE CAST(doc_id AS VARCHAR) || '.jpg' IN (SELECT CAST(doc_id AS VARCHAR) || '.jpg' FROM labels)""",
+
+    "incremental_pending": """
+SELECT doc_id, CAST(doc_id AS VARCHAR) AS key FROM documents
+WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)""",
+})

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import text as TX
+from ..operators import catalog as C
 from ..operators import vectors as V
+from ..sources import catalogue as SC
 from . import fixtures as X
 
 QUERY_KEY = 0  # the query sample for the k-NN family (index 0 is valid, K1)
@@ -78,3 +82,106 @@ QUERIES = {
     "query_rank": q_query_rank,
     "closest_by_class": q_closest_by_class,
 }
+
+
+# --- catalogue filtering and labelling ---------------------------------------
+
+SHARD_PREFIX = "a"
+
+
+def q_artist_filter(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.documents(spark, sf)
+    return C.filter_by_class(docs, X.class_dim(spark)).select(
+        "doc_id", F.col("artist").alias("source"))
+
+
+def q_label_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return C.read_labels(X.label_lines(spark, sf), X.class_dim(spark), "line_no")
+
+
+def q_label_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return C.label_rejects(X.label_lines(spark, sf), X.class_dim(spark)).select(
+        "line_no", "value", "reason")
+
+
+def q_label_join(spark: SparkSession, sf: str) -> DataFrame:
+    labels = C.read_labels(X.label_lines(spark, sf), X.class_dim(spark), "line_no")
+    return C.join_labels(X.labelled_features(spark, sf), labels.drop("n_lines")).select(
+        "doc_id", "key", "class_id", "quality", "toxic")
+
+
+def q_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    lines = X.label_lines(spark, sf)
+    cd = X.class_dim(spark)
+    rejects = C.label_rejects(lines, cd)
+    labels = C.read_labels(lines, cd, "line_no")
+    samples = X.labelled_features(spark, sf)
+    kept = C.join_labels(samples, labels.drop("n_lines"))
+    parts = [
+        lines.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("lines_read")),
+        rejects.groupBy(F.concat(F.lit("rejected_"), F.col("reason")).alias("metric"))
+        .agg(F.count(F.lit(1)).alias("value")),
+        labels.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("labels_kept")),
+        samples.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("samples_read")),
+        kept.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("samples_kept")),
+    ]
+    out = parts[0].select("metric", "value")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("metric", "value"))
+    return out.select("metric", F.col("value").cast("bigint").alias("value"))
+
+
+def q_has_image_filter(spark: SparkSession, sf: str) -> DataFrame:
+    ev = X.table(spark, sf, "events").select("event_id", F.col("props").alias("value"))
+    parsed = SC.parse_json_column(ev, T.StructType([T.StructField("k", T.IntegerType())]))
+    path = F.concat(F.lit("full/"), F.md5(F.col("event_id").cast("string")), F.lit(".jpg"))
+    image = F.struct(F.lit(None).cast("string").alias("url"), path.alias("path"),
+                     F.lit(None).cast("string").alias("checksum"))
+    recs = parsed.withColumn(
+        "images", F.when(F.col("k") >= 10, F.array(image)).otherwise(F.array().cast(
+            T.ArrayType(SC.IMAGE))))
+    return (recs.where(C.has_first_image("images"))
+            .select("event_id", C.image_checksum("images").alias("key")))
+
+
+def q_checksum_key(spark: SparkSession, sf: str) -> DataFrame:
+    docs = X.table(spark, sf, "documents").select("doc_id")
+    path = F.concat(F.lit("full/"), F.md5(F.col("doc_id").cast("string")), F.lit(".jpg"))
+    return docs.select("doc_id", path.alias("path")).select(
+        "doc_id", "path", TX.checksum_from_path("path").alias("key"),
+        TX.file_ext(TX.basename("path")).alias("ext"))
+
+
+def q_prefix_shard(spark: SparkSession, sf: str) -> DataFrame:
+    return C.shard_filter(X.documents(spark, sf), SHARD_PREFIX).select("doc_id", "key")
+
+
+def q_manifest_filter(spark: SparkSession, sf: str) -> DataFrame:
+    images = X.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("name"))
+    manifest = X.table(spark, sf, "labels").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("value"))
+    return C.manifest_filter(images, manifest, "name").select(
+        "doc_id", "name", TX.file_key("name").alias("key"))
+
+
+def q_incremental_pending(spark: SparkSession, sf: str) -> DataFrame:
+    items = X.table(spark, sf, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("key"))
+    done = X.table(spark, sf, "benchmark").select(
+        F.concat(F.col("item_id").cast("string"), F.lit(".sift.npz")).alias("name"))
+    return C.pending(items, done, "key", "name").select("doc_id", "key")
+
+
+QUERIES.update({
+    "artist_filter": q_artist_filter,
+    "label_dedup": q_label_dedup,
+    "label_rejects": q_label_rejects,
+    "label_join": q_label_join,
+    "label_counts": q_label_counts,
+    "has_image_filter": q_has_image_filter,
+    "checksum_key": q_checksum_key,
+    "prefix_shard": q_prefix_shard,
+    "manifest_filter": q_manifest_filter,
+    "incremental_pending": q_incremental_pending,
+})
