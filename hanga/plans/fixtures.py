@@ -76,3 +76,5 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "key")
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
         "doc_id", "key", "quality", "toxic")
+
+TRAIN_FRACTION = 0.75

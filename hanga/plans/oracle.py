@@ -144,3 +144,58 @@ WHERE CAST(doc_id AS VARCHAR) || '.jpg' IN (SELECT CAST(doc_id AS VARCHAR) || '.
 SELECT doc_id, CAST(doc_id AS VARCHAR) AS key FROM documents
 WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)""",
 })
+
+# md5-ordered split (train = first floor(n * 0.75)) and nearest-centroid predictions
+_SPLIT = """r AS (SELECT key, class_id, f,
+             row_number() OVER (ORDER BY md5(CAST(key AS VARCHAR)), key) - 1 AS rk,
+             count(*) OVER () AS n FROM s),
+sp AS (SELECT key, class_id, f,
+              CASE WHEN rk < floor(n * 0.75) THEN 'train' ELSE 'test' END AS split FROM r)"""
+
+_PRED = """te AS (SELECT class_id, unnest(range(0, len(f))) AS dim, unnest(f) AS v
+       FROM sp WHERE split = 'train'),
+tc AS (SELECT class_id, dim, avg(v) AS m FROM te GROUP BY class_id, dim),
+cl AS (SELECT class_id, list(m ORDER BY dim) AS cf FROM tc GROUP BY class_id),
+pr AS (SELECT t.key, t.class_id AS label,
+              arg_min(cl.class_id, (round(list_distance(t.f, cl.cf), 6), cl.class_id)) AS prediction
+       FROM sp t, cl WHERE t.split = 'test' GROUP BY t.key, t.class_id),
+conf AS (SELECT label, prediction, count(*) AS n FROM pr GROUP BY label, prediction)"""
+
+ORACLE_SQL.update({
+    "train_test_split": f"""
+WITH {_S}, {_SPLIT}
+SELECT key, class_id, split FROM sp""",
+
+    "strat_folds": f"""
+WITH {_S}
+SELECT key, class_id,
+       CAST((row_number() OVER (PARTITION BY class_id ORDER BY md5(CAST(key AS VARCHAR)), key) - 1)
+            % 3 AS INTEGER) AS fold
+FROM s""",
+
+    "class_weights": f"""
+WITH {_S}, c AS (SELECT class_id, count(*) AS n_c FROM s GROUP BY class_id)
+SELECT class_id, CAST(n_c AS BIGINT) AS n_c,
+       round((SELECT sum(n_c) FROM c) / ((SELECT count(*) FROM c) * n_c), 8) AS weight
+FROM c""",
+
+    "confusion_matrix": f"""
+WITH {_S}, {_SPLIT}, {_PRED}
+SELECT label, prediction, CAST(n AS BIGINT) AS n FROM conf""",
+
+    "confusion_normalised": f"""
+WITH {_S}, {_SPLIT}, {_PRED}
+SELECT label, prediction, CAST(n AS BIGINT) AS n,
+       round(n / sum(n) OVER (PARTITION BY label), 8) AS frac FROM conf""",
+
+    "accuracy_summary": f"""
+WITH {_S}, {_SPLIT}, {_PRED},
+cls AS (SELECT label AS c FROM conf UNION SELECT prediction FROM conf),
+pl AS (SELECT label, sum(n) AS support, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS hits
+       FROM conf GROUP BY label),
+rc AS (SELECT coalesce(pl.hits / pl.support, 0.0) AS recall, coalesce(pl.support, 0) AS support,
+              coalesce(pl.hits, 0) AS hits FROM cls LEFT JOIN pl ON cls.c = pl.label)
+SELECT CAST(sum(support) AS BIGINT) AS n_test, CAST(sum(hits) AS BIGINT) AS n_correct,
+       round(sum(hits) / sum(support), 8) AS accuracy, round(avg(recall), 8) AS balanced_accuracy
+FROM rc""",
+})

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..operators import catalog as C
+from ..operators import metrics as M
+from ..operators import split as SP
 from ..operators import vectors as V
 from ..sources import catalogue as SC
 from . import fixtures as X
@@ -185,3 +187,60 @@ QUERIES.update({
     "manifest_filter": q_manifest_filter,
     "incremental_pending": q_incremental_pending,
 })
+
+
+# --- split, folds, weights, evaluation ---------------------------------------
+
+def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    s = X.samples(spark, sf).drop("features")
+    return SP.train_test_split(s, X.TRAIN_FRACTION).select("key", "class_id", "split")
+
+
+def q_strat_folds(spark: SparkSession, sf: str) -> DataFrame:
+    s = X.samples(spark, sf).drop("features")
+    return SP.stratified_folds(s, 3, max_classes=X.N_CLASSES).select("key", "class_id", "fold")
+
+
+def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
+    w = SP.class_weights(X.samples(spark, sf).drop("features"))
+    return w.select("class_id", F.col("n_c").cast("bigint").alias("n_c"),
+                    _r("weight", 8).alias("weight"))
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest-centroid predictions for the test split: centroids fitted on
+    the train split only."""
+    s = SP.train_test_split(X.samples(spark, sf), X.TRAIN_FRACTION)
+    train = s.where(F.col("split") == "train")
+    width = V.vector_width(train, "features")
+    cents = M.centroid_literal(V.class_centroids(train, include_global=False), width)
+    return (s.where(F.col("split") == "test")
+            .select("key", F.col("class_id").alias("label"),
+                    M.nearest_centroid("features", cents).alias("prediction")))
+
+
+def q_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return M.confusion(predictions(spark, sf)).select(
+        "label", "prediction", F.col("n").cast("bigint").alias("n"))
+
+
+def q_confusion_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    c = M.confusion_normalised(M.confusion(predictions(spark, sf)))
+    return c.select("label", "prediction", F.col("n").cast("bigint").alias("n"),
+                    _r("frac", 8).alias("frac"))
+
+
+def q_accuracy_summary(spark: SparkSession, sf: str) -> DataFrame:
+    a = M.accuracy_summary(M.confusion(predictions(spark, sf)))
+    return a.select("n_test", "n_correct", _r("accuracy", 8).alias("accuracy"),
+                    _r("balanced_accuracy", 8).alias("balanced_accuracy"))
+
+
+QUERIES.update({
+    "train_test_split": q_train_test_split,
+    "strat_folds": q_strat_folds,
+    "class_weights": q_class_weights,
+    "confusion_matrix": q_confusion_matrix,
+    "confusion_normalised": q_confusion_normalised,
+    "accuracy_summary": q_accuracy_summary,
+})
