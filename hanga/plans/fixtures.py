@@ -78,3 +78,7 @@ def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "key", "quality", "toxic")
 
 TRAIN_FRACTION = 0.75
+
+N_CODES = 16  # codebook size for the embeddings stand-in
+TOPK = 3      # keypoints kept / sampled per order (orders have at most 7 lines)
+KP_IDS = ["l_partkey", "l_suppkey", "l_linenumber"]

@@ -199,3 +199,71 @@ SELECT CAST(sum(support) AS BIGINT) AS n_test, CAST(sum(hits) AS BIGINT) AS n_co
        round(sum(hits) / sum(support), 8) AS accuracy, round(avg(recall), 8) AS balanced_accuracy
 FROM rc""",
 })
+
+_KP = """kp AS (SELECT l_orderkey AS key, l_partkey, l_suppkey, l_linenumber,
+               l_extendedprice AS response FROM lineitem)"""
+
+# codebook: 16 points with the lowest md5('0:' || key), coded in that order
+_C0 = """c0 AS (SELECT CAST(row_number() OVER (ORDER BY md5('0:' || CAST(key AS VARCHAR)), key) - 1
+                    AS INTEGER) AS code, f AS cf
+       FROM s ORDER BY md5('0:' || CAST(key AS VARCHAR)), key LIMIT 16)"""
+
+_ASSIGN = """asg AS (SELECT e.vec_id % 25 AS key, e.vec_id AS kp_id,
+                arg_min(c0.code, (round(list_distance(CAST(e.embedding AS DOUBLE[]), c0.cf), 6), c0.code))
+                  AS code,
+                arg_min(list_distance(CAST(e.embedding AS DOUBLE[]), c0.cf),
+                        (round(list_distance(CAST(e.embedding AS DOUBLE[]), c0.cf), 6), c0.code)) AS dist
+         FROM embeddings e, c0 GROUP BY e.vec_id)"""
+
+
+def _lloyd_sql(steps: int = 3) -> str:
+    ctes = [_S, _C0]
+    prev = "c0"
+    for i in range(1, steps + 1):
+        ctes.append(f"""a{i} AS (SELECT s.key, arg_min(c.code, (round(list_distance(s.f, c.cf), 6), c.code)) AS code
+        FROM s, {prev} c GROUP BY s.key)""")
+        ctes.append(f"""e{i} AS (SELECT a.code, unnest(range(0, len(s.f))) AS dim, unnest(s.f) AS v
+        FROM a{i} a JOIN s USING (key))""")
+        ctes.append(f"""m{i} AS (SELECT code, list(m ORDER BY dim) AS cf, max(n) AS n FROM
+        (SELECT code, dim, avg(v) AS m, count(*) AS n FROM e{i} GROUP BY code, dim) GROUP BY code)""")
+        ctes.append(f"""c{i} AS (SELECT c.code, coalesce(m.cf, c.cf) AS cf, coalesce(m.n, 0) AS n
+        FROM {prev} c LEFT JOIN m{i} m USING (code))""")
+        prev = f"c{i}"
+    body = ",\n".join(ctes)
+    return f"""
+WITH {body}
+SELECT code, CAST(n AS BIGINT) AS n, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value
+FROM (SELECT code, n, unnest(range(0, len(cf))) AS dim, unnest(cf) AS value FROM {prev})"""
+
+
+ORACLE_SQL.update({
+    "keypoint_topk": f"""
+WITH {_KP},
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY response DESC, l_partkey, l_suppkey,
+                                   l_linenumber) AS kp_rank FROM kp)
+SELECT key, CAST(kp_rank AS INTEGER) AS kp_rank, l_partkey, l_suppkey, l_linenumber, response
+FROM r WHERE kp_rank <= 3""",
+
+    "keypoint_sample": f"""
+WITH {_KP},
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY
+          md5(CAST(key AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' ||
+              CAST(l_suppkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':0'),
+          l_partkey, l_suppkey, l_linenumber) AS sample_rank FROM kp)
+SELECT key, CAST(sample_rank AS INTEGER) AS sample_rank, l_partkey, l_suppkey, l_linenumber
+FROM r WHERE sample_rank <= 3""",
+
+    "codeword_assign": f"""
+WITH {_S}, {_C0}, {_ASSIGN}
+SELECT key, kp_id, code, round(dist, 6) AS dist FROM asg""",
+
+    "bow_histogram": f"""
+WITH {_S}, {_C0}, {_ASSIGN},
+keys AS (SELECT DISTINCT key FROM asg),
+cnt AS (SELECT key, code, count(*) AS n FROM asg GROUP BY key, code)
+SELECT k.key, CAST(c.i AS INTEGER) AS code, CAST(coalesce(cnt.n, 0) AS BIGINT) AS cnt
+FROM keys k CROSS JOIN range(16) c(i)
+LEFT JOIN cnt ON cnt.key = k.key AND cnt.code = c.i""",
+
+    "lloyd_steps": _lloyd_sql(3),
+})

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..operators import catalog as C
+from ..operators import codebook as CB
+from ..operators import keypoints as KP
 from ..operators import metrics as M
 from ..operators import split as SP
 from ..operators import vectors as V
@@ -244,3 +246,49 @@ QUERIES.update({
     "confusion_normalised": q_confusion_normalised,
     "accuracy_summary": q_accuracy_summary,
 })
+
+
+# --- keypoints and codebook ----------------------------------------------------
+
+def q_keypoint_topk(spark: SparkSession, sf: str) -> DataFrame:
+    kps = X.keypoints_from_lineitem(spark, sf)
+    return KP.strongest(kps, X.TOPK, tie_cols=X.KP_IDS).select(
+        "key", "kp_rank", *X.KP_IDS, "response")
+
+
+def q_keypoint_sample(spark: SparkSession, sf: str) -> DataFrame:
+    kps = X.keypoints_from_lineitem(spark, sf)
+    return KP.sample(kps, X.TOPK, id_cols=X.KP_IDS, seed=0).select(
+        "key", "sample_rank", *X.KP_IDS)
+
+
+def _codebook_init(spark: SparkSession, sf: str):
+    return CB.hash_init(X.samples(spark, sf), X.N_CODES, seed=0)
+
+
+def q_codeword_assign(spark: SparkSession, sf: str) -> DataFrame:
+    a = CB.assign(X.keypoints_from_embeddings(spark, sf), _codebook_init(spark, sf))
+    return a.select("key", "kp_id", "code", _r("dist").alias("dist"))
+
+
+def q_bow_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    a = CB.assign(X.keypoints_from_embeddings(spark, sf), _codebook_init(spark, sf))
+    h = CB.histogram_long(CB.histogram(a, X.N_CODES))
+    return h.select("key", "code", F.col("cnt").cast("bigint").alias("cnt"))
+
+
+def q_lloyd_steps(spark: SparkSession, sf: str) -> DataFrame:
+    pts = X.samples(spark, sf).select("key", "features")
+    centers, _ = CB.lloyd(pts, _codebook_init(spark, sf), max_iter=2, tol=-1.0)
+    final = CB.lloyd_step_frame(pts, centers)
+    return final.select("code", "n", F.posexplode("center").alias("dim", "value")) \
+        .select("code", "n", "dim", _r("value").alias("value"))
+
+
+QUERIES.update({
+    "keypoint_topk": q_keypoint_topk,
+    "keypoint_sample": q_keypoint_sample,
+    "codeword_assign": q_codeword_assign,
+    "bow_histogram": q_bow_histogram,
+    "lloyd_steps": q_lloyd_steps,
+})
