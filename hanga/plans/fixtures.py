@@ -82,3 +82,9 @@ TRAIN_FRACTION = 0.75
 N_CODES = 16  # codebook size for the embeddings stand-in
 TOPK = 3      # keypoints kept / sampled per order (orders have at most 7 lines)
 KP_IDS = ["l_partkey", "l_suppkey", "l_linenumber"]
+
+HOSTS = ["example.com", "example.net", "example.org"]  # crawled site suffixes
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")

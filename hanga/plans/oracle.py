@@ -267,3 +267,56 @@ LEFT JOIN cnt ON cnt.key = k.key AND cnt.code = c.i""",
 
     "lloyd_steps": _lloyd_sql(3),
 })
+
+
+def _site(col: str) -> str:
+    parts = [f"CASE WHEN instr({col}, '{h}') > 0 THEN substr({col}, 1, instr({col}, '{h}') + {len(h) - 1}) END"
+             for h in ("example.com", "example.net", "example.org")]
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+def _unescape(expr: str) -> str:
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")]:
+        expr = f"replace({expr}, '{ent}', '{ch}')"
+    return expr
+
+
+_LINKS = f"""lk AS (SELECT page_id, {_site('url')} AS site,
+               regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages),
+links AS (SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS href, site
+          FROM lk),
+links2 AS (SELECT page_id, pos, href,
+                  CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN href
+                       ELSE site || href END AS link FROM links)"""
+
+ORACLE_SQL.update({
+    "page_key": """
+WITH k AS (SELECT page_id, string_split(url, '/')[-1] AS page_key FROM pages)
+SELECT page_id, page_key,
+       CASE WHEN length(page_key) > 200
+            THEN string_split(page_key, '-')[1] || '-TRUNC-' || string_split(page_key, '-')[-1]
+            ELSE page_key END AS short_key
+FROM k""",
+
+    "page_site": f"""SELECT page_id, {_site('url')} AS site FROM pages""",
+
+    "page_links": f"""WITH {_LINKS} SELECT page_id, pos, href, link FROM links2""",
+
+    "page_frontier": f"""
+WITH {_LINKS}
+SELECT DISTINCT link FROM links2
+WHERE link IS NOT NULL AND link NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""",
+
+    "page_record": f"""
+WITH c AS (SELECT page_id, url, html,
+                  nullif(regexp_extract(html, '<!--((?:[^-]|-[^-])*)-->', 1), '') AS comment
+           FROM pages)
+SELECT page_id, string_split(url, '/')[-1] AS page_key,
+       nullif({_unescape("regexp_extract(html, '<title(?:\\s[^>]*)?>([^<]*)', 1)")}, '') AS title,
+       nullif({_unescape("regexp_extract(html, '<h1(?:\\s[^>]*)?>([^<]*)', 1)")}, '') AS h1,
+       comment,
+       nullif(regexp_extract(comment, 'src="(\\S*)"', 1), '') AS image_url,
+       nullif(regexp_extract(html, '<br>([^\\n]*)<br>', 1), '') AS date
+FROM c""",
+})

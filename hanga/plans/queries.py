@@ -16,6 +16,7 @@ from ..operators import catalog as C
 from ..operators import codebook as CB
 from ..operators import keypoints as KP
 from ..operators import metrics as M
+from ..operators import pages as PG
 from ..operators import split as SP
 from ..operators import vectors as V
 from ..sources import catalogue as SC
@@ -292,3 +293,40 @@ QUERIES.update({
     "bow_histogram": q_bow_histogram,
     "lloyd_steps": q_lloyd_steps,
 })
+
+
+# --- stored pages --------------------------------------------------------------
+
+def q_page_key(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.with_keys(X.pages(spark, sf)).select("page_id", "page_key", "short_key")
+
+
+def q_page_site(spark: SparkSession, sf: str) -> DataFrame:
+    return X.pages(spark, sf).select("page_id", PG.site_of("url", X.HOSTS).alias("site"))
+
+
+def q_page_links(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.links(X.pages(spark, sf), X.HOSTS)
+
+
+def q_page_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    p = X.pages(spark, sf)
+    found = PG.links(p, X.HOSTS).unionByName(
+        PG.next_page(p, X.HOSTS).select(F.lit(None).cast("bigint").alias("page_id"),
+                                         F.lit(None).cast("int").alias("pos"),
+                                         F.lit(None).cast("string").alias("href"), "link"))
+    return PG.frontier(found, p)
+
+
+def q_page_record(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.record_fields(X.pages(spark, sf)).select(
+        "page_id", "page_key", "title", "h1", "comment", "image_url", "date")
+
+
+QUERIES.update({
+    "page_key": q_page_key,
+    "page_site": q_page_site,
+    "page_links": q_page_links,
+    "page_frontier": q_page_frontier,
+    "page_record": q_page_record,
+})
