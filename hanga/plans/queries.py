@@ -15,10 +15,12 @@ from ..functions import text as TX
 from ..operators import catalog as C
 from ..operators import codebook as CB
 from ..operators import keypoints as KP
+from ..operators import learn as LN
 from ..operators import metrics as M
 from ..operators import pages as PG
 from ..operators import split as SP
 from ..operators import vectors as V
+from ..session import scratch_path
 from ..sources import catalogue as SC
 from . import fixtures as X
 
@@ -330,3 +332,73 @@ QUERIES.update({
     "page_frontier": q_page_frontier,
     "page_record": q_page_record,
 })
+
+
+# --- learned models (rows-only checks; properties are tested in pytest) -------
+
+PCA_K = 5
+SVM_CS = [0.01, 1.0, 100.0]
+SVM_ITER = 10
+
+
+def _train_test(spark: SparkSession, sf: str):
+    s = SP.train_test_split(X.samples(spark, sf), X.TRAIN_FRACTION)
+    return (s.where(F.col("split") == "train").drop("split"),
+            s.where(F.col("split") == "test").drop("split"))
+
+
+def q_pca_project(spark: SparkSession, sf: str) -> DataFrame:
+    s = X.samples(spark, sf)
+    return LN.pca_project(s, PCA_K, V.vector_width(s, "features"))
+
+
+def q_kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
+    book, cost, _ = CB.kmeans_codebook(X.samples(spark, sf), X.N_CODES, max_iter=10,
+                                       tol=1e-4, attempts=10, seed=0)
+    return book.withColumn("cost", F.lit(cost))
+
+
+def _svm(spark: SparkSession, sf: str):
+    train, test = _train_test(spark, sf)
+    width = V.vector_width(train, "features")
+    model = LN.fit_svm(train, width, X.N_CLASSES, C=1.0, max_iter=SVM_ITER)
+    return model, test
+
+
+def q_svm_ovr(spark: SparkSession, sf: str) -> DataFrame:
+    model, test = _svm(spark, sf)
+    return LN.predict(model, test)
+
+
+def q_svm_grid(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = _train_test(spark, sf)
+    width = V.vector_width(train, "features")
+    _, report = LN.grid_search(train, width, X.N_CLASSES, SVM_CS, max_iter=SVM_ITER)
+    return report
+
+
+def q_svm_top_weights(spark: SparkSession, sf: str) -> DataFrame:
+    model, _ = _svm(spark, sf)
+    return LN.top_weights(LN.weights_table(model, spark), None, k=5).select(
+        "class_id", "rank", "dim", "name", "weight")
+
+
+def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    model, test = _svm(spark, sf)
+    path = scratch_path(spark, "svm-model")
+    LN.save_model(model, path)
+    loaded = LN.load_model(path)
+    a = LN.predict(model, test)
+    b = LN.predict(loaded, test).select("key", F.col("prediction").alias("prediction_loaded"))
+    return a.join(b, "key").withColumn(
+        "same", F.col("prediction") == F.col("prediction_loaded"))
+
+
+QUERIES.update({
+    "pca_project": q_pca_project,
+    "kmeans_codebook": q_kmeans_codebook,
+    "svm_ovr": q_svm_ovr,
+    "svm_grid": q_svm_grid,
+    "svm_top_weights": q_svm_top_weights,
+    "model_roundtrip": q_model_roundtrip,
+})

@@ -104,3 +104,11 @@ def col_or_name(c) -> Column:
 def env_int(name: str, default: int) -> int:
     v = os.environ.get(name)
     return int(v) if v else default
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for intermediate outputs inside the shared checkpoint
+    folder (never a machine-local folder on a cluster)."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/hanga-scratch/{name}-{uuid.uuid4().hex}"
