@@ -1,0 +1,107 @@
+"""Catalogue, label and list sources."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from conftest import rows
+from hanga.operators import catalog as C
+from hanga.sources import catalogue as SC
+
+ARTISTS = ["Katsushika Hokusai", "Utagawa Hiroshige I", "Isoda Koryûsai"]
+
+
+def _cdim(spark):
+    return spark.createDataFrame([(a, i) for i, a in enumerate(ARTISTS)],
+                                 "class_name string, class_id int")
+
+
+def _write(tmp_path, name, text):
+    p = os.path.join(tmp_path, name)
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(text)
+    return p
+
+
+def test_label_file_edge_cases(spark, tmp_path):
+    text = "\n".join([
+        "k1::Katsushika Hokusai",
+        "no separator here",
+        "k2::a::b",
+        "  k3::Utagawa Hiroshige I 　",
+        "k4::Unknown Painter",
+        "k1::Utagawa Hiroshige I",   # same key again: last wins
+        "",
+        "k5::Isoda Koryûsai",
+    ]) + "\n"
+    path = _write(str(tmp_path), "labels.txt", text)
+    lines = SC.read_lines(spark, path)
+    labels = C.read_labels(lines, _cdim(spark), "line_order")
+    assert rows(labels, "key", "class_id", "n_lines") == [
+        ("k1", 1, 2), ("k3", 1, 1), ("k5", 2, 1)]
+    rej = rows(C.label_rejects(lines, _cdim(spark)), "value", "reason")
+    assert rej == sorted([("no separator here", "bad_format"), ("k2::a::b", "bad_format"),
+                          ("", "bad_format"), ("k4::Unknown Painter", "unknown_artist")])
+
+
+def test_catalogue_json_lines(spark, tmp_path):
+    text = "\n".join([
+        '{"artist": "Katsushika Hokusai", "images": [{"path": "full/abc123.jpg"}]}',
+        '{"artist": null, "images": [{"path": "full/n.jpg"}]}',
+        '{"images": [{"path": "full/m.jpg"}]}',
+        '{"artist": "Nobody", "images": null}',
+        '{"artist": "Utagawa Hiroshige I", "images": []}',
+        '{"artist": "Utagawa Hiroshige I", "images": [{"path": ""}]}',
+        'this is not json',
+        '{"artist": "Katsushika Hokusai", "images": [{"path": "full/abc123.jpg"}]}',
+        '{"artist": "Isoda Koryûsai", "images": [{"path": "full/d.e.f.png"}]}',
+    ]) + "\n"
+    path = _write(str(tmp_path), "cat.jl", text)
+    cat = SC.read_catalogue(spark, path)
+    kept = C.filter_by_class(cat, _cdim(spark))
+    assert kept.count() == 5  # duplicates kept, null/missing/unknown dropped
+    labelled = kept.where(C.has_first_image("images")).select(
+        C.image_checksum("images").alias("key"), "artist")
+    assert rows(labelled) == sorted([("abc123", "Katsushika Hokusai")] * 2 +
+                                    [("d", "Isoda Koryûsai")])
+    rej = rows(SC.catalogue_rejects(cat), "reason")
+    assert rej.count(("bad_json",)) == 1 and rej.count(("no_artist",)) == 2
+    # Matching lines written back unchanged
+    out = os.path.join(str(tmp_path), "out")
+    SC.write_lines(kept, out)
+    back = sorted(r["value"] for r in spark.read.text(out).collect())
+    assert sorted(r["value"] for r in kept.collect()) == back
+
+
+def test_strict_json_fails(spark, tmp_path):
+    import pytest
+    path = _write(str(tmp_path), "bad.jl", '{"artist": "x"}\nnot json\n')
+    with pytest.raises(Exception):
+        SC.read_catalogue(spark, path, strict=True).collect()
+
+
+def test_label_file_roundtrip_and_lists(spark, tmp_path):
+    df = spark.createDataFrame([("k1", "Katsushika Hokusai"), ("k2", "Isoda Koryûsai")],
+                               "key string, artist string")
+    out = os.path.join(str(tmp_path), "lab")
+    SC.write_label_file(df, out)
+    ok, bad = SC.read_label_file(spark, out)
+    assert bad.count() == 0 and rows(ok, "key", "artist") == rows(df)
+    lst = _write(str(tmp_path), "manifest.txt", " a.jpg\n\nb.jpg \n")
+    assert rows(SC.read_value_list(spark, lst)) == [("a.jpg",), ("b.jpg",)]
+    names = _write(str(tmp_path), "names.tsv", "red\tx\ngreen\ty\nblue\n")
+    assert rows(SC.read_feature_names(spark, names)) == [(0, "red"), (1, "green"), (2, "blue")]
+
+
+def test_join_shard_manifest_pending(spark):
+    samples = spark.createDataFrame([("ab1", 1.0), ("ab2", 2.0), ("cd3", 3.0)],
+                                    "key string, v double")
+    labels = spark.createDataFrame([("ab1", 0), ("cd3", 1), ("zz", 2)], "key string, class_id int")
+    assert rows(C.join_labels(samples, labels), "key") == [("ab1",), ("cd3",)]
+    assert rows(C.shard_filter(samples, "ab"), "key") == [("ab1",), ("ab2",)]
+    assert C.shard_filter(samples, None).count() == 3
+    items = samples.withColumn("name", F.concat("key", F.lit(".jpg")))
+    man = spark.createDataFrame([("ab2.jpg",), ("cd3",)], "value string")
+    assert rows(C.manifest_filter(items, man), "key") == [("ab2",)]
+    done = spark.createDataFrame([("ab1.sift.npz",), ("cd3.sift",)], "name string")
+    assert rows(C.pending(samples, done), "key") == [("ab2",)]
