@@ -20,7 +20,7 @@ fits recomputes from the checkpoint, not from the raw tables.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel  # noqa: F401 (re-exported)
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
