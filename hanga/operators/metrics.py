@@ -14,19 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance
-from ..session import broadcast_limit
+from ..session import MAX_WIDTH, bounded_collect
 
 _CENTROID_LIST = "array<struct<class_id:int,centroid:array<double>>>"
 
 
-def centroid_literal(centroids: DataFrame, width: int) -> Column:
+def centroid_literal(centroids: DataFrame, width: int = MAX_WIDTH,
+                     max_classes: int = 1000) -> Column:
     """The class centroids as one constant ``array<struct<class_id,
     centroid>>`` column. Centroids are bounded by the class dimension; the
-    bound is checked before they are fetched."""
-    n = centroids.count()
-    if n * (width * 8 + 16) > broadcast_limit(centroids.sparkSession):
-        raise ValueError(f"{n} centroids of width {width} exceed the broadcast limit")
-    rows = centroids.select("class_id", "centroid").collect()
+    bound is checked while they are fetched (one job)."""
+    rows = bounded_collect(centroids.select("class_id", "centroid"), max_classes,
+                           width * 8 + 16, "centroids")
     payload = json.dumps([{"class_id": int(r["class_id"]),
                            "centroid": [float(v) for v in r["centroid"]]} for r in rows])
     return F.from_json(F.lit(payload), _CENTROID_LIST)

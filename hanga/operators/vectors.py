@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance, vector_literal
-from ..session import bounded_broadcast, vector_width
+from ..session import MAX_WIDTH, bounded_broadcast, vector_width  # noqa: F401
 
 GLOBAL_CLASS = -1  # class id of the all-samples centroid (A4)
 
@@ -59,8 +59,10 @@ def _centroid_side(centroids: DataFrame, max_classes: int, width: int) -> DataFr
 
 def with_centroid_distance(samples: DataFrame, max_classes: int,
                            width: int | None = None) -> DataFrame:
-    """Each sample joined to its own class centroid (J5) with ``dist``."""
-    width = width or vector_width(samples, "features")
+    """Each sample joined to its own class centroid (J5) with ``dist``. The
+    broadcast bound uses ``width`` or the accepted width cap (vectors are
+    validated on read), so no probe job runs."""
+    width = width or MAX_WIDTH
     cents = class_centroids(samples, include_global=False).select(
         "class_id", "centroid")
     side = _centroid_side(cents, max_classes, width)

@@ -48,10 +48,8 @@ def q_class_centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_inter_class_distance(spark: SparkSession, sf: str) -> DataFrame:
-    s = X.samples(spark, sf)
-    width = V.vector_width(s, "features")
-    cents = V.class_centroids(s, include_global=True)
-    d = V.inter_class_distance(cents, X.N_CLASSES, width)
+    cents = V.class_centroids(X.samples(spark, sf), include_global=True)
+    d = V.inter_class_distance(cents, X.N_CLASSES, V.MAX_WIDTH)
     return d.select("class_i", "class_j", _r("dist").alias("dist"))
 
 
@@ -218,8 +216,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     the train split only."""
     s = SP.train_test_split(X.samples(spark, sf), X.TRAIN_FRACTION)
     train = s.where(F.col("split") == "train")
-    width = V.vector_width(train, "features")
-    cents = M.centroid_literal(V.class_centroids(train, include_global=False), width)
+    cents = M.centroid_literal(V.class_centroids(train, include_global=False),
+                               max_classes=X.N_CLASSES)
     return (s.where(F.col("split") == "test")
             .select("key", F.col("class_id").alias("label"),
                     M.nearest_centroid("features", cents).alias("prediction")))

@@ -1,12 +1,13 @@
 """File-per-key sources and sinks.
 
 The reference keeps one file per image: ``.npy`` / ``.ascii`` sample vectors,
-``.npz`` keypoint blocks. Here a directory is read with the ``binaryFile``
-source: the key and extension come from the path alone, so filters and joins
-on the key (labels, manifest, shard prefix, already-done outputs) run before
-any file content is read; ``content`` is selected only afterwards and decoded
-in ``mapInPandas``. Binary files are not split, and a task holds at most
-``spark.sql.files.maxPartitionBytes`` of them, which bounds each Arrow batch.
+``.npz`` keypoint blocks. Here a directory is listed with the ``binaryFile``
+source without its ``content`` column: the key and extension come from the
+path alone, so filters and joins on the key (labels, manifest, shard prefix,
+already-done outputs) run on the listing. Only the paths that survive are
+opened, inside ``mapInPandas`` tasks (local paths or any ``pyarrow.fs`` URI),
+and every file is decoded and emitted on its own, so a task holds one file's
+rows at a time.
 
 Decoding failures never abort the job: they come back as rows with an
 ``error`` (quirk K14), and width violations as rejects (K16).
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, file_ext, file_key
+from ..session import MAX_WIDTH
 
-MAX_WIDTH = 3000  # widest sample vector accepted
 KEYPOINT_ATTRS = ["x", "y", "size", "angle", "octave", "response"]
 
 
@@ -38,21 +39,31 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
                         F.when(F.instr(name, ".") > 0, file_ext(name)).alias("ext"), "length")
 
 
-def _with_content(spark: SparkSession, files: DataFrame, path: str) -> DataFrame:
-    content = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.join(content, "path")
+def read_bytes(path: str) -> bytes:
+    """Bytes of one file named by a Spark path URI (``file:``, ``hdfs:``,
+    ``s3:`` ... through ``pyarrow.fs``)."""
+    from urllib.parse import unquote, urlparse
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        with open(unquote(u.path) if u.scheme else path, "rb") as f:
+            return f.read()
+    import pyarrow.fs as pafs
+    fs, inner = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(inner) as f:
+        return f.read()
 
 
 def _decode_vectors(batches):
     import pandas as pd
     for pdf in batches:
         keys, paths, feats, errs = [], [], [], []
-        for key, p, ext, blob in zip(pdf["key"], pdf["path"], pdf["ext"], pdf["content"]):
+        for key, p, ext in zip(pdf["key"], pdf["path"], pdf["ext"]):
             try:
+                blob = read_bytes(p)
                 if ext == "ascii":
-                    v = np.loadtxt(io.BytesIO(bytes(blob)), dtype=np.float64, ndmin=1)
+                    v = np.loadtxt(io.BytesIO(blob), dtype=np.float64, ndmin=1)
                 else:
-                    v = np.load(io.BytesIO(bytes(blob)), allow_pickle=False)
+                    v = np.load(io.BytesIO(blob), allow_pickle=False)
                 v = np.asarray(v, dtype=np.float64).ravel()
                 feats.append(v.tolist())
                 errs.append(None)
@@ -77,8 +88,8 @@ def read_vectors(spark: SparkSession, path: str, keys: DataFrame | None = None,
     * A key present as both ``.npy`` and ``.ascii`` keeps the ``.npy``."""
     files = list_files(spark, path).where(F.col("ext").isin("npy", "ascii"))
     if keys is not None:
-        files = files.join(keys.select("key").distinct(), "key", "left_semi")
-    decoded = _with_content(spark, files, path).mapInPandas(
+        files = files.join(keys.select("key"), "key", "left_semi")
+    decoded = files.select("key", "path", "ext").mapInPandas(
         _decode_vectors, "key string, path string, features array<double>, error string")
     pref = Window.partitionBy("key").orderBy(F.col("path").endswith(".ascii"), "path")
     decoded = decoded.withColumn("__r", F.row_number().over(pref))
@@ -113,10 +124,10 @@ def read_keypoints(spark: SparkSession, path: str, n_dims: int = 128,
         import pandas as pd
         cols = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            out = []
-            for key, p, blob in zip(pdf["key"], pdf["path"], pdf["content"]):
+            for key, p in zip(pdf["key"], pdf["path"]):
+                out = []
                 try:
-                    with np.load(io.BytesIO(bytes(blob)), allow_pickle=False) as z:
+                    with np.load(io.BytesIO(read_bytes(p)), allow_pickle=False) as z:
                         a = np.asarray(z["arr_0"], dtype=np.float64)
                     a = a.reshape(-1, a.shape[-1]) if a.size else np.zeros((0, 6 + n_dims))
                     for i, row in enumerate(a):
@@ -124,9 +135,10 @@ def read_keypoints(spark: SparkSession, path: str, n_dims: int = 128,
                 except Exception as e:
                     out.append((key, p, None, None, None, None, None, None, None, None,
                                 f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(out, columns=cols)
+                if out:
+                    yield pd.DataFrame(out, columns=cols)  # one file at a time
 
-    rows = _with_content(spark, files, path).mapInPandas(decode, schema)
+    rows = files.select("key", "path").mapInPandas(decode, schema)
     ok = rows.where(F.col("error").isNull()).drop("path", "error")
     rejected = rows.where(F.col("error").isNotNull()).select(
         "key", "path", F.concat(F.lit("unreadable: "), F.col("error")).alias("reason"))
