@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import keep_last, l2_distance
-from ..session import MAX_WIDTH, bounded_collect, broadcast_limit
+from ..session import broadcast_limit
 
 ROUND = 6
 SMALL_CODEBOOK = 64 * 128  # k * m up to which the JVM path is used
@@ -36,16 +36,15 @@ def codebook_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "code int, center array<double>")
 
 
-def collect_codebook(codebook: DataFrame, max_codes: int = 100_000,
-                     max_dims: int = MAX_WIDTH) -> np.ndarray:
-    """Fetch a codebook as a k x m matrix in one job, refusing more than
-    ``max_codes`` rows or a matrix over the broadcast limit."""
-    rows = bounded_collect(codebook.select("code", "center"), max_codes, 8 * max_dims, "codebook")
-    rows.sort(key=lambda r: r["code"])
-    m = len(rows[0]["center"]) if rows else 0
-    if len(rows) * m * 8 > broadcast_limit(codebook.sparkSession):
-        raise ValueError(f"codebook {len(rows)} x {m} exceeds the broadcast limit")
-    return np.array([r["center"] for r in rows], dtype=np.float64).reshape(len(rows), m)
+def collect_codebook(codebook: DataFrame) -> np.ndarray:
+    """Fetch a codebook as a k x m matrix, after one small aggregate proves
+    k x m x 8 bytes fits the broadcast limit."""
+    st = codebook.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("center")).alias("m")).first()
+    k, m = int(st["k"]), int(st["m"] or 0)
+    if k * m * 8 > broadcast_limit(codebook.sparkSession):
+        raise ValueError(f"codebook {k} x {m} exceeds the broadcast limit")
+    rows = sorted(codebook.select("code", "center").collect(), key=lambda r: r["code"])
+    return np.array([r["center"] for r in rows], dtype=np.float64).reshape(k, m)
 
 
 def _codebook_literal(centers: np.ndarray) -> Column:
