@@ -101,6 +101,40 @@ def label_rejects(lines: DataFrame, class_dim: DataFrame) -> DataFrame:
     return bad.unionByName(unknown.drop("key", "artist"))
 
 
+def label_summary(lines: DataFrame, class_dim: DataFrame,
+                  samples: DataFrame | None = None) -> DataFrame:
+    """Counts of the label step (A1) as ``(metric, value)`` rows: lines read,
+    rejects per reason (zero when none), labels kept (distinct keys), and —
+    given samples — samples read and samples kept after the label join.
+
+    The line metrics are one aggregate over one tagged pass; the sample
+    metrics one aggregate over a left join with the kept keys. Each one-row
+    aggregate is unpivoted, so nothing is computed twice."""
+    side = _class_side(class_dim.select(F.col("class_name").alias("__artist"), "class_id"))
+    parts = F.split(unicode_trim("value"), LABEL_SEP)
+    tagged = (lines.select(parts.alias("__p"))
+              .select(F.get("__p", 0).alias("key"), F.get("__p", 1).alias("artist"),
+                      (F.size("__p") == 2).alias("__ok"))
+              .join(side, (F.col("artist") == F.col("__artist")) & F.col("__ok"), "left"))
+    bad = ~F.col("__ok")
+    unknown = F.col("__ok") & F.col("class_id").isNull()
+    kept = F.col("class_id").isNotNull()
+    names = ["lines_read", "rejected_bad_format", "rejected_unknown_artist", "labels_kept"]
+    line_stats = tagged.agg(
+        F.count(F.lit(1)).cast("bigint").alias(names[0]),
+        F.count_if(bad).cast("bigint").alias(names[1]),
+        F.count_if(unknown).cast("bigint").alias(names[2]),
+        F.count_distinct(F.when(kept, F.col("key"))).cast("bigint").alias(names[3]))
+    out = line_stats.unpivot([], names, "metric", "value")
+    if samples is not None:
+        hits = read_labels(lines, class_dim).select("key", F.lit(1).alias("__hit"))
+        s = (samples.select("key").join(hits, "key", "left")
+             .agg(F.count(F.lit(1)).cast("bigint").alias("samples_read"),
+                  F.count("__hit").cast("bigint").alias("samples_kept")))
+        out = out.unionByName(s.unpivot([], ["samples_read", "samples_kept"], "metric", "value"))
+    return out
+
+
 def read_labels(lines: DataFrame, class_dim: DataFrame,
                 order_col: str = "line_no") -> DataFrame:
     """Validated, class-mapped, de-duplicated label map ``(key, class_id)``."""

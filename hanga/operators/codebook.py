@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import keep_last, l2_distance
-from ..session import broadcast_limit
+from ..session import bounded_broadcast, broadcast_limit
 
 ROUND = 6
 SMALL_CODEBOOK = 64 * 128  # k * m up to which the JVM path is used
@@ -178,7 +178,8 @@ def lloyd_step_frame(points: DataFrame, centers: np.ndarray, feat_col: str = "fe
                   F.count(F.lit(1)).alias("n"))
              .select("code", vector_to_array("m", "float64").alias("m"), "n"))
     old = codebook_frame(points.sparkSession, centers)
-    return (old.join(F.broadcast(means), "code", "left")  # both sides have k rows
+    side = bounded_broadcast(means, len(centers), 8 * centers.shape[1] + 32)  # k rows
+    return (old.join(side, "code", "left")
             .select("code", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                     F.coalesce("m", "center").alias("center")))
 

@@ -114,12 +114,11 @@ WITH {_D}
 SELECT f.doc_id, f.key, d.class_id, f.quality, f.toxic FROM feats f JOIN dedup d USING (key)""",
 
     "label_counts": f"""
-WITH {_D},
-rej AS (SELECT 'rejected_bad_format' AS metric FROM parsed WHERE len(p) <> 2
-        UNION ALL SELECT 'rejected_unknown_artist' FROM ok
-        WHERE artist NOT IN (SELECT class_name FROM cd))
+WITH {_D}
 SELECT 'lines_read' AS metric, CAST(count(*) AS BIGINT) AS value FROM lines
-UNION ALL SELECT metric, CAST(count(*) AS BIGINT) FROM rej GROUP BY metric
+UNION ALL SELECT 'rejected_bad_format', CAST(count(*) AS BIGINT) FROM parsed WHERE len(p) <> 2
+UNION ALL SELECT 'rejected_unknown_artist', CAST(count(*) AS BIGINT) FROM ok
+          WHERE artist NOT IN (SELECT class_name FROM cd)
 UNION ALL SELECT 'labels_kept', CAST(count(*) AS BIGINT) FROM dedup
 UNION ALL SELECT 'samples_read', CAST(count(*) AS BIGINT) FROM feats
 UNION ALL SELECT 'samples_kept', CAST(count(*) AS BIGINT) FROM feats JOIN dedup USING (key)""",

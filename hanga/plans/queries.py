@@ -117,24 +117,8 @@ def q_label_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_label_counts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = X.label_lines(spark, sf)
-    cd = X.class_dim(spark)
-    rejects = C.label_rejects(lines, cd)
-    labels = C.read_labels(lines, cd, "line_no")
-    samples = X.labelled_features(spark, sf)
-    kept = C.join_labels(samples, labels.drop("n_lines"))
-    parts = [
-        lines.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("lines_read")),
-        rejects.groupBy(F.concat(F.lit("rejected_"), F.col("reason")).alias("metric"))
-        .agg(F.count(F.lit(1)).alias("value")),
-        labels.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("labels_kept")),
-        samples.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("samples_read")),
-        kept.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit("samples_kept")),
-    ]
-    out = parts[0].select("metric", "value")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("metric", "value"))
-    return out.select("metric", F.col("value").cast("bigint").alias("value"))
+    return C.label_summary(X.label_lines(spark, sf), X.class_dim(spark),
+                           X.labelled_features(spark, sf))
 
 
 def q_has_image_filter(spark: SparkSession, sf: str) -> DataFrame:
