@@ -214,6 +214,42 @@ class _Problem:
         bc.destroy()
         return flat[:n_groups] / np.maximum(flat[n_groups:], 1.0)
 
+def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
+    """Damped Newton (Levenberg-Marquardt) on the generalized Hessian, all J
+    models advanced together with one data pass per iteration.
+
+    Each model solves (H + lam I) p = -g; a step is kept when it lowers the
+    objective by a fair share of the quadratic model's prediction, and lam
+    shrinks after good steps and grows after rejected ones. The squared hinge
+    is piecewise quadratic, so undamped steps converge in a few iterations;
+    damping keeps large-C models stable where the active set keeps changing
+    (plain back-tracking stalls there). Needs J x D x D partial sums."""
+    J = problem.J
+    eye = np.eye(D)
+    W = np.zeros((D, J))
+    f, g, H = problem.loss_grad(W, hessian=True)
+    g0 = np.maximum(np.linalg.norm(g, axis=0), 1e-12)
+    lam = np.zeros(J)
+    active = np.linalg.norm(g, axis=0) > tol * g0
+    it = 0
+    while it < max_iter and active.any():
+        it += 1
+        a = np.nonzero(active)[0]  # converged models are not evaluated again
+        p = np.linalg.solve(H[a] + lam[a, None, None] * eye[None], -g[:, a].T[:, :, None])[:, :, 0].T
+        f_try, g_try, H_try = problem.loss_grad(W[:, a] + p, hessian=True, cols=a)
+        predicted = -(g[:, a] * p).sum(0) - 0.5 * np.einsum("jd,jde,je->j", p.T, H[a], p.T)
+        ratio = (f[a] - f_try) / np.maximum(predicted, 1e-300)
+        good = ((f_try < f[a]) & (ratio > 1e-4)) | \
+               ((f_try <= f[a]) & (predicted <= 1e-14 * np.abs(f[a])))
+        ok = a[good]
+        W[:, ok] += p[:, good]
+        f[ok], g[:, ok], H[ok] = f_try[good], g_try[:, good], H_try[good]
+        scale = np.trace(H[a], axis1=1, axis2=2) / D
+        lam[a] = np.where(good, np.where(ratio > 0.75, lam[a] / 10, lam[a]),
+                          np.maximum(lam[a] * 10, 1e-6 * scale))
+        lam[a] = np.where(good & (lam[a] < 1e-12 * scale), 0.0, lam[a])
+        active &= np.linalg.norm(g, axis=0) > tol * g0
+    return W, it
 
 def _two_loop(g, S, Y, rho, count, memory):
     """L-BFGS direction for every model at once (columns are models)."""
@@ -243,49 +279,6 @@ def _two_loop(g, S, Y, rho, count, memory):
     q[:, bad] = -g[:, bad] / gnorm[bad]
     return q
 
-
-def _backtrack(step, slope, rise):
-    """Next trial step after a failed Armijo test: minimiser of the quadratic
-    through f(0), f'(0) and f(step), kept within [0.1, 0.5] x step."""
-    curv = rise - slope * step
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.where(curv > 0, -slope * step * step / (2.0 * curv), 0.5 * step)
-    return np.clip(np.nan_to_num(t, nan=0.5 * step), 0.1 * step, 0.5 * step)
-
-
-def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
-    """Newton steps on the generalized Hessian with Armijo back-tracking, all
-    J models advanced together (one pass per iteration). The objective is
-    piecewise quadratic, so a few steps reach the optimum even for large C,
-    where first-order methods crawl. Needs J x D x D partial sums."""
-    J = problem.J
-    W = np.zeros((D, J))
-    f, g, H = problem.loss_grad(W, hessian=True)
-    g0 = np.maximum(np.linalg.norm(g, axis=0), 1e-12)
-    direction = np.linalg.solve(H, -g.T[:, :, None])[:, :, 0].T
-    step = np.ones(J)
-    active = np.linalg.norm(g, axis=0) > tol * g0
-    it = 0
-    while it < max_iter and active.any():
-        it += 1
-        a = np.nonzero(active)[0]  # converged models are not evaluated again
-        slope = (g[:, a] * direction[:, a]).sum(0)
-        W_try = W[:, a] + direction[:, a] * step[a]
-        f_try, g_try, H_try = problem.loss_grad(W_try, hessian=True, cols=a)
-        good = f_try <= f[a] + 1e-4 * step[a] * slope
-        ok = a[good]
-        W[:, ok], f[ok], g[:, ok], H[ok] = W_try[:, good], f_try[good], g_try[:, good], H_try[good]
-        if len(ok):
-            fresh = np.linalg.solve(H[ok], -g[:, ok].T[:, :, None])[:, :, 0].T
-            direction[:, ok] = fresh
-            step[ok] = 1.0
-        bad = a[~good]
-        step[bad] = _backtrack(step[bad], slope[~good], f_try[~good] - f[bad])
-        active &= step >= 1e-12
-        active &= np.linalg.norm(g, axis=0) > tol * g0
-    return W, it
-
-
 def _lbfgs(problem: _Problem, D: int, max_iter: int, tol: float, memory: int = 10):
     """Independent L-BFGS runs (Armijo back-tracking) for all J models,
     advanced together: one data pass per iteration evaluates every model's
