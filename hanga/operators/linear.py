@@ -214,6 +214,7 @@ class _Problem:
         bc.destroy()
         return flat[:n_groups] / np.maximum(flat[n_groups:], 1.0)
 
+
 def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
     """Damped Newton (Levenberg-Marquardt) on the generalized Hessian, all J
     models advanced together with one data pass per iteration.
@@ -251,6 +252,7 @@ def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
         active &= np.linalg.norm(g, axis=0) > tol * g0
     return W, it
 
+
 def _two_loop(g, S, Y, rho, count, memory):
     """L-BFGS direction for every model at once (columns are models)."""
     J = g.shape[1]
@@ -279,6 +281,7 @@ def _two_loop(g, S, Y, rho, count, memory):
     q[:, bad] = -g[:, bad] / gnorm[bad]
     return q
 
+
 def _lbfgs(problem: _Problem, D: int, max_iter: int, tol: float, memory: int = 10):
     """Independent L-BFGS runs (Armijo back-tracking) for all J models,
     advanced together: one data pass per iteration evaluates every model's
