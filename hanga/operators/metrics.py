@@ -41,6 +41,21 @@ def nearest_centroid(features, centroids: Column, round_to: int = 6) -> Column:
     return F.array_min(scored).getField("class_id")
 
 
+def predict_nearest_centroid(df: DataFrame, centroids: DataFrame, features: str = "features",
+                             max_classes: int = 1000, width: int = MAX_WIDTH) -> DataFrame:
+    """Adds ``prediction`` = class of the nearest centroid (ties after
+    rounding to 1e-6 go to the lowest class id), using the codebook kernel:
+    centroids are fetched once (bounded) and scored per Arrow batch."""
+    import numpy as np
+    from .codebook import assign
+    rows = sorted(bounded_collect(centroids.select("class_id", "centroid"), max_classes,
+                                  width * 8 + 16, "centroids"), key=lambda r: r["class_id"])
+    ids = F.array(*[F.lit(int(r["class_id"])) for r in rows])
+    mat = np.array([r["centroid"] for r in rows], dtype=np.float64)
+    out = assign(df, mat, features, method="pandas")
+    return out.withColumn("prediction", F.get(ids, F.col("code"))).drop("code", "dist")
+
+
 def confusion(pred: DataFrame, label_col: str = "label",
               pred_col: str = "prediction") -> DataFrame:
     """``(label, prediction, n)`` — rows = truth, columns = prediction."""

@@ -200,11 +200,10 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     the train split only."""
     s = SP.train_test_split(X.samples(spark, sf), X.TRAIN_FRACTION)
     train = s.where(F.col("split") == "train")
-    cents = M.centroid_literal(V.class_centroids(train, include_global=False),
-                               max_classes=X.N_CLASSES)
-    return (s.where(F.col("split") == "test")
-            .select("key", F.col("class_id").alias("label"),
-                    M.nearest_centroid("features", cents).alias("prediction")))
+    cents = V.class_centroids(train, include_global=False)
+    test = s.where(F.col("split") == "test")
+    return M.predict_nearest_centroid(test, cents, max_classes=X.N_CLASSES).select(
+        "key", F.col("class_id").alias("label"), "prediction")
 
 
 def q_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
