@@ -3,8 +3,14 @@
 A keypoint table has one row per keypoint: ``key`` (image), id columns, a
 ``response`` and a descriptor array. Both selections are per-image top-k
 filters over ``row_number``; Spark plans them with a partial
-WindowGroupLimit before the shuffle, so an image holding a third of all
-keypoints sends at most k rows per task across the network.
+WindowGroupLimit before each shuffle.
+
+Hot images: if one image holds a third of all keypoints, a single top-k
+would still send k rows from *every* task to one reducer. Both selections
+therefore run in two levels — top-k per (image, salt) with the salt taken
+from the keypoint ids, then top-k per image over at most ``salt_buckets x
+k`` rows. The result is exactly the one-level result: every row of the
+image's top-k is also in the top-k of its salt group.
 """
 
 from __future__ import annotations
@@ -19,14 +25,28 @@ MAX_KEYPOINTS = 4000   # kept per image by response
 SAMPLE_PER_IMAGE = 42  # sampled per image for clustering
 
 
+def _two_level_top(kps: DataFrame, k: int, key_col: str, order, salt_cols: list[str],
+                   salt_buckets: int, rank_col: str) -> DataFrame:
+    if salt_buckets > 1:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))
+        w1 = Window.partitionBy(key_col, "__salt").orderBy(*order)
+        kps = (kps.withColumn("__salt", salt)
+               .withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
+               .drop("__salt", "__r1"))
+    w = Window.partitionBy(key_col).orderBy(*order)
+    return kps.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
 def strongest(kps: DataFrame, k: int = MAX_KEYPOINTS, key_col: str = "key",
-              response_col: str = "response", tie_cols: list[str] | None = None) -> DataFrame:
+              response_col: str = "response", tie_cols: list[str] | None = None,
+              salt_buckets: int = 16) -> DataFrame:
     """The k keypoints with the highest response per image (T1). Equal
     responses are ordered by ``tie_cols`` ascending. Adds ``kp_rank`` (1 =
     strongest)."""
-    order = [F.col(response_col).desc()] + [F.col(c).asc() for c in (tie_cols or [])]
-    w = Window.partitionBy(key_col).orderBy(*order)
-    return kps.withColumn("kp_rank", F.row_number().over(w)).where(F.col("kp_rank") <= k)
+    tie_cols = tie_cols or []
+    order = [F.col(response_col).desc()] + [F.col(c).asc() for c in tie_cols]
+    return _two_level_top(kps, k, key_col, order, tie_cols or [response_col],
+                          salt_buckets, "kp_rank")
 
 
 def sample_order(key_col: str, id_cols: list[str], seed: int) -> F.Column:
@@ -36,14 +56,13 @@ def sample_order(key_col: str, id_cols: list[str], seed: int) -> F.Column:
 
 
 def sample(kps: DataFrame, n: int = SAMPLE_PER_IMAGE, key_col: str = "key",
-           id_cols: list[str] | None = None, seed: int = 0) -> DataFrame:
+           id_cols: list[str] | None = None, seed: int = 0, salt_buckets: int = 16) -> DataFrame:
     """At most n keypoints per image in a seeded random order (T2); an image
     with n or fewer keypoints keeps them all (quirk K15: seeded)."""
     id_cols = id_cols or []
-    w = Window.partitionBy(key_col).orderBy(sample_order(key_col, id_cols, seed),
-                                            *[F.col(c) for c in id_cols])
-    return kps.withColumn("sample_rank", F.row_number().over(w)) \
-        .where(F.col("sample_rank") <= n)
+    order = [sample_order(key_col, id_cols, seed)] + [F.col(c) for c in id_cols]
+    return _two_level_top(kps, n, key_col, order, id_cols or [key_col], salt_buckets,
+                          "sample_rank")
 
 
 # --- descriptor plug point (U1) -------------------------------------------------
