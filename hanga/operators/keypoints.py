@@ -5,18 +5,22 @@ A keypoint table has one row per keypoint: ``key`` (image), id columns, a
 filters over ``row_number``; Spark plans them with a partial
 WindowGroupLimit before each shuffle.
 
-Hot images: if one image holds a third of all keypoints, a single top-k
-would still send k rows from *every* task to one reducer. Both selections
-therefore run in two levels — top-k per (image, salt) with the salt taken
-from the keypoint ids, then top-k per image over at most ``salt_buckets x
-k`` rows. The result is exactly the one-level result: every row of the
-image's top-k is also in the top-k of its salt group.
+Hot images: if one image holds a third of all keypoints, the partial limit
+still sends up to k rows from *every* input task to the image's one
+reducer. With many input partitions both selections therefore reduce as a
+tree: first top-k per (image, source-partition group) — the group is
+``spark_partition_id() % B`` — then top-k per image, so each reducer gets
+about k x sqrt(tasks) rows instead of k x tasks. The result equals the
+one-level result (every row of an image's top-k is in the top-k of its
+group). With few partitions one level is already bounded and B = 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,28 +29,38 @@ MAX_KEYPOINTS = 4000   # kept per image by response
 SAMPLE_PER_IMAGE = 42  # sampled per image for clustering
 
 
-def _two_level_top(kps: DataFrame, k: int, key_col: str, order, salt_cols: list[str],
-                   salt_buckets: int, rank_col: str) -> DataFrame:
-    if salt_buckets > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))
-        w1 = Window.partitionBy(key_col, "__salt").orderBy(*order)
-        kps = (kps.withColumn("__salt", salt)
+TREE_MIN_PARTITIONS = 64
+
+
+def tree_fan_in(df: DataFrame) -> int:
+    """Number of first-level groups B for a tree top-k over ``df``: 1 when
+    the input has few partitions, else about sqrt(partitions)."""
+    parts = df.rdd.getNumPartitions()
+    return 1 if parts <= TREE_MIN_PARTITIONS else int(math.ceil(math.sqrt(parts)))
+
+
+def _two_level_top(kps: DataFrame, k: int, key_col: str, order, fan_in: int | None,
+                   rank_col: str) -> DataFrame:
+    b = tree_fan_in(kps) if fan_in is None else fan_in
+    if b > 1:
+        group = F.pmod(F.spark_partition_id(), F.lit(b))
+        w1 = Window.partitionBy(key_col, "__grp").orderBy(*order)
+        kps = (kps.withColumn("__grp", group)
                .withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
-               .drop("__salt", "__r1"))
+               .drop("__grp", "__r1"))
     w = Window.partitionBy(key_col).orderBy(*order)
     return kps.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
 def strongest(kps: DataFrame, k: int = MAX_KEYPOINTS, key_col: str = "key",
               response_col: str = "response", tie_cols: list[str] | None = None,
-              salt_buckets: int = 16) -> DataFrame:
+              fan_in: int | None = None) -> DataFrame:
     """The k keypoints with the highest response per image (T1). Equal
     responses are ordered by ``tie_cols`` ascending. Adds ``kp_rank`` (1 =
     strongest)."""
     tie_cols = tie_cols or []
     order = [F.col(response_col).desc()] + [F.col(c).asc() for c in tie_cols]
-    return _two_level_top(kps, k, key_col, order, tie_cols or [response_col],
-                          salt_buckets, "kp_rank")
+    return _two_level_top(kps, k, key_col, order, fan_in, "kp_rank")
 
 
 def sample_order(key_col: str, id_cols: list[str], seed: int) -> F.Column:
@@ -56,13 +70,13 @@ def sample_order(key_col: str, id_cols: list[str], seed: int) -> F.Column:
 
 
 def sample(kps: DataFrame, n: int = SAMPLE_PER_IMAGE, key_col: str = "key",
-           id_cols: list[str] | None = None, seed: int = 0, salt_buckets: int = 16) -> DataFrame:
+           id_cols: list[str] | None = None, seed: int = 0,
+           fan_in: int | None = None) -> DataFrame:
     """At most n keypoints per image in a seeded random order (T2); an image
     with n or fewer keypoints keeps them all (quirk K15: seeded)."""
     id_cols = id_cols or []
     order = [sample_order(key_col, id_cols, seed)] + [F.col(c) for c in id_cols]
-    return _two_level_top(kps, n, key_col, order, id_cols or [key_col], salt_buckets,
-                          "sample_rank")
+    return _two_level_top(kps, n, key_col, order, fan_in, "sample_rank")
 
 
 # --- descriptor plug point (U1) -------------------------------------------------

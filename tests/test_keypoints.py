@@ -25,6 +25,18 @@ def test_strongest_caps_per_image(spark):
     assert dropped.count() == 1 and dropped.first()["response"] == 0.0
 
 
+def test_tree_topk_equals_one_level(spark):
+    kps = _kps(spark, {"hot": 3000, "a": 10, "b": 50}).repartition(12)
+    one = sorted((r["key"], r["kp_id"], r["kp_rank"]) for r in
+                 KP.strongest(kps, 40, tie_cols=["kp_id"], fan_in=1).collect())
+    tree = sorted((r["key"], r["kp_id"], r["kp_rank"]) for r in
+                  KP.strongest(kps, 40, tie_cols=["kp_id"], fan_in=4).collect())
+    assert one == tree
+    s1 = {(r["key"], r["kp_id"]) for r in KP.sample(kps, 7, id_cols=["kp_id"], fan_in=1).collect()}
+    s4 = {(r["key"], r["kp_id"]) for r in KP.sample(kps, 7, id_cols=["kp_id"], fan_in=4).collect()}
+    assert s1 == s4
+
+
 def test_sample_is_seeded_subset(spark):
     kps = _kps(spark, {"k42": 42, "k43": 43, "k100": 100})
     s0 = KP.sample(kps, 42, id_cols=["kp_id"], seed=0)
