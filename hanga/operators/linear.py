@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,11 +48,20 @@ CHUNK = 16384
 
 @dataclass
 class LinearOvRModel:
-    """Fitted one-vs-rest linear model: ``coef`` (K x d), ``intercept`` (K)."""
+    """Fitted one-vs-rest linear model: ``coef`` (K x d), ``intercept`` (K),
+    and the PCA basis it was trained in, if any (quirk K2: the basis travels
+    with the model, a loaded model never re-fits it)."""
     classes: list[int]
     coef: np.ndarray
     intercept: np.ndarray
     C: float
+    pca: PipelineModel | None = None
+
+    def features_of(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """``df`` with ``features`` replaced by the model's input space."""
+        if self.pca is None:
+            return df
+        return project(self.pca, df, features)
 
     def _literal(self) -> Column:
         payload = json.dumps([{"i": i, "w": [float(v) for v in self.coef[i]],
@@ -71,7 +81,8 @@ class LinearOvRModel:
         return F.get(F.array(*[F.lit(int(c)) for c in self.classes]), best)
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        return df.withColumn("prediction", self.predict_column(features))
+        return self.features_of(df, features).withColumn("prediction",
+                                                         self.predict_column(features))
 
     def weights(self, spark: SparkSession) -> DataFrame:
         """``(class_id, dim, weight)`` — model metadata, K x d values."""
@@ -83,15 +94,31 @@ class LinearOvRModel:
         rows = [(int(c), [float(v) for v in self.coef[i]], float(self.intercept[i]), float(self.C))
                 for i, c in enumerate(self.classes)]
         (spark.createDataFrame(rows, "class_id int, coef array<double>, intercept double, C double")
-         .coalesce(1).write.mode("overwrite").parquet(path))
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/weights"))
+        if self.pca is not None:
+            self.pca.write().overwrite().save(f"{path}/pca")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LinearOvRModel":
-        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["class_id"])
+        rows = sorted(spark.read.parquet(f"{path}/weights").collect(), key=lambda r: r["class_id"])
+        try:
+            pca = PipelineModel.load(f"{path}/pca")
+        except Exception:  # saved without PCA
+            pca = None
         return LinearOvRModel([r["class_id"] for r in rows],
                               np.array([r["coef"] for r in rows], dtype=np.float64),
                               np.array([r["intercept"] for r in rows], dtype=np.float64),
-                              rows[0]["C"] if rows else 1.0)
+                              rows[0]["C"] if rows else 1.0, pca)
+
+
+def project(pca: PipelineModel, df: DataFrame, features: str = "features") -> DataFrame:
+    """Apply a fitted centring + PCA pipeline to an ``array<double>``
+    column, keeping its name."""
+    from .learn import to_ml
+    out = pca.stages[-1].getOutputCol()
+    return (pca.transform(to_ml(df, features).drop("label"))
+            .withColumn(features, vector_to_array(out, "float64"))
+            .drop("vec", "__centred", out))
 
 
 def _block(pdf, d):
@@ -329,12 +356,28 @@ def _lbfgs(problem: _Problem, D: int, max_iter: int, tol: float, memory: int = 1
 def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | None = None,
         max_iter: int = 200, tol: float = 1e-4, weighting: str = "positive",
         label_col: str = "class_id", features: str = "features",
-        fold_col: str | None = "fold", solver: str = "auto") -> tuple[LinearOvRModel, DataFrame]:
+        fold_col: str | None = "fold", solver: str = "auto",
+        n_components: int | None = None, width: int | None = None,
+        pca_fit_rows: DataFrame | None = None) -> tuple[LinearOvRModel, DataFrame]:
     """Fit every (class, C, fold) model plus the all-rows refit per C, pick
     C by mean fold accuracy (first best wins, like the reference's grid
     search) and return ``(model for the best C, report(C, cv_accuracy,
-    best))``. With one C value or ``n_folds = 0`` no cross-validation runs."""
+    best))``. With one C value or ``n_folds = 0`` no cross-validation runs.
+
+    ``solver``: "newton" (damped Newton on the exact generalized Hessian;
+    needs J x (d+1)^2 doubles under the broadcast limit), "lbfgs" (any
+    width), or "auto".
+
+    ``n_components`` below the vector ``width`` (M1) centres and projects the
+    features first; the basis is fitted on ``pca_fit_rows`` (the reference
+    fits on all labelled rows, quirk K3) or else on the training rows, and
+    is stored in the model."""
     spark = df.sparkSession
+    pca = None
+    if n_components is not None and width is not None and n_components < width:
+        from .learn import fit_pca
+        pca = fit_pca(pca_fit_rows if pca_fit_rows is not None else df, n_components, width)
+        df = project(pca, df, features)
     if classes is None:
         classes = sorted(r[0] for r in df.select(label_col).distinct().collect())
     K = len(classes)
@@ -398,7 +441,7 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
         data.unpersist()
     Cb = float(Cs[best])
     pick = [j for j in range(len(m_class)) if m_C[j] == Cb and m_fold[j] == -1]
-    model = LinearOvRModel(list(classes), W[:d, pick].T.copy(), W[d, pick].copy(), Cb)
+    model = LinearOvRModel(list(classes), W[:d, pick].T.copy(), W[d, pick].copy(), Cb, pca)
     report = spark.createDataFrame([(float(c), m, i == best) for i, (c, m) in enumerate(zip(Cs, mean))],
                                    "C double, cv_accuracy double, best boolean")
     return model, report

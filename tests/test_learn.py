@@ -105,3 +105,19 @@ def test_mllib_svm_pipeline_roundtrip(spark, tmp_path):
     b = LN.predict(LN.load_model(path), df).orderBy("key").collect()
     assert [r["prediction"] for r in a] == [r["prediction"] for r in b]
     assert np.mean([r["prediction"] == r["label"] for r in a]) > 0.9
+
+
+def test_pca_travels_with_batched_model(spark, tmp_path):
+    """K2: the saved model carries its PCA basis; K3: basis fitted on all
+    given rows when asked."""
+    df = SP.stratified_folds(_blobs(spark, 20, seed=5), 3, max_classes=3)
+    model, _ = LIN.fit(df, [1.0], 0, max_iter=50, n_components=2, width=3, pca_fit_rows=df)
+    assert model.pca is not None and model.coef.shape == (3, 2)
+    path = str(tmp_path / "mp")
+    model.save(spark, path)
+    back = LIN.LinearOvRModel.load(spark, path)
+    a = [r["prediction"] for r in model.transform(df).orderBy("key").collect()]
+    b = [r["prediction"] for r in back.transform(df).orderBy("key").collect()]
+    assert a == b and back.pca is not None
+    acc = np.mean([p == c for p, c in zip(a, [r["class_id"] for r in df.orderBy("key").collect()])])
+    assert acc > 0.95
