@@ -38,6 +38,8 @@ def build_session(master: str | None = None, app: str = "hanga",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # 3000-wide double vectors are ~24 KB a row: keep Arrow batches near 50 MB
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.sql.session.timeZone": "UTC",
     }
     if shuffle_partitions:

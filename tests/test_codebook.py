@@ -71,3 +71,11 @@ def test_codebook_write_once(spark, tmp_path):
     assert CB.write_codebook(CB.codebook_frame(spark, np.zeros((3, 3))), path) is False
     back = CB.collect_codebook(CB.read_codebook(spark, path))
     assert (back == np.eye(3)).all()
+
+
+def test_kmeans_cost_non_increasing_in_attempts(spark):
+    rng = np.random.default_rng(7)
+    pts = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)]) for i in range(150)],
+                                "key int, features array<double>")
+    costs = [CB.kmeans_codebook(pts, 5, max_iter=5, attempts=a, seed=11)[1] for a in (1, 3, 6)]
+    assert costs[0] >= costs[1] >= costs[2]
