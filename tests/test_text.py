@@ -18,9 +18,9 @@ def test_page_key_and_shortening(spark):
 
 
 def test_site_prefix(spark):
-    assert _one(spark, TX.site_prefix("v", "lacma.org"),
-                "http://collections.lacma.org/node/1") == "http://collections.lacma.org"
-    assert _one(spark, TX.site_prefix("v", "lacma.org"), "http://other.com/x") is None
+    assert _one(spark, TX.site_prefix("v", "example.org"),
+                "http://collections.example.org/node/1") == "http://collections.example.org"
+    assert _one(spark, TX.site_prefix("v", "example.org"), "http://other.com/x") is None
 
 
 def test_file_names(spark):
