@@ -121,3 +121,14 @@ def test_pca_travels_with_batched_model(spark, tmp_path):
     assert a == b and back.pca is not None
     acc = np.mean([p == c for p, c in zip(a, [r["class_id"] for r in df.orderBy("key").collect()])])
     assert acc > 0.95
+
+
+def test_mllib_grid_search_reports_every_c(spark):
+    df = _blobs(spark, 12, seed=9)
+    model, report = LN.grid_search(df, 3, 3, Cs=[0.1, 10.0], n_folds=3, max_iter=10,
+                                   parallelism=2)
+    rep = report.orderBy("C").collect()
+    assert [r["C"] for r in rep] == [0.1, 10.0] and sum(r["best"] for r in rep) == 1
+    acc = LN.predict(model, df).select(
+        F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert acc > 0.9
