@@ -72,11 +72,12 @@ def with_centroid_distance(samples: DataFrame, max_classes: int,
 
 
 def class_stats(samples: DataFrame, class_dim: DataFrame,
-                width: int | None = None) -> DataFrame:
+                width: int | None = None, max_classes: int | None = None) -> DataFrame:
     """Per class: sample count (A2), mean and population variance of the
     distance to the class centroid (A5). Classes without samples are listed
-    with n = 0 and NULL statistics (trap 12)."""
-    n_classes = class_dim.count()
+    with n = 0 and NULL statistics (trap 12). ``max_classes`` bounds the class
+    dimension when the caller knows it; otherwise it is counted."""
+    n_classes = max_classes if max_classes is not None else class_dim.count()
     dist = with_centroid_distance(samples, n_classes, width)
     stats = dist.groupBy("class_id").agg(
         F.count(F.lit(1)).alias("n_samples"),

@@ -35,7 +35,7 @@ def _r(c, n=6):
 # --- sample-vector statistics -------------------------------------------------
 
 def q_class_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.class_stats(X.samples(spark, sf), X.class_dim(spark))
+    out = V.class_stats(X.samples(spark, sf), X.class_dim(spark), max_classes=X.N_CLASSES)
     return out.select("class_id", "class_name", "n_samples",
                       _r("dist_mean", 8).alias("dist_mean"),
                       _r("dist_var", 8).alias("dist_var"))
