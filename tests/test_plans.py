@@ -31,3 +31,24 @@ def test_scans_are_pruned(spark):
     df = E.queries()["class_stats"](spark, SF_SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "embedding" in text and "vec_id" not in text  # key column not needed
+
+
+@pytest.mark.parametrize("name", ["class_stats", "closest_to_mean", "artist_filter",
+                                  "strat_folds", "inter_class_distance"])
+def test_over_limit_falls_back_to_shuffle_join(spark, name):
+    """Above ``hanga.broadcast.maxBytes`` no broadcast is hinted; with
+    Spark's own size-based broadcast off the plan is a shuffle join, and the
+    result is unchanged."""
+    fn = E.queries()[name]
+    base = sorted(map(tuple, fn(spark, SF_SMALL).collect()))
+    spark.conf.set("hanga.broadcast.maxBytes", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fn(spark, SF_SMALL)
+        plan = _plan(df)
+        other = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert base == other
