@@ -98,12 +98,25 @@ def read_value_list(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("value") != ""))
 
 
+def with_line_number(lines: DataFrame) -> DataFrame:
+    """Adds ``line_no``: the exact zero-based line index across the files in
+    ``line_order`` order, without a global window. Rows are counted per file
+    split (a small table: one row per split), split offsets are summed over
+    that table, and each row adds its position inside its split."""
+    lo = F.col("line_order")
+    per_split = (lines.groupBy(lo.getField("file").alias("__f"), lo.getField("start").alias("__s"))
+                 .agg(F.min(lo.getField("row")).alias("__base"), F.count(F.lit(1)).alias("__n")))
+    before = Window.orderBy("__f", "__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_split.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    keyed = lines.withColumn("__f", lo.getField("file")).withColumn("__s", lo.getField("start"))
+    return (keyed.join(offsets, ["__f", "__s"])
+            .withColumn("line_no", F.col("__off") + lo.getField("row") - F.col("__base"))
+            .drop("__f", "__s", "__base", "__n", "__off"))
+
+
 def read_feature_names(spark: SparkSession, path: str) -> DataFrame:
     """``(dim, name)`` from a tab-separated file: name = first field, dim =
-    zero-based line index (S11). The file has one line per vector element,
-    so it is bounded by the width cap; the index window runs over that bound
-    only."""
-    lines = read_lines(spark, path)
-    w = Window.orderBy("line_order")
-    return lines.select((F.row_number().over(w) - 1).cast("int").alias("dim"),
+    zero-based line index (S11)."""
+    lines = with_line_number(read_lines(spark, path))
+    return lines.select(F.col("line_no").cast("int").alias("dim"),
                         F.substring_index("value", "\t", 1).alias("name"))

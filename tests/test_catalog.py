@@ -105,3 +105,20 @@ def test_join_shard_manifest_pending(spark):
     assert rows(C.manifest_filter(items, man), "key") == [("ab2",)]
     done = spark.createDataFrame([("ab1.sift.npz",), ("cd3.sift",)], "name string")
     assert rows(C.pending(samples, done), "key") == [("ab2",)]
+
+
+def test_line_numbers_exact_across_splits(spark, tmp_path):
+    """Line index stays exact when one file is read as many splits."""
+    path = os.path.join(str(tmp_path), "big.txt")
+    with open(path, "w") as f:
+        for i in range(20000):
+            f.write(f"line{i}\tx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        raw = SC.read_lines(spark, path)
+        assert raw.rdd.getNumPartitions() > 1  # really several splits
+        lines = SC.with_line_number(raw)
+        got = {r["value"].split("\t")[0]: r["line_no"] for r in lines.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(got[f"line{i}"] == i for i in range(20000))
