@@ -139,3 +139,12 @@ def test_frontier_removes_visited(spark):
                            (2, "http://s.org/b", '<a href="http://other.org/x">x</a>')])
     f = sorted(r["link"] for r in PG.frontier(PG.links(pages, ["s.org"]), pages).collect())
     assert f == ["http://other.org/x"]
+
+
+def test_site_a_missing_artist_keeps_record():
+    """K8: no artist node -> the record is kept with a NULL artist."""
+    page = ('<div class="media-asset-image"><img src="http://img/x.jpg"></div>'
+            '<div class="group-right"><h1>Untitled</h1><div class="field">Japan, 1800</div></div>')
+    rec = PT.record_site_a("http://c.example.org/node/9", page, "example.org")
+    assert rec["reject_reason"] is None and rec["artist"] is None
+    assert rec["title_EN"] == "Untitled" and rec["date"] == "1800"
