@@ -341,8 +341,9 @@ def q_kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
 
 def _svm(spark: SparkSession, sf: str, Cs=(1.0,)):
     train, test = _train_test(spark, sf)
-    train = SP.stratified_folds(train, 3, max_classes=X.N_CLASSES)
-    model, report = LIN.fit(train, list(Cs), 3, max_iter=SVM_ITER)
+    if len(Cs) > 1:  # folds only matter when there is a C to choose
+        train = SP.stratified_folds(train, 3, max_classes=X.N_CLASSES)
+    model, report = LIN.fit(train, list(Cs), 3 if len(Cs) > 1 else 0, max_iter=SVM_ITER)
     return model, report, test
 
 
