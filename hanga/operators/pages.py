@@ -52,6 +52,20 @@ def next_page(pages: DataFrame, host_suffixes: list[str]) -> DataFrame:
             .where(F.col("link").isNotNull()))
 
 
+def outgoing(pages: DataFrame, host_suffixes: list[str]) -> DataFrame:
+    """Every link a crawl would follow from each page — all ``<a href>``
+    targets (H1) plus the next-page link (H2) — as ``(page_id, link)``, made
+    absolute, from a single read of the page HTML."""
+    site = site_of("url", host_suffixes)
+    nxt = H.first_href_in("html", "li", "pager-next")
+    hrefs = F.concat(H.link_hrefs("html"),
+                     F.when(nxt.isNotNull(), F.array(nxt)).otherwise(F.array().cast("array<string>")))
+    exploded = pages.select("page_id", site.alias("site"), F.explode(hrefs).alias("href"))
+    absolute = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href")) \
+        .otherwise(F.concat("site", "href"))
+    return exploded.select("page_id", absolute.alias("link"))
+
+
 def frontier(found: DataFrame, visited: DataFrame, link_col: str = "link",
              url_col: str = "url") -> DataFrame:
     """Distinct links not yet visited: the next crawl's input (H1 + H2)."""

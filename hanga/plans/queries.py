@@ -295,11 +295,7 @@ def q_page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_page_frontier(spark: SparkSession, sf: str) -> DataFrame:
     p = X.pages(spark, sf)
-    found = PG.links(p, X.HOSTS).unionByName(
-        PG.next_page(p, X.HOSTS).select(F.lit(None).cast("bigint").alias("page_id"),
-                                         F.lit(None).cast("int").alias("pos"),
-                                         F.lit(None).cast("string").alias("href"), "link"))
-    return PG.frontier(found, p)
+    return PG.frontier(PG.outgoing(p, X.HOSTS), p.select("url"))
 
 
 def q_page_record(spark: SparkSession, sf: str) -> DataFrame:

@@ -148,3 +148,14 @@ def test_site_a_missing_artist_keeps_record():
     rec = PT.record_site_a("http://c.example.org/node/9", page, "example.org")
     assert rec["reject_reason"] is None and rec["artist"] is None
     assert rec["title_EN"] == "Untitled" and rec["date"] == "1800"
+
+
+def test_outgoing_includes_next_page_once(spark):
+    html = ('<div class="search-result-data"><a href="/o/1">one</a></div>'
+            '<ul><li class="pager-next"><a href="/s?page=2">next</a></li></ul>')
+    pages = _pages(spark, [(1, "http://c.example.org/s", html)])
+    links = sorted(r["link"] for r in PG.outgoing(pages, ["example.org"]).collect())
+    assert links == ["http://c.example.org/o/1", "http://c.example.org/s?page=2",
+                     "http://c.example.org/s?page=2"]  # pager link is both an <a> and H2
+    f = sorted(r["link"] for r in PG.frontier(PG.outgoing(pages, ["example.org"]), pages).collect())
+    assert f == ["http://c.example.org/o/1", "http://c.example.org/s?page=2"]
