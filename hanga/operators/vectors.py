@@ -48,9 +48,17 @@ def class_centroids(samples: DataFrame, include_global: bool = True) -> DataFram
     per_class = _mean_vectors(samples, ["class_id"])
     if not include_global:
         return per_class
-    overall = _mean_vectors(samples, []).select(
-        F.lit(GLOBAL_CLASS).cast("int").alias("class_id"), "n", "centroid")
-    return per_class.unionByName(overall)
+    # The global mean is the count-weighted mean of the class means: computed
+    # from the small per-class table (classes x width rows), not a second scan.
+    long = per_class.select("n", F.posexplode("centroid").alias("dim", "v"))
+    per_dim = long.groupBy("dim").agg(
+        (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    overall = per_dim.agg(
+        F.max("n").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))),
+                    lambda e: e.getField("m")).alias("centroid"))
+    return per_class.unionByName(overall.select(
+        F.lit(GLOBAL_CLASS).cast("int").alias("class_id"), "n", "centroid"))
 
 
 def _centroid_side(centroids: DataFrame, max_classes: int, width: int) -> DataFrame:
