@@ -94,11 +94,27 @@ def dedup_labels(labelled: DataFrame, order_col: str = "line_no") -> DataFrame:
                  F.count(F.lit(1)).alias("n_lines")))
 
 
+def tag_label_lines(lines: DataFrame, class_dim: DataFrame) -> DataFrame:
+    """Every label line with ``key``, ``artist``, ``class_id`` and
+    ``reason`` (NULL when the line is kept; ``bad_format`` or
+    ``unknown_artist`` otherwise) — one pass: parse, then a left join with
+    the (size-checked, broadcast) class dimension."""
+    side = _class_side(class_dim.select(F.col("class_name").alias("__artist"), "class_id"))
+    parts = F.split(unicode_trim("value"), LABEL_SEP)
+    t = (lines.withColumn("__p", parts)
+         .withColumn("__ok", F.size("__p") == 2)
+         .withColumn("key", F.when(F.col("__ok"), F.get("__p", 0)))
+         .withColumn("artist", F.when(F.col("__ok"), F.get("__p", 1))))
+    j = t.join(side, (F.col("artist") == F.col("__artist")) & F.col("__ok"), "left")
+    reason = (F.when(~F.col("__ok"), F.lit("bad_format"))
+              .when(F.col("class_id").isNull(), F.lit("unknown_artist")))
+    return j.withColumn("reason", reason).drop("__p", "__ok", "__artist")
+
+
 def label_rejects(lines: DataFrame, class_dim: DataFrame) -> DataFrame:
-    """All rejected label lines with their reason."""
-    ok, bad = parse_label_lines(lines)
-    _, unknown = map_to_class(ok, class_dim)
-    return bad.unionByName(unknown.drop("key", "artist"))
+    """All rejected label lines with their reason (F6), from one pass."""
+    tagged = tag_label_lines(lines, class_dim)
+    return tagged.where(F.col("reason").isNotNull()).drop("key", "artist", "class_id")
 
 
 def label_summary(lines: DataFrame, class_dim: DataFrame,
@@ -110,15 +126,10 @@ def label_summary(lines: DataFrame, class_dim: DataFrame,
     The line metrics are one aggregate over one tagged pass; the sample
     metrics one aggregate over a left join with the kept keys. Each one-row
     aggregate is unpivoted, so nothing is computed twice."""
-    side = _class_side(class_dim.select(F.col("class_name").alias("__artist"), "class_id"))
-    parts = F.split(unicode_trim("value"), LABEL_SEP)
-    tagged = (lines.select(parts.alias("__p"))
-              .select(F.get("__p", 0).alias("key"), F.get("__p", 1).alias("artist"),
-                      (F.size("__p") == 2).alias("__ok"))
-              .join(side, (F.col("artist") == F.col("__artist")) & F.col("__ok"), "left"))
-    bad = ~F.col("__ok")
-    unknown = F.col("__ok") & F.col("class_id").isNull()
-    kept = F.col("class_id").isNotNull()
+    tagged = tag_label_lines(lines.select("value"), class_dim)
+    bad = F.col("reason") == "bad_format"
+    unknown = F.col("reason") == "unknown_artist"
+    kept = F.col("reason").isNull()
     names = ["lines_read", "rejected_bad_format", "rejected_unknown_artist", "labels_kept"]
     line_stats = tagged.agg(
         F.count(F.lit(1)).cast("bigint").alias(names[0]),
