@@ -11,9 +11,10 @@ training rows for all J models together:
 * each task turns its Arrow batches into a dense block X, computes the
   margins X @ W for all models, and accumulates loss and gradient — only a
   (d+1) x J partial sum leaves the task;
-* the partial sums are cut into fixed-size chunks keyed by chunk number, so
-  the reduction itself is spread over many reducers (no single task
-  receives every partial);
+* the partial sums travel as raw float64 bytes cut into fixed-size chunks
+  keyed by chunk number, so the reduction itself is spread over many
+  reducers (no single task receives every partial) and no per-element
+  objects are built on the way;
 * the driver holds only the J small weight vectors and runs L-BFGS with an
   Armijo back-tracking step for each model independently.
 
@@ -36,14 +37,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_limit, cut_lineage
 
-CHUNK = 16384
+CHUNK = 262144  # doubles per reduce chunk (2 MiB)
 
 
 @dataclass
@@ -126,21 +126,34 @@ def _block(pdf, d):
     return np.hstack([x, np.ones((len(pdf), 1))])
 
 
+def _sum_chunk(pdf):
+    import pandas as pd
+    total = None
+    for blob in pdf["v"]:
+        part = np.frombuffer(blob, dtype=np.float64)
+        total = part.copy() if total is None else total + part
+    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "v": [total.tobytes()]})
+
+
 def _reduce_chunks(parts: DataFrame, length: int) -> np.ndarray:
-    summed = (parts.groupBy("chunk")
-              .agg(vector_to_array(Summarizer.sum(array_to_vector("v")), "float64").alias("v"))
-              .collect())
+    """Sum the per-task partial vectors: rows ``(chunk, v)`` with ``v`` raw
+    float64 bytes are added chunk by chunk in a grouped pandas reduce (one
+    reducer per chunk), then the sums are decoded on the driver."""
+    summed = parts.groupBy("chunk").applyInPandas(_sum_chunk, "chunk int, v binary").collect()
     out = np.zeros(length)
     for r in summed:
+        v = np.frombuffer(r["v"], dtype=np.float64)
         start = r["chunk"] * CHUNK
-        out[start:start + len(r["v"])] = r["v"]
+        out[start:start + len(v)] = v
     return out
 
 
 def _emit(flat: np.ndarray):
+    """A task's partial vector as ``(chunk, v)`` rows of raw float64 bytes."""
     import pandas as pd
     n = len(flat)
-    chunks = [(i, flat[i * CHUNK:(i + 1) * CHUNK].tolist()) for i in range((n + CHUNK - 1) // CHUNK)]
+    chunks = [(i, np.ascontiguousarray(flat[i * CHUNK:(i + 1) * CHUNK]).tobytes())
+              for i in range((n + CHUNK - 1) // CHUNK)]
     return pd.DataFrame(chunks, columns=["chunk", "v"])
 
 
@@ -197,7 +210,7 @@ class _Problem:
                 parts = [grad.ravel(), loss] + ([hess.ravel()] if hessian else [])
                 yield _emit(np.concatenate(parts))
 
-        parts = self.data.mapInPandas(run, "chunk int, v array<double>")
+        parts = self.data.mapInPandas(run, "chunk int, v binary")
         n = D * J + J + (J * D * D if hessian else 0)
         flat = _reduce_chunks(parts, n)
         bc.destroy()
@@ -236,7 +249,7 @@ class _Problem:
                     acc[len(g) + k] += rows.sum()
             yield _emit(acc)
 
-        flat = _reduce_chunks(self.data.mapInPandas(run, "chunk int, v array<double>"),
+        flat = _reduce_chunks(self.data.mapInPandas(run, "chunk int, v binary"),
                               2 * n_groups)
         bc.destroy()
         return flat[:n_groups] / np.maximum(flat[n_groups:], 1.0)
