@@ -13,6 +13,7 @@ No watermark, window or state is involved: the reference has none.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,9 @@ def run_available(spark: SparkSession, input_dir: str, output_path: str,
     """Process every input file not seen before; ``process`` maps a
     DataFrame ``(key, path)`` of new files to output rows with a ``key``
     column. Returns the number of micro-batches run."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{abs(hash(output_path))}"
+    # stable per output table across runs (Python's hash() is salted per process)
+    tag = hashlib.md5(output_path.encode("utf-8")).hexdigest()[:16]
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}"
     files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
              .option("pathGlobFilter", glob).load(input_dir))
     batches = []

@@ -28,3 +28,20 @@ def test_incremental_bow(spark, tmp_path):
     assert sorted(rows) == ["a1", "a2", "b3"] and sum(rows["b3"]) == 2
     run_available(spark, str(src), out, process, "*.npz", ck)  # nothing new
     assert spark.read.parquet(out).count() == 3
+
+
+def test_default_checkpoint_is_stable(spark, tmp_path):
+    """Without an explicit checkpoint the location depends only on the
+    output path, so a second run resumes instead of starting over."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "k1.txt").write_text("x")
+    calls = []
+
+    def process(new):
+        calls.append(new.count())
+        return new.select("key")
+
+    run_available(spark, str(src), out, process, "*.txt")
+    run_available(spark, str(src), out, process, "*.txt")
+    assert calls == [1]  # the second run saw no new file, so no batch ran
