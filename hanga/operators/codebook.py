@@ -36,15 +36,17 @@ def codebook_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "code int, center array<double>")
 
 
-def collect_codebook(codebook: DataFrame) -> np.ndarray:
-    """Fetch a codebook as a k x m matrix, after one small aggregate proves
-    k x m x 8 bytes fits the broadcast limit."""
+def collect_codebook(codebook: DataFrame, with_codes: bool = False):
+    """Fetch a codebook as a k x m matrix (rows in ``code`` order), after one
+    small aggregate proves k x m x 8 bytes fits the broadcast limit. With
+    ``with_codes`` also return the code values."""
     st = codebook.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("center")).alias("m")).first()
     k, m = int(st["k"]), int(st["m"] or 0)
     if k * m * 8 > broadcast_limit(codebook.sparkSession):
         raise ValueError(f"codebook {k} x {m} exceeds the broadcast limit")
     rows = sorted(codebook.select("code", "center").collect(), key=lambda r: r["code"])
-    return np.array([r["center"] for r in rows], dtype=np.float64).reshape(k, m)
+    mat = np.array([r["center"] for r in rows], dtype=np.float64).reshape(k, m)
+    return (mat, [int(r["code"]) for r in rows]) if with_codes else mat
 
 
 def _codebook_literal(centers: np.ndarray) -> Column:
@@ -108,12 +110,17 @@ def assign(kps: DataFrame, codebook: DataFrame | np.ndarray, desc_col: str = "de
 
     Only the last m descriptor elements are compared, m = codebook width
     (P10: leading keypoint attributes are ignored)."""
-    centers = codebook if isinstance(codebook, np.ndarray) else collect_codebook(codebook)
+    if isinstance(codebook, np.ndarray):
+        centers, codes = codebook, None
+    else:
+        centers, codes = collect_codebook(codebook, with_codes=True)
     k, m = centers.shape
     df = kps.withColumn(desc_col, keep_last(F.col(desc_col).cast("array<double>"), m))
-    if method == "jvm":
-        return _assign_jvm(df, desc_col, centers)
-    return _assign_pandas(df, desc_col, centers)
+    out = (_assign_jvm(df, desc_col, centers) if method == "jvm"
+           else _assign_pandas(df, desc_col, centers))
+    if codes is not None and codes != list(range(k)):  # report the codebook's own code values
+        out = out.withColumn("code", F.get(F.array(*[F.lit(c) for c in codes]), F.col("code")))
+    return out
 
 
 def histogram(assigned: DataFrame, k: int, keys: DataFrame | None = None,

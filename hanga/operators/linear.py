@@ -400,6 +400,7 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
     data = df.select(F.col(features).cast("array<double>").alias("x"),
                      (F.array_position(cls_lit, F.col(label_col)) - 1).cast("int").alias("ci"),
                      fold_expr.alias("fold"))
+    data = data.where(F.col("ci") >= 0)  # rows of classes outside ``classes`` are not trained on
     data = cut_lineage(data).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         first = data.select(F.size("x")).first()

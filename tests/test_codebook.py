@@ -79,3 +79,12 @@ def test_kmeans_cost_non_increasing_in_attempts(spark):
                                 "key int, features array<double>")
     costs = [CB.kmeans_codebook(pts, 5, max_iter=5, attempts=a, seed=11)[1] for a in (1, 3, 6)]
     assert costs[0] >= costs[1] >= costs[2]
+
+
+def test_assign_reports_codebook_code_values(spark):
+    book = spark.createDataFrame([(7, [0.0, 0.0]), (3, [10.0, 10.0])],
+                                 "code int, center array<double>")
+    kps = spark.createDataFrame([(0, 0, [9.0, 9.0]), (0, 1, [1.0, 0.0])],
+                                "key int, kp_id int, desc array<double>")
+    got = sorted((r["kp_id"], r["code"]) for r in CB.assign(kps, book).collect())
+    assert got == [(0, 3), (1, 7)]

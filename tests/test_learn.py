@@ -132,3 +132,11 @@ def test_mllib_grid_search_reports_every_c(spark):
     acc = LN.predict(model, df).select(
         F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
     assert acc > 0.9
+
+
+def test_batched_svm_ignores_rows_outside_classes(spark):
+    df = _blobs(spark, 10, seed=2)
+    model, _ = LIN.fit(df, [1.0], 0, classes=[0, 1], max_iter=30)
+    assert model.classes == [0, 1] and model.coef.shape == (2, 3)
+    preds = {r["prediction"] for r in model.transform(df.where("class_id < 2")).collect()}
+    assert preds <= {0, 1}
