@@ -47,3 +47,28 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "class_id int")
     w = {r["class_id"]: r["weight"] for r in SP.class_weights(df).collect()}
     assert w == {0: 8 / (2 * 6), 1: 8 / (2 * 2)}
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(n=st.integers(1, 400), hot=st.floats(0.0, 0.9), frac=st.floats(0.05, 0.95))
+def test_bucketed_rank_and_split_match_global_order(spark, n, hot, frac):
+    """Property: the bucketed exact rank equals a global row_number in md5
+    order, per class, even when one class holds most rows; the split takes
+    exactly floor(n * frac) of the lowest-md5 rows."""
+    n_hot = int(n * hot)
+    df = spark.range(n).select(F.col("id").cast("string").alias("key"),
+                               F.when(F.col("id") < n_hot, 0).otherwise(F.col("id") % 3 + 1)
+                               .cast("int").alias("class_id"))
+    r = SP.hash_rank(df, group_cols=["class_id"], max_groups=4)
+    w = Window.partitionBy("class_id").orderBy(F.md5("key"), "key")
+    ref = df.withColumn("hash_rank", F.row_number().over(w) - 1)
+    assert rows(r, "key", "hash_rank") == rows(ref, "key", "hash_rank")
+    sp = SP.train_test_split(df, frac)
+    train = {x["key"] for x in sp.where("split = 'train'").collect()}
+    order = sorted((r_["key"] for r_ in df.collect()),
+                   key=lambda k: (__import__("hashlib").md5(k.encode()).hexdigest(), k))
+    assert train == set(order[:int(n * frac)])
