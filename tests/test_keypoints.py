@@ -61,3 +61,22 @@ def test_descriptor_registry(spark):
     with pytest.raises(KeyError):
         KP.describe(imgs, "missing")
     assert F is not None
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hot=st.integers(0, 2000), k=st.integers(1, 50), fan=st.integers(2, 9),
+       parts=st.integers(1, 16))
+def test_tree_topk_property(spark, hot, k, fan, parts):
+    """Property: for any hot-image size, k, fan-in and input partitioning the
+    tree top-k returns exactly the one-level top-k (responses repeat, so ties
+    are broken by kp_id in both)."""
+    kps = _kps(spark, {"hot": hot, "cold": 7}).repartition(parts)
+    one = sorted((r["key"], r["kp_id"], r["kp_rank"]) for r in
+                 KP.strongest(kps, k, tie_cols=["kp_id"], fan_in=1).collect())
+    tree = sorted((r["key"], r["kp_id"], r["kp_rank"]) for r in
+                  KP.strongest(kps, k, tie_cols=["kp_id"], fan_in=fan).collect())
+    assert one == tree
