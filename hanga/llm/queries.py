@@ -9,8 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substrings
-from .common import read_table
+from . import simhash, substrings, toxicity
+from .common import in_fold, read_table
+
+
+def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and the offending sentences."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.classify(docs, read_table(spark, sf_dir, "labels"), ~in_fold("doc_id", 5, 0))
+    return got.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted",
+                      "offending")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +39,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity_mil": op3_toxicity_mil,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
