@@ -9,10 +9,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substrings, toxicity
+from . import quality_pu, quality_trees, simhash, substrings, toxicity
 from .common import in_fold, read_table
 
 
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.7)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = quality_pu.classify(docs, read_table(spark, sf_dir, "labels"), ~in_fold("doc_id", 4, 2))
+    return got.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +28,12 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "offending")
 
 
+def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and the trees' score."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_trees.filter_quality(docs, read_table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     got = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -39,7 +52,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_pu": op2_quality_pu,
     "op3_toxicity_mil": op3_toxicity_mil,
+    "op6_quality_trees": op6_quality_trees,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
