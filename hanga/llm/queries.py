@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_pu, quality_trees, simhash, substrings, toxicity
+from . import language, quality_pu, quality_trees, simhash, substrings, toxicity, urls
 from .common import in_fold, read_table
 
 
@@ -28,6 +28,25 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "offending")
 
 
+# verdict, host, path
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
+             ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's score."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES).drop("url")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the labelled spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = language.identify(docs, ~in_fold("doc_id", 4, 2))
+    return got.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score",
+                      "lang_spans")
+
+
 def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the trees' score."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +73,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_pu": op2_quality_pu,
     "op3_toxicity_mil": op3_toxicity_mil,
+    "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op6_quality_trees": op6_quality_trees,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
