@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality_pu, quality_trees, simhash, substrings, toxicity, urls
+from . import decontam, language, quality_pu, quality_trees, simhash, substrings, toxicity, urls
 from .common import in_fold, read_table
 
 
@@ -53,6 +53,12 @@ def op6_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.filter_quality(docs, read_table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity and place of every leaked benchmark item."""
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"),
+                               read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     got = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_quality_trees": op6_quality_trees,
+    "op7_decontamination": op7_decontamination,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
