@@ -16,6 +16,7 @@ every text whole.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,19 +61,19 @@ def _log_odds(vocabulary: Vocabulary, word: np.ndarray, doc: np.ndarray, y: np.n
     slots present in ``MIN_DOCS`` documents (the others stay at zero). The
     start: from zero, the noisy-or credits the first words it finds and never
     learns the others that stand beside them."""
-    n_words = len(vocabulary.share)
-    pairs = np.unique(doc * n_words + word)
-    at = np.argsort(vocabulary.owner, kind="stable")
-    sizes = np.bincount(vocabulary.owner, minlength=n_words)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    w = pairs % n_words
-    reps = sizes[w]
-    step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    slot = vocabulary.slots[at][np.repeat(begin[w], reps) + step]
-    both = np.unique(np.repeat(pairs // n_words, reps) * vocabulary.dims + slot)
-    d, slot = both // vocabulary.dims, both % vocabulary.dims
-    hit = np.bincount(slot, y[d], vocabulary.dims)
-    seen = np.bincount(slot, minlength=vocabulary.dims)
+    begin = np.concatenate([[0], np.cumsum(vocabulary.sizes, dtype=np.int64)])
+    hit, seen = np.zeros(vocabulary.dims), np.zeros(vocabulary.dims)
+    cuts = np.searchsorted(doc, np.arange(0, len(y) + 200, 200))   # 200 documents at a time
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        pairs = np.unique(doc[lo:hi].astype(np.int64) << 32 | word[lo:hi])
+        w = pairs & 0xFFFFFFFF
+        reps = vocabulary.sizes[w]
+        step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        slot = vocabulary.slots[np.repeat(begin[w], reps) + step]
+        both = np.unique(np.repeat(pairs >> 32, reps) * vocabulary.dims + slot)
+        slot = both % vocabulary.dims
+        hit += np.bincount(slot, y[both // vocabulary.dims], vocabulary.dims)
+        seen += np.bincount(slot, minlength=vocabulary.dims)
     base = y.mean()
     odds = np.log((hit + SMOOTH * base) / base) - np.log((seen - hit + SMOOTH * (1 - base)) / (1 - base))
     return np.where(seen >= MIN_DOCS, odds, 0.0), seen >= MIN_DOCS
@@ -85,14 +86,14 @@ def fit(sample: list[tuple[str, int]], dims: int = DIMS, steps: int = STEPS,
     bags: dict[tuple[str, int], int] = {}
     for pair in sample:                      # copies of one text count once
         bags[pair] = 1
-    word, sentence_of, doc_of, y, n_sentences = [], [], [], [], 0
+    word, sentence_of, doc_of, y, n_sentences = array("i"), array("i"), array("i"), [], 0
     for text, label in bags:
         found = sentences(text)
         if not found:
             continue
         for _, _, words in found:
-            word += vocabulary.ids(words)
-            sentence_of += [n_sentences] * len(words)
+            word.extend(vocabulary.ids(words))
+            sentence_of.extend([n_sentences] * len(words))
             doc_of.append(len(y))
             n_sentences += 1
         y.append(label)
@@ -101,7 +102,7 @@ def fit(sample: list[tuple[str, int]], dims: int = DIMS, steps: int = STEPS,
     if not 0 < share < 1:
         return ToxicityModel(np.zeros(dims), -30.0 if share == 0 else 30.0)
     vocabulary.freeze()
-    word, sentence_of, doc_of = (np.array(x, np.int64) for x in (word, sentence_of, doc_of))
+    word, sentence_of, doc_of = (np.array(x, np.int32) for x in (word, sentence_of, doc_of))
     per_doc = n_sentences / len(y)
     x = np.zeros(dims + 1)
     odds, used = _log_odds(vocabulary, word, doc_of[sentence_of], y)

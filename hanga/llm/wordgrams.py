@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -59,7 +60,7 @@ class Vocabulary:
     def __init__(self, low: int, high: int, dims: int):
         self.low, self.high, self.dims = low, high, dims
         self.index: dict[str, int] = {}
-        self._slots: list[list[int]] = []
+        self._slots, self._sizes = array("i"), array("i")
 
     def ids(self, words: Iterable[str]) -> list[int]:
         out = []
@@ -67,16 +68,18 @@ class Vocabulary:
             i = self.index.get(w)
             if i is None:
                 i = self.index[w] = len(self.index)
-                self._slots.append(gram_ids(w, self.low, self.high, self.dims))
+                slots = gram_ids(w, self.low, self.high, self.dims)
+                self._slots.extend(slots)
+                self._sizes.append(len(slots))
             out.append(i)
         return out
 
     def freeze(self) -> None:
-        sizes = np.fromiter(map(len, self._slots), np.int64, len(self._slots))
-        self.slots = np.fromiter((s for x in self._slots for s in x), np.int64, int(sizes.sum()))
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.share = 1.0 / np.sqrt(np.maximum(sizes, 1))
-        self._slots = []
+        self.sizes = np.array(self._sizes, np.int32)
+        self.slots = np.array(self._slots, np.int32)
+        self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.share = 1.0 / np.sqrt(np.maximum(self.sizes, 1))
+        self._slots, self._sizes = array("i"), array("i")
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Score of every distinct word."""
