@@ -9,10 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, quality_pu, quality_trees, simhash, substrings, toxicity, urls
+from . import decontam, language, mixing, pii, quality_pu, quality_trees, simhash, substrings, toxicity, urls
 from .common import in_fold, read_table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in its text, and their places and kinds."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs)
+
+
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.7)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +82,75 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
+# Production targets: shares of tokens. Sources are evened out, languages and
+# topics set to fixed shares.
+MIX_TARGETS = {
+    "source": {f"src{i}": 0.05 for i in range(20)},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "topic": {"prose": 0.7, "table": 0.1, "contact": 0.1, "license": 0.05, "code": 0.05},
+}
+MIX_SHARE = 0.5
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its cell, weight, probability (6 digits) and whether it is drawn."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    got = mixing.sample_mix(docs, MIX_TARGETS, MIX_SHARE, keep_all=True)
+    return got.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"),
+                      F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"),
+                      F.round("mix_probability", 6).alias("probability"),
+                      F.col("mix_drawn").alias("drawn"))
+
+
+def _op10_sql() -> str:
+    """The same raking, unrolled round by round over the cells."""
+    axes = ("source", "lang", "topic")
+    topic = "CASE " + " ".join(f"WHEN contains(text, '{part}') THEN '{name}'"
+                               for name, part in mixing.TOPIC_PATTERNS) + " ELSE 'prose' END"
+    known = {a: ", ".join(f"'{k}'" for k in MIX_TARGETS[a]) for a in axes}
+    steps = [f"""marked AS MATERIALIZED (
+      SELECT doc_id, source, lang, {topic} AS topic,
+             len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS tokens,
+             ('0x' || substr(md5('{mixing.SEED}' || chr(31) || coalesce(doc_id::VARCHAR, chr(0)) || chr(31)
+                                 || coalesce(text, chr(0))), 1, 13))::BIGINT / {float(1 << 52)!r} AS u
+      FROM documents)""",
+             "keyed AS MATERIALIZED (SELECT *, " + ", ".join(
+                 f"CASE WHEN {a} IN ({known[a]}) THEN {a} ELSE 'other' END AS c_{a}" for a in axes)
+             + " FROM marked)",
+             """f0 AS MATERIALIZED (SELECT c_source, c_lang, c_topic, sum(tokens)::DOUBLE AS tok,
+      sum(tokens)::DOUBLE AS f FROM keyed WHERE tokens > 0 GROUP BY ALL)"""]
+    steps += [f"t_{a}(name, share) AS (VALUES " + ", ".join(f"('{k}', {v!r}::DOUBLE)"
+                                                         for k, v in MIX_TARGETS[a].items()) + ")"
+              for a in axes]
+    n = 0
+    for _ in range(mixing.ROUNDS):
+        for a in axes:
+            steps.append(f"m{n} AS MATERIALIZED (SELECT c_{a} AS name, sum(f) AS v FROM f{n} GROUP BY 1)")
+            steps.append(f"""f{n + 1} AS MATERIALIZED (
+      SELECT c_source, c_lang, c_topic, tok, f * CASE WHEN v > 0 THEN
+               (SELECT sum(tok) FROM f{n}) * coalesce(share, 0)
+               / (SELECT sum(share) FROM m{n} JOIN t_{a} USING (name) WHERE v > 0) / v ELSE 0 END AS f
+      FROM f{n} JOIN m{n} ON m{n}.name = c_{a} LEFT JOIN t_{a} ON t_{a}.name = c_{a})""")
+            n += 1
+    steps.append(f"""w AS MATERIALIZED (SELECT *, f / greatest(tok, 1) AS weight,
+      {MIX_SHARE} * sum(tok) OVER () AS budget FROM f{n})""")
+    steps.append("""r AS MATERIALIZED (SELECT *, greatest(budget - (sum(tok) OVER o - tok), 0)
+        / nullif(sum(tok * weight) OVER (ORDER BY weight, c_source DESC, c_lang DESC, c_topic DESC
+                                         ROWS UNBOUNDED PRECEDING), 0) AS c
+      FROM w WINDOW o AS (ORDER BY weight DESC, c_source, c_lang, c_topic ROWS UNBOUNDED PRECEDING))""")
+    steps.append("""k AS MATERIALIZED (SELECT weight AS top, c FROM r WHERE weight <= 0 OR c * weight < 1
+      ORDER BY weight DESC, c_source, c_lang, c_topic LIMIT 1)""")
+    steps.append("""p AS MATERIALIZED (SELECT r.*, CASE WHEN (SELECT top FROM k) IS NULL
+        OR weight > (SELECT top FROM k) THEN 1.0 ELSE coalesce((SELECT c FROM k), 0) * weight END AS prob FROM r)""")
+    return "WITH " + ",\n".join(steps) + """
+    SELECT doc_id, source, lang, topic, tokens, round(coalesce(weight, 0), 6) AS weight,
+           round(coalesce(prob, 0), 6) AS probability, u < coalesce(prob, 0) AS drawn
+    FROM keyed LEFT JOIN p USING (c_source, c_lang, c_topic)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
+    "op10_mixing": op10_mixing,
     "op2_quality_pu": op2_quality_pu,
     "op3_toxicity_mil": op3_toxicity_mil,
     "op4_url_filter": op4_url_filter,
@@ -86,4 +160,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": _op10_sql()}

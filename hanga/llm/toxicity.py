@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from .common import map_texts
+from .labelled import labelled_sample
 from .wordgrams import WORD, Adam, Vocabulary, WordScores, sigmoid
 
 ROWS = 6000
@@ -126,8 +127,9 @@ def fit(sample: list[tuple[str, int]], dims: int = DIMS, steps: int = STEPS,
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
-          text: str = "text") -> DataFrame:
-    """Append ``score`` (noisy-or), ``predicted`` and ``offending``: spans
+          text: str = "text", prefix: str = "") -> DataFrame:
+    """Append ``score`` (noisy-or), ``predicted`` and ``offending`` (names with
+    ``prefix``): spans
     (start, end, score) of sentences whose own probability reaches the
     threshold, or, in a document that reaches it only jointly, its highest
     sentence. Offsets are in characters of the whole text."""
@@ -160,14 +162,18 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
             spans.append([{"start": found[i][0], "end": found[i][1], "score": float(p[i])} for i in hot])
         return scores, pa.array(flags, pa.int32()), pa.array(spans, span)
 
-    return map_texts(docs, [text], run, "score double, predicted int, "
-                     "offending array<struct<start:int,end:int,score:double>>")
+    return map_texts(docs, [text], run, f"{prefix}score double, {prefix}predicted int, "
+                     f"{prefix}offending array<struct<start:int,end:int,score:double>>")
 
 
-def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None,
+def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, rows: int = ROWS,
+          label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
+    """Fit on at most ``rows`` labelled documents whose id ``fold`` admits."""
+    return fit(labelled_sample(docs, labels, label, rows, fold, doc_id=doc_id, text=text))
+
+
+def classify(docs: DataFrame, labels: DataFrame, fold: Column | None = None,
              rows: int = ROWS, threshold: float = THRESHOLD, label: str = "toxic",
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fit on the labelled documents whose id ``train`` admits, score all."""
-    from .labelled import labelled_sample
-    model = fit(labelled_sample(docs, labels, label, rows, train, doc_id=doc_id, text=text))
-    return score(docs, model, threshold, text)
+    """Fit on the labelled documents whose id ``fold`` admits, score all."""
+    return score(docs, train(docs, labels, fold, rows, label, doc_id, text), threshold, text)
