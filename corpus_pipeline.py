@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanga.llm import decontam, mixing, pii, simhash, toxicity
-from hanga.llm.common import in_fold, read_table, shared_table
+from hanga.llm.common import in_fold, read_table, shared_table, shielded
 from hanga.llm.queries import MIX_SHARE, MIX_TARGETS
 
 
@@ -26,8 +26,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from the same labelled fold as ``op3_toxicity_mil``."""
     labels = read_table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, ~in_fold("doc_id", 5, 0))
-    marked = toxicity.score(docs, model, prefix="_tox_")
-    return marked.where(F.col("_tox_predicted") == 0).select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +41,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; ``n_chars`` follows the text."""
-    new = pii.replace_pii(docs, spans="_pii_spans")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(F.size("_pii_spans") > 0, F.length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+    def run(d):
+        new = pii.replace_pii(d)
+        changed = F.when(F.size("pii_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        return new.withColumn("n_chars", changed.cast("long")).drop("pii_spans")
+
+    return shielded(docs, ["doc_id", "text", "n_chars"], run)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,21 @@ def in_fold(doc_id: str | Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+def shielded(docs: DataFrame, needed: list[str], run: Callable[[DataFrame], DataFrame],
+             added: tuple[str, ...] = ()) -> DataFrame:
+    """``run(docs)`` with every column but ``needed`` under a neutral name, so
+    that no column of the input can clash with one the operator uses inside.
+    Names are restored after; an input column of the same name as one that the
+    operator returns (``added``, in any case) gives way to it."""
+    names = docs.columns
+    hidden = [n if n in needed else f"__extra_{i}" for i, n in enumerate(names)]
+    back = {h: n for h, n in zip(hidden, names, strict=True) if h != n}
+    gone = {a.lower() for a in added}
+    out = run(docs.toDF(*hidden))
+    return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns
+                        if c not in back or back[c].lower() not in gone])
+
+
 def map_texts(df: DataFrame, columns: list[str], fn: Callable[[list], tuple | list],
               schema: str) -> DataFrame:
     """Append columns computed by ``fn`` (a list of Python values per input
@@ -83,13 +98,11 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[list], tuple | li
     out = StructType([*df.schema.fields, *added.fields])
     idx = [df.columns.index(c) for c in columns]
     types = [_arrow_type(f.dataType) for f in added.fields]
-    drop = set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(*(b.column(i).to_pylist() for i in idx))
-            keep = [b.column(i) for i in range(b.num_columns) if i not in drop]
-            arrays = keep + [x if isinstance(x, pa.Array) else pa.array(x, t)
+            arrays = b.columns + [x if isinstance(x, pa.Array) else pa.array(x, t)
                              for x, t in zip(got, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=out.fieldNames())
 

@@ -7,8 +7,9 @@ the benchmark) are matched through multi-index Hamming blocks: the 64 bits are
 cut into ``radius + 1`` blocks, and fingerprints within ``radius`` bits agree
 in at least one block, so looking every window up in all block tables finds
 every item within the radius. Candidates are then verified exactly: weighted
-Jaccard similarity of their multisets of ``SHINGLE``-word shingles, a shingle
-weighing the sum of its words' weights, must reach ``MIN_SIMILARITY``.
+Jaccard similarity of their multisets of ``SHINGLE``-word shingles must reach
+``MIN_SIMILARITY``. A shingle weighs the sum of its words' weights: a word of
+the item its rarity in the benchmark, any other word as much as the rarest.
 
 Windows that hold no shingle of any item of their size have similarity 0 and
 are not fingerprinted (no result changes).
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from hanga.session import broadcast_limit
 
-from .common import map_texts
+from .common import map_texts, shielded
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -82,7 +83,7 @@ class Item:
     item_id: object
     words: list[str]
     shingles: Counter
-    size: int
+    weights: dict                          # of the item's words
 
 
 @dataclass
@@ -90,8 +91,7 @@ class Index:
     """Everything a task needs about one block of items."""
     radius: int
     min_similarity: float
-    weights: dict                          # word -> weight
-    default: float                         # weight of a word that no item has
+    default: float                         # weight of a word that the item lacks
     by_size: dict = field(default_factory=dict)
     first: np.ndarray = None               # sorted hashes of all items' shingles
     sizes_of: dict = field(default_factory=dict)  # shingle hash -> window sizes it matters for
@@ -124,14 +124,14 @@ def similarity(a: Counter, b: Counter, weights: dict, default: float) -> float:
     return both / total if total else 0.0
 
 
-def _votes(bits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def _votes(hashes: np.ndarray) -> np.ndarray:
     """Votes of words on the 64 bits; a window's SimHash is the sign of its sums."""
-    return (2.0 * bits - 1.0) * weight[:, None]
+    return 2 * _bits(hashes).astype(np.int32) - 1
 
 
 def build_index(items: list[tuple], weights: dict, default: float, radius: int = RADIUS,
                 min_similarity: float = MIN_SIMILARITY) -> Index:
-    index, hashes = Index(radius, min_similarity, weights, default), WordHashes()
+    index, hashes = Index(radius, min_similarity, default), WordHashes()
     sizes = defaultdict(set)
     groups: dict[int, list[Item]] = defaultdict(list)
     for item_id, text in items:
@@ -141,13 +141,13 @@ def build_index(items: list[tuple], weights: dict, default: float, radius: int =
         if len(words) < SHINGLE:
             index.short.setdefault(tuple(words), []).append(item_id)
             continue
-        groups[len(words)].append(Item(item_id, words, shingles_of(words), len(words)))
+        groups[len(words)].append(Item(item_id, words, shingles_of(words), {w: weights[w] for w in words}))
         for h in np.unique(shingle_hashes(hashes.of(words))).tolist():
             sizes[h].add(len(words))
     for size, group in groups.items():
         prints = np.zeros(len(group), np.uint64)
         for i, item in enumerate(group):
-            votes = _votes(_bits(hashes.of(item.words)), _weights(item.words, weights, default)).sum(axis=0)
+            votes = _votes(hashes.of(item.words)).sum(axis=0)
             prints[i] = np.packbits(votes > 0, bitorder="little").view(np.uint64)[0]
         tables = []
         for shift, mask in _blocks(radius):
@@ -161,10 +161,6 @@ def build_index(items: list[tuple], weights: dict, default: float, radius: int =
     return index
 
 
-def _weights(words: list[str], weights: dict, default: float) -> np.ndarray:
-    return np.fromiter((weights.get(w, default) for w in words), float, len(words))
-
-
 def _ranges(starts: np.ndarray, reach: int, limit: int) -> list[tuple[int, int]]:
     """Merged ranges [a, b) of window starts within ``reach`` before a hit."""
     out: list[list[int]] = []
@@ -209,10 +205,10 @@ def leaks_in(text: str | None, index: Index, table: WordHashes | None = None) ->
 def _match(words, hashes, lo, hi, size, group, prints, tables, index, best) -> None:
     """Fingerprint the windows starting in [lo, hi), look them up, verify."""
     part = words[lo:hi + size - 1]
-    votes = _votes(_bits(hashes[lo:hi + size - 1]), _weights(part, index.weights, index.default))
-    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(votes, axis=0)])
+    votes = _votes(hashes[lo:hi + size - 1])
+    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
     window = sums[size:] - sums[:-size]
-    fp = np.packbits(window > 1e-9, axis=1, bitorder="little").view(np.uint64).ravel()
+    fp = np.packbits(window > 0, axis=1, bitorder="little").view(np.uint64).ravel()
     pairs = set()
     for shift, mask, table in tables:
         keys = (fp >> np.uint64(shift)) & np.uint64(mask)
@@ -229,7 +225,7 @@ def _match(words, hashes, lo, hi, size, group, prints, tables, index, best) -> N
         item = group[i]
         if w not in made:
             made[w] = shingles_of(part[w:w + size])
-        s = similarity(made[w], item.shingles, index.weights, index.default)
+        s = similarity(made[w], item.shingles, item.weights, index.default)
         if s >= index.min_similarity:
             key = (size, i)
             if key not in best or s > best[key][1] + 1e-12:
@@ -294,8 +290,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
                min_similarity: float = MIN_SIMILARITY, text: str = "text",
                item_id: str = "item_id") -> DataFrame:
     """The documents in which no item leaked, all columns kept."""
-    columns = docs.columns
     id_type = benchmark.schema[item_id].dataType.simpleString()
-    for index in _indexes(docs, benchmark, radius, min_similarity, item_id):
-        docs = _with_leaks(docs, index, text, id_type).where(F.size("_leaks") == 0).select(*columns)
-    return docs
+
+    def run(d):
+        columns = d.columns
+        for index in _indexes(d, benchmark, radius, min_similarity, item_id):
+            d = _with_leaks(d, index, text, id_type).where(F.size("_leaks") == 0).select(*columns)
+        return d
+
+    return shielded(docs, [text], run)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, shielded
 from .labelled import MAX_CHARS
 from .wordgrams import gram_ids
 
@@ -164,10 +164,9 @@ def training_rows(docs: DataFrame, train: Column | None, rows: int = ROWS, text:
     part = docs if train is None else docs.where(train)
     part = part.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS))
     kinds = max(1, part.select(F.countDistinct(lang)).first()[0])
-    by = Window.partitionBy(lang).orderBy(F.xxhash64(text, F.lit(7)), text)
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")
     got = (part.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-           if (text, lang) != ("text", "lang") else part.select("text", "lang"))
-    got = (got.withColumn("_r", F.row_number().over(by))
+           .withColumn("_r", F.row_number().over(by))
            .where(F.col("_r") <= max(MIN_ROWS, rows // kinds)).select("text", "lang").collect())
     return sorted((r["text"], r["lang"]) for r in got)
 
@@ -209,8 +208,9 @@ def label_spans(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY,
         return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                 pa.array([g[2] for g in got], span)]
 
-    return map_texts(docs, [text], run, "lang_pred string, score double, "
-                     "lang_spans array<struct<lang:string,start:int,end:int>>")
+    schema = "lang_pred string, score double, lang_spans array<struct<lang:string,start:int,end:int>>"
+    return shielded(docs, [text], lambda d: map_texts(d, [text], run, schema),
+                    ("lang_pred", "score", "lang_spans"))
 
 
 def identify(docs: DataFrame, train: Column | None = None, rows: int = ROWS,

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from hanga.session import broadcast_limit
 
+from .common import shielded
+
 OTHER = "other"
 ROUNDS = 30
 SEED = "mix-1"
@@ -137,6 +139,12 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], shar
     tokens), about ``share`` of all tokens, with added columns ``mix_topic``,
     ``mix_tokens``, ``mix_weight`` (fitted to actual tokens of the cell),
     ``mix_probability`` and ``mix_drawn``; ``keep_all`` keeps the undrawn."""
+    added = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
+    return shielded(docs, [doc_id, text, source, lang], lambda d: _sample(
+        d, targets, share, rounds, seed, doc_id, text, source, lang, topic, keep_all), added)
+
+
+def _sample(docs, targets, share, rounds, seed, doc_id, text, source, lang, topic, keep_all) -> DataFrame:
     spark = docs.sparkSession
     marked = docs.withColumn("mix_topic", topic_of(text) if topic is None else topic) \
                  .withColumn("mix_tokens", token_count(text))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_table, small_side, text_key
+from .common import map_texts, shared_table, shielded, small_side, text_key
 
 KEY = "surrogate-key-1"   # production callers pass their own
 MAX_ROUNDS = 100
@@ -308,7 +308,11 @@ def replace_pii(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: s
                 spans: str = "pii_spans") -> DataFrame:
     """``docs`` with surrogates in ``text`` and an added column ``spans``:
     (start, end, kind) of every replacement in the new text."""
-    secret = key.encode("utf-8")
+    return shielded(docs, [doc_id, text], lambda d: _replace(d, key.encode("utf-8"), doc_id, text, spans),
+                    (spans,))
+
+
+def _replace(docs: DataFrame, secret: bytes, doc_id: str, text: str, spans: str) -> DataFrame:
     found = shared_table(mentions(docs, doc_id, text), "mentions")
     settled = shared_table(assign(found, secret), "assigned")
     # exceptions: redrawn entities, and names whose document tells another gender

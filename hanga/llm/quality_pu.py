@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, shielded
 from .labelled import MAX_CHARS, labelled_sample
 from .textstats import NAMES, text_stats
 from .wordgrams import Adam, sigmoid
@@ -149,7 +149,8 @@ def score(docs: DataFrame, model: PUModel, threshold: float = THRESHOLD, text: s
         s = sigmoid(shared.value.logit(stats_matrix(texts)))
         return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    return map_texts(docs, [text], run, "score double, predicted int")
+    return shielded(docs, [text], lambda d: map_texts(d, [text], run, "score double, predicted int"),
+                    ("score", "predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = ROWS,

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import map_texts
+from .common import map_texts, shielded
 from .labelled import labelled_sample
 from .textstats import BASE, NAMES, text_stats
 from .wordgrams import sigmoid
@@ -154,8 +154,9 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, text: str
         s = sigmoid(shared.value.logit(x))
         return [*map(pa.array, base), pa.array(failed), pa.array(s), pa.array(~failed & (s >= threshold))]
 
-    return map_texts(docs, [text], run, ", ".join(f"{b} long" for b in BASE)
-                     + ", base_failed boolean, score double, kept boolean")
+    schema = ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, score double, kept boolean"
+    return shielded(docs, [text], lambda d: map_texts(d, [text], run, schema),
+                    (*BASE, "base_failed", "score", "kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, shared_table, small_side, text_key
+from .common import components, map_texts, shared_table, shielded, small_side, text_key
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -211,6 +211,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """Keep one document of every component, with all columns of ``docs``: the
     one with the smallest id (null ids last), then the smallest text key (null
     text first); of fully equal rows one stays."""
+    return shielded(docs, [doc_id, text], lambda d: _near_dedup(d, doc_id, text, options))
+
+
+def _near_dedup(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataFrame:
     marked = shared_table(simhash_components(docs, doc_id=doc_id, text=text, **options), "components")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"),
                      F.col("text_key").isNotNull(), F.col("text_key").alias("key"))

@@ -22,8 +22,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, shielded
 from .labelled import labelled_sample
 from .wordgrams import WORD, Adam, Vocabulary, WordScores, sigmoid
 
@@ -127,9 +128,8 @@ def fit(sample: list[tuple[str, int]], dims: int = DIMS, steps: int = STEPS,
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
-          text: str = "text", prefix: str = "") -> DataFrame:
-    """Append ``score`` (noisy-or), ``predicted`` and ``offending`` (names with
-    ``prefix``): spans
+          text: str = "text") -> DataFrame:
+    """Append ``score`` (noisy-or), ``predicted`` and ``offending``: spans
     (start, end, score) of sentences whose own probability reaches the
     threshold, or, in a document that reaches it only jointly, its highest
     sentence. Offsets are in characters of the whole text."""
@@ -162,8 +162,9 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
             spans.append([{"start": found[i][0], "end": found[i][1], "score": float(p[i])} for i in hot])
         return scores, pa.array(flags, pa.int32()), pa.array(spans, span)
 
-    return map_texts(docs, [text], run, f"{prefix}score double, {prefix}predicted int, "
-                     f"{prefix}offending array<struct<start:int,end:int,score:double>>")
+    schema = "score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
+    return shielded(docs, [text], lambda d: map_texts(d, [text], run, schema),
+                    ("score", "predicted", "offending"))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, rows: int = ROWS,
@@ -177,3 +178,11 @@ def classify(docs: DataFrame, labels: DataFrame, fold: Column | None = None,
              doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fit on the labelled documents whose id ``fold`` admits, score all."""
     return score(docs, train(docs, labels, fold, rows, label, doc_id, text), threshold, text)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD,
+               text: str = "text") -> DataFrame:
+    """The documents that the model does not predict toxic, all columns kept."""
+    def run(d):
+        return score(d, model, threshold, text).where(F.col("predicted") == 0).select(*d.columns)
+    return shielded(docs, [text], run)

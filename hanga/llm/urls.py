@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, shielded
 from .wordgrams import Adam, sigmoid
 
 DIMS = 1 << 14
@@ -163,15 +163,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = (),
     """Append host, path, rule, score (probability to block, model only) and
     verdict (``allow`` or ``block``) to ``pages``."""
     shared = pages.sparkSession.sparkContext.broadcast(fit(table))
-    host, path = split_url(url)
     rule, ruled = matched_rule(F.col("host"), F.col("path"), list(rules))
-    parted = (pages.withColumn("host", host).withColumn("path", path)
-              .withColumn("rule", rule).withColumn("_ruled", ruled))
 
-    def run(hosts, paths):
+    def probability(hosts, paths):
         model = shared.value
         return [pa.array([model.probability(h, p) for h, p in zip(hosts, paths, strict=True)], pa.float64())]
 
-    scored = map_texts(parted, ["host", "path"], run, "score double")
-    by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("_ruled", by_model)).drop("_ruled")
+    def run(d):
+        host, path = split_url(url)
+        parted = (d.withColumn("host", host).withColumn("path", path)
+                  .withColumn("rule", rule).withColumn("_ruled", ruled))
+        scored = map_texts(parted, ["host", "path"], probability, "score double")
+        by_model = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+        return scored.withColumn("verdict", F.coalesce("_ruled", by_model)).drop("_ruled")
+
+    return shielded(pages, [url], run, ("host", "path", "rule", "score", "verdict"))
