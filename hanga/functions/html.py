@@ -1,10 +1,14 @@
-"""Regex column expressions for stored pages.
+"""Column expressions over stored pages.
 
-Patterns stay inside the subset that Java regex and RE2 agree on, and use
-``[^\\n]`` instead of ``.`` so that a line break ends a match in every
-engine (Java's ``.`` also stops at U+0085 / U+2028). ``regexp_extract``
-yields '' on no match; these helpers turn that into NULL like the
-reference's ``None``.
+Pages are text columns and everything here is a built-in expression: regular
+expressions for tags and attributes, and ``region`` / ``regions`` for the
+inside of a container, found by counting the opening and closing tags of its
+kind, so nested containers are closed correctly.
+
+Patterns use ``[^\\n]`` instead of ``.`` so that a line break ends a match in
+every engine (Java's ``.`` also stops at U+0085 / U+2028). ``regexp_extract``
+yields '' on no match; these helpers turn that into NULL like the reference's
+``None``.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..session import col_or_name
-from .text import null_if_empty
+from .text import null_if_empty, unicode_trim
 
 # Entities decoded in extracted text (fixed values: the five XML entities plus
 # the non-breaking space; ``&amp;`` last so it cannot create new entities).
@@ -34,24 +38,95 @@ def _lit_re(s: str) -> str:
     return re.escape(s).replace("\\ ", " ")
 
 
-def link_hrefs(html) -> Column:
-    """All ``<a ... href="...">`` targets, in document order (H1)."""
-    return F.regexp_extract_all(col_or_name(html), F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))
+def _open_tag(tag: str, cls: str | None = None) -> str:
+    """Pattern of an opening tag, with a class token when ``cls`` is given."""
+    if cls is None:
+        return rf"<{tag}(?:\s[^>]*)?>"
+    return rf"""<{tag}\s[^>]*?class=(?:"(?:[^">]*\s)?{_lit_re(cls)}(?:\s[^">]*)?"|'(?:[^'>]*\s)?{_lit_re(cls)}(?:\s[^'>]*)?')[^>]*>"""
+
+
+def _attr(name: str) -> str:
+    """Pattern of an attribute in either quotes (two groups)."""
+    return rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def _either(c: Column, pattern: str) -> Column:
+    """First non-empty of a pattern's two groups, entities decoded; NULL when
+    the pattern does not match."""
+    both = F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2))
+    return F.when(c.rlike(pattern), unescape(both))
+
+
+def _closed(rest: Column, tag: str) -> Column:
+    """Text up to the closing tag that belongs to an already opened ``tag``."""
+    pieces = F.split(rest, rf"(?=</?{tag}[\s>])")
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+
+    def add(state, piece):
+        depth = state["depth"] + F.when(piece.startswith(f"</{tag}"), -1) \
+            .when(piece.rlike(rf"^<{tag}[\s>]"), 1).otherwise(0)
+        inside = (state["depth"] > 0) & (depth > 0)
+        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"),
+                        F.when(inside, F.concat(state["text"], piece)).otherwise(state["text"]).alias("text"))
+
+    return F.aggregate(pieces, start, add, lambda s: s["text"])
+
+
+def regions(html, tag: str, cls: str) -> Column:
+    """The inside of every ``<tag class="... cls ...">``, in document order
+    (nested ones are listed on their own as well)."""
+    pattern = _open_tag(tag, cls)
+    opens = F.regexp_extract_all(col_or_name(html), F.lit(f"({pattern})"), F.lit(1))
+    parts = F.split(col_or_name(html), pattern)
+
+    def inside(i):
+        # what follows the i-th opening tag: the later pieces with their tags
+        later = F.zip_with(F.slice(parts, i + 3, F.size(parts)), F.slice(opens, i + 2, F.size(parts)),
+                           lambda text, mark: F.concat(F.coalesce(mark, F.lit("")), F.coalesce(text, F.lit(""))))
+        return _closed(F.concat(F.element_at(parts, i + 2), F.array_join(later, "")), tag)
+
+    index = F.when(F.size(opens) > 0, F.sequence(F.lit(0), F.size(opens) - 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.transform(index, inside)
+
+
+def region(html, tag: str, cls: str, n: int = 1) -> Column:
+    """The inside of the n-th (1-based) such container (H12); NULL if there
+    are fewer."""
+    return F.get(regions(html, tag, cls), n - 1)
+
+
+def elements(html, tag: str) -> Column:
+    """The inside of every ``<tag>`` that holds no further ``<tag>``."""
+    return F.regexp_extract_all(col_or_name(html), F.lit(rf"(?s){_open_tag(tag)}(.*?)(?=</?{tag}[\s>]|$)"), F.lit(1))
+
+
+def links_in(html) -> Column:
+    """Targets of all ``<a href>`` in document order, in either quotes,
+    entities decoded; empty targets are left out (H1)."""
+    tags = F.regexp_extract_all(col_or_name(html), F.lit(r"(<a\s[^>]*>)"), F.lit(1))
+    return F.filter(F.transform(tags, lambda t: _either(t, _attr("href"))),
+                    lambda h: h.isNotNull() & (h != ""))
+
+
+def link_hrefs(html, container_tag: str | None = None, container_class: str | None = None) -> Column:
+    """Link targets of the page, or only those inside the containers with a
+    class token, in document order (H1)."""
+    if container_tag is None:
+        return links_in(html)
+    return F.flatten(F.transform(regions(html, container_tag, container_class), links_in))
 
 
 def first_href_in(html, container_tag: str, container_class: str) -> Column:
-    """First link inside ``<tag class="...cls...">`` (H2: next-page link);
-    NULL when absent."""
-    pat = (rf'<{container_tag}[^>]*class="[^"]*\b{_lit_re(container_class)}\b[^"]*"[^>]*>'
-           rf'[^<]*(?:<[^a/][^>]*>[^<]*)*<a[^>]*href="([^"]*)"')
-    return null_if_empty(F.regexp_extract(col_or_name(html), pat, 1))
+    """First link inside the containers (H2: next-page link); NULL if none."""
+    return F.get(link_hrefs(html, container_tag, container_class), 0)
 
 
 def first_attr(html, container_tag: str, container_class: str, tag: str, attr: str) -> Column:
     """First ``attr`` of ``tag`` inside a container with a class token (H4)."""
-    pat = (rf'<{container_tag}[^>]*class="[^"]*\b{_lit_re(container_class)}\b[^"]*"[^>]*>'
-           rf'(?:[^<]|<(?!/{container_tag}))*?<{tag}[^>]*{attr}="([^"]*)"')
-    return null_if_empty(F.regexp_extract(col_or_name(html), pat, 1))
+    found = F.transform(regions(html, container_tag, container_class), lambda r: _either(
+        r, rf"<{tag}(?=\s)[^>]*?" + _attr(attr)))
+    return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), 0)
 
 
 def first_text(html, tag: str) -> Column:
@@ -64,17 +139,26 @@ def first_text(html, tag: str) -> Column:
 def link_with_text(html, text: str) -> Column:
     """href of the first link whose whitespace-normalised text equals
     ``text`` (H3)."""
-    pairs = F.regexp_extract_all(col_or_name(html),
-                                 F.lit(r'<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'), F.lit(0))
-    norm = lambda p: F.trim(F.regexp_replace(
-        F.regexp_extract(p, r">([^<]*)</a>", 1), r"\s+", " "))
-    hit = F.filter(pairs, lambda p: norm(p) == F.lit(text))
-    return F.regexp_extract(F.get(hit, 0), r'href="([^"]*)"', 1)
+    pairs = F.regexp_extract_all(col_or_name(html), F.lit(r"(<a\s[^>]*>[^<]*</a>)"), F.lit(1))
+
+    def said(p):
+        words = F.regexp_replace(F.regexp_extract(p, r">([^<]*)</a>", 1), r"(?U)\s+", " ")
+        return unicode_trim(unescape(words)) == F.lit(text)
 
+    return F.get(F.transform(F.filter(pairs, said), lambda p: _either(p, _attr("href"))), 0)
 
-def first_comment(html) -> Column:
-    """Body of the first HTML comment."""
-    return null_if_empty(F.regexp_extract(col_or_name(html), r"<!--((?:[^-]|-[^-])*)-->", 1))
+
+def comments(html) -> Column:
+    """Bodies of the HTML comments in order."""
+    return F.regexp_extract_all(col_or_name(html), F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
+
+
+def first_comment(html, container_tag: str | None = None, container_class: str | None = None) -> Column:
+    """Body of the first comment of the page or of the containers."""
+    if container_tag is None:
+        return null_if_empty(F.get(comments(html), 0))
+    return null_if_empty(F.get(F.flatten(F.transform(
+        regions(html, container_tag, container_class), comments)), 0))
 
 
 def comment_src(comment) -> Column:
@@ -84,26 +168,49 @@ def comment_src(comment) -> Column:
 
 def br_span(blob) -> Column:
     """Greedy text between the first and last ``<br>`` on one line."""
-    return null_if_empty(F.regexp_extract(col_or_name(blob), r"<br>([^\n]*)<br>", 1))
+    return null_if_empty(unescape(F.regexp_extract(col_or_name(blob), r"<br\s*/?>([^\n]*)<br\s*/?>", 1)))
 
 
 def after_marker(text, marker: str) -> Column:
-    """Rest of the line after ``marker`` (H11: ``MFA impressions: (.*)``)."""
+    """Rest of the line after ``marker`` (H11: ``impressions: (.*)``)."""
     return null_if_empty(F.regexp_extract(col_or_name(text), rf"{_lit_re(marker)}([^\n]*)", 1))
 
 
 def anchored_field(field, prefix: str) -> Column:
     """Rest of a field that starts with ``prefix`` (H7: ``^Japan, (.*)``),
-    stripped."""
-    return null_if_empty(F.trim(F.regexp_extract(col_or_name(field), rf"^{_lit_re(prefix)}([^\n]*)", 1)))
+    stripped of Unicode white space."""
+    return null_if_empty(unicode_trim(F.regexp_extract(col_or_name(field), rf"^{_lit_re(prefix)}([^\n]*)", 1)))
+
+
+def text_after_heading(html, heading_tag: str, heading: str, tag: str = "p", link: bool = False,
+                       adjacent: bool = True) -> Column:
+    """Text of the first ``tag`` after the heading that says ``heading``
+    (white space normalised): the next such sibling (H8), or with
+    ``adjacent=False`` the first later one that has any text (H9); with
+    ``link`` the text of its first link."""
+    parts = F.split(col_or_name(html), rf"(?=<{heading_tag}[\s>])")
+
+    def says(part):
+        said = F.regexp_extract(part, rf"^{_open_tag(heading_tag)}([^<]*)", 1)
+        return unicode_trim(unescape(F.regexp_replace(said, r"(?U)\s+", " "))) == F.lit(heading)
+
+    rest = F.array_join(F.slice(parts, F.array_position(F.transform(parts, says), True).cast("int"),
+                                F.size(parts)), "")
+    blocks = F.when(F.exists(parts, says), elements(rest, tag))
+    if link:
+        blocks = F.transform(blocks, lambda b: F.regexp_extract(b, r"<a(?:\s[^>]*)?>([^<]*)", 1))
+    texts = F.transform(blocks, lambda b: F.regexp_extract(b, r"^([^<]*)", 1))
+    if not adjacent:
+        texts = F.filter(texts, lambda t: t != "")
+    return null_if_empty(unescape(F.get(texts, 0)))
 
 
 def key_value(fields, key: str) -> Column:
-    """Value of ``key:`` up to ``;`` over an array of field texts, trimmed;
-    the last field that has the key wins (H6)."""
+    """Value of ``key:`` up to ``;`` over an array of field texts, stripped
+    of Unicode white space; the last field that has the key wins (H6)."""
     pat = rf"{_lit_re(key)}:([^;]*)"
     hits = F.filter(col_or_name(fields), lambda f: f.rlike(pat))
-    vals = F.transform(hits, lambda f: F.trim(F.regexp_extract(f, pat, 1)))
+    vals = F.transform(hits, lambda f: unicode_trim(F.regexp_extract(f, pat, 1)))
     return F.try_element_at(vals, F.lit(-1))
 
 

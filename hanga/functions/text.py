@@ -35,11 +35,6 @@ def site_prefix(url, host_suffix: str) -> Column:
                   F.concat(F.substring_index(u, host_suffix, 1), F.lit(host_suffix)))
 
 
-def absolute_link(site, link) -> Column:
-    """Relative link made absolute against a site prefix."""
-    return F.concat(col_or_name(site), col_or_name(link))
-
-
 def file_key(name) -> Column:
     """File name before the first dot."""
     return F.substring_index(col_or_name(name), ".", 1)

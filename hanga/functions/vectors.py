@@ -32,22 +32,11 @@ def l2_distance(a, b) -> Column:
     return F.sqrt(squared_l2(a, b))
 
 
-def dot(a, b) -> Column:
-    a, b = col_or_name(a), col_or_name(b)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y),
-                       F.lit(0.0).cast("double"), lambda acc, z: acc + z)
-
-
 def keep_last(c, m: int) -> Column:
     """Last ``m`` elements of a vector (P10: drop leading keypoint columns)."""
     return F.slice(col_or_name(c), -m, m)
 
 
-def keep_first(c, w: int) -> Column:
-    """First ``w`` elements of a vector."""
-    return F.slice(col_or_name(c), 1, w)
-
-
 def vector_literal(values) -> Column:
     """A driver-side vector of bounded width as a constant ``array<double>``."""
     return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import checksum_from_path, file_key, unicode_trim
+from ..functions.text import checksum_from_path, file_key, unicode_trim  # noqa: F401
 from ..session import bounded_broadcast, col_or_name
 
 LABEL_SEP = "::"
@@ -123,27 +123,29 @@ def label_summary(lines: DataFrame, class_dim: DataFrame,
     rejects per reason (zero when none), labels kept (distinct keys), and —
     given samples — samples read and samples kept after the label join.
 
-    The line metrics are one aggregate over one tagged pass; the sample
-    metrics one aggregate over a left join with the kept keys. Each one-row
-    aggregate is unpivoted, so nothing is computed twice."""
+    Lines and samples are counted together per key (rejected lines without a
+    key share the NULL key), then the keys are summed: every table is read
+    once and nothing is joined."""
     tagged = tag_label_lines(lines.select("value"), class_dim)
-    bad = F.col("reason") == "bad_format"
-    unknown = F.col("reason") == "unknown_artist"
-    kept = F.col("reason").isNull()
+    rows = tagged.select("key", F.lit(1).alias("n"),
+                         (F.col("reason") == "bad_format").alias("bad"),
+                         (F.col("reason") == "unknown_artist").alias("unknown"),
+                         F.col("reason").isNull().alias("kept"), F.lit(0).alias("sample"))
     names = ["lines_read", "rejected_bad_format", "rejected_unknown_artist", "labels_kept"]
-    line_stats = tagged.agg(
-        F.count(F.lit(1)).cast("bigint").alias(names[0]),
-        F.count_if(bad).cast("bigint").alias(names[1]),
-        F.count_if(unknown).cast("bigint").alias(names[2]),
-        F.count_distinct(F.when(kept, F.col("key"))).cast("bigint").alias(names[3]))
-    out = line_stats.unpivot([], names, "metric", "value")
     if samples is not None:
-        hits = read_labels(lines, class_dim).select("key", F.lit(1).alias("__hit"))
-        s = (samples.select("key").join(hits, "key", "left")
-             .agg(F.count(F.lit(1)).cast("bigint").alias("samples_read"),
-                  F.count("__hit").cast("bigint").alias("samples_kept")))
-        out = out.unionByName(s.unpivot([], ["samples_read", "samples_kept"], "metric", "value"))
-    return out
+        no = F.lit(False)
+        rows = rows.unionByName(samples.select("key", F.lit(0).alias("n"), no.alias("bad"), no.alias("unknown"),
+                                               no.alias("kept"), F.lit(1).alias("sample")))
+        names += ["samples_read", "samples_kept"]
+    per_key = rows.groupBy("key").agg(
+        F.sum("n").alias("n"), F.count_if("bad").alias("bad"), F.count_if("unknown").alias("unknown"),
+        F.max("kept").alias("kept"), F.sum("sample").alias("sample"))
+    named = F.col("kept") & F.col("key").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    stats = [total("n"), total("bad"), total("unknown"), F.count_if(named).cast("bigint"),
+             total("sample"), total(F.when(named, F.col("sample")))]
+    out = per_key.agg(*[c.alias(n) for c, n in zip(stats, names)])
+    return out.unpivot([], names, "metric", "value")
 
 
 def read_labels(lines: DataFrame, class_dim: DataFrame,
@@ -173,13 +175,17 @@ def manifest_filter(items: DataFrame, manifest: DataFrame | None,
     DataFrame (one name per line, trimmed)."""
     if manifest is None:
         return items
-    names = manifest.select(F.trim("value").alias("__name"))  # semi join: no dedup needed
+    names = manifest.select(unicode_trim("value").alias("__name"))  # semi join: no dedup needed
     return items.join(names, F.col(name_col) == F.col("__name"), "left_semi")
 
 
 def pending(items: DataFrame, done: DataFrame, key_col: str = "key",
-            done_col: str = "name") -> DataFrame:
+            done_col: str = "name", descriptor: str | None = None) -> DataFrame:
     """Items whose output does not exist yet (F5). ``done`` holds the output
-    file names (or bare keys); the key is the part before the first dot."""
+    file names (``key.descriptor.npz``) or bare keys; the key is the part
+    before the first dot. With ``descriptor`` only outputs of that descriptor
+    count: an image described by another one is still pending."""
+    if descriptor is not None:
+        done = done.where(F.get(F.split(F.col(done_col), r"\."), 1) == descriptor)
     done_keys = done.select(file_key(F.col(done_col)).alias("__done"))
     return items.join(done_keys, F.col(key_col) == F.col("__done"), "left_anti")

@@ -1,12 +1,12 @@
 """Codebook learning and bag-of-codewords.
 
-A codebook ``(code int, center array<double>)`` has k rows, so it is the one
-thing (with class centroids) that is fetched to the driver — after its size
-is checked — and shipped to tasks. Nearest-codeword search then runs inside
-each task as a numpy matrix product over Arrow batches (``mapInPandas``);
-measured 3x faster than the built-in higher-order-function form even for
-k = 16, m = 64, whose interpreted lambdas cost k x m calls per row (kept as
-``method="jvm"``). No keypoint x codeword rows are ever materialised.
+A codebook ``(code int, center array<double>)`` is shipped to tasks in blocks
+whose measured size fits the broadcast limit, one block after the other, so
+any codebook works. Nearest-codeword search runs inside each task as a numpy
+matrix product over Arrow batches (``mapInPandas``); measured 3x faster than
+the built-in higher-order-function form even for k = 16, m = 64, whose
+interpreted lambdas cost k x m calls per row (kept as ``method="jvm"``). No
+keypoint x codeword rows are ever materialised.
 
 Ties: distances are compared after rounding to 1e-6 and the lowest code
 wins, identically on both paths.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark import StorageLevel
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import keep_last, l2_distance
-from ..session import bounded_broadcast, broadcast_limit
+from ..session import bounded_broadcast, broadcast_limit, path_exists, vector_width
 
 ROUND = 6
 
@@ -36,27 +35,36 @@ def codebook_frame(spark: SparkSession, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "code int, center array<double>")
 
 
-def collect_codebook(codebook: DataFrame, with_codes: bool = False):
-    """Fetch a codebook as a k x m matrix (rows in ``code`` order), after one
-    small aggregate proves k x m x 8 bytes fits the broadcast limit. With
-    ``with_codes`` also return the code values."""
+def codebook_blocks(codebook: DataFrame | np.ndarray, limit: int):
+    """(codes, centres) of blocks of at most ``limit`` bytes, codes ascending
+    inside a block; a table is dealt by a hash of its code, so the driver
+    holds one block at a time."""
+    if isinstance(codebook, np.ndarray):
+        step = max(1, limit // max(1, codebook.shape[1] * 8))
+        for lo in range(0, len(codebook), step):
+            yield np.arange(lo, min(lo + step, len(codebook))), codebook[lo:lo + step]
+        return
     st = codebook.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("center")).alias("m")).first()
     k, m = int(st["k"]), int(st["m"] or 0)
-    if k * m * 8 > broadcast_limit(codebook.sparkSession):
-        raise ValueError(f"codebook {k} x {m} exceeds the broadcast limit")
-    rows = sorted(codebook.select("code", "center").collect(), key=lambda r: r["code"])
-    mat = np.array([r["center"] for r in rows], dtype=np.float64).reshape(k, m)
-    return (mat, [int(r["code"]) for r in rows]) if with_codes else mat
-
-
-def _codebook_literal(centers: np.ndarray) -> Column:
-    payload = json.dumps([{"code": i, "center": [float(v) for v in c]}
-                          for i, c in enumerate(centers)])
+    parts = max(1, -(-k * m * 8 // limit))
+    for p in range(parts):
+        block = codebook.select("code", "center")
+        if parts > 1:
+            block = block.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == p)
+        rows = sorted(block.collect(), key=lambda r: r["code"])
+        if rows:
+            yield (np.array([r["code"] for r in rows]),
+                   np.array([r["center"] for r in rows], dtype=np.float64).reshape(len(rows), m))
+
+
+def _codebook_literal(codes: np.ndarray, centers: np.ndarray) -> Column:
+    payload = json.dumps([{"code": int(i), "center": [float(v) for v in c]}
+                          for i, c in zip(codes, centers)])
     return F.from_json(F.lit(payload), "array<struct<code:int,center:array<double>>>")
 
 
-def _assign_jvm(df: DataFrame, desc_col: str, centers: np.ndarray) -> DataFrame:
-    book = _codebook_literal(centers)
+def _assign_jvm(df: DataFrame, desc_col: str, codes: np.ndarray, centers: np.ndarray) -> DataFrame:
+    book = _codebook_literal(codes, centers)
     scored = F.transform(book, lambda c: F.struct(
         F.round(l2_distance(F.col(desc_col), c.getField("center")), ROUND).alias("d6"),
         c.getField("code").alias("code"),
@@ -88,18 +96,26 @@ def nearest_codes(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[pick].astype(np.int32), exact[pick]
 
 
-def _assign_pandas(df: DataFrame, desc_col: str, centers: np.ndarray) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    bc = sc.broadcast(centers)
-    out_schema = T.StructType(df.schema.fields + [
+def _assign_pandas(df: DataFrame, desc_col: str, codes: np.ndarray, centers: np.ndarray,
+                   first: bool) -> DataFrame:
+    """Nearest code of one block; after the first block a row keeps what it has
+    unless the block is nearer (rounded), or as near with a lower code."""
+    bc = df.sparkSession.sparkContext.broadcast((codes.astype(np.int32), centers))
+    out_schema = df.schema if not first else T.StructType(df.schema.fields + [
         T.StructField("code", T.IntegerType()), T.StructField("dist", T.DoubleType())])
 
     def run(batches):
-        c = bc.value
+        names, c = bc.value
         for pdf in batches:
             x = np.array(pdf[desc_col].tolist(), dtype=np.float64).reshape(len(pdf), c.shape[1])
-            code, dist = nearest_codes(x, c)
-            yield pdf.assign(code=code, dist=dist)
+            at, dist = nearest_codes(x, c)
+            code = names[at]
+            if not first:
+                have, had = pdf["code"].to_numpy(), pdf["dist"].to_numpy()
+                new, old = np.round(dist, ROUND), np.round(had, ROUND)
+                better = (new < old) | ((new == old) & (code < have))
+                code, dist = np.where(better, code, have), np.where(better, dist, had)
+            yield pdf.assign(code=code.astype(np.int32), dist=dist)
 
     return df.mapInPandas(run, out_schema)
 
@@ -110,16 +126,20 @@ def assign(kps: DataFrame, codebook: DataFrame | np.ndarray, desc_col: str = "de
 
     Only the last m descriptor elements are compared, m = codebook width
     (P10: leading keypoint attributes are ignored)."""
-    if isinstance(codebook, np.ndarray):
-        centers, codes = codebook, None
-    else:
-        centers, codes = collect_codebook(codebook, with_codes=True)
-    k, m = centers.shape
-    df = kps.withColumn(desc_col, keep_last(F.col(desc_col).cast("array<double>"), m))
-    out = (_assign_jvm(df, desc_col, centers) if method == "jvm"
-           else _assign_pandas(df, desc_col, centers))
-    if codes is not None and codes != list(range(k)):  # report the codebook's own code values
-        out = out.withColumn("code", F.get(F.array(*[F.lit(c) for c in codes]), F.col("code")))
+    limit = broadcast_limit(kps.sparkSession)
+    out = None
+    for codes, centers in codebook_blocks(codebook, limit):
+        if out is None:
+            m = centers.shape[1]
+            df = kps.withColumn(desc_col, keep_last(F.col(desc_col).cast("array<double>"), m))
+            out = (_assign_jvm(df, desc_col, codes, centers) if method == "jvm"
+                   else _assign_pandas(df, desc_col, codes, centers, True))
+        elif method == "jvm":
+            raise ValueError("the jvm form takes one block; use the default method")
+        else:
+            out = _assign_pandas(out, desc_col, codes, centers, False)
+    if out is None:
+        raise ValueError("empty codebook")
     return out
 
 
@@ -205,14 +225,23 @@ def lloyd(points: DataFrame, centers: np.ndarray, max_iter: int = 10, tol: float
 
 def _multi_init(points: DataFrame, k: int, attempts: int, seed: int, key_col: str,
                 feat_col: str) -> np.ndarray:
-    """Starting centres for every attempt in one scan: attempt a takes the k
-    points with the lowest md5((seed + a):key). Returns (attempts, k, m)."""
+    """Starting centres for every attempt: attempt a takes the k points with
+    the lowest md5((seed + a):key). Only keys are ranked, in two levels (per
+    source-partition group, then per attempt); the vectors of the at most
+    attempts x k winners are fetched by a join. Returns (attempts, k, m)."""
     att = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")
     h = F.md5(F.concat((F.col("attempt") + F.lit(seed)).cast("string"), F.lit(":"),
                        F.col(key_col).cast("string")))
-    w = Window.partitionBy("attempt").orderBy("__h", key_col)
-    rows = (points.select(key_col, feat_col, att).withColumn("__h", h)
-            .withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    ranked = points.select(key_col, att).withColumn("__h", h).withColumnRenamed(key_col, "__key")
+    ranked = ranked.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(32)))
+    for by, r in ((["attempt", "__g"], "__r1"), (["attempt"], "__r")):
+        w = Window.partitionBy(*by).orderBy("__h", "__key")
+        ranked = ranked.withColumn(r, F.row_number().over(w)).where(F.col(r) <= k)
+    starts = ranked.select("__key", "attempt", "__r")
+    width = vector_width(points, feat_col)
+    if attempts * k * width * 8 > broadcast_limit(points.sparkSession):
+        raise ValueError(f"{attempts} x {k} starting centres of width {width} exceed the broadcast limit")
+    rows = (points.join(F.broadcast(starts), F.col(key_col) == F.col("__key"))  # attempts x k keys
             .select("attempt", "__r", feat_col).collect())
     if len(rows) < attempts * k:
         raise ValueError(f"fewer than k={k} points")
@@ -221,10 +250,11 @@ def _multi_init(points: DataFrame, k: int, attempts: int, seed: int, key_col: st
 
 
 def _cluster_sums(points: DataFrame, centers: np.ndarray, feat_col: str) -> list:
-    """One pass over the points for every attempt at once. Each Arrow batch
-    assigns its points to the nearest centre of every attempt and emits only
-    per (attempt, code) sums — at most attempts x k rows per batch — which
-    Spark then adds up. Returns collected (attempt, code, n, sum, cost)."""
+    """One pass over the points for every attempt at once. Each task assigns
+    its points to the nearest centre of every attempt and accumulates, over
+    all its batches, one sum per (attempt, code); Spark then adds the tasks'
+    sums. Returns collected (attempt, code, n, sum, cost), as large as the
+    centres that were sent (checked when they were made)."""
     bc = points.sparkSession.sparkContext.broadcast(centers)
     schema = "attempt int, code int, n long, s array<double>, cost double"
 
@@ -232,20 +262,19 @@ def _cluster_sums(points: DataFrame, centers: np.ndarray, feat_col: str) -> list
         import pandas as pd
         cs = bc.value
         n_att, k, m = cs.shape
+        n, sums, cost = np.zeros((n_att, k), np.int64), np.zeros((n_att, k, m)), np.zeros((n_att, k))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
             x = np.array(pdf[feat_col].tolist(), dtype=np.float64).reshape(len(pdf), m)
-            out = []
             for a in range(n_att):
                 code, dist = nearest_codes(x, cs[a])
-                n = np.bincount(code, minlength=k)
-                sums = np.zeros((k, m))
-                np.add.at(sums, code, x)
-                cost = np.bincount(code, weights=dist * dist, minlength=k)
-                for c in np.nonzero(n)[0]:
-                    out.append((a, int(c), int(n[c]), sums[c].tolist(), float(cost[c])))
-            yield pd.DataFrame(out, columns=["attempt", "code", "n", "s", "cost"])
+                n[a] += np.bincount(code, minlength=k)
+                np.add.at(sums[a], code, x)
+                cost[a] += np.bincount(code, weights=dist * dist, minlength=k)
+        at, codes = np.nonzero(n)
+        for lo in range(0, len(at), 512):
+            a, c = at[lo:lo + 512], codes[lo:lo + 512]
+            yield pd.DataFrame({"attempt": a.astype(np.int32), "code": c.astype(np.int32), "n": n[a, c],
+                                "s": [v.tolist() for v in sums[a, c]], "cost": cost[a, c]})
 
     parts = points.select(feat_col).mapInPandas(run, schema)
     return (parts.groupBy("attempt", "code")
@@ -290,37 +319,13 @@ def kmeans_codebook(points: DataFrame, k: int, max_iter: int = 10, tol: float =
     return codebook_frame(points.sparkSession, centers[best]), float(costs[best]), costs.tolist()
 
 
-def kmeans_codebook_mllib(points: DataFrame, k: int, max_iter: int = 10, tol: float = 1e-4,
-                          attempts: int = 10, seed: int = 0, feat_col: str = "features",
-                          init_mode: str = "random") -> tuple[DataFrame, float]:
-    """Same contract with one MLlib ``KMeans`` fit per attempt (one pass per
-    attempt and iteration); kept for comparison."""
-    vec = points.select(array_to_vector(F.col(feat_col)).alias("features")).cache()
-    best_model, best_cost = None, float("inf")
-    try:
-        for i in range(attempts):
-            km = KMeans(k=k, maxIter=max_iter, tol=tol, initMode=init_mode,
-                        seed=seed + i, featuresCol="features")
-            model = km.fit(vec)
-            cost = model.summary.trainingCost
-            if cost < best_cost:
-                best_model, best_cost = model, cost
-    finally:
-        vec.unpersist()
-    centers = np.array(best_model.clusterCenters(), dtype=np.float64)
-    return codebook_frame(points.sparkSession, centers), best_cost
-
-
 def write_codebook(codebook: DataFrame, path: str) -> bool:
     """Persist a codebook; an existing one is kept ("not recomputing", S9).
     Returns True when written."""
-    spark = codebook.sparkSession
-    try:
-        spark.read.parquet(path).limit(1).collect()
+    if path_exists(codebook.sparkSession, f"{path.rstrip('/')}/_SUCCESS"):
         return False
-    except Exception:  # no codebook yet
-        codebook.write.mode("error").parquet(path)
-        return True
+    codebook.write.mode("overwrite").parquet(path)  # a half-written one is no codebook
+    return True
 
 
 def read_codebook(spark: SparkSession, path: str) -> DataFrame:

@@ -6,21 +6,18 @@ filters over ``row_number``; Spark plans them with a partial
 WindowGroupLimit before each shuffle.
 
 Hot images: if one image holds a third of all keypoints, the partial limit
-still sends up to k rows from *every* input task to the image's one
-reducer. With many input partitions both selections therefore reduce as a
-tree: first top-k per (image, source-partition group) — the group is
-``spark_partition_id() % B`` — then top-k per image, so each reducer gets
-about k x sqrt(tasks) rows instead of k x tasks. The result equals the
-one-level result (every row of an image's top-k is in the top-k of its
-group). With few partitions one level is already bounded and B = 1.
+still sends up to k rows from *every* input task to the image's one reducer.
+Both selections therefore reduce as a tree, always: first top-k per (image,
+source-partition group), then top-k per image, so a reducer gets about k x
+tasks / FAN_IN rows, and the last one k x FAN_IN. The order must be total (ids
+that tell the keypoints of an image apart), so the result does not depend on
+the grouping.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,37 +26,33 @@ MAX_KEYPOINTS = 4000   # kept per image by response
 SAMPLE_PER_IMAGE = 42  # sampled per image for clustering
 
 
-TREE_MIN_PARTITIONS = 64
-
-
-def tree_fan_in(df: DataFrame) -> int:
-    """Number of first-level groups B for a tree top-k over ``df``: 1 when
-    the input has few partitions, else about sqrt(partitions)."""
-    parts = df.rdd.getNumPartitions()
-    return 1 if parts <= TREE_MIN_PARTITIONS else int(math.ceil(math.sqrt(parts)))
+FAN_IN = 32            # first-level groups of an image's keypoints
 
 
-def _two_level_top(kps: DataFrame, k: int, key_col: str, order, fan_in: int | None,
+def _two_level_top(kps: DataFrame, k: int, key_col: str, order, fan_in: int,
                    rank_col: str) -> DataFrame:
-    b = tree_fan_in(kps) if fan_in is None else fan_in
-    if b > 1:
-        group = F.pmod(F.spark_partition_id(), F.lit(b))
-        w1 = Window.partitionBy(key_col, "__grp").orderBy(*order)
-        kps = (kps.withColumn("__grp", group)
-               .withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
-               .drop("__grp", "__r1"))
+    group = F.pmod(F.spark_partition_id(), F.lit(fan_in))
+    w1 = Window.partitionBy(key_col, "__grp").orderBy(*order)
+    kps = (kps.withColumn("__grp", group)
+           .withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
+           .drop("__grp", "__r1"))
     w = Window.partitionBy(key_col).orderBy(*order)
     return kps.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def _need_ids(cols: list[str] | None) -> list[str]:
+    if not cols:
+        raise ValueError("name the columns that tell the keypoints of an image apart")
+    return cols
+
+
 def strongest(kps: DataFrame, k: int = MAX_KEYPOINTS, key_col: str = "key",
               response_col: str = "response", tie_cols: list[str] | None = None,
-              fan_in: int | None = None) -> DataFrame:
+              fan_in: int = FAN_IN) -> DataFrame:
     """The k keypoints with the highest response per image (T1). Equal
     responses are ordered by ``tie_cols`` ascending. Adds ``kp_rank`` (1 =
     strongest)."""
-    tie_cols = tie_cols or []
-    order = [F.col(response_col).desc()] + [F.col(c).asc() for c in tie_cols]
+    order = [F.col(response_col).desc()] + [F.col(c).asc() for c in _need_ids(tie_cols)]
     return _two_level_top(kps, k, key_col, order, fan_in, "kp_rank")
 
 
@@ -71,10 +64,10 @@ def sample_order(key_col: str, id_cols: list[str], seed: int) -> F.Column:
 
 def sample(kps: DataFrame, n: int = SAMPLE_PER_IMAGE, key_col: str = "key",
            id_cols: list[str] | None = None, seed: int = 0,
-           fan_in: int | None = None) -> DataFrame:
+           fan_in: int = FAN_IN) -> DataFrame:
     """At most n keypoints per image in a seeded random order (T2); an image
     with n or fewer keypoints keeps them all (quirk K15: seeded)."""
-    id_cols = id_cols or []
+    id_cols = _need_ids(id_cols)
     order = [sample_order(key_col, id_cols, seed)] + [F.col(c) for c in id_cols]
     return _two_level_top(kps, n, key_col, order, fan_in, "sample_rank")
 

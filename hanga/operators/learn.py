@@ -87,29 +87,29 @@ def svm_pipeline(width: int, n_components: int | None = None, C: float = 1.0,
     return Pipeline(stages=stages + [ovr]), svc
 
 
-def prepare_training(train: DataFrame, max_classes: int, n_folds: int = 3,
+def prepare_training(train: DataFrame, n_folds: int = 3,
                      checkpoint: bool = True) -> DataFrame:
     """Balanced weights (A12) + stratified folds (M7) + ML columns; lineage
     cut in the shared checkpoint folder and cached for the fit loop."""
-    df = with_class_weights(train, max_classes)
-    df = stratified_folds(df, n_folds, max_classes=max_classes)
+    df = with_class_weights(train)
+    df = stratified_folds(df, n_folds)
     df = to_ml(df).select("key", "class_id", "label", VEC, "weight", "fold")
     if checkpoint:
         df = cut_lineage(df)
     return df.cache()
 
 
-def fit_svm(train: DataFrame, width: int, max_classes: int, C: float = 1.0,
+def fit_svm(train: DataFrame, width: int, C: float = 1.0,
             n_components: int | None = None, max_iter: int = 100,
             parallelism: int = 4) -> PipelineModel:
     """One one-vs-rest linear SVM with balanced class weights (M4)."""
-    df = prepare_training(train, max_classes)
+    df = prepare_training(train)
     n = df.count()
     pipe, _ = svm_pipeline(width, n_components, C, n, max_iter, parallelism)
     return pipe.fit(df)
 
 
-def grid_search(train: DataFrame, width: int, max_classes: int,
+def grid_search(train: DataFrame, width: int,
                 Cs: list[float] | None = None, n_folds: int = 3,
                 n_components: int | None = None, max_iter: int = 100,
                 parallelism: int = 4) -> tuple[PipelineModel, DataFrame]:
@@ -117,7 +117,7 @@ def grid_search(train: DataFrame, width: int, max_classes: int,
     training rows (M5). Returns (best model, one row per C with its mean CV
     score and ``best`` flag — M8)."""
     Cs = Cs or c_grid()
-    df = prepare_training(train, max_classes, n_folds)
+    df = prepare_training(train, n_folds)
     n = df.count()
     pipe, svc = svm_pipeline(width, n_components, 1.0, n, max_iter, parallelism=1)
     grid = ParamGridBuilder().addGrid(svc.regParam, [1.0 / (c * n) for c in Cs]).build()

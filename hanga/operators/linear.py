@@ -9,14 +9,17 @@ matrix W (d+1 x J), and every optimiser iteration is **one** pass over the
 training rows for all J models together:
 
 * each task turns its Arrow batches into a dense block X, computes the
-  margins X @ W for all models, and accumulates loss and gradient — only a
-  (d+1) x J partial sum leaves the task;
-* the partial sums travel as raw float64 bytes cut into fixed-size chunks
-  keyed by chunk number, so the reduction itself is spread over many
-  reducers (no single task receives every partial) and no per-element
-  objects are built on the way;
-* the driver holds only the J small weight vectors and runs L-BFGS with an
-  Armijo back-tracking step for each model independently.
+  margins X @ W for all models, and accumulates loss, gradient and generalized
+  Hessian — only those partial sums leave the task;
+* the partial sums travel as raw float64 bytes cut into small chunks and are
+  added in two levels, first per (chunk, task group), then per chunk, so no
+  reducer ever holds one chunk of every task;
+* the driver runs a damped Newton method for each model independently.
+
+Models are solved in blocks so that the sums of one block (width squared per
+model) fit the broadcast limit; the reference's widest input (3000) takes 72
+MB for a model on its own. The method is the same at every size and limit; a
+model that does not reach the tolerance is reported, with its gradient.
 
 Objective per model j (class c, cost C, fold f; bias folded into w like
 LIBLINEAR's ``bias = 1``):
@@ -31,19 +34,21 @@ weight ``n_f / (K_f * n_{f,c})`` of the fold's training rows;
 
 from __future__ import annotations
 
-import json
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import broadcast_limit, cut_lineage
 
-CHUNK = 262144  # doubles per reduce chunk (2 MiB)
+CHUNK = 32768   # doubles per reduce chunk (256 KiB)
+GROUPS = 64     # first-level groups of tasks in the reduction
 
 
 @dataclass
@@ -63,26 +68,21 @@ class LinearOvRModel:
             return df
         return project(self.pca, df, features)
 
-    def _literal(self) -> Column:
-        payload = json.dumps([{"i": i, "w": [float(v) for v in self.coef[i]],
-                               "b": float(self.intercept[i])} for i in range(len(self.classes))])
-        return F.from_json(F.lit(payload), "array<struct<i:int,w:array<double>,b:double>>")
-
-    def predict_column(self, features: str = "features") -> Column:
-        """Class with the largest decision value; ties go to the first class.
-        Built-in expressions only (no Python per row)."""
-        f = F.col(features)
-        scored = F.transform(self._literal(), lambda m: F.struct(
-            (F.aggregate(F.zip_with(f, m.getField("w"), lambda a, b: a * b),
-                         F.lit(0.0).cast("double"), lambda s, z: s + z)
-             + m.getField("b")).alias("score"),
-            (-m.getField("i")).alias("neg_i")))
-        best = -F.array_max(scored).getField("neg_i")
-        return F.get(F.array(*[F.lit(int(c)) for c in self.classes]), best)
-
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
-        return self.features_of(df, features).withColumn("prediction",
-                                                         self.predict_column(features))
+        """Adds ``prediction``: the class with the largest decision value (ties
+        go to the first class), one matrix product per Arrow batch."""
+        rows = self.features_of(df, features)
+        coef, intercept, classes = self.coef, self.intercept, np.array(self.classes, np.int32)
+        bc = rows.sparkSession.sparkContext.broadcast((coef, intercept, classes))
+
+        def run(batches):
+            w, b, names = bc.value
+            for pdf in batches:
+                x = np.array(pdf[features].tolist(), dtype=np.float64).reshape(len(pdf), w.shape[1])
+                yield pdf.assign(prediction=names[(x @ w.T + b).argmax(1)] if len(pdf) else names[:0])
+
+        out = T.StructType([*rows.schema.fields, T.StructField("prediction", T.IntegerType())])
+        return rows.mapInPandas(run, out)
 
     def weights(self, spark: SparkSession) -> DataFrame:
         """``(class_id, dim, weight)`` — model metadata, K x d values."""
@@ -91,20 +91,22 @@ class LinearOvRModel:
         return spark.createDataFrame(rows, "class_id int, dim int, weight double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        rows = [(int(c), [float(v) for v in self.coef[i]], float(self.intercept[i]), float(self.C))
+        """Write the model; the weight table names the folder of its own basis
+        (a fresh one per save), or none, so an older basis is never used."""
+        basis = None
+        if self.pca is not None:
+            basis = f"pca-{uuid.uuid4().hex}"
+            self.pca.write().save(f"{path}/{basis}")
+        rows = [(int(c), [float(v) for v in self.coef[i]], float(self.intercept[i]), float(self.C), basis)
                 for i, c in enumerate(self.classes)]
-        (spark.createDataFrame(rows, "class_id int, coef array<double>, intercept double, C double")
+        (spark.createDataFrame(rows, "class_id int, coef array<double>, intercept double, C double, basis string")
          .coalesce(1).write.mode("overwrite").parquet(f"{path}/weights"))
-        if self.pca is not None:
-            self.pca.write().overwrite().save(f"{path}/pca")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LinearOvRModel":
         rows = sorted(spark.read.parquet(f"{path}/weights").collect(), key=lambda r: r["class_id"])
-        try:
-            pca = PipelineModel.load(f"{path}/pca")
-        except Exception:  # saved without PCA
-            pca = None
+        basis = rows[0]["basis"] if rows else None
+        pca = PipelineModel.load(f"{path}/{basis}") if basis else None
         return LinearOvRModel([r["class_id"] for r in rows],
                               np.array([r["coef"] for r in rows], dtype=np.float64),
                               np.array([r["intercept"] for r in rows], dtype=np.float64),
@@ -135,11 +137,16 @@ def _sum_chunk(pdf):
     return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "v": [total.tobytes()]})
 
 
+def _sum_group(pdf):
+    return _sum_chunk(pdf).assign(g=int(pdf["g"].iloc[0]))
+
+
 def _reduce_chunks(parts: DataFrame, length: int) -> np.ndarray:
-    """Sum the per-task partial vectors: rows ``(chunk, v)`` with ``v`` raw
-    float64 bytes are added chunk by chunk in a grouped pandas reduce (one
-    reducer per chunk), then the sums are decoded on the driver."""
-    summed = parts.groupBy("chunk").applyInPandas(_sum_chunk, "chunk int, v binary").collect()
+    """Sum the per-task partial vectors: rows ``(chunk, g, v)`` with ``v`` raw
+    float64 bytes are added per (chunk, task group), then per chunk; the sums
+    are decoded on the driver."""
+    summed = (parts.groupBy("chunk", "g").applyInPandas(_sum_group, "chunk int, v binary, g int")
+              .groupBy("chunk").applyInPandas(_sum_chunk, "chunk int, v binary").collect())
     out = np.zeros(length)
     for r in summed:
         v = np.frombuffer(r["v"], dtype=np.float64)
@@ -149,12 +156,13 @@ def _reduce_chunks(parts: DataFrame, length: int) -> np.ndarray:
 
 
 def _emit(flat: np.ndarray):
-    """A task's partial vector as ``(chunk, v)`` rows of raw float64 bytes."""
+    """A task's partial vector as ``(chunk, g, v)`` rows of raw float64 bytes."""
     import pandas as pd
     n = len(flat)
-    chunks = [(i, np.ascontiguousarray(flat[i * CHUNK:(i + 1) * CHUNK]).tobytes())
+    g = TaskContext.get().partitionId() % GROUPS
+    chunks = [(i, g, np.ascontiguousarray(flat[i * CHUNK:(i + 1) * CHUNK]).tobytes())
               for i in range((n + CHUNK - 1) // CHUNK)]
-    return pd.DataFrame(chunks, columns=["chunk", "v"])
+    return pd.DataFrame(chunks, columns=["chunk", "g", "v"])
 
 
 class _Problem:
@@ -167,11 +175,10 @@ class _Problem:
         self.weight_mat = weight_mat  # J x K: weight of a row of class k in model j
         self.J = len(m_class)
 
-    def loss_grad(self, W: np.ndarray, hessian: bool = False, cols=None):
-        """Loss and gradient at W of the models ``cols`` (default all; W has
-        one column per selected model) in one pass; with ``hessian`` also
-        their generalized Hessians, len(cols) x D x D."""
-        cols = np.arange(self.J) if cols is None else np.asarray(cols)
+    def sums(self, W: np.ndarray, cols):
+        """Loss, gradient and generalized Hessian (len(cols) x D x D) at W of
+        the models ``cols`` (W has one column each), in one pass."""
+        cols = np.asarray(cols)
         D, J = W.shape
         sc = self.data.sparkSession.sparkContext
         bc = sc.broadcast((W, self.m_class[cols], self.m_C[cols], self.m_fold[cols],
@@ -183,7 +190,7 @@ class _Problem:
             n_m, dd = w.shape[1], w.shape[0]
             loss = np.zeros(n_m)
             grad = np.zeros_like(w)
-            hess = np.zeros((n_m, dd * dd)) if hessian else None
+            hess = np.zeros((n_m, dd * dd))
             seen = False
             for pdf in batches:
                 if len(pdf) == 0:
@@ -200,24 +207,25 @@ class _Problem:
                 coef = np.where((margin > 0) & in_train, s, 0.0)
                 loss += (coef * margin * margin).sum(0)
                 grad += xt.T @ (-2.0 * coef * y * margin)
-                if hessian:
+                if n_m > 1 and dd <= 256:
                     # all Hessians at once: coef^T @ (row outer products), in row blocks
                     for lo in range(0, len(xt), 512):
                         xb = xt[lo:lo + 512]
                         outer = (xb[:, :, None] * xb[:, None, :]).reshape(len(xb), -1)
                         hess += 2.0 * coef[lo:lo + 512].T @ outer
+                else:
+                    for m in range(n_m):
+                        hit = coef[:, m] > 0
+                        xb = xt[hit]
+                        hess[m] += 2.0 * ((xb * coef[hit, m][:, None]).T @ xb).ravel()
             if seen:
-                parts = [grad.ravel(), loss] + ([hess.ravel()] if hessian else [])
-                yield _emit(np.concatenate(parts))
+                yield _emit(np.concatenate([grad.ravel(), loss, hess.ravel()]))
 
-        parts = self.data.mapInPandas(run, "chunk int, v binary")
-        n = D * J + J + (J * D * D if hessian else 0)
-        flat = _reduce_chunks(parts, n)
+        parts = self.data.mapInPandas(run, "chunk int, g int, v binary")
+        flat = _reduce_chunks(parts, D * J + J + J * D * D)
         bc.destroy()
         grad = flat[:D * J].reshape(D, J) + W
         loss = flat[D * J:D * J + J] + 0.5 * (W * W).sum(0)
-        if not hessian:
-            return loss, grad
         hess = flat[D * J + J:].reshape(J, D, D) + np.eye(D)[None]
         return loss, grad, hess
 
@@ -249,35 +257,36 @@ class _Problem:
                     acc[len(g) + k] += rows.sum()
             yield _emit(acc)
 
-        flat = _reduce_chunks(self.data.mapInPandas(run, "chunk int, v binary"),
+        flat = _reduce_chunks(self.data.mapInPandas(run, "chunk int, g int, v binary"),
                               2 * n_groups)
         bc.destroy()
         return flat[:n_groups] / np.maximum(flat[n_groups:], 1.0)
 
 
-def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
-    """Damped Newton (Levenberg-Marquardt) on the generalized Hessian, all J
-    models advanced together with one data pass per iteration.
+def _newton(problem: _Problem, D: int, cols: np.ndarray, max_iter: int, tol: float):
+    """Damped Newton (Levenberg-Marquardt) on the generalized Hessian of the
+    models ``cols``, advanced together with one data pass per iteration.
 
     Each model solves (H + lam I) p = -g; a step is kept when it lowers the
     objective by a fair share of the quadratic model's prediction, and lam
     shrinks after good steps and grows after rejected ones. The squared hinge
     is piecewise quadratic, so undamped steps converge in a few iterations;
-    damping keeps large-C models stable where the active set keeps changing
-    (plain back-tracking stalls there). Needs J x D x D partial sums."""
-    J = problem.J
+    damping keeps large-C models stable where the active set keeps changing.
+    Returns (W, iterations, gradient norm relative to the start's) per model."""
+    J = len(cols)
     eye = np.eye(D)
     W = np.zeros((D, J))
-    f, g, H = problem.loss_grad(W, hessian=True)
+    f, g, H = problem.sums(W, cols)
     g0 = np.maximum(np.linalg.norm(g, axis=0), 1e-12)
-    lam = np.zeros(J)
+    lam, used = np.zeros(J), np.zeros(J, int)
     active = np.linalg.norm(g, axis=0) > tol * g0
     it = 0
     while it < max_iter and active.any():
         it += 1
         a = np.nonzero(active)[0]  # converged models are not evaluated again
+        used[a] = it
         p = np.linalg.solve(H[a] + lam[a, None, None] * eye[None], -g[:, a].T[:, :, None])[:, :, 0].T
-        f_try, g_try, H_try = problem.loss_grad(W[:, a] + p, hessian=True, cols=a)
+        f_try, g_try, H_try = problem.sums(W[:, a] + p, cols[a])
         predicted = -(g[:, a] * p).sum(0) - 0.5 * np.einsum("jd,jde,je->j", p.T, H[a], p.T)
         ratio = (f[a] - f_try) / np.maximum(predicted, 1e-300)
         good = ((f_try < f[a]) & (ratio > 1e-4)) | \
@@ -290,96 +299,23 @@ def _newton(problem: _Problem, D: int, max_iter: int, tol: float):
                           np.maximum(lam[a] * 10, 1e-6 * scale))
         lam[a] = np.where(good & (lam[a] < 1e-12 * scale), 0.0, lam[a])
         active &= np.linalg.norm(g, axis=0) > tol * g0
-    return W, it
-
-
-def _two_loop(g, S, Y, rho, count, memory):
-    """L-BFGS direction for every model at once (columns are models)."""
-    J = g.shape[1]
-    cols = np.arange(J)
-    q = -g.copy()
-    alphas = np.zeros((memory, J))
-    valid_n = np.minimum(count, memory)
-    for t in range(memory):
-        slot = (count - 1 - t) % memory
-        s_t, y_t = S[slot, :, cols].T, Y[slot, :, cols].T
-        a = np.where(t < valid_n, rho[slot, cols] * (s_t * q).sum(0), 0.0)
-        alphas[t] = a
-        q -= a * y_t
-    last = (count - 1) % memory
-    s_l, y_l = S[last, :, cols].T, Y[last, :, cols].T
-    gnorm = np.linalg.norm(g, axis=0).clip(1e-12)
-    gamma = np.where(count > 0, (s_l * y_l).sum(0) / np.maximum((y_l * y_l).sum(0), 1e-300),
-                     1.0 / gnorm)
-    q *= gamma
-    for t in reversed(range(memory)):
-        slot = (count - 1 - t) % memory
-        s_t, y_t = S[slot, :, cols].T, Y[slot, :, cols].T
-        b = rho[slot, cols] * (y_t * q).sum(0)
-        q += np.where(t < valid_n, alphas[t] - b, 0.0) * s_t
-    bad = (g * q).sum(0) >= 0  # not a descent direction: steepest descent
-    q[:, bad] = -g[:, bad] / gnorm[bad]
-    return q
-
-
-def _lbfgs(problem: _Problem, D: int, max_iter: int, tol: float, memory: int = 10):
-    """Independent L-BFGS runs (Armijo back-tracking) for all J models,
-    advanced together: one data pass per iteration evaluates every model's
-    trial point. Returns (W, iterations used)."""
-    J = problem.J
-    cols = np.arange(J)
-    W = np.zeros((D, J))
-    f, g = problem.loss_grad(W)
-    g0 = np.maximum(np.linalg.norm(g, axis=0), 1e-12)
-    S, Y = np.zeros((memory, D, J)), np.zeros((memory, D, J))
-    rho = np.zeros((memory, J))
-    count = np.zeros(J, dtype=int)
-    direction, step = np.zeros((D, J)), np.ones(J)
-    need = np.ones(J, dtype=bool)
-    active = np.linalg.norm(g, axis=0) > tol * g0
-    it = 0
-    while it < max_iter and active.any():
-        it += 1
-        if need.any():
-            fresh = _two_loop(g, S, Y, rho, count, memory)
-            direction[:, need] = fresh[:, need]
-            step[need] = 1.0
-            need[:] = False
-        move = np.where(active, step, 0.0)
-        slope = (g * direction).sum(0)
-        W_try = W + direction * move
-        f_try, g_try = problem.loss_grad(W_try)
-        ok = active & (f_try <= f + 1e-4 * move * slope)
-        s_new, y_new = W_try - W, g_try - g
-        sy = (s_new * y_new).sum(0)
-        push = ok & (sy > 1e-12 * np.linalg.norm(s_new, axis=0) * np.linalg.norm(y_new, axis=0))
-        slot = count % memory
-        S[slot[push], :, cols[push]] = s_new[:, push].T
-        Y[slot[push], :, cols[push]] = y_new[:, push].T
-        rho[slot[push], cols[push]] = 1.0 / sy[push]
-        count[push] += 1
-        W[:, ok], f[ok], g[:, ok] = W_try[:, ok], f_try[ok], g_try[:, ok]
-        need |= ok
-        step[active & ~ok] *= 0.5
-        active &= step >= 1e-12
-        active &= np.linalg.norm(g, axis=0) > tol * g0
-    return W, it
+    return W, used, np.linalg.norm(g, axis=0) / g0
 
 
 def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | None = None,
         max_iter: int = 200, tol: float = 1e-4, weighting: str = "positive",
         label_col: str = "class_id", features: str = "features",
-        fold_col: str | None = "fold", solver: str = "auto",
+        fold_col: str | None = "fold",
         n_components: int | None = None, width: int | None = None,
         pca_fit_rows: DataFrame | None = None) -> tuple[LinearOvRModel, DataFrame]:
     """Fit every (class, C, fold) model plus the all-rows refit per C, pick
     C by mean fold accuracy (first best wins, like the reference's grid
-    search) and return ``(model for the best C, report(C, cv_accuracy,
-    best))``. With one C value or ``n_folds = 0`` no cross-validation runs.
+    search) and return ``(model for the best C, report)``. With one C value or
+    ``n_folds = 0`` no cross-validation runs.
 
-    ``solver``: "newton" (damped Newton on the exact generalized Hessian;
-    needs J x (d+1)^2 doubles under the broadcast limit), "lbfgs" (any
-    width), or "auto".
+    The report has one row per C: ``C, cv_accuracy, best``, and over the
+    models of that C ``n_models``, ``n_unconverged`` (tolerance not reached
+    within ``max_iter``), ``max_iterations`` and ``max_rel_gradient``.
 
     ``n_components`` below the vector ``width`` (M1) centres and projects the
     features first; the basis is fitted on ``pca_fit_rows`` (the reference
@@ -392,7 +328,10 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
         pca = fit_pca(pca_fit_rows if pca_fit_rows is not None else df, n_components, width)
         df = project(pca, df, features)
     if classes is None:
-        classes = sorted(r[0] for r in df.select(label_col).distinct().collect())
+        labels = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+        if labels.count() * 64 > broadcast_limit(spark):
+            raise ValueError("more classes than a one-vs-rest model can hold")
+        classes = sorted(r[0] for r in labels.collect())
     K = len(classes)
     cls_lit = F.array(*[F.lit(int(c)) for c in classes])
     use_cv = n_folds > 0 and len(Cs) > 1 and fold_col is not None
@@ -435,16 +374,13 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
                     group_fold.append(f)
                     group_C.append(float(C))
         D = d + 1
-        if D * len(m_class) * 8 > broadcast_limit(spark):
-            raise ValueError("weight matrix exceeds the broadcast limit")
         prob = _Problem(data, d, np.array(m_class), np.array(m_C), np.array(m_fold),
                         np.array(wmat))
-        if solver == "auto":
-            solver = "newton" if D * D * len(m_class) * 8 <= broadcast_limit(spark) else "lbfgs"
-        if solver == "newton":
-            W, _ = _newton(prob, D, max_iter, tol)
-        else:
-            W, _ = _lbfgs(prob, D, max_iter, tol)
+        # as many models at a time as their sums fit the limit, one at least
+        step = max(1, int(broadcast_limit(spark) // (D * D * 8)))
+        solved = [_newton(prob, D, np.arange(lo, min(lo + step, prob.J)), max_iter, tol)
+                  for lo in range(0, prob.J, step)]
+        W, used, rel = (np.concatenate([x[i] for x in solved], axis=-1) for i in range(3))
         if use_cv:
             acc = prob.fold_accuracy(W, groups, np.array(group_fold))
             mean = [float(np.mean([a for a, c in zip(acc, group_C) if c == C])) for C in Cs]
@@ -456,6 +392,12 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
     Cb = float(Cs[best])
     pick = [j for j in range(len(m_class)) if m_C[j] == Cb and m_fold[j] == -1]
     model = LinearOvRModel(list(classes), W[:d, pick].T.copy(), W[d, pick].copy(), Cb, pca)
-    report = spark.createDataFrame([(float(c), m, i == best) for i, (c, m) in enumerate(zip(Cs, mean))],
-                                   "C double, cv_accuracy double, best boolean")
+    of_C = np.array(m_C)
+    rows = []
+    for i, (c, m) in enumerate(zip(Cs, mean)):
+        at = of_C == float(c)
+        rows.append((float(c), m, i == best, int(at.sum()), int((rel[at] > tol).sum()),
+                     int(used[at].max()), float(rel[at].max())))
+    report = spark.createDataFrame(rows, "C double, cv_accuracy double, best boolean, n_models int, "
+                                         "n_unconverged int, max_iterations int, max_rel_gradient double")
     return model, report

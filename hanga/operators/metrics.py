@@ -8,52 +8,19 @@ small table, never over the samples.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_distance
-from ..session import MAX_WIDTH, bounded_collect
-
-_CENTROID_LIST = "array<struct<class_id:int,centroid:array<double>>>"
-
-
-def centroid_literal(centroids: DataFrame, width: int = MAX_WIDTH,
-                     max_classes: int = 1000) -> Column:
-    """The class centroids as one constant ``array<struct<class_id,
-    centroid>>`` column. Centroids are bounded by the class dimension; the
-    bound is checked while they are fetched (one job)."""
-    rows = bounded_collect(centroids.select("class_id", "centroid"), max_classes,
-                           width * 8 + 16, "centroids")
-    payload = json.dumps([{"class_id": int(r["class_id"]),
-                           "centroid": [float(v) for v in r["centroid"]]} for r in rows])
-    return F.from_json(F.lit(payload), _CENTROID_LIST)
-
-
-def nearest_centroid(features, centroids: Column, round_to: int = 6) -> Column:
-    """Class of the nearest centroid; distance ties (after rounding) go to
-    the lowest class id."""
-    f = F.col(features) if isinstance(features, str) else features
-    scored = F.transform(centroids, lambda c: F.struct(
-        F.round(l2_distance(f, c.getField("centroid")), round_to).alias("d"),
-        c.getField("class_id").alias("class_id")))
-    return F.array_min(scored).getField("class_id")
-
+from ..session import cut_lineage
 
-def predict_nearest_centroid(df: DataFrame, centroids: DataFrame, features: str = "features",
-                             max_classes: int = 1000, width: int = MAX_WIDTH) -> DataFrame:
+def predict_nearest_centroid(df: DataFrame, centroids: DataFrame,
+                             features: str = "features") -> DataFrame:
     """Adds ``prediction`` = class of the nearest centroid (ties after
-    rounding to 1e-6 go to the lowest class id), using the codebook kernel:
-    centroids are fetched once (bounded) and scored per Arrow batch."""
-    import numpy as np
+    rounding to 1e-6 go to the lowest class id), with the codebook's blockwise
+    search: any number of classes works. The centroids are materialised once."""
     from .codebook import assign
-    rows = sorted(bounded_collect(centroids.select("class_id", "centroid"), max_classes,
-                                  width * 8 + 16, "centroids"), key=lambda r: r["class_id"])
-    ids = F.array(*[F.lit(int(r["class_id"])) for r in rows])
-    mat = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    out = assign(df, mat, features, method="pandas")
-    return out.withColumn("prediction", F.get(ids, F.col("code"))).drop("code", "dist")
+    book = cut_lineage(centroids.select(F.col("class_id").alias("code"), F.col("centroid").alias("center")))
+    return assign(df, book, features).withColumnRenamed("code", "prediction").drop("dist")
 
 
 def confusion(pred: DataFrame, label_col: str = "label",

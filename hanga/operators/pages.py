@@ -1,4 +1,5 @@
-"""Extraction over the stored-page table.
+"""Extraction over the stored-page table (S12, P1-P3, P6, P8, P9, H1-H15,
+F7, F8).
 
 Crawling is replaced by a table ``pages(page_id, url, html)``; every
 extraction is a pure projection of it, so re-running extraction never
@@ -7,8 +8,10 @@ re-fetches anything. All operators here are built-in column expressions
 anti join against the visited URLs, which grow with the crawl and are
 therefore not broadcast).
 
-Positional selectors that need a document tree (n-th ``div`` with a class,
-``p`` after a heading) live in ``pages_tree`` (a ``mapInPandas`` parser job).
+A catalogue record is one projection: the regions of the page become columns
+first, each field is an expression over its region, and the conditions a page
+must meet (an image, the origin, the class) are predicates whose first failure
+is the reject reason.
 """
 
 from __future__ import annotations
@@ -17,7 +20,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import page_key, shorten_key, site_prefix
+from ..functions.text import (cut_at_marker, default_to, first_present, page_key,
+                              shorten_key, site_prefix, unicode_trim)
+
+# Markup of the two catalogue sites (class tokens, headings,
+# link texts, field keys and markers); they must equal the sites' pages.
+RESULT_BOX = "search-result-data"
+PAGER = "pager-next"
+MARKUP_A = {
+    "hires_link": "Download publication quality tiff", "lowres_box": "media-asset-image",
+    "record_box": "group-right", "artist_box": "artist-name", "field_box": "field",
+    "artist_suffix": " (Japan", "date_prefix": "Japan, ", "title_jp": "Alternate Title",
+    "series": "Series", "dimensions": "Paper",
+}
+MARKUP_B = {
+    "column": "grid-6", "main": 3, "side": 4, "origin": "Japan", "class_heading": "Classifications",
+    "class_word": "Prints", "image_box": "image", "medium": "Medium or Technique",
+    "format": "Dimensions", "acc_num": "Accession Number", "state_box": "body",
+    "impressions": "MFA impressions: ", "signed": "Signed", "markings": "Markings",
+}
 
 
 def site_of(url, host_suffixes: list[str]) -> Column:
@@ -26,44 +47,49 @@ def site_of(url, host_suffixes: list[str]) -> Column:
     return F.coalesce(*[site_prefix(url, h) for h in host_suffixes])
 
 
+def absolute(site, href) -> Column:
+    """A link made absolute against its page's site: links with any scheme
+    stay as they are (P3)."""
+    has_scheme = F.col(href).rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    return F.when(has_scheme, F.col(href)).otherwise(F.concat(site, F.col(href)))
+
+
 def with_keys(pages: DataFrame, max_len: int = 200) -> DataFrame:
     """Adds ``page_key`` (P1) and ``short_key``."""
     return (pages.withColumn("page_key", page_key("url"))
             .withColumn("short_key", shorten_key("page_key", max_len)))
 
 
-def links(pages: DataFrame, host_suffixes: list[str]) -> DataFrame:
+def links(pages: DataFrame, host_suffixes: list[str], box: str | None = None) -> DataFrame:
     """One row per link of each page, in page order (H1): ``(page_id, pos,
-    href, link)`` where relative links are made absolute against the page's
-    site (P3)."""
-    site = site_of("url", host_suffixes)
-    exploded = pages.select("page_id", site.alias("site"),
-                            F.posexplode(H.link_hrefs("html")).alias("pos", "href"))
-    absolute = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href")) \
-        .otherwise(F.concat("site", "href"))
-    return exploded.select("page_id", "pos", "href", absolute.alias("link"))
+    href, link)``; with ``box`` only links inside ``div``s of that class (the
+    result box of a listing page)."""
+    hrefs = H.link_hrefs("html", "div", box) if box else H.link_hrefs("html")
+    exploded = pages.select("page_id", site_of("url", host_suffixes).alias("site"),
+                            F.posexplode(hrefs).alias("pos", "href"))
+    return exploded.select("page_id", "pos", "href", absolute(F.col("site"), "href").alias("link"))
 
 
 def next_page(pages: DataFrame, host_suffixes: list[str]) -> DataFrame:
     """Next-page link of listing pages (H2); pages without one are dropped."""
-    site = site_of("url", host_suffixes)
-    nxt = H.first_href_in("html", "li", "pager-next")
-    return (pages.select("page_id", F.concat(site, nxt).alias("link"))
-            .where(F.col("link").isNotNull()))
-
-
-def outgoing(pages: DataFrame, host_suffixes: list[str]) -> DataFrame:
-    """Every link a crawl would follow from each page — all ``<a href>``
-    targets (H1) plus the next-page link (H2) — as ``(page_id, link)``, made
-    absolute, from a single read of the page HTML."""
-    site = site_of("url", host_suffixes)
-    nxt = H.first_href_in("html", "li", "pager-next")
-    hrefs = F.concat(H.link_hrefs("html"),
-                     F.when(nxt.isNotNull(), F.array(nxt)).otherwise(F.array().cast("array<string>")))
-    exploded = pages.select("page_id", site.alias("site"), F.explode(hrefs).alias("href"))
-    absolute = F.when(F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.col("href")) \
-        .otherwise(F.concat("site", "href"))
-    return exploded.select("page_id", absolute.alias("link"))
+    found = pages.select("page_id", site_of("url", host_suffixes).alias("site"),
+                         H.first_href_in("html", "li", PAGER).alias("href"))
+    return (found.where(F.col("href").isNotNull())
+            .select("page_id", absolute(F.col("site"), "href").alias("link")))
+
+
+def outgoing(pages: DataFrame, host_suffixes: list[str], box: str | None = RESULT_BOX) -> DataFrame:
+    """Every page a crawl would follow from each listing page — the links of
+    the result box (H1; ``box=None``: of the whole page) plus the next-page
+    link (H2) — as ``(page_id, link)``, made absolute, from a single read of
+    the page HTML. Links that are not web pages (``mailto:`` and the like) are
+    left out."""
+    hrefs = H.link_hrefs("html", "div", box) if box else H.link_hrefs("html")
+    nxt = F.slice(H.link_hrefs("html", "li", PAGER), 1, 1)
+    exploded = pages.select("page_id", site_of("url", host_suffixes).alias("site"),
+                            F.explode(F.concat(hrefs, nxt)).alias("href"))
+    other = F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~F.col("href").rlike("(?i)^https?://")
+    return exploded.where(~other).select("page_id", absolute(F.col("site"), "href").alias("link"))
 
 
 def frontier(found: DataFrame, visited: DataFrame, link_col: str = "link",
@@ -75,9 +101,9 @@ def frontier(found: DataFrame, visited: DataFrame, link_col: str = "link",
 
 
 def record_fields(pages: DataFrame) -> DataFrame:
-    """Common record fields of a stored page: key, title, first heading,
-    first comment and its image source, the ``<br>`` date span (H5, H10,
-    H11)."""
+    """Common record fields of a stored page: key, title, first heading, first
+    comment and its image source, the ``<br>`` date span of the first
+    paragraph, ``Unknown`` when it has none (H5, H10, H11, P9)."""
     comment = H.first_comment("html")
     return with_keys(pages).select(
         "page_id", "url", "page_key",
@@ -85,4 +111,92 @@ def record_fields(pages: DataFrame) -> DataFrame:
         H.first_text("html", "h1").alias("h1"),
         comment.alias("comment"),
         H.comment_src(comment).alias("image_url"),
-        H.br_span("html").alias("date"))
+        default_to(H.br_span(F.get(H.elements("html", "p"), 0))).alias("date"))
+
+
+def _with_reason(records: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
+    """Adds ``reject_reason``: the name of the first check that does not hold,
+    NULL for an accepted record."""
+    failed = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]
+    return records.withColumn("reject_reason", F.coalesce(*failed))
+
+
+def records_a(pages: DataFrame, host: str, markup: dict = MARKUP_A) -> DataFrame:
+    """Object records of site A (H13): title, artist, date, dimensions and
+    images per page. A page without any image has ``reject_reason``
+    ``no_image``; a missing artist stays NULL (K8)."""
+    m = markup
+    parts = pages.select(
+        "url", page_key("url").alias("page_key"),
+        H.link_with_text("html", m["hires_link"]).alias("hires"),
+        H.first_attr("html", "div", m["lowres_box"], "img", "src").alias("lowres"),
+        F.array_join(H.regions("html", "div", m["record_box"]), "\n").alias("record"))
+    parts = parts.withColumn(
+        "fields", F.transform(H.regions("record", "div", m["field_box"]),
+                              lambda f: H.unescape(F.regexp_extract(f, "^([^<]*)", 1))))
+    dates = F.filter(F.transform("fields", lambda f: H.anchored_field(f, m["date_prefix"])),
+                     lambda d: d.isNotNull())
+    hires = F.concat(F.coalesce(site_prefix("url", host), F.lit("")), F.col("hires"))
+    image = first_present(F.when(F.col("hires") != "", hires), "lowres")
+    artist = H.first_text(H.region("record", "div", m["artist_box"]), "a")
+    records = parts.select(
+        "url", "page_key",
+        H.first_text("record", "h1").alias("title_EN"),
+        H.key_value("fields", m["title_jp"]).alias("title_JP"),
+        cut_at_marker(artist, m["artist_suffix"]).alias("artist"),
+        F.try_element_at(dates, F.lit(-1)).alias("date"),
+        H.key_value("fields", m["dimensions"]).alias("dimensions"),
+        H.key_value("fields", m["series"]).alias("series"),
+        F.when(image.isNotNull(), F.array(image)).alias("image_urls"))
+    return _with_reason(records, [("no_image", F.col("image_urls").isNotNull())])
+
+
+def records_b(pages: DataFrame, markup: dict = MARKUP_B) -> DataFrame:
+    """Object records of site B (H14). The origin (F7), the class (F8) and an
+    image in the comment of the image box (H10) are required; the artist, the
+    publisher and the date stand in the page's first paragraph (K11)."""
+    m = markup
+    parts = with_keys(pages).select(
+        "url", F.col("short_key").alias("page_key"),
+        H.region("html", "div", m["column"], m["main"]).alias("main"),
+        H.region("html", "div", m["column"], m["side"]).alias("side"),
+        H.comment_src(H.first_comment("html", "div", m["image_box"])).alias("image"),
+        F.get(H.elements("html", "p"), 0).alias("first_p"))
+
+    def of(region, heading, level="h4", **how):
+        return H.text_after_heading(region, level, heading, **how)
+
+    state = H.first_text(H.region("side", "div", m["state_box"]), "p")
+    records = parts.select(
+        "url", "page_key",
+        unicode_trim(H.first_text("main", "h2")).alias("title_EN"),
+        unicode_trim(H.first_text("main", "h3")).alias("title_JP"),
+        H.nth_link_text("first_p", 1).alias("artist"),
+        H.nth_link_text("first_p", 2).alias("publisher"),
+        default_to(H.br_span("first_p")).alias("date"),
+        of("main", m["medium"]).alias("medium"),
+        of("main", m["format"]).alias("format"),
+        of("main", m["acc_num"]).alias("acc_num"),
+        H.after_marker(state, m["impressions"]).alias("mfa_dups"),
+        of("side", m["signed"], "h3", adjacent=False).alias("signed"),
+        of("side", m["markings"], "h3", adjacent=False).alias("markings"),
+        F.when(F.col("image").isNotNull(), F.array("image")).alias("image_urls"),
+        H.first_text("main", "p").alias("origin"),
+        of("main", m["class_heading"], link=True).alias("classes"))
+    return _with_reason(records, [
+        ("no_origin", F.col("origin").isNotNull()),
+        ("other_origin", from_origin("origin", m["origin"])),
+        ("no_classification", F.col("classes").isNotNull()),
+        ("other_class", of_class("classes", m["class_word"])),
+        ("no_image", F.col("image_urls").isNotNull()),
+    ]).drop("origin", "classes")
+
+
+def from_origin(origin, wanted: str = MARKUP_B["origin"]) -> Column:
+    """The origin text starts with the wanted country."""
+    return F.col(origin).startswith(wanted)
+
+
+def of_class(classes, word: str = MARKUP_B["class_word"]) -> Column:
+    """The classification text names the wanted class (F8)."""
+    return F.col(classes).contains(word)

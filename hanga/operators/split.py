@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import cut_lineage, measured_broadcast
 
 BUCKET_HEX = 4
 N_BUCKETS = 16 ** BUCKET_HEX
@@ -43,14 +43,14 @@ def _bucket_offsets(hashed: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, key_col: str = "key", group_cols: list[str] | None = None,
-              seed: str = "", max_groups: int = 1) -> DataFrame:
+              seed: str = "") -> DataFrame:
     """Adds ``hash_rank`` (0-based position in md5 order within the group) and
-    ``group_size``. ``max_groups`` bounds the number of distinct groups (e.g.
-    the class-dimension size) to check the offset table before broadcast."""
+    ``group_size``. The offset table is materialised and broadcast only when
+    its measured size fits the limit."""
     group_cols = group_cols or []
     hashed = _hashed(df, key_col, seed)
     offsets = _bucket_offsets(hashed, group_cols)
-    side = bounded_broadcast(offsets, max_groups * N_BUCKETS, 48)
+    side = measured_broadcast(offsets, 64)
     local = Window.partitionBy(*group_cols, "__b").orderBy("__h", key_col)
     return (hashed.join(side, [*group_cols, "__b"])
             .withColumn("hash_rank", F.col("__off") + F.row_number().over(local) - 1)
@@ -65,28 +65,29 @@ def train_test_split(df: DataFrame, train_fraction: float, key_col: str = "key",
     hashed = _hashed(df, key_col, seed)
     offsets = _bucket_offsets(hashed, []).withColumn(
         "__ntrain", F.floor(F.col("__n") * F.lit(float(train_fraction))))
-    side = bounded_broadcast(offsets, N_BUCKETS, 48)
-    j = hashed.join(side, "__b")
-    decided = F.when(F.col("__off") + F.col("__cnt") <= F.col("__ntrain"), F.lit("train")) \
-        .when(F.col("__off") >= F.col("__ntrain"), F.lit("test"))
-    j = j.withColumn("split", decided)
-    settled = j.where(F.col("split").isNotNull())
-    cut = j.where(F.col("split").isNull())
-    # only the one bucket straddling the cut is ranked
+    side = F.broadcast(cut_lineage(offsets))  # one row per bucket: a proven bound (3 MB)
+    # rank only the keys of the one bucket that straddles the cut; its first
+    # rows up to the cut are train, everything else follows from its bucket
+    straddles = (F.col("__off") < F.col("__ntrain")) & (F.col("__off") + F.col("__cnt") > F.col("__ntrain"))
+    cut = side.where(straddles).select("__b", "__off", "__ntrain")
     w = Window.partitionBy("__b").orderBy("__h", key_col)
-    cut = cut.withColumn("split", F.when(
-        F.col("__off") + F.row_number().over(w) - 1 < F.col("__ntrain"), F.lit("train"))
-        .otherwise(F.lit("test")))
-    drop = ["__h", "__b", "__cnt", "__off", "__n", "__ntrain"]
-    return settled.drop(*drop).unionByName(cut.drop(*drop))
+    first = (hashed.select(key_col, "__h", "__b").join(cut, "__b")
+             .withColumn("__r", F.row_number().over(w))
+             .where(F.col("__off") + F.col("__r") <= F.col("__ntrain"))
+             .groupBy("__b").agg(F.max(F.struct("__h", key_col)).alias("__last")))
+    j = hashed.join(side, "__b").join(F.broadcast(first), "__b", "left")  # at most one bucket
+    in_train = (F.col("__off") + F.col("__cnt") <= F.col("__ntrain")) | (
+        straddles & (F.struct("__h", key_col) <= F.col("__last")))
+    return (j.withColumn("split", F.when(F.coalesce(in_train, F.lit(False)), F.lit("train"))
+                         .otherwise(F.lit("test")))
+            .drop("__h", "__b", "__cnt", "__off", "__n", "__ntrain", "__last"))
 
 
 def stratified_folds(df: DataFrame, n_folds: int = 3, key_col: str = "key",
-                     label_col: str = "class_id", seed: str = "",
-                     max_classes: int = 1000) -> DataFrame:
+                     label_col: str = "class_id", seed: str = "") -> DataFrame:
     """Adds ``fold`` = (rank within class in md5 order) mod ``n_folds`` (M7),
     so every fold gets an equal share of every class."""
-    r = hash_rank(df, key_col, [label_col], seed, max_classes)
+    r = hash_rank(df, key_col, [label_col], seed)
     return r.withColumn("fold", (F.col("hash_rank") % n_folds).cast("int")) \
         .drop("hash_rank", "group_size")
 
@@ -102,8 +103,8 @@ def class_weights(df: DataFrame, label_col: str = "class_id") -> DataFrame:
         .alias("weight"))
 
 
-def with_class_weights(df: DataFrame, max_classes: int, label_col: str = "class_id",
+def with_class_weights(df: DataFrame, label_col: str = "class_id",
                        weight_col: str = "weight") -> DataFrame:
     """Attach each row's balanced class weight (for ``weightCol``)."""
     w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(bounded_broadcast(w, max_classes, 32), label_col)
+    return df.join(measured_broadcast(w, 32), label_col)

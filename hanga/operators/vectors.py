@@ -9,8 +9,10 @@ Scale notes
 * Means use ``Summarizer`` (an MLlib aggregate with map-side partial merge):
   one buffer of width d per class per task, so a class holding a third of all
   rows costs no more than any other class and nothing is exploded per element.
-* The centroid table has at most |class_dim| + 1 rows; it is broadcast only
-  after that bound times the width is checked (``bounded_broadcast``).
+* The centroid table has one row per class that occurs; it is materialised
+  once and broadcast only when its measured size fits the limit.
+* A NULL vector, or one of another width, has no distance: such samples take
+  no part in any ranking and ``incomparable`` lists them with a reason.
 * Top-k per class uses ``row_number`` with a rank filter, which Spark plans
   as a partial WindowGroupLimit before the shuffle, so at most k rows per
   class leave each task.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance, vector_literal
-from ..session import MAX_WIDTH, bounded_broadcast, vector_width  # noqa: F401
+from ..session import (MAX_WIDTH, measured_broadcast, vector_width)  # noqa: F401
 
 GLOBAL_CLASS = -1  # class id of the all-samples centroid (A4)
 
@@ -61,32 +63,37 @@ def class_centroids(samples: DataFrame, include_global: bool = True) -> DataFram
         F.lit(GLOBAL_CLASS).cast("int").alias("class_id"), "n", "centroid"))
 
 
-def _centroid_side(centroids: DataFrame, max_classes: int, width: int) -> DataFrame:
-    return bounded_broadcast(centroids, max_classes + 1, 8 * width + 64)
+def comparable(samples: DataFrame, width: int) -> DataFrame:
+    """Samples whose vector has the given width."""
+    return samples.where(F.size("features") == width)  # NULL: not equal
 
 
-def with_centroid_distance(samples: DataFrame, max_classes: int,
-                           width: int | None = None) -> DataFrame:
-    """Each sample joined to its own class centroid (J5) with ``dist``. The
-    broadcast bound uses ``width`` or the accepted width cap (vectors are
-    validated on read), so no probe job runs."""
-    width = width or MAX_WIDTH
-    cents = class_centroids(samples, include_global=False).select(
-        "class_id", "centroid")
-    side = _centroid_side(cents, max_classes, width)
+def incomparable(samples: DataFrame, width: int) -> DataFrame:
+    """Reject table: ``(key, class_id, reason)`` of samples that have no
+    vector or one of another width."""
+    reason = F.when(F.col("features").isNull(), F.lit("no_vector")) \
+        .when(F.size("features") != width, F.lit("width_mismatch"))
+    return samples.select("key", "class_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def with_centroid_distance(samples: DataFrame, width: int | None = None) -> DataFrame:
+    """Each sample joined to its own class centroid (J5) with ``dist``. With
+    ``width`` samples of another width are left out first (``incomparable``);
+    without it all vectors must share one width."""
+    if width is not None:
+        samples = comparable(samples, width)
+    cents = class_centroids(samples, include_global=False).select("class_id", "centroid")
+    side = measured_broadcast(cents, 64, "centroid")
     return (samples.join(side, "class_id")
             .withColumn("dist", l2_distance("features", "centroid"))
             .drop("centroid"))
 
 
-def class_stats(samples: DataFrame, class_dim: DataFrame,
-                width: int | None = None, max_classes: int | None = None) -> DataFrame:
+def class_stats(samples: DataFrame, class_dim: DataFrame, width: int | None = None) -> DataFrame:
     """Per class: sample count (A2), mean and population variance of the
     distance to the class centroid (A5). Classes without samples are listed
-    with n = 0 and NULL statistics (trap 12). ``max_classes`` bounds the class
-    dimension when the caller knows it; otherwise it is counted."""
-    n_classes = max_classes if max_classes is not None else class_dim.count()
-    dist = with_centroid_distance(samples, n_classes, width)
+    with n = 0 and NULL statistics (trap 12)."""
+    dist = with_centroid_distance(samples, width)
     stats = dist.groupBy("class_id").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.avg("dist").alias("dist_mean"),
@@ -103,26 +110,25 @@ def centroids_long(centroids: DataFrame) -> DataFrame:
                             F.posexplode("centroid").alias("dim", "mean"))
 
 
-def inter_class_distance(centroids: DataFrame, max_classes: int,
-                         width: int) -> DataFrame:
+def inter_class_distance(centroids: DataFrame) -> DataFrame:
     """L2 distance between every pair of centroids including the global one
-    (J6). The pair count is bounded by the class dimension, not by the data;
-    it is computed as an equi-join on the element index."""
+    (J6). The pair count is bounded by the classes, not by the data; it is
+    computed as an equi-join on the element index."""
     long = centroids.select("class_id", F.posexplode("centroid").alias("dim", "v"))
+    long = measured_broadcast(long, 24)
     left = long.select(F.col("class_id").alias("class_i"), "dim", F.col("v").alias("vi"))
     right = long.select(F.col("class_id").alias("class_j"), "dim", F.col("v").alias("vj"))
-    right = bounded_broadcast(right, (max_classes + 1) * width, 24)
     return (left.join(right, "dim")
             .groupBy("class_i", "class_j")
             .agg(F.sqrt(F.sum((F.col("vi") - F.col("vj")) ** 2)).alias("dist")))
 
 
-def ranked_by_centroid(samples: DataFrame, max_classes: int, k: int = 5,
-                       farthest: bool = False, width: int | None = None) -> DataFrame:
+def ranked_by_centroid(samples: DataFrame, k: int = 5, farthest: bool = False,
+                       width: int | None = None) -> DataFrame:
     """The k samples nearest to (T6) or farthest from (T7) their class
     centroid, ranked 1..k per class. Ties on distance (rounded to 1e-6) go to
     the lower key; a class with fewer than k samples lists all of them."""
-    dist = with_centroid_distance(samples, max_classes, width)
+    dist = with_centroid_distance(samples, width).where(F.col("dist").isNotNull())
     d6 = F.round("dist", 6)
     order = [d6.desc(), F.col("key").desc()] if farthest else [d6.asc(), F.col("key").asc()]
     w = Window.partitionBy("class_id").orderBy(*order)
@@ -137,13 +143,16 @@ def query_vector(samples: DataFrame, query_key):
     row = samples.where(F.col("key") == F.lit(query_key)).select("features").first()
     if row is None:
         raise KeyError(f"Key not found: {query_key}")
+    if row["features"] is None:
+        raise ValueError(f"Key without a vector: {query_key}")
     return list(row["features"])
 
 
 def with_query_distance(samples: DataFrame, query_key) -> DataFrame:
-    """All samples with ``dist`` to the query vector."""
-    q = vector_literal(query_vector(samples, query_key))
-    return samples.withColumn("dist", l2_distance("features", q))
+    """All comparable samples with ``dist`` to the query vector (J4); samples
+    without a vector of the query's width are left out (``incomparable``)."""
+    q = query_vector(samples, query_key)
+    return comparable(samples, len(q)).withColumn("dist", l2_distance("features", vector_literal(q)))
 
 
 def knn(samples: DataFrame, query_key, k: int = 10) -> DataFrame:

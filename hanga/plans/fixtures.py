@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double_array
+from ..operators.catalog import label_lines as label_lines_of
 
 N_CLASSES = 15
 N_IMAGES = 25  # embeddings grouped into this many "images" for A6
@@ -64,10 +65,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key::artist`` label lines, one per catalogue record, in doc order."""
-    return documents(spark, sf_dir).select(
-        F.col("doc_id").alias("line_no"),
-        F.concat_ws("::", "key", "artist").alias("value"))
+    """Label lines, one per catalogue record, in doc order: ``key::artist`` as
+    ``catalog.label_lines`` writes them, with some broken ones (one separator
+    short, one too many)."""
+    lines = label_lines_of(documents(spark, sf_dir))
+    kind = F.col("doc_id") % 11
+    broken = F.when(kind == 3, F.concat("key", F.lit(":"), "artist")) \
+        .when(kind == 5, F.concat("value", F.lit("::x"))).otherwise(F.col("value"))
+    return lines.select(F.col("doc_id").alias("line_no"), broken.alias("value"))
 
 
 def labelled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,3 +93,65 @@ HOSTS = ["example.com", "example.net", "example.org"]  # crawled site suffixes
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+def long_urls(pages: DataFrame) -> DataFrame:
+    """The pages with every tenth url lengthened beyond the key limit."""
+    longer = F.concat("url", F.lit("/"), F.repeat(F.lit("segment-"), 30), F.col("page_id").cast("string"))
+    return pages.withColumn("url", F.when(F.col("page_id") % 10 == 1, longer).otherwise(F.col("url")))
+
+
+SITE = "http://collections.example.org"
+
+
+def _page(*parts) -> F.Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages built from catalogue rows: navigation, a result box with
+    a nested container and both quote styles, a pager on most pages."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    i = F.col("doc_id")
+    pager = F.when(i % 4 != 0, _page('<ul><li class="pager-next last"><a href="/s?page=', i, '">next</a></li></ul>')) \
+        .otherwise("")
+    html = _page('<nav><a href="/nav/', i, '">nav</a></nav><div class="search-result-data"><div><a href="/o/', i,
+                 '?a=1&amp;b=2">one</a></div><a class="x" href=\'/p/', i,
+                 '\'>two</a><a href="mailto:x@example.org">mail</a></div>', pager,
+                 '<footer><a href="http://other.example.com/">out</a></footer>')
+    return d.select(i.alias("page_id"), _page(SITE, "/search/", i).alias("url"), html.alias("html"))
+
+
+def object_pages_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-A object pages whose fields are columns of ``documents``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    i, n = F.col("doc_id"), F.col("n_chars")
+    hires = F.when(i % 3 == 0, _page('<a href="/dl/', i, '.tif">  Download  publication quality tiff </a>')).otherwise("")
+    lowres = F.when(i % 5 != 1, _page('<div class="media-asset-image box"><img alt="x" src="http://img/', i,
+                                      '.jpg"></div>')).otherwise("")
+    artist = F.when(i % 7 != 2, _page('<div class="artist-name"><a href="/a">', F.col("source"),
+                                      ' (Japan, ', n, ')</a></div>')).otherwise("")
+    html = _page("<h1>site</h1>", lowres, '<div class="group-right"><div><h1>Work &amp; ', i, "</h1></div>", artist,
+                 '<div class="field">Japan, ', n, "\t</div>",
+                 '<div class="field">Series: old; Alternate Title:\u3000', F.col("lang"), "\u3000; Paper: ", n,
+                 ' cm</div><div class="field">Series: ', F.col("source"), "</div></div>", hires)
+    return d.select(i.alias("page_id"), _page(SITE, "/node/", i).alias("url"), html.alias("html"))
+
+
+def object_pages_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-B object pages whose fields are columns of ``documents``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    i, n = F.col("doc_id"), F.col("n_chars")
+    date = F.when(i % 4 != 1, _page("<br>Edo ", n, "<br>more")).otherwise("")
+    origin = F.when(i % 6 == 2, "China").when(i % 6 == 4, "").otherwise("Japan, Edo")
+    kind = F.when(i % 5 == 3, "Drawings").otherwise("Prints")
+    image = F.when(i % 9 == 5, "").otherwise(_page('<!-- <img src="http://img/', i, '.jpg"> -->'))
+    marks = F.when(i % 2 == 0, _page("<div>x</div><p>mark ", i, "</p>")).otherwise("")
+    html = _page('<!-- ad --><p><a href="/a">', F.col("source"), '</a> <a href="/p">', F.col("lang"), "</a>", date,
+                 '</p><div class="grid-6">1</div><div class="x grid-6">2</div><div class="grid-6 main"><p>', origin,
+                 "</p><h2> Work ", i, " </h2><h3>\u3000", F.col("lang"), "</h3><h4>Classifications</h4><p><a>", kind,
+                 "</a></p><h4> Medium  or Technique </h4><p>ink ", n, "</p><h4>Dimensions</h4><div></div><p>", n,
+                 " mm</p><h4>Accession Number</h4><p>", i, '</p></div><div class="grid-6 side"><div class="body"><p>'
+                 "Other MFA impressions: ", n, "</p></div><h3>Signed</h3><div>y</div><p>", F.col("source"),
+                 "</p><h3>Markings</h3>", marks, '</div><div class="image">', image, "</div>")
+    return d.select(i.alias("page_id"), _page("http://www.example.net/o/", i).alias("url"), html.alias("html"))

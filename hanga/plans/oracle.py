@@ -84,7 +84,9 @@ FROM qd GROUP BY class_id""",
 _D = """docs AS (SELECT doc_id, source AS artist, md5(text) AS key FROM documents),
 cd AS (SELECT 'src' || CAST(i AS VARCHAR) AS class_name, CAST(i AS INTEGER) AS class_id
        FROM range(15) t(i)),
-lines AS (SELECT doc_id AS line_no, key || '::' || artist AS value FROM docs),
+lines AS (SELECT doc_id AS line_no, CASE WHEN doc_id % 11 = 3 THEN key || ':' || artist
+                 WHEN doc_id % 11 = 5 THEN key || '::' || artist || '::x'
+                 ELSE key || '::' || artist END AS value FROM docs),
 parsed AS (SELECT line_no, value, string_split(trim(value), '::') AS p FROM lines),
 ok AS (SELECT line_no, p[1] AS key, p[2] AS artist FROM parsed WHERE len(p) = 2),
 lab AS (SELECT ok.line_no, ok.key, cd.class_id FROM ok JOIN cd ON ok.artist = cd.class_name),
@@ -141,7 +143,36 @@ WHERE CAST(doc_id AS VARCHAR) || '.jpg' IN (SELECT CAST(doc_id AS VARCHAR) || '.
 
     "incremental_pending": """
 SELECT doc_id, CAST(doc_id AS VARCHAR) AS key FROM documents
-WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)""",
+WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark WHERE item_id % 3 <> 0)""",
+
+    "vector_rejects": """
+SELECT vec_id AS key, CAST(label AS INTEGER) AS class_id,
+       CASE vec_id % 7 WHEN 1 THEN 'width_mismatch' ELSE 'no_vector' END AS reason
+FROM embeddings WHERE vec_id % 7 IN (1, 2)""",
+
+    "text_fields": """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' (Japan) ' || source ELSE source END AS artist,
+       CASE WHEN doc_id % 3 = 1 AND lang <> '' THEN lang ELSE source END AS title,
+       CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) ELSE 'Unknown' END AS date
+FROM documents""",
+
+    "label_lines": "SELECT md5(text) AS key, source AS artist FROM documents",
+
+    "value_list": """
+SELECT source AS value, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY source""",
+
+    "keyed_shard": """
+SELECT DISTINCT md5(text) AS key FROM documents WHERE substr(md5(text), 1, 1) IN ('7', 'a')""",
+
+    "catalogue_rejects": """
+SELECT doc_id, CASE doc_id % 9 WHEN 4 THEN 'bad_json' ELSE 'no_artist' END AS reason
+FROM documents WHERE doc_id % 9 IN (4, 7)""",
+
+    "descriptor_job": """
+SELECT doc_id AS key, length(text) AS size,
+       length(text) - length(replace(text, 'a', '')) AS n_a, length(text) - length(replace(text, 'e', '')) AS n_e,
+       length(text) - length(replace(text, 'i', '')) AS n_i, length(text) - length(replace(text, 'o', '')) AS n_o
+FROM documents WHERE text <> ''""",
 })
 
 # md5-ordered split (train = first floor(n * 0.75)) and nearest-centroid predictions
@@ -282,16 +313,24 @@ def _unescape(expr: str) -> str:
 
 
 _LINKS = f"""lk AS (SELECT page_id, {_site('url')} AS site,
-               regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages),
-links AS (SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS href, site
-          FROM lk),
+               regexp_extract_all(html, '<a\\s[^>]*>') AS tags FROM pages),
+hr AS (SELECT page_id, site, list_filter(list_transform(tags, lambda t: coalesce(
+               nullif(regexp_extract(t, '\\shref\\s*=\\s*"([^"]*)"', 1), ''),
+               nullif(regexp_extract(t, '\\shref\\s*=\\s*''([^'']*)''', 1), ''))), lambda h: h IS NOT NULL) AS l FROM lk),
+links AS (SELECT page_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS pos, unnest(l) AS raw, site FROM hr),
+links1 AS (SELECT page_id, pos, {_unescape('raw')} AS href, site FROM links),
 links2 AS (SELECT page_id, pos, href,
-                  CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN href
-                       ELSE site || href END AS link FROM links)"""
+                  CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href
+                       ELSE site || href END AS link FROM links1),
+web AS (SELECT * FROM links2 WHERE NOT regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:')
+        OR regexp_matches(lower(href), '^https?://'))"""
 
 ORACLE_SQL.update({
     "page_key": """
-WITH k AS (SELECT page_id, string_split(url, '/')[-1] AS page_key FROM pages)
+WITH u AS (SELECT page_id, CASE WHEN page_id % 10 = 1
+                  THEN url || '/' || repeat('segment-', 30) || CAST(page_id AS VARCHAR) ELSE url END AS url
+           FROM pages),
+k AS (SELECT page_id, string_split(url, '/')[-1] AS page_key FROM u)
 SELECT page_id, page_key,
        CASE WHEN length(page_key) > 200
             THEN string_split(page_key, '-')[1] || '-TRUNC-' || string_split(page_key, '-')[-1]
@@ -304,18 +343,105 @@ FROM k""",
 
     "page_frontier": f"""
 WITH {_LINKS}
-SELECT DISTINCT link FROM links2
-WHERE link IS NOT NULL AND link NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""",
+SELECT DISTINCT link FROM web
+WHERE link IS NOT NULL AND link NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)
+  AND link NOT IN (SELECT link FROM web WHERE page_id % 5 = 0 AND link IS NOT NULL)""",
+
+    "listing_links": """
+WITH p AS (SELECT doc_id AS page_id, 'http://collections.example.org' AS site, CAST(doc_id AS VARCHAR) AS i FROM documents)
+SELECT page_id, site || '/o/' || i || '?a=1&b=2' AS link FROM p
+UNION ALL SELECT page_id, site || '/p/' || i FROM p
+UNION ALL SELECT page_id, site || '/s?page=' || i FROM p WHERE page_id % 4 <> 0""",
+
+    "site_a_records": """
+SELECT CAST(doc_id AS VARCHAR) AS page_key, 'Work & ' || doc_id AS title_EN, lang AS title_JP,
+       CASE WHEN doc_id % 7 <> 2 THEN source END AS artist, CAST(n_chars AS VARCHAR) AS date,
+       n_chars || ' cm' AS dimensions, source AS series,
+       CASE WHEN doc_id % 3 = 0 THEN 'http://collections.example.org/dl/' || doc_id || '.tif'
+            WHEN doc_id % 5 <> 1 THEN 'http://img/' || doc_id || '.jpg' END AS image_url,
+       CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 1 THEN 'no_image' END AS reject_reason
+FROM documents""",
+
+    "site_b_records": """
+SELECT CAST(doc_id AS VARCHAR) AS page_key, 'Work ' || doc_id AS title_EN, lang AS title_JP, source AS artist,
+       lang AS publisher, CASE WHEN doc_id % 4 <> 1 THEN 'Edo ' || n_chars ELSE 'Unknown' END AS date,
+       'ink ' || n_chars AS medium, n_chars || ' mm' AS format, CAST(doc_id AS VARCHAR) AS acc_num,
+       CAST(n_chars AS VARCHAR) AS mfa_dups, source AS signed,
+       CASE WHEN doc_id % 2 = 0 THEN 'mark ' || doc_id END AS markings,
+       CASE WHEN doc_id % 9 <> 5 THEN 'http://img/' || doc_id || '.jpg' END AS image_url,
+       CASE WHEN doc_id % 6 = 4 THEN 'no_origin' WHEN doc_id % 6 = 2 THEN 'other_origin'
+            WHEN doc_id % 5 = 3 THEN 'other_class' WHEN doc_id % 9 = 5 THEN 'no_image' END AS reject_reason
+FROM documents""",
 
     "page_record": f"""
 WITH c AS (SELECT page_id, url, html,
-                  nullif(regexp_extract(html, '<!--((?:[^-]|-[^-])*)-->', 1), '') AS comment
+                  nullif(regexp_extract(html, '(?s)<!--(.*?)-->', 1), '') AS comment,
+                  regexp_extract(html, '<p(?:\\s[^>]*)?>(?s:(.*?))(?:<p[\\s>]|</p[\\s>]|$)', 1) AS first_p
            FROM pages)
 SELECT page_id, string_split(url, '/')[-1] AS page_key,
        nullif({_unescape("regexp_extract(html, '<title(?:\\s[^>]*)?>([^<]*)', 1)")}, '') AS title,
        nullif({_unescape("regexp_extract(html, '<h1(?:\\s[^>]*)?>([^<]*)', 1)")}, '') AS h1,
        comment,
        nullif(regexp_extract(comment, 'src="(\\S*)"', 1), '') AS image_url,
-       nullif(regexp_extract(html, '<br>([^\\n]*)<br>', 1), '') AS date
+       coalesce(nullif({_unescape("regexp_extract(first_p, '<br\\s*/?>([^\\n]*)<br\\s*/?>', 1)")}, ''), 'Unknown') AS date
 FROM c""",
 })
+
+
+def _kmeans_sql(k: int = 16, attempts: int = 10, iterations: int = 10, tol: float = 1e-4) -> str:
+    """Every attempt's Lloyd iterations, unrolled; an attempt stands still once
+    no centre of it moved more than ``tol``."""
+    ctes = [_S, f"""h AS (SELECT a.att, s.f, row_number() OVER (PARTITION BY a.att
+              ORDER BY md5(CAST(a.att AS VARCHAR) || ':' || CAST(s.key AS VARCHAR)), s.key) - 1 AS code
+       FROM s, (SELECT CAST(i AS INTEGER) AS att FROM range({attempts}) t(i)) a)""",
+            f"c0 AS MATERIALIZED (SELECT att, CAST(code AS INTEGER) AS code, f AS cf, TRUE AS live FROM h WHERE code < {k})"]
+    for i in range(iterations):
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT s.key, c.att,
+              arg_min(c.code, (round(list_distance(s.f, c.cf), 6), c.code)) AS code
+       FROM s, c{i} c WHERE c.live GROUP BY s.key, c.att)""")
+        ctes.append(f"""m{i} AS MATERIALIZED (SELECT att, code, list(m ORDER BY dim) AS cf FROM (
+              SELECT att, code, dim, avg(v) AS m FROM (
+                SELECT a.att, a.code, unnest(range(0, len(s.f))) AS dim, unnest(s.f) AS v
+                FROM a{i} a JOIN s USING (key)) GROUP BY att, code, dim) GROUP BY att, code)""")
+        ctes.append(f"""n{i} AS MATERIALIZED (SELECT c.att, c.code, coalesce(m.cf, c.cf) AS cf, c.live,
+              list_distance(c.cf, coalesce(m.cf, c.cf)) AS shift FROM c{i} c LEFT JOIN m{i} m USING (att, code))""")
+        ctes.append(f"""c{i + 1} AS MATERIALIZED (SELECT att, code, cf,
+              live AND max(shift) OVER (PARTITION BY att) > {tol!r} AS live FROM n{i})""")
+    last = f"c{iterations}"
+    ctes.append(f"""cost AS (SELECT att, sum(d * d) AS cost FROM (
+              SELECT c.att, s.key, arg_min(list_distance(s.f, c.cf), (round(list_distance(s.f, c.cf), 6), c.code)) AS d
+              FROM s, {last} c GROUP BY c.att, s.key) GROUP BY att),
+best AS (SELECT att, cost FROM cost ORDER BY cost, att LIMIT 1)""")
+    return f"""
+WITH {', '.join(ctes)}
+SELECT code, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value, round(cost, 6) AS cost
+FROM (SELECT code, unnest(range(0, len(cf))) AS dim, unnest(cf) AS value, cost FROM {last} JOIN best USING (att))"""
+
+
+ORACLE_SQL.update({
+    "pca_project": f"""
+WITH {_S}, {_E}, m AS (SELECT dim, avg(v) AS m FROM e GROUP BY dim)
+SELECT key, class_id, round(sum((v - m) * (v - m)), 6) AS sq_length FROM e JOIN m USING (dim)
+GROUP BY key, class_id""",
+
+    "kmeans_codebook": _kmeans_sql(),
+
+    "svm_ovr": f"""
+WITH {_S}, {_SPLIT}
+SELECT DISTINCT class_id, TRUE AS optimal FROM sp WHERE split = 'train'""",
+
+    "svm_grid": f"""
+WITH {_S}, {_SPLIT}, k AS (SELECT count(DISTINCT class_id) AS k FROM sp WHERE split = 'train')
+SELECT CAST(i AS INTEGER) AS log_c, CAST(4 * k AS INTEGER) AS n_models, CAST(0 AS INTEGER) AS n_unconverged,
+       TRUE AS consistent
+FROM range(-2, 11) t(i), k""",
+
+    "svm_top_weights": f"""
+WITH {_S}, {_SPLIT}
+SELECT class_id, CAST(i AS INTEGER) AS rank, TRUE AS named
+FROM (SELECT DISTINCT class_id FROM sp WHERE split = 'train'), range(1, 6) t(i)""",
+
+    "model_roundtrip": f"""
+WITH {_S}, {_SPLIT}
+SELECT key, class_id AS label, TRUE AS same FROM sp WHERE split = 'test'""",
+})

@@ -21,8 +21,9 @@ from ..operators import metrics as M
 from ..operators import pages as PG
 from ..operators import split as SP
 from ..operators import vectors as V
-from ..session import scratch_path
+from ..session import cut_lineage, remove_path, scratch_path
 from ..sources import catalogue as SC
+from ..sources import files as FS
 from . import fixtures as X
 
 QUERY_KEY = 0  # the query sample for the k-NN family (index 0 is valid, K1)
@@ -35,7 +36,7 @@ def _r(c, n=6):
 # --- sample-vector statistics -------------------------------------------------
 
 def q_class_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.class_stats(X.samples(spark, sf), X.class_dim(spark), max_classes=X.N_CLASSES)
+    out = V.class_stats(X.samples(spark, sf), X.class_dim(spark))
     return out.select("class_id", "class_name", "n_samples",
                       _r("dist_mean", 8).alias("dist_mean"),
                       _r("dist_var", 8).alias("dist_var"))
@@ -49,17 +50,17 @@ def q_class_centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_inter_class_distance(spark: SparkSession, sf: str) -> DataFrame:
     cents = V.class_centroids(X.samples(spark, sf), include_global=True)
-    d = V.inter_class_distance(cents, X.N_CLASSES, V.MAX_WIDTH)
+    d = V.inter_class_distance(cents)
     return d.select("class_i", "class_j", _r("dist").alias("dist"))
 
 
 def q_closest_to_mean(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.ranked_by_centroid(X.samples(spark, sf), X.N_CLASSES, k=5)
+    d = V.ranked_by_centroid(X.samples(spark, sf), k=5)
     return d.select("class_id", "rank", "key", _r("dist").alias("dist"))
 
 
 def q_class_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    d = V.ranked_by_centroid(X.samples(spark, sf), X.N_CLASSES, k=5, farthest=True)
+    d = V.ranked_by_centroid(X.samples(spark, sf), k=5, farthest=True)
     return d.select("class_id", "rank", "key", _r("dist").alias("dist"))
 
 
@@ -158,9 +159,92 @@ def q_manifest_filter(spark: SparkSession, sf: str) -> DataFrame:
 def q_incremental_pending(spark: SparkSession, sf: str) -> DataFrame:
     items = X.table(spark, sf, "documents").select(
         "doc_id", F.col("doc_id").cast("string").alias("key"))
+    kind = F.when(F.col("item_id") % 3 == 0, F.lit(".gist.npz")).otherwise(F.lit(".sift.npz"))
     done = X.table(spark, sf, "benchmark").select(
-        F.concat(F.col("item_id").cast("string"), F.lit(".sift.npz")).alias("name"))
-    return C.pending(items, done, "key", "name").select("doc_id", "key")
+        F.concat(F.col("item_id").cast("string"), kind).alias("name"))
+    return C.pending(items, done, "key", "name", descriptor="sift").select("doc_id", "key")
+
+
+def q_vector_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of another width or without a vector."""
+    k = F.col("key") % 7
+    s = X.samples(spark, sf).withColumn(
+        "features", F.when(k == 1, F.slice("features", 1, 32)).when(k != 2, F.col("features")))
+    return V.incomparable(s, 64).select("key", "class_id", "reason")
+
+
+def q_text_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Artist cut at its marker (P6), first present title (P8), default date."""
+    d = X.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    named = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" (Japan) "), "source")) \
+        .when(F.col("doc_id") % 5 != 1, F.concat("source", F.lit(" (Japan, 1800) x (Japan)"))) \
+        .otherwise(F.col("source"))
+    maybe = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    return d.select("doc_id", TX.cut_at_marker(named, " (Japan").alias("artist"),
+                    TX.first_present(maybe, "source").alias("title"),
+                    TX.default_to(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("string"))).alias("date"))
+
+
+def q_label_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Label lines of the catalogue (S3), written as text and read back."""
+    path = scratch_path(spark, "label-lines")
+    docs = X.documents(spark, sf)
+    SC.write_label_file(docs, path)
+    ok, _ = SC.read_label_file(spark, path)
+    out = cut_lineage(ok.select("key", "artist"))
+    remove_path(spark, path)
+    return out
+
+
+def q_value_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A text list with blanks around its values."""
+    path = scratch_path(spark, "value-list")
+    value = F.when(F.col("doc_id") % 4 == 0, F.lit(" \u3000\t")) \
+        .otherwise(F.concat(F.lit("\u3000 "), "source", F.lit("\t ")))
+    SC.write_lines(X.table(spark, sf, "documents").select(value.alias("value")), path)
+    out = cut_lineage(SC.read_value_list(spark, path).groupBy("value").agg(F.count(F.lit(1)).alias("n")))
+    remove_path(spark, path)
+    return out
+
+
+def q_keyed_shard(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed output in two runs, the second adding what is pending."""
+    path = scratch_path(spark, "keyed")
+    docs = X.documents(spark, sf).dropDuplicates(["key"]).select("key")
+    FS.write_keyed(docs.where(F.col("key") < "8"), path, shard_chars=1)
+    FS.write_keyed(C.pending(docs, spark.read.parquet(path), "key", "key"), path, shard_chars=1)
+    out = cut_lineage(spark.read.parquet(path).where(F.col("shard").isin("7", "a")).select("key"))
+    remove_path(spark, path)
+    return out
+
+
+def q_catalogue_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue lines that are no JSON or name no artist."""
+    d = X.table(spark, sf, "documents").select("doc_id", "source")
+    line = F.when(F.col("doc_id") % 9 == 4, F.concat(F.lit('{"artist": "'), "source")) \
+        .when(F.col("doc_id") % 9 == 7, F.lit('{"url": "u"}')) \
+        .otherwise(F.concat(F.lit('{"artist": "'), "source", F.lit('"}')))
+    parsed = SC.parse_json_column(d.select(line.alias("value"), F.col("doc_id").alias("line_order")),
+                                  SC.CATALOGUE_FIELDS)
+    return SC.catalogue_rejects(parsed).select(F.col("line_order").alias("doc_id"), "reason")
+
+
+@KP.register_descriptor("letters", "key long, kp_id int, response double, desc array<double>")
+def _letters(batches):
+    """A stand-in descriptor: one keypoint per non-empty image, described by
+    how often each of four letters stands in it."""
+    for pdf in batches:
+        rows = pdf[pdf["content"].str.len() > 0]
+        desc = [[float(c.count(x)) for x in "aeio"] for c in rows["content"]]
+        yield rows[["key"]].assign(kp_id=0, response=rows["content"].str.len().astype(float), desc=desc)
+
+
+def q_descriptor_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A registered descriptor over whole documents."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    got = KP.describe(docs, "letters")
+    return got.select("key", F.col("response").cast("long").alias("size"),
+                      *[F.get("desc", i).cast("long").alias(f"n_{c}") for i, c in enumerate("aeio")])
 
 
 QUERIES.update({
@@ -174,6 +258,13 @@ QUERIES.update({
     "prefix_shard": q_prefix_shard,
     "manifest_filter": q_manifest_filter,
     "incremental_pending": q_incremental_pending,
+    "vector_rejects": q_vector_rejects,
+    "text_fields": q_text_fields,
+    "label_lines": q_label_lines,
+    "value_list": q_value_list,
+    "keyed_shard": q_keyed_shard,
+    "catalogue_rejects": q_catalogue_rejects,
+    "descriptor_job": q_descriptor_job,
 })
 
 
@@ -186,7 +277,7 @@ def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_strat_folds(spark: SparkSession, sf: str) -> DataFrame:
     s = X.samples(spark, sf).drop("features")
-    return SP.stratified_folds(s, 3, max_classes=X.N_CLASSES).select("key", "class_id", "fold")
+    return SP.stratified_folds(s, 3).select("key", "class_id", "fold")
 
 
 def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +293,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     train = s.where(F.col("split") == "train")
     cents = V.class_centroids(train, include_global=False)
     test = s.where(F.col("split") == "test")
-    return M.predict_nearest_centroid(test, cents, max_classes=X.N_CLASSES).select(
+    return M.predict_nearest_centroid(test, cents).select(
         "key", F.col("class_id").alias("label"), "prediction")
 
 
@@ -282,7 +373,7 @@ QUERIES.update({
 # --- stored pages --------------------------------------------------------------
 
 def q_page_key(spark: SparkSession, sf: str) -> DataFrame:
-    return PG.with_keys(X.pages(spark, sf)).select("page_id", "page_key", "short_key")
+    return PG.with_keys(X.long_urls(X.pages(spark, sf))).select("page_id", "page_key", "short_key")
 
 
 def q_page_site(spark: SparkSession, sf: str) -> DataFrame:
@@ -294,8 +385,30 @@ def q_page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_page_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of all pages but those already visited: the stored pages, and
+    what every fifth page links to."""
     p = X.pages(spark, sf)
-    return PG.frontier(PG.outgoing(p, X.HOSTS), p.select("url"))
+    found = PG.outgoing(p, X.HOSTS, box=None)
+    visited = p.select("url").unionByName(
+        found.where(F.col("page_id") % 5 == 0).select(F.col("link").alias("url")))
+    return PG.frontier(found, visited)
+
+
+def q_listing_links(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.outgoing(X.listing_pages(spark, sf), X.HOSTS)
+
+
+def q_site_a_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = PG.records_a(X.object_pages_a(spark, sf), "example.org")
+    return r.select("page_key", "title_EN", "title_JP", "artist", "date", "dimensions", "series",
+                    F.get("image_urls", 0).alias("image_url"), "reject_reason")
+
+
+def q_site_b_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = PG.records_b(X.object_pages_b(spark, sf))
+    return r.select("page_key", "title_EN", "title_JP", "artist", "publisher", "date", "medium", "format",
+                    "acc_num", "mfa_dups", "signed", "markings", F.get("image_urls", 0).alias("image_url"),
+                    "reject_reason")
 
 
 def q_page_record(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,12 +422,18 @@ QUERIES.update({
     "page_links": q_page_links,
     "page_frontier": q_page_frontier,
     "page_record": q_page_record,
+    "listing_links": q_listing_links,
+    "site_a_records": q_site_a_records,
+    "site_b_records": q_site_b_records,
 })
 
 
-# --- learned models (rows-only checks; properties are tested in pytest) -------
+# --- learned models ------------------------------------------------------------
+#
+# Fitted values have no SQL form; what SQL can state is what makes them right:
+# distances kept by a full rotation, a zero gradient at the optimum, equal
+# predictions after a round trip. k-means starts are hashes, so it is unrolled.
 
-PCA_K = 5
 SVM_ITER = 100  # damped-Newton passes (all models share each pass)
 
 
@@ -325,49 +444,89 @@ def _train_test(spark: SparkSession, sf: str):
 
 
 def q_pca_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Projection on all components: squared length = squared distance to the mean."""
     s = X.samples(spark, sf)
-    return LN.pca_project(s, PCA_K, V.vector_width(s, "features"))
+    width = V.vector_width(s, "features")
+    p = LN.pca_project(s, width, width + 1)  # every component, so lengths are kept
+    length = F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x)
+    return p.select("key", "class_id", F.round(length, 6).alias("sq_length"))
 
 
 def q_kmeans_codebook(spark: SparkSession, sf: str) -> DataFrame:
     book, cost, _ = CB.kmeans_codebook(X.samples(spark, sf), X.N_CODES, max_iter=10,
                                        tol=1e-4, attempts=10, seed=0)
-    return book.withColumn("cost", F.lit(cost))
+    return (book.select("code", F.posexplode("center").alias("dim", "value"))
+            .select("code", "dim", _r("value").alias("value"), F.round(F.lit(cost), 6).alias("cost")))
 
 
 def _svm(spark: SparkSession, sf: str, Cs=(1.0,)):
     train, test = _train_test(spark, sf)
     if len(Cs) > 1:  # folds only matter when there is a C to choose
-        train = SP.stratified_folds(train, 3, max_classes=X.N_CLASSES)
+        train = SP.stratified_folds(train, 3)
     model, report = LIN.fit(train, list(Cs), 3 if len(Cs) > 1 else 0, max_iter=SVM_ITER)
-    return model, report, test
+    return model, report, train, test
 
 
 def q_svm_ovr(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, test = _svm(spark, sf)
-    return model.transform(test).select("key", F.col("class_id").alias("label"), "prediction")
+    """Per class: the gradient of its objective vanishes at the fitted weights
+    (relative to the gradient at zero), computed apart from the solver."""
+    model, _, train, _ = _svm(spark, sf)
+    bias = spark.createDataFrame([(int(c), -1, float(b)) for c, b in zip(model.classes, model.intercept)],
+                                 "class_id int, dim int, weight double")
+    w = cut_lineage(model.weights(spark).unionByName(bias))
+    balance = SP.class_weights(train).select("class_id", F.col("weight").alias("s"))
+    one = train.select("key", F.col("class_id").alias("label"), F.lit(-1).alias("dim"), F.lit(1.0).alias("x"))
+    x = train.select("key", F.col("class_id").alias("label"),
+                     F.posexplode("features").alias("dim", "x")).unionByName(one)
+    z = x.join(w, "dim").groupBy("key", "label", "class_id").agg(F.sum(F.col("x") * F.col("weight")).alias("z"))
+    y = F.when(F.col("label") == F.col("class_id"), 1.0).otherwise(-1.0)
+    z = z.join(balance, "class_id").select(
+        "key", "class_id", y.alias("y"), F.when(y > 0, F.col("s")).otherwise(1.0).alias("s"),
+        F.greatest(F.lit(0.0), 1 - y * F.col("z")).alias("slack"))
+    g = (x.join(z, "key").groupBy("class_id", "dim")
+         .agg(F.sum(-2 * F.col("s") * F.col("slack") * F.col("y") * F.col("x")).alias("g"),
+              F.sum(-2 * F.col("s") * F.col("y") * F.col("x")).alias("g0")))
+    rel = F.sqrt(F.sum((F.col("g") + F.col("weight")) ** 2)) / F.sqrt(F.sum(F.col("g0") ** 2))
+    return (g.join(w, ["class_id", "dim"]).groupBy("class_id").agg(rel.alias("rel"))
+            .select("class_id", (F.col("rel") < 1e-3).alias("optimal")))
 
 
 def q_svm_grid(spark: SparkSession, sf: str) -> DataFrame:
-    _, report, _ = _svm(spark, sf, LN.c_grid())
-    return report
+    """Per C: its models (every class, all rows and three folds) all converged;
+    accuracies are shares and the chosen C has the highest."""
+    _, report, _, _ = _svm(spark, sf, LN.c_grid())
+    top = report.agg(F.max("cv_accuracy").alias("top")).first()["top"]
+    return report.select(
+        F.round(F.log10("C")).cast("int").alias("log_c"), "n_models", "n_unconverged",
+        (F.col("cv_accuracy").between(0.0, 1.0) & (~F.col("best") | (F.col("cv_accuracy") == top)))
+        .alias("consistent"))
 
 
 def q_svm_top_weights(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, _ = _svm(spark, sf)
-    return LN.top_weights(model.weights(spark), None, k=5).select(
-        "class_id", "rank", "dim", "name", "weight")
+    """The five largest weights of every class with the names of their
+    features, read from a tab-separated name file (S11, J7, T8)."""
+    model, _, _, _ = _svm(spark, sf)
+    path = scratch_path(spark, "feature-names")
+    names = (X.samples(spark, sf).select(F.explode(F.sequence(F.lit(0), F.size("features") - 1)).alias("dim"))
+             .distinct().orderBy("dim")
+             .select(F.concat(F.lit("feature "), F.col("dim").cast("string"), F.lit("\tunused")).alias("value")))
+    SC.write_lines(names.coalesce(1), path)
+    top = cut_lineage(LN.top_weights(model.weights(spark), SC.read_feature_names(spark, path), k=5))
+    remove_path(spark, path)
+    return top.select("class_id", "rank",
+                      (F.col("name") == F.concat(F.lit("feature "), F.col("dim").cast("string"))).alias("named"))
 
 
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, test = _svm(spark, sf)
+    model, _, _, test = _svm(spark, sf)
     path = scratch_path(spark, "svm-model")
     model.save(spark, path)
     loaded = LIN.LinearOvRModel.load(spark, path)
+    remove_path(spark, path)
     a = model.transform(test).select("key", F.col("class_id").alias("label"), "prediction")
     b = loaded.transform(test).select("key", F.col("prediction").alias("prediction_loaded"))
-    return a.join(b, "key").withColumn(
-        "same", F.col("prediction") == F.col("prediction_loaded"))
+    return a.join(b, "key").select("key", "label",
+                                   (F.col("prediction") == F.col("prediction_loaded")).alias("same"))
 
 
 QUERIES.update({

@@ -9,8 +9,8 @@ cluster.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,8 @@ def build_session(master: str | None = None, app: str = "hanga",
         # 3000-wide double vectors are ~24 KB a row: keep Arrow batches near 50 MB
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.sql.session.timeZone": "UTC",
+        # checkpoint files go when the frame that reads them is gone
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -56,17 +58,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (tests, local runs) a fresh folder
-    under the system temp dir is created."""
+    is; a cluster without it is an error, because a folder of one machine is
+    not seen by the others. Only a ``local[...]`` master (one process) gets a
+    fresh folder under the system temp dir."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
+    sc.setCheckpointDir(shared_root(spark))
+    return sc.getCheckpointDir()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same in every
+    application that is configured alike (``getCheckpointDir`` ends in a random
+    folder per application). Unset: an error on a cluster, a temp folder kept
+    for the session on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="hanga-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = spark.conf.get("hanga.local.root", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="hanga-ckpt-")
+        spark.conf.set("hanga.local.root", root)
+    return root
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system; storage errors are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch folder of our own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -92,6 +122,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int) -> DataFrame
     return df
 
 
+def measured(df: DataFrame, row_bytes: int = 64, sized: str | None = None) -> tuple[DataFrame, int, int]:
+    """Materialise a small derived table once (reliable checkpoint) and measure
+    it: (the table, its rows, its bytes). ``sized`` names an array column of
+    doubles whose elements count eight bytes each on top of ``row_bytes``."""
+    done = cut_lineage(df)
+    items = F.coalesce(F.sum(F.size(sized)), F.lit(0)) if sized else F.lit(0)
+    n, elements = done.agg(F.count(F.lit(1)), items).first()
+    return done, n, n * row_bytes + 8 * elements
+
+
+def measured_broadcast(df: DataFrame, row_bytes: int = 64, sized: str | None = None) -> DataFrame:
+    """Broadcast hint on a derived table whose measured size fits the limit;
+    a larger one is returned as is and joined by a shuffle."""
+    done, _, size = measured(df, row_bytes, sized)
+    return F.broadcast(done) if size <= broadcast_limit(df.sparkSession) else done
+
+
 def bounded_collect(df: DataFrame, max_rows: int, row_bytes: int, what: str = "rows") -> list:
     """Collect a small result in one job, refusing it when it has more than
     ``max_rows`` rows or ``max_rows * row_bytes`` exceeds the broadcast limit
@@ -117,14 +164,8 @@ def col_or_name(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def env_int(name: str, default: int) -> int:
-    v = os.environ.get(name)
-    return int(v) if v else default
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for intermediate outputs inside the shared checkpoint
     folder (never a machine-local folder on a cluster)."""
-    import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/hanga-scratch/{name}-{uuid.uuid4().hex}"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import unicode_trim
 from ..operators.catalog import LABEL_SEP, parse_label_lines
 
 IMAGE = T.StructType([
@@ -57,7 +58,7 @@ def parse_json_column(df: DataFrame, schema: T.StructType, col: str = "value",
     opts = {"mode": "FAILFAST"} if strict else {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json(F.col(col), full, opts)
-    return df.withColumn("__j", parsed).select("*", "__j.*").drop("__j")
+    return df.select("*", F.inline(F.array(parsed)))
 
 
 def read_catalogue(spark: SparkSession, path: str, strict: bool = False,
@@ -94,7 +95,7 @@ def read_label_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def read_value_list(spark: SparkSession, path: str) -> DataFrame:
     """One value per line, stripped; blank lines dropped."""
-    return (spark.read.text(path).select(F.trim("value").alias("value"))
+    return (spark.read.text(path).select(unicode_trim("value").alias("value"))
             .where(F.col("value") != ""))
 
 

@@ -1,13 +1,11 @@
 """File-per-key sources and sinks.
 
 The reference keeps one file per image: ``.npy`` / ``.ascii`` sample vectors,
-``.npz`` keypoint blocks. Here a directory is listed with the ``binaryFile``
-source without its ``content`` column: the key and extension come from the
-path alone, so filters and joins on the key (labels, manifest, shard prefix,
-already-done outputs) run on the listing. Only the paths that survive are
-opened, inside ``mapInPandas`` tasks (local paths or any ``pyarrow.fs`` URI),
-and every file is decoded and emitted on its own, so a task holds one file's
-rows at a time.
+``.npz`` keypoint blocks. Files are read by Spark's ``binaryFile`` source (any
+storage Spark reads, any file name); listing them leaves the content unread.
+Key and extension come from the path, so shard prefixes and key lists drop
+files before anything is decoded. Every file is decoded and emitted on its
+own inside ``mapInPandas``.
 
 Decoding failures never abort the job: they come back as rows with an
 ``error`` (quirk K14), and width violations as rejects (K16).
@@ -18,11 +16,11 @@ from __future__ import annotations
 import io
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, file_ext, file_key
-from ..session import MAX_WIDTH
+from ..session import MAX_WIDTH, cut_lineage, measured_broadcast
 
 KEYPOINT_ATTRS = ["x", "y", "size", "angle", "octave", "response"]
 
@@ -39,40 +37,39 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
                         F.when(F.instr(name, ".") > 0, file_ext(name)).alias("ext"), "length")
 
 
-def read_bytes(path: str) -> bytes:
-    """Bytes of one file named by a Spark path URI (``file:``, ``hdfs:``,
-    ``s3:`` ... through ``pyarrow.fs``)."""
-    from urllib.parse import unquote, urlparse
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        with open(unquote(u.path) if u.scheme else path, "rb") as f:
-            return f.read()
-    import pyarrow.fs as pafs
-    fs, inner = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(inner) as f:
-        return f.read()
+def read_contents(spark: SparkSession, path: str, exts: list[str], glob: str | None = None,
+                  keys: DataFrame | None = None) -> DataFrame:
+    """``(key, path, ext, content)`` of the files with one of ``exts``, read by
+    Spark's own file source, so every storage and every file name that Spark
+    can list can be read. With ``keys`` only those keys are kept (the key list
+    is broadcast when its measured size fits)."""
+    r = spark.read.format("binaryFile")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    name = basename("path")
+    files = (r.load(path).select(file_key(name).alias("key"), "path", file_ext(name).alias("ext"), "content")
+             .where(F.col("ext").isin(*exts)))
+    if keys is not None:
+        files = files.join(measured_broadcast(keys.select("key"), 64), "key", "left_semi")
+    return files
 
 
 def _decode_vectors(batches):
     import pandas as pd
     for pdf in batches:
-        keys, paths, feats, errs = [], [], [], []
-        for key, p, ext in zip(pdf["key"], pdf["path"], pdf["ext"]):
+        feats, errs = [], []
+        for blob, ext in zip(pdf["content"], pdf["ext"]):
             try:
-                blob = read_bytes(p)
                 if ext == "ascii":
                     v = np.loadtxt(io.BytesIO(blob), dtype=np.float64, ndmin=1)
                 else:
                     v = np.load(io.BytesIO(blob), allow_pickle=False)
-                v = np.asarray(v, dtype=np.float64).ravel()
-                feats.append(v.tolist())
+                feats.append(np.asarray(v, dtype=np.float64).ravel().tolist())
                 errs.append(None)
             except Exception as e:  # unreadable file -> reject row
                 feats.append(None)
-                errs.append(f"{type(e).__name__}: {e}"[:200])
-            keys.append(key)
-            paths.append(p)
-        yield pd.DataFrame({"key": keys, "path": paths, "features": feats, "error": errs})
+                errs.append(f"{type(e).__name__}: {e}")
+        yield pd.DataFrame({"key": pdf["key"], "path": pdf["path"], "features": feats, "error": errs})
 
 
 def read_vectors(spark: SparkSession, path: str, keys: DataFrame | None = None,
@@ -80,30 +77,34 @@ def read_vectors(spark: SparkSession, path: str, keys: DataFrame | None = None,
     """Sample vectors, one file per key (S6). Returns ``(ok(key, features),
     rejected(key, path, reason))``.
 
-    * ``keys``: only these keys are read (labelled samples), joined on the
-      path-derived key before the content is loaded.
+    * ``keys``: only these keys are decoded (labelled samples).
     * The width is ``width`` or, as in the reference, fixed by one accepted
       sample — here deterministically the lowest key's; other widths and
       widths above ``max_width`` are rejected (P12, K16).
-    * A key present as both ``.npy`` and ``.ascii`` keeps the ``.npy``."""
-    files = list_files(spark, path).where(F.col("ext").isin("npy", "ascii"))
-    if keys is not None:
-        files = files.join(keys.select("key"), "key", "left_semi")
-    decoded = files.select("key", "path", "ext").mapInPandas(
-        _decode_vectors, "key string, path string, features array<double>, error string")
-    pref = Window.partitionBy("key").orderBy(F.col("path").endswith(".ascii"), "path")
-    decoded = decoded.withColumn("__r", F.row_number().over(pref))
-    good = decoded.where(F.col("error").isNull() & (F.col("__r") == 1))
+    * A key with several decodable files keeps the ``.npy``, then the first
+      path; a broken file never displaces a readable one.
+
+    Every file is opened and decoded once: the decoded rows are materialised
+    in the shared folder, and both results read them from there."""
+    files = read_contents(spark, path, ["npy", "ascii"], keys=keys)
+    decoded = cut_lineage(files.mapInPandas(
+        _decode_vectors, "key string, path string, features array<double>, error string"))
+    good = decoded.where(F.col("error").isNull())
+    # the preferred file of a key, from keys and paths alone
+    order = F.struct(F.col("path").endswith(".ascii"), F.col("path"))
+    best = good.groupBy("key").agg(F.min(order).getField("path").alias("__best"))
+    marked = decoded.join(best, "key", "left")
+    chosen = marked.where(F.col("error").isNull() & (F.col("path") == F.col("__best")))
     if width is None:
-        row = (good.where(F.size("features") <= max_width)
+        row = (chosen.where(F.size("features") <= max_width)
                .agg(F.min_by(F.size("features"), F.col("key")).alias("w")).first())
         width = int(row["w"]) if row and row["w"] is not None else 0
-    ok = good.where(F.size("features") == width).select("key", "features")
+    ok = chosen.where(F.size("features") == width).select("key", "features")
     reason = (F.when(F.col("error").isNotNull(), F.concat(F.lit("unreadable: "), F.col("error")))
-              .when(F.col("__r") > 1, F.lit("duplicate_key"))
+              .when(F.col("path") != F.col("__best"), F.lit("duplicate_key"))
               .when(F.size("features") > max_width, F.lit("too_wide"))
               .when(F.size("features") != width, F.lit("width_mismatch")))
-    rejected = decoded.select("key", "path", reason.alias("reason")).where(F.col("reason").isNotNull())
+    rejected = marked.select("key", "path", reason.alias("reason")).where(F.col("reason").isNotNull())
     return ok, rejected
 
 
@@ -114,9 +115,7 @@ def read_keypoints(spark: SparkSession, path: str, n_dims: int = 128,
     Returns ``(keypoints(key, kp_id, x, y, size, angle, octave, response,
     desc), rejected(key, path, reason))``; ``desc`` keeps the last ``n_dims``
     columns (P10). ``prefix`` shards by key prefix before reading (F3)."""
-    files = list_files(spark, path, f"{prefix}*.npz" if prefix else "*.npz")
-    if keys is not None:
-        files = files.join(keys.select("key"), "key", "left_semi")
+    files = read_contents(spark, path, ["npz"], f"{prefix}*.npz" if prefix else "*.npz", keys)
     schema = ("key string, path string, kp_id int, x double, y double, size double, "
               "angle double, octave double, response double, desc array<double>, error string")
 
@@ -124,21 +123,21 @@ def read_keypoints(spark: SparkSession, path: str, n_dims: int = 128,
         import pandas as pd
         cols = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
-            for key, p in zip(pdf["key"], pdf["path"]):
+            for key, p, blob in zip(pdf["key"], pdf["path"], pdf["content"]):
                 out = []
                 try:
-                    with np.load(io.BytesIO(read_bytes(p)), allow_pickle=False) as z:
+                    with np.load(io.BytesIO(blob), allow_pickle=False) as z:
                         a = np.asarray(z["arr_0"], dtype=np.float64)
                     a = a.reshape(-1, a.shape[-1]) if a.size else np.zeros((0, 6 + n_dims))
                     for i, row in enumerate(a):
                         out.append((key, p, i, *map(float, row[:6]), row[-n_dims:].tolist(), None))
                 except Exception as e:
                     out.append((key, p, None, None, None, None, None, None, None, None,
-                                f"{type(e).__name__}: {e}"[:200]))
+                                f"{type(e).__name__}: {e}"))
                 if out:
                     yield pd.DataFrame(out, columns=cols)  # one file at a time
 
-    rows = files.select("key", "path").mapInPandas(decode, schema)
+    rows = files.select("key", "path", "content").mapInPandas(decode, schema)
     ok = rows.where(F.col("error").isNull()).drop("path", "error")
     rejected = rows.where(F.col("error").isNotNull()).select(
         "key", "path", F.concat(F.lit("unreadable: "), F.col("error")).alias("reason"))

@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, file_key
 from ..operators.catalog import pending
-from ..session import ensure_checkpoint_dir
+from ..session import path_exists, shared_root
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _done_keys(spark: SparkSession, output_path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(output_path).select(F.col("key").alias("name"))
-    except Exception:  # nothing written yet
+    """Keys of the output table; None before its first write. Storage errors
+    are raised: taking them for "nothing done" would process everything again."""
+    if not path_exists(spark, f"{output_path.rstrip('/')}/_SUCCESS"):
         return None
+    return spark.read.parquet(output_path).select(F.col("key").alias("name"))
 
 
 def run_available(spark: SparkSession, input_dir: str, output_path: str,
@@ -41,7 +42,7 @@ def run_available(spark: SparkSession, input_dir: str, output_path: str,
     column. Returns the number of micro-batches run."""
     # stable per output table across runs (Python's hash() is salted per process)
     tag = hashlib.md5(output_path.encode("utf-8")).hexdigest()[:16]
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}"
+    ckpt = checkpoint or f"{shared_root(spark)}/stream-{tag}"
     files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
              .option("pathGlobFilter", glob).load(input_dir))
     batches = []
@@ -51,9 +52,7 @@ def run_available(spark: SparkSession, input_dir: str, output_path: str,
         done = _done_keys(batch.sparkSession, output_path)
         if done is not None:
             new = pending(new, done, "key", "name")
-        out = process(new)
-        if out.take(1):
-            out.write.mode("append").parquet(output_path)
+        process(new).write.mode("append").parquet(output_path)
         batches.append(epoch)
 
     q = (files.select("path").writeStream.foreachBatch(each)

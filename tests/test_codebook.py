@@ -69,7 +69,7 @@ def test_codebook_write_once(spark, tmp_path):
     path = str(tmp_path / "book")
     assert CB.write_codebook(book, path) is True
     assert CB.write_codebook(CB.codebook_frame(spark, np.zeros((3, 3))), path) is False
-    back = CB.collect_codebook(CB.read_codebook(spark, path))
+    _, back = next(CB.codebook_blocks(CB.read_codebook(spark, path), 1 << 20))
     assert (back == np.eye(3)).all()
 
 
@@ -88,3 +88,27 @@ def test_assign_reports_codebook_code_values(spark):
                                 "key int, kp_id int, desc array<double>")
     got = sorted((r["kp_id"], r["code"]) for r in CB.assign(kps, book).collect())
     assert got == [(0, 3), (1, 7)]
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_blocks_of_a_codebook_give_the_same_assignment(spark, as_table):
+    kps, x = _points(spark, 200)
+    centers = np.concatenate([x[:40], x[:40]])  # every centre twice: ties across blocks
+    book = CB.codebook_frame(spark, centers) if as_table else centers
+    whole = rows(CB.assign(kps, book), "kp_id", "code", "dist")
+    spark.conf.set("hanga.broadcast.maxBytes", str(8 * 8 * 9))
+    try:
+        assert len(list(CB.codebook_blocks(book, 8 * 8 * 9))) > 5
+        parts = rows(CB.assign(kps, book), "kp_id", "code", "dist")
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+    assert [p[:2] for p in parts] == [w[:2] for w in whole]
+    assert np.allclose([p[2] for p in parts], [w[2] for w in whole])
+
+
+def test_half_written_codebook_is_replaced(spark, tmp_path):
+    path = tmp_path / "book"
+    path.mkdir()
+    (path / "part-0").write_bytes(b"junk")
+    assert CB.write_codebook(CB.codebook_frame(spark, np.eye(2)), str(path)) is True
+    assert CB.read_codebook(spark, str(path)).count() == 2

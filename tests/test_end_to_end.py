@@ -70,7 +70,7 @@ def test_guide_end_to_end(spark, tmp_path):
     assert all(stats[c]["n_samples"] == 10 for c in range(3))
     assert V.knn(samples, "img000", 3).first()["key"] == "img000"
     split = SP.train_test_split(samples, 0.7)
-    train = SP.stratified_folds(split.where("split = 'train'"), 3, max_classes=3)
+    train = SP.stratified_folds(split.where("split = 'train'"), 3)
     test = split.where("split = 'test'")
     model, report = LIN.fit(train, [0.1, 1.0], 3, n_components=2, width=3,
                             pca_fit_rows=samples)

@@ -65,3 +65,34 @@ def test_write_keyed_and_incremental(spark, tmp_path):
     FS.write_keyed(todo, out, shard_chars=1)
     assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["ab1", "cd2"]
     assert sorted(os.listdir(out))[:2] == ["_SUCCESS", "shard=a"] or "shard=a" in os.listdir(out)
+
+
+def test_any_readable_file_is_read(spark, tmp_path):
+    """Names with # and %, and a good .ascii beside a broken .npy."""
+    d = tmp_path / "vec"
+    d.mkdir()
+    for name in ("a#1", "b%2", "c d"):
+        np.save(d / f"{name}.npy", np.arange(3.0))
+    np.savetxt(d / "dup.ascii", np.arange(3.0) + 5)
+    (d / "dup.npy").write_bytes(b"garbage")
+    ok, rej = FS.read_vectors(spark, str(d))
+    got = {r["key"]: r["features"] for r in ok.collect()}
+    assert got == {"a#1": [0.0, 1.0, 2.0], "b%2": [0.0, 1.0, 2.0], "c d": [0.0, 1.0, 2.0],
+                   "dup": [5.0, 6.0, 7.0]}
+    assert [(r["key"], r["reason"].split(":")[0]) for r in rej.collect()] == [("dup", "unreadable")]
+
+
+def test_pending_counts_one_descriptor_only(spark):
+    items = spark.createDataFrame([("abc",), ("d",)], "key string")
+    done = spark.createDataFrame([("abc.gist.npz",), ("d.sift.npz",)], "name string")
+    assert [r["key"] for r in C.pending(items, done, descriptor="sift").collect()] == ["abc"]
+    assert C.pending(items, done).count() == 0
+
+
+def test_lists_and_manifests_are_stripped_of_unicode_space(spark, tmp_path):
+    from hanga.sources import catalogue as SC
+    (tmp_path / "list.txt").write_text("a\t\n\u3000b \n \t\n")
+    assert sorted(r["value"] for r in SC.read_value_list(spark, str(tmp_path / "list.txt")).collect()) == ["a", "b"]
+    items = spark.createDataFrame([("x.jpg",), ("y.jpg",)], "name string")
+    listed = spark.createDataFrame([("x.jpg\t",)], "value string")
+    assert [r["name"] for r in C.manifest_filter(items, listed, "name").collect()] == ["x.jpg"]

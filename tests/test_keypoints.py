@@ -80,3 +80,21 @@ def test_tree_topk_property(spark, hot, k, fan, parts):
     tree = sorted((r["key"], r["kp_id"], r["kp_rank"]) for r in
                   KP.strongest(kps, k, tie_cols=["kp_id"], fan_in=fan).collect())
     assert one == tree
+
+
+def test_selection_plans_without_a_job_and_needs_ids(spark):
+    """Building the selection over a join starts no job; without columns that
+    tell keypoints apart the order would not be total."""
+    import pytest
+    sc = spark.sparkContext
+    kps = spark.range(1000).selectExpr("id % 5 AS key", "id AS kp_id", "rand(1) AS response")
+    joined = kps.join(spark.range(5).withColumnRenamed("id", "key"), "key")
+    sc.setJobGroup("build", "build")
+    KP.strongest(joined, 3, tie_cols=["kp_id"])
+    KP.sample(joined, 3, id_cols=["kp_id"])
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("build")) == 0
+    with pytest.raises(ValueError):
+        KP.strongest(kps, 3)
+    with pytest.raises(ValueError):
+        KP.sample(kps, 3)

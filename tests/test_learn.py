@@ -50,7 +50,7 @@ def test_pca_full_rotation_preserves_distances(spark):
 
 
 def test_batched_svm_separates_and_roundtrips(spark, tmp_path):
-    df = SP.stratified_folds(_blobs(spark), 3, max_classes=3)
+    df = SP.stratified_folds(_blobs(spark), 3)
     model, report = LIN.fit(df, [0.01, 1.0, 100.0], 3, max_iter=50)
     acc = model.transform(df).select(
         F.avg((F.col("prediction") == F.col("class_id")).cast("double"))).first()[0]
@@ -98,7 +98,7 @@ def test_top_weights_and_names(spark):
 
 def test_mllib_svm_pipeline_roundtrip(spark, tmp_path):
     df = _blobs(spark, 15)
-    model = LN.fit_svm(df, 3, 3, C=1.0, max_iter=20, parallelism=2)
+    model = LN.fit_svm(df, 3, C=1.0, max_iter=20, parallelism=2)
     path = str(tmp_path / "pm")
     LN.save_model(model, path)
     a = LN.predict(model, df).orderBy("key").collect()
@@ -110,7 +110,7 @@ def test_mllib_svm_pipeline_roundtrip(spark, tmp_path):
 def test_pca_travels_with_batched_model(spark, tmp_path):
     """K2: the saved model carries its PCA basis; K3: basis fitted on all
     given rows when asked."""
-    df = SP.stratified_folds(_blobs(spark, 20, seed=5), 3, max_classes=3)
+    df = SP.stratified_folds(_blobs(spark, 20, seed=5), 3)
     model, _ = LIN.fit(df, [1.0], 0, max_iter=50, n_components=2, width=3, pca_fit_rows=df)
     assert model.pca is not None and model.coef.shape == (3, 2)
     path = str(tmp_path / "mp")
@@ -125,7 +125,7 @@ def test_pca_travels_with_batched_model(spark, tmp_path):
 
 def test_mllib_grid_search_reports_every_c(spark):
     df = _blobs(spark, 12, seed=9)
-    model, report = LN.grid_search(df, 3, 3, Cs=[0.1, 10.0], n_folds=3, max_iter=10,
+    model, report = LN.grid_search(df, 3, Cs=[0.1, 10.0], n_folds=3, max_iter=10,
                                    parallelism=2)
     rep = report.orderBy("C").collect()
     assert [r["C"] for r in rep] == [0.1, 10.0] and sum(r["best"] for r in rep) == 1
@@ -140,3 +140,55 @@ def test_batched_svm_ignores_rows_outside_classes(spark):
     assert model.classes == [0, 1] and model.coef.shape == (2, 3)
     preds = {r["prediction"] for r in model.transform(df.where("class_id < 2")).collect()}
     assert preds <= {0, 1}
+
+
+def test_saved_model_never_takes_an_older_basis(spark, tmp_path):
+    df = _blobs(spark, 20, seed=5)
+    path = str(tmp_path / "m")
+    with_pca, _ = LIN.fit(df, [1.0], 0, max_iter=50, n_components=2, width=3)
+    with_pca.save(spark, path)
+    plain, _ = LIN.fit(df, [1.0], 0, max_iter=50)
+    plain.save(spark, path)
+    back = LIN.LinearOvRModel.load(spark, path)
+    assert back.pca is None
+    a = [r["prediction"] for r in plain.transform(df).orderBy("key").collect()]
+    assert a == [r["prediction"] for r in back.transform(df).orderBy("key").collect()]
+    with_pca.save(spark, path)
+    import shutil
+    for d in tmp_path.glob("m/pca-*"):
+        shutil.rmtree(d)
+    with pytest.raises(Exception):  # a missing basis is an error, not "no PCA"
+        LIN.LinearOvRModel.load(spark, path)
+
+
+def test_same_answer_whatever_the_limit(spark):
+    """Blocks of models: the chosen C and the weights do not depend on it."""
+    rng = np.random.default_rng(4)
+    rows = [(f"{i}", int(i % 3), [float(v) for v in rng.normal(0, 1, 6) + 0.7 * (i % 3)]) for i in range(150)]
+    df = SP.stratified_folds(spark.createDataFrame(rows, "key string, class_id int, features array<double>"), 3)
+    Cs = [0.01, 1.0, 1e4, 1e10]
+    whole, report = LIN.fit(df, Cs, 3, max_iter=100)
+    spark.conf.set("hanga.broadcast.maxBytes", "1000")  # two models at a time
+    try:
+        parts, report2 = LIN.fit(df, Cs, 3, max_iter=100)
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+    assert whole.C == parts.C and np.allclose(whole.coef, parts.coef)
+    same = ["C", "cv_accuracy", "best", "n_models", "n_unconverged", "max_iterations"]
+    assert report.select(same).collect() == report2.select(same).collect()
+    rep = report.collect()
+    assert all(r["n_unconverged"] == 0 and r["n_models"] == 12 and r["max_rel_gradient"] <= 1e-4 for r in rep)
+    _, cut = LIN.fit(df, [1e10], 0, max_iter=1)
+    assert cut.first()["n_unconverged"] > 0  # an early end is reported
+
+
+def test_wide_vectors_use_the_same_solver(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 1000))
+    y = (x[:, 0] + x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(str(i), int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))],
+                               "key string, class_id int, features array<double>").repartition(3)
+    model, report = LIN.fit(df, [1.0], 0, max_iter=60)
+    assert model.coef.shape == (2, 1000) and report.first()["n_unconverged"] == 0
+    acc = model.transform(df).select(F.avg((F.col("prediction") == F.col("class_id")).cast("double"))).first()[0]
+    assert acc == 1.0

@@ -1,6 +1,7 @@
 """Confusion tables and accuracies (A7-A10, quirk K5)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from hanga.operators import metrics as M
@@ -36,6 +37,18 @@ def test_single_class_test_set(spark):
 def test_nearest_centroid_ties_go_to_lowest_class(spark):
     cents = spark.createDataFrame([(1, [1.0, 0.0]), (0, [-1.0, 0.0])],
                                   "class_id int, centroid array<double>")
-    lit = M.centroid_literal(cents, 2)
-    df = spark.createDataFrame([([0.0, 0.0],), ([0.9, 0.0],)], "f array<double>")
-    assert rows(df.select(M.nearest_centroid("f", lit).alias("p"))) == [(0,), (1,)]
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.9, 0.0])], "key int, f array<double>")
+    assert rows(M.predict_nearest_centroid(df, cents, "f"), "key", "prediction") == [(1, 0), (2, 1)]
+
+
+def test_more_classes_than_one_block_holds(spark):
+    n = 1500
+    cents = spark.range(n).select(F.col("id").cast("int").alias("class_id"),
+                                  F.array(F.col("id").cast("double"), F.lit(0.0)).alias("centroid"))
+    df = spark.createDataFrame([(i, [i + 0.2, 0.0]) for i in (0, 7, 1499)], "key int, f array<double>")
+    spark.conf.set("hanga.broadcast.maxBytes", "4000")
+    try:
+        got = rows(M.predict_nearest_centroid(df, cents, "f"), "key", "prediction")
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+    assert got == [(0, 0), (7, 7), (1499, 1499)]

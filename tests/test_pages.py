@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from hanga.functions import html as H
 from hanga.operators import pages as PG
-from hanga.operators import pages_tree as PT
 
 SITE_A = """<html><body>
 <div class="group-left"><div class="media-asset-image"><img src="http://img.example/low.jpg"></div></div>
@@ -55,8 +54,16 @@ def _pages(spark, items):
     return spark.createDataFrame(items, "page_id long, url string, html string")
 
 
+def _a(spark, html, url="http://collections.example.org/node/42"):
+    return PG.records_a(_pages(spark, [(1, url, html)]), "example.org").first().asDict()
+
+
+def _b(spark, html, url="http://www.example.net/o/abc"):
+    return PG.records_b(_pages(spark, [(1, url, html)])).first().asDict()
+
+
 def test_site_a_record(spark):
-    a = PT.record_site_a("http://collections.example.org/node/42", SITE_A, "example.org")
+    a = _a(spark, SITE_A)
     assert a["image_urls"] == ["http://collections.example.org/download/hi.tif"]  # hi-res first
     assert a["title_EN"] == "The Great Wave"
     assert a["artist"] == "Katsushika Hokusai"
@@ -64,15 +71,15 @@ def test_site_a_record(spark):
     assert a["title_JP"] == "Kanagawa oki"
     assert a["series"] == "Later Series"  # repeated key: last wins (H6), emitted (K7)
     assert a["dimensions"] == "25 x 37 cm"
-    low = PT.record_site_a("http://collections.example.org/node/43", SITE_A_LOW_ONLY, "example.org")
+    assert a["page_key"] == "42" and a["reject_reason"] is None
+    low = _a(spark, SITE_A_LOW_ONLY)
     assert low["image_urls"] == ["http://img/low2.jpg"]
     assert low["artist"] == " (Japan) Anonymous"  # marker at position 0 kept (K19)
-    assert PT.record_site_a("http://x.example.org/n", SITE_A_NO_IMAGE, "example.org")["reject_reason"] == "no_image"
+    assert _a(spark, SITE_A_NO_IMAGE)["reject_reason"] == "no_image"
 
 
 def test_site_b_record(spark):
-    url = "http://www.example.net/collections/object/" + "-".join(["w"] * 120) + "-129277"
-    b = PT.record_site_b(url, SITE_B)
+    b = _b(spark, SITE_B, "http://www.example.net/collections/object/" + "-".join(["w"] * 120) + "-129277")
     assert b["reject_reason"] is None
     assert b["page_key"] == "w-TRUNC-129277"
     assert b["image_urls"] == ["http://img.example/b.jpg"]
@@ -87,24 +94,49 @@ def test_site_b_record(spark):
 
 
 def test_site_b_gates(spark):
-    assert PT.record_site_b("u", SITE_B.replace("Japan, Edo", "China, Qing"))["reject_reason"] \
-        == "origin_not_japan"
-    assert PT.record_site_b("u", SITE_B.replace(">Prints<", ">Drawings<"))["reject_reason"] \
-        == "not_print"
-    assert PT.record_site_b("u", "<p>x</p>")["reject_reason"] == "no_origin"
-    assert PT.record_site_b("u", SITE_B.replace('src="', 'href="'))["reject_reason"] == "no_image"
+    def reason(html):
+        return _b(spark, html)["reject_reason"]
+    assert reason(SITE_B.replace("Japan, Edo", "China, Qing")) == "other_origin"
+    assert reason(SITE_B.replace(">Prints<", ">Drawings<")) == "other_class"
+    assert reason(SITE_B.replace("Classifications", "Other")) == "no_classification"
+    assert reason("<p>x</p>") == "no_origin"
+    assert reason(SITE_B.replace('src="', 'href="')) == "no_image"
+    # a comment outside the image box is no image
+    assert reason("<!-- src=\"x\" -->" + SITE_B.replace('class="image"', 'class="pic"')) == "no_image"
     no_br = SITE_B.replace("<br>Edo period, 1857<br>more", "")
-    assert PT.record_site_b("u", no_br)["date"] == "Unknown"
+    assert _b(spark, no_br)["date"] == "Unknown"
+    # a later paragraph's span is not the date
+    late = no_br.replace("<p>Vertical oban</p>", "<p>Vertical oban <br>1999<br></p>")
+    assert _b(spark, late)["date"] == "Unknown"
+
 
+def test_unicode_space_is_stripped_from_fields(spark):
+    page = SITE_A.replace("Alternate Title: Kanagawa oki;", "Alternate Title:\u3000Kanagawa oki\t\u3000;") \
+        .replace("Japan, 1831 ", "Japan, \u30001831\u3000")
+    a = _a(spark, page)
+    assert (a["title_JP"], a["date"]) == ("Kanagawa oki", "1831")
 
-def test_parser_job_runs_over_table(spark):
-    df = _pages(spark, [(1, "http://www.example.net/o/abc", SITE_B),
-                        (2, "http://collections.example.org/node/42", SITE_A)])
-    b = {r["url"]: r for r in PT.extract_site_b(df).collect()}
-    assert b["http://www.example.net/o/abc"]["acc_num"] == "11.123"
-    assert b["http://collections.example.org/node/42"]["reject_reason"] == "no_origin"
-    a = {r["url"]: r for r in PT.extract_site_a(df, "example.org").collect()}
-    assert a["http://collections.example.org/node/42"]["series"] == "Later Series"
+
+def test_regions_count_nested_containers(spark):
+    html = ('<div class="x"><div>in<div class="y">deep</div></div>still</div><div class="x z">two</div>'
+            "<div class='a x'>three</div><div class=\"xx\">no</div>")
+    r = _pages(spark, [(1, "u", html)]).select(H.regions("html", "div", "x").alias("r"),
+                                               H.region("html", "div", "y").alias("y"),
+                                               H.region("html", "div", "none").alias("n")).first()
+    assert r["r"] == ['<div>in<div class="y">deep</div></div>still', "two", "three"]
+    assert r["y"] == "deep" and r["n"] is None
+
+
+def test_links_are_scoped_decoded_and_resolved(spark):
+    html = ('<nav><a href="/nav">n</a></nav><div class="search-result-data"><div><a href="/s?a=1&amp;b=2">x</a></div>'
+            "<a class='k' href='/single'>y</a><a href=\"mailto:x@y\">m</a><a name='q'>z</a></div>"
+            '<footer><a href="http://other.org/f">f</a></footer>')
+    pages = _pages(spark, [(1, "http://c.example.org/s", html)])
+    got = [r["link"] for r in PG.links(pages, ["example.org"], "search-result-data").orderBy("pos").collect()]
+    assert got == ["http://c.example.org/s?a=1&b=2", "http://c.example.org/single", "mailto:x@y"]
+    assert [r["link"] for r in PG.outgoing(pages, ["example.org"]).collect()] == got[:2]
+    whole = [r["href"] for r in PG.links(pages, ["example.org"]).orderBy("pos").collect()]
+    assert whole == ["/nav", "/s?a=1&b=2", "/single", "mailto:x@y", "http://other.org/f"]
 
 
 def test_regex_helpers(spark):
@@ -141,11 +173,11 @@ def test_frontier_removes_visited(spark):
     assert f == ["http://other.org/x"]
 
 
-def test_site_a_missing_artist_keeps_record():
+def test_site_a_missing_artist_keeps_record(spark):
     """K8: no artist node -> the record is kept with a NULL artist."""
     page = ('<div class="media-asset-image"><img src="http://img/x.jpg"></div>'
             '<div class="group-right"><h1>Untitled</h1><div class="field">Japan, 1800</div></div>')
-    rec = PT.record_site_a("http://c.example.org/node/9", page, "example.org")
+    rec = _a(spark, page, "http://c.example.org/node/9")
     assert rec["reject_reason"] is None and rec["artist"] is None
     assert rec["title_EN"] == "Untitled" and rec["date"] == "1800"
 
@@ -155,7 +187,6 @@ def test_outgoing_includes_next_page_once(spark):
             '<ul><li class="pager-next"><a href="/s?page=2">next</a></li></ul>')
     pages = _pages(spark, [(1, "http://c.example.org/s", html)])
     links = sorted(r["link"] for r in PG.outgoing(pages, ["example.org"]).collect())
-    assert links == ["http://c.example.org/o/1", "http://c.example.org/s?page=2",
-                     "http://c.example.org/s?page=2"]  # pager link is both an <a> and H2
+    assert links == ["http://c.example.org/o/1", "http://c.example.org/s?page=2"]
     f = sorted(r["link"] for r in PG.frontier(PG.outgoing(pages, ["example.org"]), pages).collect())
     assert f == ["http://c.example.org/o/1", "http://c.example.org/s?page=2"]

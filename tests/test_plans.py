@@ -52,3 +52,14 @@ def test_over_limit_falls_back_to_shuffle_join(spark, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert base == other
+
+
+@pytest.mark.parametrize("name,most", [("has_image_filter", 1), ("label_counts", 3), ("train_test_split", 3),
+                                       ("class_stats", 2)])
+def test_tables_are_not_scanned_again_and_again(spark, name, most):
+    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    assert plan.count("FileScan") <= most, plan
+
+
+def test_json_is_parsed_once(spark):
+    assert _plan(E.queries()["has_image_filter"](spark, SF_SMALL)).count("from_json") == 1

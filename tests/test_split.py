@@ -31,14 +31,14 @@ def test_split_exact_size_and_deterministic(spark):
 
 def test_hash_rank_equals_global_row_number(spark):
     df = _df(spark, 500)
-    r = SP.hash_rank(df, group_cols=["class_id"], max_groups=3)
+    r = SP.hash_rank(df, group_cols=["class_id"])
     w = Window.partitionBy("class_id").orderBy(F.md5("key"), "key")
     ref = df.withColumn("hash_rank", F.row_number().over(w) - 1)
     assert rows(r, "key", "hash_rank") == rows(ref, "key", "hash_rank")
 
 
 def test_folds_are_stratified(spark):
-    f = SP.stratified_folds(_df(spark, 999), 3, max_classes=3)
+    f = SP.stratified_folds(_df(spark, 999), 3)
     counts = rows(f.groupBy("class_id", "fold").count(), "class_id", "fold", "count")
     assert all(c == 111 for _, _, c in counts)
 
@@ -63,7 +63,7 @@ def test_bucketed_rank_and_split_match_global_order(spark, n, hot, frac):
     df = spark.range(n).select(F.col("id").cast("string").alias("key"),
                                F.when(F.col("id") < n_hot, 0).otherwise(F.col("id") % 3 + 1)
                                .cast("int").alias("class_id"))
-    r = SP.hash_rank(df, group_cols=["class_id"], max_groups=4)
+    r = SP.hash_rank(df, group_cols=["class_id"])
     w = Window.partitionBy("class_id").orderBy(F.md5("key"), "key")
     ref = df.withColumn("hash_rank", F.row_number().over(w) - 1)
     assert rows(r, "key", "hash_rank") == rows(ref, "key", "hash_rank")

@@ -45,3 +45,39 @@ def test_default_checkpoint_is_stable(spark, tmp_path):
     run_available(spark, str(src), out, process, "*.txt")
     run_available(spark, str(src), out, process, "*.txt")
     assert calls == [1]  # the second run saw no new file, so no batch ran
+
+
+def test_stream_checkpoint_is_the_same_in_every_application(spark):
+    """The folder comes from the setting, not from the application's own one."""
+    from hanga.session import shared_root
+    root = shared_root(spark)
+    assert root == shared_root(spark)
+    own = spark.sparkContext.getCheckpointDir() or ""
+    assert not root.endswith(own.rstrip("/").rsplit("/", 1)[-1])
+
+
+def test_storage_errors_are_not_taken_for_a_fresh_start(spark):
+    import pytest
+    from hanga.streaming.incremental import _done_keys
+    with pytest.raises(Exception):
+        _done_keys(spark, "nosuchscheme://bucket/out")
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    import pytest
+    from hanga import session as S
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Fake:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        S.shared_root(Fake())
+    Fake.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        S.shared_root(Fake())

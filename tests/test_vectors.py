@@ -48,7 +48,7 @@ def test_centroids_include_global(toy):
 def test_inter_class_distance_symmetric(toy):
     cents = V.class_centroids(toy)
     d = {(r["class_i"], r["class_j"]): r["dist"] for r in
-         V.inter_class_distance(cents, 4, 2).collect()}
+         V.inter_class_distance(cents).collect()}
     assert len(d) == 16
     for (i, j), v in d.items():
         assert v == pytest.approx(d[(j, i)])
@@ -57,8 +57,8 @@ def test_inter_class_distance_symmetric(toy):
 
 
 def test_nearest_and_outliers_small_class_lists_all(toy):
-    near = rows(V.ranked_by_centroid(toy, 4, k=5), "class_id", "rank", "key")
-    far = rows(V.ranked_by_centroid(toy, 4, k=5, farthest=True), "class_id", "rank", "key")
+    near = rows(V.ranked_by_centroid(toy, k=5), "class_id", "rank", "key")
+    far = rows(V.ranked_by_centroid(toy, k=5, farthest=True), "class_id", "rank", "key")
     assert [r for r in near if r[0] == 1] and len([r for r in near if r[0] == 1]) == 4
     assert [r[2] for r in near if r[0] == 0][0] == "a2"  # the middle point is the mean
     assert {r[2] for r in far if r[0] == 0} == {f"a{i}" for i in range(5)}
@@ -86,3 +86,18 @@ def test_distance_function(spark):
     from hanga.functions.vectors import l2_distance
     df = spark.createDataFrame([([3.0, 0.0], [0.0, 4.0])], "a array<double>, b array<double>")
     assert math.isclose(df.select(l2_distance("a", "b")).first()[0], 5.0)
+
+
+def test_vectors_without_a_distance_never_rank(spark):
+    """A NULL vector and one of another width are rejects, not neighbours."""
+    s = _samples(spark, [("q", 0, [0.0, 0.0]), ("a", 0, [1.0, 0.0]), ("b", 1, [2.0, 0.0]),
+                         ("wide", 1, [0.0, 0.0, 0.0]), ("none", 0, None)])
+    assert rows(V.knn(s, "q", k=5), "rank", "key") == [(0, "q"), (1, "a"), (2, "b")]
+    assert rows(V.closest_by_class(s, "q"), "class_id", "key") == [(0, "q"), (1, "b")]
+    r = V.query_rank(s, "q").first()
+    assert (r["query_rank"], r["n_samples"]) == (0, 3)
+    assert rows(V.incomparable(s, 2), "key", "reason") == [("none", "no_vector"), ("wide", "width_mismatch")]
+    near = rows(V.ranked_by_centroid(s, k=5, width=2), "class_id", "key")
+    assert near == [(0, "a"), (0, "q"), (1, "b")]
+    with pytest.raises(ValueError):
+        V.knn(s, "none")
