@@ -1,11 +1,9 @@
-import os
-import sys
+"""Fixtures of the training-data operator tests, imported by name (a second
+``conftest`` would shadow the first)."""
 
 import pytest
 from pyspark.sql import types as T
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                      T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                      T.StructField("n_chars", T.LongType())])

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from hanga.llm import language, quality_pu, quality_trees, textstats, toxicity
 from hanga.llm.common import in_fold
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 GOOD = "the river ran past old stone houses while children played near quiet water every day".split()
 BAD_WORDS = ["idiot", "scum", "moron"]

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from hanga.llm import decontam as D
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 
 def items_frame(spark, rows):

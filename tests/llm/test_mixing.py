@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from hanga.llm import mixing as M
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 TARGETS = {"source": {"a": 0.5, "b": 0.3, "other": 0.2}, "lang": {"en": 0.6, "de": 0.4},
            "topic": {"prose": 0.8, "table": 0.2}}

@@ -1,6 +1,7 @@
 import re
 
 from hanga.llm import pii as P
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 KEY = b"k"
 

@@ -11,6 +11,7 @@ from hanga.llm import decontam, mixing, pii, toxicity  # noqa: E402
 from hanga.llm.common import clean_shared, in_fold, read_table, shared_table  # noqa: E402
 from hanga.llm.queries import MIX_SHARE, MIX_TARGETS, ORACLE_SQL, QUERIES  # noqa: E402
 from test_simhash import slow_fingerprint, union  # noqa: E402
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLE = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -1,0 +1,138 @@
+"""The registered queries keep their contracts on a whole small table."""
+
+import hashlib
+import json
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from hanga.llm import decontam, pii
+from hanga.llm.common import read_table
+from hanga.llm.queries import ORACLE_SQL, QUERIES
+from test_classifiers import slow_base
+from test_simhash import slow_fingerprint, union
+
+SF = "/root/testdata/sf0.001"
+NAME = {int(q[2:].split("_")[0]): q for q in QUERIES}
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in read_table(spark, SF, "documents").collect()}
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return {r["doc_id"]: r for r in read_table(spark, SF, "labels").collect()}
+
+
+def run(spark, n):
+    return QUERIES[NAME[n]](spark, SF).collect()
+
+
+def fold(i, mod, rest):
+    return zlib.crc32(str(i).encode()) % mod == rest
+
+
+@pytest.mark.parametrize("n,mod,rest,cut,label", [(2, 4, 2, 0.7, "quality"), (3, 5, 0, 0.5, "toxic")])
+def test_scores(spark, texts, labels, n, mod, rest, cut, label):
+    rows = run(spark, n)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert r["held_out"] == fold(r["doc_id"], mod, rest)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+    seen = [(r["score"], labels[r["doc_id"]][label]) for r in rows if r["doc_id"] in labels and not r["held_out"]]
+    one, zero = [s for s, y in seen if y == 1], [s for s, y in seen if y == 0]
+    assert np.mean([a > b for a in one for b in zero]) > 0.9
+
+
+def test_url_filter(spark):
+    rows = run(spark, 4)
+    pages = {r["page_id"]: r["url"] for r in read_table(spark, SF, "pages").collect()}
+    from test_urls import slow
+    assert sorted(r["page_id"] for r in rows) == sorted(pages)
+    for r in rows:
+        host, path, rule, verdict = slow(pages[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
+
+
+def test_language(spark, texts):
+    rows = run(spark, 5)
+    docs = {r["doc_id"]: r["lang"] for r in read_table(spark, SF, "documents").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    learned = {lang for i, lang in docs.items() if not fold(i, 4, 2)}
+    for r in rows:
+        assert r["held_out"] == fold(r["doc_id"], 4, 2) and 0 <= r["score"] <= 1
+        letters = any(c.isalpha() for c in texts[r["doc_id"]] or "")
+        assert r["lang_pred"] in learned if letters else r["lang_pred"] == "und"
+    held = [r["lang_pred"] == docs[r["doc_id"]] for r in rows if r["held_out"]]
+    assert np.mean(held) > 0.95
+
+
+def test_quality_trees(spark, texts):
+    for r in run(spark, 6):
+        base = slow_base(texts[r["doc_id"]])
+        assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == base
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+
+
+def test_decontamination(spark, texts):
+    items = {r["item_id"]: decontam.words_of(r["text"]) for r in read_table(spark, SF, "benchmark").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in run(spark, 7) if r["similarity"] == 1.0}
+    want = set()
+    for i, t in texts.items():
+        said = f" {' '.join(decontam.words_of(t))} "
+        want |= {(i, k) for k, w in items.items() if f" {' '.join(w)} " in said}
+    assert got == want and want
+
+
+def test_suffix_dedup(spark, texts):
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    seen = Counter(d[k:k + 400] for d in data.values() for k in range(len(d) - 399))
+    for r in run(spark, 8):
+        d = data[r["doc_id"]]
+        gone = np.zeros(len(d), bool)
+        for k in range(len(d) - 399):
+            if seen[d[k:k + 400]] > 1:
+                gone[k:k + 400] = True
+        kept = np.frombuffer(d, np.uint8)[~gone].tobytes()
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == \
+            (len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_simhash(spark, texts):
+    fps = {i: slow_fingerprint(t) for i, t in texts.items()}
+    root = union([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], list(fps))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run(spark, 9)}
+    assert got == {i: (f"{f:016x}", root[i]) for i, f in fps.items()}
+
+
+def test_pii(spark, texts):
+    rows = run(spark, 1)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        old = texts[r["doc_id"]]
+        hits = pii.detect(old)
+        assert len(r["pii_spans"]) == len(hits) and all(old[a:b] not in r["text"] for a, b, _, _ in hits)
+        at, out = 0, []
+        for a, b, _, _ in hits:
+            out.append(old[at:a])
+            at = b
+        out.append(old[at:])
+        assert all(part in r["text"] for part in out)
+
+
+def test_mixing_against_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    rel = con.execute(ORACLE_SQL[NAME[10]])
+    cols = [c[0] for c in rel.description]
+    want = sorted(json.dumps(dict(zip(cols, r, strict=True)), sort_keys=True) for r in rel.fetchall())
+    got = sorted(json.dumps(r.asDict(), sort_keys=True) for r in run(spark, 10))
+    assert got == want

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from hanga.llm import simhash as S
 from hanga.llm.common import components, text_key
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 
 def slow_fingerprint(text, k=3):

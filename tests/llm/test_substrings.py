@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from hanga.llm import substrings as X
+from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 
 def brute(texts, length):
