@@ -9,6 +9,7 @@ cluster.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,7 +28,13 @@ def build_session(master: str | None = None, app: str = "hanga",
     """Create (or reuse) a session with the settings this library relies on.
 
     AQE stays on so that shuffle partitions coalesce and skewed joins split at
-    run time; the UI stays off (no server)."""
+    run time; the UI stays off (no server). Python workers started by this
+    process find the package from any working directory; on a cluster it is
+    installed or shipped with the job (README, "Cluster settings")."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
