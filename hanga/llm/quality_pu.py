@@ -36,7 +36,7 @@ from .wordgrams import Adam, sigmoid
 
 ROWS = 4000
 BINS = 12
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 1500, 0.1, 1e-4
 THRESHOLD = 0.7
 
 
