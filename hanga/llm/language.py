@@ -2,7 +2,7 @@
 
 Script ranges narrow the candidates of every word to the languages that were
 seen in its script; each candidate gets a score for the word (smoothed log
-probability of its hashed n-grams and stems, relative to the best and bounded
+probability of its hashed n-grams, relative to the best and bounded
 below); Viterbi over the words with a penalty for every switch labels the
 spans. The document's language is the one that labels most letters.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, shielded
+from .common import map_texts, shielded, small_side
 from .labelled import MAX_CHARS
-from .wordgrams import gram_ids
+from .wordgrams import bulk_grams
 
 ROWS = 4000
 MIN_ROWS = 20            # of a language, however many languages there are
 DIMS = 1 << 15
-LOW, HIGH = 2, 4
+LOW, HIGH = 2, 5
 SMOOTH = 0.5
 FLOOR = 4.0              # a word counts at most so much against a language
 PENALTY = 8.0            # for a switch between words
@@ -76,37 +77,53 @@ class LanguageModel:
     scripts: dict[str, np.ndarray]      # script -> languages seen in it (mask)
 
 
-class WordTable(dict):
-    """word -> row of ``scores`` (per language, best is 0) and ``letters``."""
+class WordTable:
+    """Words met so far: a row of ``scores`` each (per language, best is 0) and
+    their ``letters``; new words are scored in bulk."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int32)
-
-    def trim(self) -> None:
-        """Between texts only: rows in use must not move."""
-        if len(self) > TABLE:
-            self.clear()
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        n = sum(map(str.isalpha, word))
-        self.letters[i] = n
-        row = np.zeros(len(self.model.languages))
-        mask = self.model.scripts.get(script_of(word)) if n else None
-        if mask is not None:
-            ids = gram_ids(word, LOW, HIGH, len(self.model.logs))
-            row = self.model.logs[ids].sum(axis=0) / len(ids) ** 0.5
-            row = np.where(mask, row, -np.inf)
-            row = np.maximum(row - row.max(), -FLOOR)
-        self.scores[i] = row
-        self[word] = i
-        return i
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int32)
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Row numbers of the words of one text (valid until the next call)."""
+        if len(self.index) > TABLE:
+            self._clear()
+        index = self.index
+        new = [w for w in set(words) if w not in index]
+        for lo in range(0, len(new), 20_000):
+            self._add(new[lo:lo + 20_000])
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        n = len(self.index)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        size = n + len(words)
+        if size > len(self.letters):
+            more = max(size, 2 * len(self.letters)) - len(self.letters)
+            self.scores = np.concatenate([self.scores, np.zeros((more, self.scores.shape[1]), np.float32)])
+            self.letters = np.concatenate([self.letters, np.zeros(more, np.int32)])
+        # isalpha of a whole word tells its letters in one step; the rest is rare
+        letters = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words]
+        self.letters[n:size] = letters
+        scripts = [script_of(w) if k else "" for w, k in zip(words, letters, strict=True)]
+        slot, owner = bulk_grams(words, LOW, HIGH, len(self.model.logs))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        rows = np.add.reduceat(self.model.logs[slot], first, axis=0)
+        rows /= np.sqrt(np.diff(np.append(first, len(owner))))[:, None]
+        masks = {s: m for s in set(scripts) if (m := self.model.scripts.get(s)) is not None}
+        none = np.zeros(len(self.model.languages), bool)
+        mask = np.array([masks.get(s, none) for s in scripts])
+        rows = np.where(mask, rows, -np.inf)
+        with np.errstate(invalid="ignore"):
+            rows = np.maximum(rows - rows.max(axis=1, keepdims=True), -FLOOR)
+        rows[~mask.any(axis=1)] = 0.0            # no candidate: equal scores
+        self.scores[n:size] = rows
 
 
 def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -141,15 +158,17 @@ def fit(sample: list[tuple[str, str]], dims: int = DIMS) -> LanguageModel:
     counts = np.full((dims, len(languages)), SMOOTH)
     seen: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
-        words: dict[str, int] = {}
+        words: Counter = Counter()
         for text, of in sample:
             if of == lang:
-                for w in WORD.findall(text):
-                    words[w] = words.get(w, 0) + 1
-        for w, n in words.items():
-            np.add.at(counts[:, k], gram_ids(w, LOW, HIGH, dims), n)
-            s = script_of(w)
-            seen.setdefault(s, np.zeros(len(languages)))[k] += n
+                words.update(WORD.findall(text))
+        if not words:
+            continue
+        names, times = list(words), np.array(list(words.values()), float)
+        slot, owner = bulk_grams(names, LOW, HIGH, dims)
+        counts[:, k] += np.bincount(slot, times[owner], dims)
+        for w, n in zip(names, times, strict=True):
+            seen.setdefault(script_of(w), np.zeros(len(languages)))[k] += n
     words_of = sum(seen.values()) if seen else np.zeros(len(languages))
     scripts = {s: m for s, v in seen.items()
                if (m := v >= MIN_SCRIPT_SHARE * np.maximum(words_of, 1)).any()}
@@ -160,14 +179,21 @@ def training_rows(docs: DataFrame, train: Column | None, rows: int = ROWS, text:
                   lang: str = "lang") -> list[tuple[str, str]]:
     """About ``rows`` (text, language) pairs, evenly over the languages, chosen
     by a hash of the text; at least ``MIN_ROWS`` of each language if it has
-    them. Ranks are limited inside every task before they meet."""
+    them."""
     part = docs if train is None else docs.where(train)
-    part = part.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS))
-    kinds = max(1, part.select(F.countDistinct(lang)).first()[0])
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")
-    got = (part.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    part = (part.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS))
+            .select(F.col(text).alias("text"), F.col(lang).alias("lang")))
+    sizes = part.groupBy("lang").agg(F.count("*").alias("n"))
+    kinds = sizes.count()
+    most = max(MIN_ROWS, rows // max(1, kinds))
+    # of a large language only rows with a small hash are ranked, four times
+    # as many as needed on average
+    u = F.xxhash64("text", F.lit(7))
+    near = (u.cast("double") / float(1 << 63) + 1) / 2 * F.col("n") <= 4.0 * most
+    by = Window.partitionBy("lang").orderBy(u, "text")
+    got = (part.join(small_side(sizes, kinds, 64), "lang").where(near).dropDuplicates(["lang", "text"])
            .withColumn("_r", F.row_number().over(by))
-           .where(F.col("_r") <= max(MIN_ROWS, rows // kinds)).select("text", "lang").collect())
+           .where(F.col("_r") <= most).select("text", "lang").collect())
     return sorted((r["text"], r["lang"]) for r in got)
 
 
@@ -182,8 +208,7 @@ def label_spans(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY,
     def one(t: str | None, table: WordTable):
         languages = table.model.languages
         words = WORD.findall(t) if t and languages else []
-        table.trim()
-        ids = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+        ids = table.ids(words)
         letters = table.letters[ids]
         if not letters.sum():
             return "und", 0.0, []

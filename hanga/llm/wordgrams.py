@@ -35,6 +35,37 @@ def gram_ids(word: str, low: int, high: int, dims: int) -> list[int]:
     return out
 
 
+def bulk_grams(words: list[str], low: int, high: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, word number) of the n-grams of many words at once, with a mark
+    at both ends of a word. Words must not hold a line feed. Its own hashing,
+    apart from :func:`gram_ids`; numpy passes over all code points, so a new
+    word costs little. The pairs come sorted by word, and every word has one."""
+    text = "\n" + "\n".join(words).lower() + "\n"
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mark = np.flatnonzero(code == 10)
+    n = len(code)
+    owner = np.cumsum(code == 10) - 1                  # the mark before a word belongs to it
+    end = mark[np.minimum(owner + 1, len(mark) - 1)]   # the mark after it
+    slots, owners = [], []
+    h = code + np.uint64(1)
+    for size in range(2, high + 1):
+        h = h[:n - size + 1] * np.uint64(0x9E3779B97F4A7C15) + code[size - 1:] + np.uint64(1)
+        if size < low:
+            continue
+        at = np.flatnonzero(np.arange(n - size + 1) + size - 1 <= end[:n - size + 1])
+        if size == low:                                # short words: the pair of marks at least
+            at = np.union1d(at, mark[:-1][np.diff(mark) < size - 1])
+            at = at[at + size <= n]
+        x = h[at] ^ np.uint64(size)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        slots.append(((x ^ (x >> np.uint64(32))) % np.uint64(dims)).astype(np.int64))
+        owners.append(owner[at])
+    slot, who = np.concatenate(slots), np.concatenate(owners)
+    order = np.argsort(who, kind="stable")
+    keep = who[order] < len(words)
+    return slot[order][keep], who[order][keep]
+
+
 class WordScores(dict):
     """word -> score of the word; emptied when
     it holds ``limit`` words, so memory is bounded on any vocabulary."""
