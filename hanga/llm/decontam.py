@@ -2,11 +2,10 @@
 
 Texts and items are cut into lower-cased words (letters and digits). Against an
 item of n words every window of n words of a document is a candidate. Window
-and item fingerprints (SimHash of the words, each word weighing its rarity in
-the benchmark) are matched through multi-index Hamming blocks: the 64 bits are
-cut into ``radius + 1`` blocks, and fingerprints within ``radius`` bits agree
-in at least one block, so looking every window up in all block tables finds
-every item within the radius. Candidates are then verified exactly: weighted
+and item fingerprints (SimHash of the words) are matched through multi-index
+Hamming blocks: the 64 bits are cut into ``radius + 1`` blocks, and
+fingerprints within ``radius`` bits agree in at least one block, so looking
+every window up in all block tables finds every item within the radius. Candidates are then verified exactly: weighted
 Jaccard similarity of their multisets of ``SHINGLE``-word shingles must reach
 ``MIN_SIMILARITY``. A shingle weighs the sum of its words' weights: a word of
 the item its rarity in the benchmark, any other word as much as the rarest.
@@ -32,7 +31,6 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,12 +132,12 @@ def build_index(items: list[tuple], weights: dict, default: float, radius: int =
     index, hashes = Index(radius, min_similarity, default), WordHashes()
     sizes = defaultdict(set)
     groups: dict[int, list[Item]] = defaultdict(list)
-    for item_id, text in items:
+    for no, (item_id, text) in enumerate(items):
         words = words_of(text)
         if not words:
             continue
         if len(words) < SHINGLE:
-            index.short.setdefault(tuple(words), []).append(item_id)
+            index.short.setdefault(tuple(words), []).append((no, item_id))
             continue
         groups[len(words)].append(Item(item_id, words, shingles_of(words), {w: weights[w] for w in words}))
         for h in np.unique(shingle_hashes(hashes.of(words))).tolist():
@@ -180,8 +178,8 @@ def leaks_in(text: str | None, index: Index, table: WordHashes | None = None) ->
     best: dict[int, tuple] = {}
     for n in {len(k) for k in index.short}:
         for i in range(len(words) - n + 1):
-            for item_id in index.short.get(tuple(words[i:i + n]), ()):
-                best.setdefault(("short", item_id, n), (item_id, 1.0, i, n))
+            for no, item_id in index.short.get(tuple(words[i:i + n]), ()):
+                best.setdefault(("short", no), (item_id, 1.0, i, n))
     if len(words) >= SHINGLE and len(index.first):
         hashes = (WordHashes() if table is None else table).of(words)
         marks = shingle_hashes(hashes)
