@@ -234,6 +234,19 @@ def test_best_path_is_optimal(seed):
     assert value == pytest.approx(slow_viterbi(scores, 2.0))
 
 
+def test_constant_paths_of_many_texts():
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 40, 200)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    scores = (-4 * rng.random((sizes.sum(), 3)) ** 3).astype(np.float32)
+    top = language.constant_paths(scores, starts, 6.0)
+    assert (top >= 0).any() and (top < 0).any()
+    for a, n, k in zip(starts, sizes, top, strict=True):
+        path = language.best_path(scores[a:a + n], 6.0)
+        if k >= 0:
+            assert (path == k).all()
+
+
 def test_language_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
     got = language.identify(make_docs(hard_rows, clash=True))
     assert got.count() == len(hard_rows)

@@ -69,9 +69,9 @@ def test_blocks_of_items_give_the_same_result(spark, make_docs):
     frame, bench = make_docs(docs), items_frame(spark, items)
     whole = sorted(map(tuple, D.find_leaks(frame, bench).collect()))
     kept = sorted(r["doc_id"] for r in D.drop_leaks(frame, bench).collect())
-    spark.conf.set("hanga.broadcast.maxBytes", "4000")
+    spark.conf.set("hanga.broadcast.maxBytes", "30000")
     try:
-        assert len(list(D.item_blocks(bench, 4000))) > 2
+        assert len(list(D.item_blocks(bench, 30000))) > 1
         assert sorted(map(tuple, D.find_leaks(frame, bench).collect())) == whole
         assert sorted(r["doc_id"] for r in D.drop_leaks(frame, bench).collect()) == kept
     finally:
