@@ -171,6 +171,9 @@ def hash_init(points: DataFrame, k: int, key_col: str = "key", feat_col: str = "
               seed: int = 0) -> np.ndarray:
     """k starting centres: the points with the lowest md5(seed:key) — a
     seeded random pick; Spark's top-k keeps only k rows per task."""
+    width = vector_width(points, feat_col)
+    if k * width * 8 > broadcast_limit(points.sparkSession):
+        raise ValueError(f"{k} starting centres of width {width} exceed the broadcast limit")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
     rows = points.select(feat_col, h.alias("__h"), key_col).orderBy("__h", key_col).limit(k)
     return np.array([r[feat_col] for r in rows.collect()], dtype=np.float64)

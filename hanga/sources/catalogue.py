@@ -101,18 +101,24 @@ def read_value_list(spark: SparkSession, path: str) -> DataFrame:
 
 def with_line_number(lines: DataFrame) -> DataFrame:
     """Adds ``line_no``: the exact zero-based line index across the files in
-    ``line_order`` order, without a global window. Rows are counted per file
-    split (a small table: one row per split), split offsets are summed over
-    that table, and each row adds its position inside its split."""
+    ``line_order`` order, without a window over the lines. Rows are counted per
+    file split; offsets of the splits are summed inside their file, offsets of
+    the files over one row per file, and each row adds its position inside its
+    split."""
     lo = F.col("line_order")
     per_split = (lines.groupBy(lo.getField("file").alias("__f"), lo.getField("start").alias("__s"))
                  .agg(F.min(lo.getField("row")).alias("__base"), F.count(F.lit(1)).alias("__n")))
-    before = Window.orderBy("__f", "__s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    earlier = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
+    files = (per_split.groupBy("__f").agg(F.sum("__n").alias("__t"))
+             .select("__f", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__foff")))
+    before = Window.partitionBy("__f").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_split.withColumn("__soff", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+               .join(files, "__f").withColumn("__off", F.col("__soff") + F.col("__foff"))
+               .select("__f", "__s", "__base", "__off"))
     keyed = lines.withColumn("__f", lo.getField("file")).withColumn("__s", lo.getField("start"))
     return (keyed.join(offsets, ["__f", "__s"])
             .withColumn("line_no", F.col("__off") + lo.getField("row") - F.col("__base"))
-            .drop("__f", "__s", "__base", "__n", "__off"))
+            .drop("__f", "__s", "__base", "__off"))
 
 
 def read_feature_names(spark: SparkSession, path: str) -> DataFrame:
