@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hanga.session import broadcast_limit, ensure_checkpoint_dir
 
+SLICE = 500   # rows turned into Python objects at a time
 _written: list[str] = []
 _lock = threading.Lock()
 
@@ -90,8 +91,8 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[list], tuple | li
     column in, one list per output column out) to the given columns of ``df``,
     one Arrow batch at a time. ``schema`` names the appended columns.
 
-    Only ``columns`` travel to Python; the pass-through part is handed on as
-    Arrow without conversion."""
+    Only ``columns`` become Python values, ``SLICE`` rows at a time whatever
+    the batch size; the pass-through part is handed on as Arrow."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     added = _parse_datatype_string(schema)
@@ -100,7 +101,7 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[list], tuple | li
     types = [_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = fn(*(b.column(i).to_pylist() for i in idx))
             arrays = b.columns + [x if isinstance(x, pa.Array) else pa.array(x, t)
                              for x, t in zip(got, types, strict=True)]
@@ -109,6 +110,14 @@ def map_texts(df: DataFrame, columns: list[str], fn: Callable[[list], tuple | li
     return df.mapInArrow(run, out)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that texts are held as Python
+    objects a few at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _arrow_type(t):
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(t)

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, small_side, text_key
+from .common import shared_table, slices, small_side, text_key
 
 LENGTH = 400
 GRAM = 200
@@ -283,7 +283,7 @@ def _emit(ids: pa.Array, keys: pa.Array, texts, cut) -> Iterator[pa.RecordBatch]
 
 def _first_level(length: int, gram: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield from _emit(b.column(0), b.column(1), b.column(2).to_pylist(),
                              lambda i, data: blocks_of(data, length, gram))
     return run
@@ -291,7 +291,7 @@ def _first_level(length: int, gram: int):
 
 def _next_level(length: int, piece: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             todo = b.column(3).to_pylist()
 
             def cut(i, data, todo=todo):
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     joined = keyed.join(small_side(merged, 1, 64 * n + 24 * items), cond, "left")
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             spans, kept, sizes = b.column(2).to_pylist(), [], []
             for s, text in zip(spans, b.column(1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
