@@ -227,7 +227,7 @@ def _near_dedup(docs: DataFrame, doc_id: str, text: str, options: dict) -> DataF
     rows, repeated = kept.agg(F.count("*"), F.sum((F.col("_n") > 1).cast("int"))).first()
     keyed = docs.withColumn("_tk", text_key(text))
     cond = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col("_tk").eqNullSafe(F.col("_key"))
-    joined = keyed.join(small_side(kept, rows, 40), cond).drop("_id", "_key")
+    joined = keyed.join(small_side(kept, rows, 96), cond).drop("_id", "_key")
     out = joined.where("_n = 1")
     if repeated:  # fully equal rows exist: only those are compared as rows
         out = out.unionByName(joined.where("_n > 1").dropDuplicates([doc_id, "_tk"]))
