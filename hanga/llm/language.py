@@ -7,8 +7,11 @@ below); Viterbi over the words with a penalty for every switch labels the
 spans. The document's language is the one that labels most letters.
 
 Most texts are of one language, and for those the best path is shown constant
-without running the recursion: if no stretch of words gains more than half a
-penalty in any other language, no path with a switch can win.
+without running the recursion. Let gains count against the best constant path.
+A path with m stretches in other languages has at least m switches, or m - 1
+if it never uses the constant's language. So no path with a switch wins if no
+stretch gains more than a penalty, and a beginning and an end together do not
+either.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0 and no spans; words of a script that no learned language uses leave all
@@ -43,7 +46,8 @@ SMOOTH = 0.5
 FLOOR = 4.0              # a word counts at most so much against a language
 PENALTY = 8.0            # for a switch between words
 MIN_SCRIPT_SHARE = 0.02  # of a language's words, to be a candidate in a script
-TABLE = 150_000          # words remembered between texts
+TABLE = 150_000          # words remembered between groups of texts
+CELLS = 1_000_000        # word scores of a group of texts labelled together
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges (Unicode blocks).
@@ -91,7 +95,7 @@ class WordTable:
         self.letters = np.zeros(0, np.int32)
 
     def ids(self, words: list[str]) -> np.ndarray:
-        """Row numbers of the words of one text (valid until the next call)."""
+        """Row numbers of the words (valid until the next call)."""
         if len(self.index) > TABLE:
             self._clear()
         index = self.index
@@ -130,10 +134,7 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Language number of every word (Viterbi with a switching penalty)."""
     total = scores.sum(axis=0, dtype=np.float64)
     top = int(total.argmax())
-    gain = np.cumsum(scores - scores[:, top:top + 1], axis=0, dtype=np.float64)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    low = np.concatenate([np.zeros((1, gain.shape[1])), low[:-1]])
-    if (gain - low).max() <= penalty / 2:
+    if constant_paths(scores, np.zeros(1, np.int64), penalty)[0] == top:
         return np.full(len(scores), top)
     n, k = scores.shape
     came = np.empty((n, k), np.int16)
@@ -152,6 +153,26 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
+def constant_paths(scores: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """For many texts at once (rows ``starts[i]`` up to the next start): the
+    language of the best path if it is shown constant, else -1."""
+    n, k = scores.shape
+    sizes = np.diff(np.append(starts, n))
+    top = np.add.reduceat(scores, starts, axis=0, dtype=np.float64).argmax(axis=1)
+    text = np.repeat(np.arange(len(starts)), sizes)
+    gain = np.cumsum(scores - scores[np.arange(n), top[text]][:, None], axis=0, dtype=np.float64)
+    before = np.concatenate([np.zeros((1, k)), gain[:-1]])[starts]   # sums up to each text
+    gain -= before[text]
+    # running minimum inside each text: later texts are shifted below earlier ones
+    step = (np.ptp(gain) + 1.0) * text[:, None]
+    low = np.minimum(np.minimum.accumulate(gain - step, axis=0) + step, 0.0)
+    stretch = np.maximum.reduceat((gain - low).max(axis=1), starts)
+    opening = np.maximum(np.maximum.reduceat(gain, starts, axis=0).max(axis=1), 0.0)
+    ends = gain[starts + sizes - 1]
+    closing = np.maximum(ends - np.minimum(np.minimum.reduceat(gain, starts, axis=0), 0.0), 0.0).max(axis=1)
+    return np.where((stretch <= penalty) & (opening + closing <= penalty), top, -1)
+
+
 def fit(sample: list[tuple[str, str]], dims: int = DIMS) -> LanguageModel:
     """Fit on (text, language) pairs."""
     languages = sorted({lang for _, lang in sample})
@@ -205,31 +226,50 @@ def label_spans(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY,
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     memo: dict = {}
 
-    def one(t: str | None, table: WordTable):
-        languages = table.model.languages
-        words = WORD.findall(t) if t and languages else []
-        ids = table.ids(words)
-        letters = table.letters[ids]
-        if not letters.sum():
-            return "und", 0.0, []
-        path = best_path(table.scores[ids], penalty)
-        share = np.bincount(path, letters, len(languages))
-        top = int(share.argmax())
-        score = float(share[top] / letters.sum())
-        if path.min() == path.max():
-            return languages[top], score, [{"lang": languages[top], "start": 0, "end": len(t)}]
+    def spans_of(t: str, path: np.ndarray, languages: list[str]):
         new = np.flatnonzero(np.diff(path)) + 1
         starts = [m.start() for m in WORD.finditer(t)]
         cuts = [0, *(starts[i] for i in new), len(t)]
         kinds = path[np.concatenate([[0], new])]
-        return languages[top], score, [{"lang": languages[k], "start": a, "end": b}
-                                       for k, a, b in zip(kinds, cuts, cuts[1:], strict=False)]
+        return [{"lang": languages[k], "start": a, "end": b} for k, a, b in zip(kinds, cuts, cuts[1:], strict=False)]
+
+    def label(group: list[tuple[int, str, list[str]]], table: WordTable, out: list) -> None:
+        """Label the texts of ``group`` (place, text, words) together."""
+        languages = table.model.languages
+        sizes = np.array([len(w) for _, _, w in group])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ids = table.ids([x for _, _, w in group for x in w])
+        scores, letters = table.scores[ids], table.letters[ids]
+        held = np.add.reduceat(letters, starts)
+        top = constant_paths(scores, starts, penalty)
+        for (at, t, words), lo, n, k in zip(group, starts.tolist(), held.tolist(), top.tolist(), strict=True):
+            if n == 0:
+                continue
+            if k >= 0:
+                out[at] = (languages[k], 1.0, [{"lang": languages[k], "start": 0, "end": len(t)}])
+                continue
+            hi = lo + len(words)
+            path = best_path(scores[lo:hi], penalty)
+            share = np.bincount(path, letters[lo:hi], len(languages))
+            out[at] = (languages[int(share.argmax())], float(share.max() / n),
+                       spans_of(t, path, languages))
 
     def run(texts):
         table = memo.get("t")
         if table is None:
             table = memo["t"] = WordTable(shared.value)
-        got = [one(t, table) for t in texts]
+        got: list = [("und", 0.0, [])] * len(texts)
+        group, cells = [], 0
+        for at, t in enumerate(texts):
+            words = WORD.findall(t) if t and table.model.languages else []
+            if words:
+                group.append((at, t, words))
+                cells += len(words) * len(table.model.languages)
+            if group and (cells >= CELLS or at == len(texts) - 1):
+                label(group, table, got)
+                group, cells = [], 0
+        if group:
+            label(group, table, got)
         return [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()),
                 pa.array([g[2] for g in got], span)]
 
