@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 MAX_CHARS = 200_000
 
 
+def smallest_hashes(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the smallest hash of ``columns`` (rows
+    equal in them count once). The table is counted first, so that every task
+    hands on only rows that can be among them, not its own ``rows`` smallest."""
+    near = (F.xxhash64(*columns).cast("double") / float(1 << 63) + 1) / 2 * df.count() <= 2.0 * rows + 64
+    return (df.where(near).dropDuplicates(list(columns))
+            .orderBy(F.xxhash64(*columns), *columns).limit(rows))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     fold: Column | None = None, max_chars: int = MAX_CHARS,
                     doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
@@ -21,8 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
     marks = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     if fold is not None:
         marks = marks.where(fold)
-    marks = (marks.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-             .orderBy(F.xxhash64("_id"), "_id").limit(rows))
+    marks = marks.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    marks = smallest_hashes(marks, rows, "_id")
     got = (docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
            .where(F.length("_t") <= max_chars)
            .join(F.broadcast(marks), "_id")          # at most ``rows`` ids

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, shielded
-from .labelled import MAX_CHARS, labelled_sample
+from .labelled import MAX_CHARS, labelled_sample, smallest_hashes
 from .textstats import NAMES, text_stats
 from .wordgrams import Adam, sigmoid
 
@@ -135,9 +135,9 @@ def unlabelled_sample(docs: DataFrame, rows: int, fold: Column | None = None,
                       max_chars: int = MAX_CHARS, doc_id: str = "doc_id", text: str = "text") -> list[str]:
     """At most ``rows`` texts by a hash of id and text, labels unseen."""
     part = docs if fold is None else docs.where(fold)
-    got = (part.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_h"),
-                       F.coalesce(F.col(text), F.lit("")).alias("_t"))
-           .where(F.length("_t") <= max_chars).orderBy("_h").limit(rows).collect())
+    short = (part.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+             .where(F.length("_t") <= max_chars))
+    got = smallest_hashes(short, rows, "_id", "_t").select("_t").collect()
     return [r["_t"] for r in got]
 
 
