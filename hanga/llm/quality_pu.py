@@ -36,7 +36,8 @@ from .wordgrams import Adam, sigmoid
 
 ROWS = 4000
 BINS = 12
-STEPS, RATE, DECAY = 1500, 0.1, 1e-4
+STEPS, RATE = 1500, 0.1
+DECAY, DECAY_ROWS = 1e-4, 2.0   # L2; at least DECAY_ROWS / rows, so that small samples are smoothed
 THRESHOLD = 0.7
 
 
@@ -68,12 +69,13 @@ def _edges(values: np.ndarray) -> np.ndarray:
 
 def _descend(x, index, weight_grad, steps=STEPS):
     adam = Adam(len(x), RATE)
+    decay = max(DECAY, DECAY_ROWS / len(index))
     for _ in range(steps):
         z = x[index].sum(axis=1) + x[-1]
         slope = weight_grad(z)
         grad = np.bincount(index.ravel(), np.repeat(slope, index.shape[1]), len(x))
         grad[-1] = slope.sum()
-        x = adam.step(x, grad + DECAY * np.append(x[:-1], 0.0))
+        x = adam.step(x, grad + decay * np.append(x[:-1], 0.0))
     return x
 
 
