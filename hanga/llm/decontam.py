@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts and items are cut into lower-cased words (letters and digits). Against an
-item of n words every window of n words of a document is a candidate. Window
+item of n words every window of n words of a document is a candidate
+(of a document with fewer words the whole document, as its only window). Window
 and item fingerprints (SimHash of the words) are matched through multi-index
 Hamming blocks: the 64 bits are cut into ``radius + 1`` blocks, and
 fingerprints within ``radius`` bits agree in at least one block, so looking
@@ -190,22 +191,22 @@ def leaks_in(text: str | None, index: Index, table: WordHashes | None = None) ->
             for size in index.sizes_of[int(marks[h])]:
                 by_size[size].append(h)
         for size, starts in by_size.items():
-            if size > len(words):
-                continue
-            group, prints, tables = index.by_size[size]
-            for a, b in _ranges(np.array(starts), size - SHINGLE, len(words) - size + 1):
+            width = min(size, len(words))
+            for a, b in _ranges(np.array(starts), width - SHINGLE, len(words) - width + 1):
                 for lo in range(a, b, 4096):
                     hi = min(b, lo + 4096)
-                    _match(words, hashes, lo, hi, size, group, prints, tables, index, best)
+                    _match(words, hashes, lo, hi, width, size, index, best)
     return [v for _, v in sorted(best.items(), key=lambda x: (x[1][2], str(x[1][0])))]
 
 
-def _match(words, hashes, lo, hi, size, group, prints, tables, index, best) -> None:
-    """Fingerprint the windows starting in [lo, hi), look them up, verify."""
-    part = words[lo:hi + size - 1]
-    votes = _votes(hashes[lo:hi + size - 1])
+def _match(words, hashes, lo, hi, width, size, index, best) -> None:
+    """Fingerprint the windows of ``width`` words that start in [lo, hi), look
+    them up among the items of ``size`` words, verify."""
+    group, prints, tables = index.by_size[size]
+    part = words[lo:hi + width - 1]
+    votes = _votes(hashes[lo:hi + width - 1])
     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
-    window = sums[size:] - sums[:-size]
+    window = sums[width:] - sums[:-width]
     fp = np.packbits(window > 0, axis=1, bitorder="little").view(np.uint64).ravel()
     pairs = set()
     for shift, mask, table in tables:
@@ -222,12 +223,12 @@ def _match(words, hashes, lo, hi, size, group, prints, tables, index, best) -> N
     for w, i in sorted(pairs):
         item = group[i]
         if w not in made:
-            made[w] = shingles_of(part[w:w + size])
+            made[w] = shingles_of(part[w:w + width])
         s = similarity(made[w], item.shingles, item.weights, index.default)
         if s >= index.min_similarity:
             key = (size, i)
             if key not in best or s > best[key][1] + 1e-12:
-                best[key] = (item.item_id, s, lo + w, size)
+                best[key] = (item.item_id, s, lo + w, width)
 
 
 def item_blocks(benchmark: DataFrame, limit: int, item_id: str = "item_id", text: str = "text"):

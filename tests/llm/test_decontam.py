@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -109,3 +110,33 @@ def test_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
     assert D.find_leaks(make_docs([]), bench).count() == 0
     assert D.find_leaks(docs, bench.limit(0)).count() == 0
     assert D.drop_leaks(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_documents_shorter_than_an_item(spark, make_docs):
+    """A truncated item is a leak; every document is one window of what it has."""
+    items = corpus(5)[1]
+    default, total = 1 + math.log(len(items)), len(items)
+    df = Counter(w for _, t in items for w in set(D.words_of(t)))
+    docs, want = [], {}
+    for item_id, t in items:
+        words = t.split()
+        cuts = [words[:-1], words[1:], words[:-max(1, len(words) // 10)], words[:len(words) // 2], words[:4]]
+        for part in cuts:
+            d = len(docs)
+            docs.append((d, " ".join(part)))
+            for other, u in items:      # no index, no prefilter, no skip
+                iw = u.split()
+                n = min(len(iw), len(part))
+                own = {w: 1 + math.log(total / df[w]) for w in iw}
+                s = max(D.similarity(D.shingles_of(part[i:i + n]), D.shingles_of(iw), own, default)
+                        for i in range(len(part) - n + 1))
+                if s >= D.MIN_SIMILARITY:
+                    want[d, other] = s
+    frame, bench = make_docs(docs), items_frame(spark, items)
+    got = D.find_leaks(frame, bench).collect()
+    have = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}
+    assert have.keys() == want.keys() and len(want) >= 2 * len(items)
+    assert all(have[k] == pytest.approx(want[k]) for k in want)
+    assert all(r["first_word"] == 0 and r["n_words"] == len(docs[r["doc_id"]][1].split()) for r in got)
+    assert {r["doc_id"] for r in D.drop_leaks(frame, bench).collect()} == \
+        {d for d, _ in docs} - {d for d, _ in want}
