@@ -82,11 +82,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id")
 
 
-# Production targets: shares of tokens. Sources are evened out, languages and
-# topics set to fixed shares.
+# Production targets: shares of tokens, relative to those of the categories that
+# occur. Sources are evened out, languages and topics set to fixed shares; null
+# and unlisted sources and languages together have the share of ``other``.
 MIX_TARGETS = {
-    "source": {f"src{i}": 0.05 for i in range(20)},
-    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2},
+    "source": {**{f"src{i}": 0.05 for i in range(20)}, "other": 0.05},
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2, "other": 0.1},
     "topic": {"prose": 0.7, "table": 0.1, "contact": 0.1, "license": 0.05, "code": 0.05},
 }
 MIX_SHARE = 0.5

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from hanga.llm import mixing as M
+from hanga.llm.queries import MIX_SHARE, MIX_TARGETS
 from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
 TARGETS = {"source": {"a": 0.5, "b": 0.3, "other": 0.2}, "lang": {"en": 0.6, "de": 0.4},
@@ -76,6 +77,17 @@ def test_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
     assert two.count() == 3 or two.count() == 2
 
 
+def test_unlisted_sources_and_languages_are_drawn_by_the_query(spark, make_docs):
+    """A hot source that no target lists, and null sources and languages."""
+    kinds = [("hot", "en"), ("hot", None), (None, "pt"), (None, None), ("src3", None), ("src1", "en"),
+             ("src2", "de"), ("src3", "fr"), ("src4", "es")]
+    rows = [(i, f"w{i} " + "word " * 20, kinds[i % 9][1], kinds[i % 9][0]) for i in range(3600)]
+    got = M.sample_mix(make_docs(rows), MIX_TARGETS, MIX_SHARE, keep_all=True).collect()
+    assert all(r["mix_probability"] > 0 for r in got)
+    drawn = {(r["source"], r["lang"]) for r in got if r["mix_drawn"]}
+    assert drawn == set(kinds)
+
+
 def test_too_many_targets_are_refused(spark, make_docs):
     big = {"source": {str(i): 1.0 for i in range(2000)}, "lang": {str(i): 1.0 for i in range(2000)}, "topic": {}}
     with pytest.raises(ValueError):
