@@ -8,7 +8,8 @@ gets one surrogate in every document, whatever its spelling there; it is
 rendered in the mention's own format: digits for digits, the country prefix
 kept, Luhn and IBAN check digits recomputed when the original had valid ones,
 hex for hex, upper case for upper case, a name of the same gender and script
-with as many parts.
+with as many parts. The last word of a name is its surname, an entity of its
+own: "John Smith" and "Mr Smith" get the same one.
 
 Collision checks. Over the whole corpus two different entities must not share
 a surrogate, and no surrogate may equal a real entity. Entities that lose such
@@ -39,6 +40,7 @@ from .common import map_texts, shared_table, shielded, small_side, text_key
 
 KEY = "surrogate-key-1"   # production callers pass their own
 MAX_ROUNDS = 100
+GIVEN_ROUNDS = 4          # draws of a given name before it gets longer
 
 # Titles by the gender they tell, given names by script and
 # gender, and syllables that surnames are built from.
@@ -67,8 +69,15 @@ SYLLABLES = {
 }
 ENDINGS = {("cyrillic", "m"): "ов", ("cyrillic", "f"): "ова", ("greek", "m"): "ης", ("greek", "f"): "η"}
 
-_CAP = r"[^\W\d_a-zа-яα-ωß-öø-ÿ][^\W\d_]+"
-_NAMES = f"{_CAP}(?:[ \\t]{_CAP}){{0,2}}"
+# Names: words with inner hyphens and apostrophes (a possessive 's stays
+# outside). Three words after a title may be of a script without case; any
+# number of words that begin with a capital follow.
+_INNER = r"(?:-[^\W\d_]+|['’](?![sS]\b)[^\W\d_]+)"
+_REST = rf"(?:[^\W\d_]+|{_INNER}){_INNER}*"
+_CAP = rf"[^\W\d_a-zа-яα-ωß-öø-ÿ]{_REST}"
+_UPPER = "[" + "".join(c for c in map(chr, range(0x2000)) if c.isupper() or c.istitle()) + "]"
+_MORE = rf"(?:[ \t]{_UPPER}{_REST})*"
+_NAMES = rf"{_CAP}(?:[ \t]{_CAP}){{0,2}}{_MORE}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE_WORDS = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 _GIVEN_WORDS = "|".join(sorted({n for v in GIVEN.values() for n in v}, key=len, reverse=True))
@@ -85,7 +94,7 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("account", re.compile(r"(?<![\w.])(\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\w]|\.\d)")),
     ("name", re.compile(rf"\b(?:{_TITLE_WORDS})\b\.?[ \t]+({_NAMES})")),
-    ("name", re.compile(rf"\b((?:{_GIVEN_WORDS})[ \t]{_CAP})")),
+    ("name", re.compile(rf"\b((?:{_GIVEN_WORDS})(?:-[^\W\d_]+)*[ \t]{_CAP}{_MORE})")),
 ]
 # A kind is looked for only in texts that hold one of these characters or words.
 _DIGIT = re.compile(r"\d")
@@ -117,6 +126,10 @@ _GENDER_OF = {n.casefold(): g for (_, g), v in GIVEN.items() for n in v}
 _GENDER_OF_TITLE = {t: g for g, v in TITLES.items() for t in v}
 
 
+def _gender_of(given: str) -> str:
+    return _GENDER_OF.get(given.casefold().partition("-")[0], "")
+
+
 def normal_form(kind: str, value: str) -> str:
     """What two spellings of one entity have in common."""
     if kind in ("email", "secret"):
@@ -151,11 +164,31 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             detail = ""
             if kind == "name":
                 title = m.group()[:a - m.start()].strip(" \t.")
-                detail = _GENDER_OF_TITLE.get(title, "") or _GENDER_OF.get(text[a:b].split()[0].casefold(), "")
+                detail = _GENDER_OF_TITLE.get(title, "") or _gender_of(text[a:b].split()[0])
             taken.append((a, b, kind, detail))
     return sorted(taken)
 
 
+def surname_of(norm: str) -> str:
+    return norm.rpartition(" ")[2]
+
+
+def entities(text: str | None, hits: list[tuple[int, int, str, str]]) -> dict[tuple[str, str], str]:
+    """(kind, normal form) -> detail (of its first mention) of the entities of
+    a text. A name gives its surname, whose gender counts only where surnames
+    have endings, and, with more words, the whole name."""
+    found: dict[tuple[str, str], str] = {}
+    for a, b, kind, detail in hits:
+        norm = normal_form(kind, text[a:b])
+        if kind == "name":
+            last = surname_of(norm)
+            found.setdefault(("surname", last), detail if (_script(last), "m") in ENDINGS else "")
+            if last == norm:
+                continue
+        found.setdefault((kind, norm), detail)
+    return found
+
+
 class _Stream:
     """Keyed stream of small numbers."""
 
@@ -213,16 +246,26 @@ def surrogate(kind: str, norm: str, detail: str, attempt: int, key: bytes) -> st
         letters = "abcdef" if hexes else "abcdefghijklmnopqrstuvwxyz"
         mixed = "0123456789" + letters
         return "".join(mixed[rnd.below(len(mixed))] if c.isalnum() else c for c in norm)
+    if kind == "surname":
+        script = _script(norm)
+        gender = detail or ("m", "f")[rnd.below(2)]
+        return (rnd.word(script, 4) + ENDINGS.get((script, gender), "")).casefold()
+    # a whole name: given names before the (first) surrogate of its surname,
+    # which is replaced by the assigned one (``full_name``)
     parts = norm.split(" ")
     script = _script(norm)
-    gender = detail or _GENDER_OF.get(parts[0], "") or ("m", "f")[rnd.below(2)]
-    end = ENDINGS.get((script, gender), "")
-    names = [rnd.word(script, 4) + end]
-    if len(parts) > 1:
-        given = GIVEN[(script, gender)]
-        middle = [rnd.word(script, 3) for _ in parts[2:]]
-        names = [given[rnd.below(len(given))], *middle, *names]
-    return " ".join(names).casefold()
+    gender = detail or _gender_of(parts[0]) or ("m", "f")[rnd.below(2)]
+    given = GIVEN[(script, gender)]
+    first = given[rnd.below(len(given))]
+    if attempt >= GIVEN_ROUNDS:   # more people of one surname than given names
+        first += rnd.word(script, 1 + (attempt - GIVEN_ROUNDS) // 2)
+    middle = [rnd.word(script, 3) for _ in parts[2:]]
+    return " ".join([first, *middle, surrogate("surname", parts[-1], "m", 0, key)]).casefold()
+
+
+def full_name(value: str, surname: str) -> str:
+    """A whole name's surrogate with the surrogate of its surname."""
+    return f"{value.rpartition(' ')[0]} {surname}"
 
 
 def render(kind: str, mention: str, norm: str, value: str) -> str:
@@ -253,9 +296,7 @@ def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def run(texts):
         out = []
         for t in texts:
-            found = {}
-            for a, b, kind, detail in detect(t):
-                found.setdefault((kind, normal_form(kind, t[a:b])), detail)
+            found = entities(t, detect(t))
             out.append([{"kind": k, "norm": n, "detail": d} for (k, n), d in sorted(found.items())])
         return [out]
 
@@ -266,7 +307,8 @@ def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, detail, attempt, value): one surrogate per entity, distinct
-    over the corpus and equal to no entity of it. A name's gender is the one
+    over the corpus and equal to no entity of it (whole names: with the surrogate
+of the surname, distinct as surnames are). A name's gender is the one
     most of its documents tell (the first in the alphabet on ties)."""
     genders = found.groupBy("kind", "norm", "detail").agg(F.count("*").alias("n"))
     entities = shared_table(
@@ -337,12 +379,9 @@ def _replace(docs: DataFrame, secret: bytes, doc_id: str, text: str, spans: str)
         if not hits:
             return t, []
         special = {(e["kind"], e["norm"]): (e["detail"], e["attempt"]) for e in exceptions or ()}
-        first = {}
-        for a, b, kind, detail in hits:
-            first.setdefault((kind, normal_form(kind, t[a:b])), detail)
-        out, places, at, size = [], [], 0, 0
-        for a, b, kind, _ in hits:
-            norm = normal_form(kind, t[a:b])
+        first = entities(t, hits)
+
+        def assigned(kind, norm):
             detail, attempt = special.get((kind, norm), (first[(kind, norm)], 0))
             entity = (kind, norm, detail, attempt)
             value = memo.get(entity)
@@ -350,6 +389,17 @@ def _replace(docs: DataFrame, secret: bytes, doc_id: str, text: str, spans: str)
                 if len(memo) > 100_000:
                     memo.clear()
                 value = memo[entity] = surrogate(*entity, secret)
+            return value
+
+        out, places, at, size = [], [], 0, 0
+        for a, b, kind, _ in hits:
+            norm = normal_form(kind, t[a:b])
+            if kind == "name":
+                value = assigned("surname", surname_of(norm))
+                if surname_of(norm) != norm:
+                    value = full_name(assigned(kind, norm), value)
+            else:
+                value = assigned(kind, norm)
             new = render(kind, t[a:b], norm, value)
             out += [t[at:a], new]
             size += a - at

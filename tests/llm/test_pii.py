@@ -109,3 +109,32 @@ def test_surrogates_depend_on_the_key():
     a = P.surrogate("phone", "+15551234567", "", 0, b"a")
     assert a == P.surrogate("phone", "+15551234567", "", 0, b"a") != P.surrogate("phone", "+15551234567", "", 0, b"b")
     assert a.startswith("+1") and len(a) == 12
+
+
+def test_whole_names_are_taken():
+    def names(text):
+        return [m for m, k in kinds(text) if k == "name"]
+    assert names("Mr Juan Carlos Garcia Lopez came") == ["Juan Carlos Garcia Lopez"]
+    assert names("Maria Garcia Lopez and Anna Smith-Jones") == ["Maria Garcia Lopez", "Anna Smith-Jones"]
+    assert names("Mr O'Brien, Mrs D’Arcy-O'Neill; Jean-Pierre Dupont.") == \
+        ["O'Brien", "D’Arcy-O'Neill", "Jean-Pierre Dupont"]
+    assert names("Mr Smith's car") == ["Smith"]
+    assert names("Анна Петрова-Водкина Иванова пришла") == ["Анна Петрова-Водкина Иванова"]
+    assert names("Dr 김철수 교수는 오늘 학교에 갔다") == ["김철수 교수는 오늘"]     # at most three without case
+
+
+def test_surnames_agree_with_full_names(spark, make_docs):
+    rows = [(1, "John Smith met Mary Smith. Mr Smith left, Mrs SMITH stayed."),
+            (2, "Dr Smith, Mr Juan Carlos Garcia Lopez, Señor Lopez"), (3, "господин Иван Петров, господин Петров")]
+    # more people of one surname than given names
+    rows += [(10 + i, f"Mr Kof{chr(97 + i % 26)}{'xy'[i // 26]}n Smith spoke") for i in range(52)]
+    by = {r["doc_id"]: r["text"] for r in replaced(spark, make_docs, rows)}
+    john, mary, one, two = re.fullmatch(r"(\w+ \w+) met (\w+ \w+)\. Mr (\w+) left, Mrs (\w+) stayed\.", by[1]).groups()
+    assert john.split()[1] == mary.split()[1] == one == two.capitalize() and john != mary and one != "Smith"
+    doctor, full, last = re.fullmatch(r"Dr (\w+), Mr ([\w ]+), Señor (\w+)", by[2]).groups()
+    assert doctor == one and full.split()[-1] == last and len(full.split()) == 4
+    a, b = re.fullmatch(r"господин \w+ (\w+), господин (\w+)", by[3]).groups()
+    assert a == b and a.endswith("ов")
+    people = [re.fullmatch(r"Mr (\w+ \w+) spoke", by[10 + i]).group(1) for i in range(52)]
+    assert len(set(people)) == 52 and {p.split()[1] for p in people} == {one}
+    assert not {p.split()[0] for p in people} & {t.split()[1] for _, t in rows[3:]}
