@@ -14,8 +14,10 @@ own: "John Smith" and "Mr Smith" get the same one.
 Collision checks. Over the whole corpus two different entities must not share
 a surrogate, and no surrogate may equal a real entity. Entities that lose such
 a clash (the smallest keeps its surrogate) are drawn again with a counter,
-until none is left. Only these entities (few: the surrogate spaces are far
-larger than the corpora) travel to the rewriting pass; everything else is
+until none is left. Small spaces (surnames, private addresses, short phone
+numbers) can fill up, so later draws are from larger ones: more syllables or
+digits, other address ranges, the symbols of a secret replaced too. Only
+redrawn entities travel to the rewriting pass; everything else is
 recomputed from the key, so documents are read twice and never shuffled unless
 the list of exceptions outgrows the broadcast limit.
 
@@ -41,6 +43,10 @@ from .common import map_texts, shared_table, shielded, small_side, text_key
 KEY = "surrogate-key-1"   # production callers pass their own
 MAX_ROUNDS = 100
 GIVEN_ROUNDS = 4          # draws of a given name before it gets longer
+WORD_ROUNDS = 2           # draws per syllable that a surname gets longer by
+DIGIT_ROUNDS = 8          # draws per digit that a number gets longer by
+RANGE_ROUNDS = 8          # draws before an address leaves its range
+SYMBOL_ROUNDS = 4         # draws before the symbols of a secret are replaced too
 
 # Titles by the gender they tell, given names by script and
 # gender, and syllables that surnames are built from.
@@ -222,15 +228,19 @@ def surrogate(kind: str, norm: str, detail: str, attempt: int, key: bytes) -> st
     rnd = _Stream(key, kind, norm, attempt)
     if kind == "email":
         domain = _Stream(key, "domain", norm.rpartition("@")[2])
-        return f"{rnd.word('latin', 4)}{rnd.digits(4)}@{domain.word('latin', 5)}.example.net"
+        return f"{rnd.word('latin', 4 + attempt // DIGIT_ROUNDS)}{rnd.digits(4)}@{domain.word('latin', 5)}.example.net"
     if kind == "ipv4":
         parts = norm.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if parts[:2] in (["192", "168"], ["169", "254"]) else 0
         first = [str(1 + rnd.below(223))] if not keep else parts[:keep]
+        if attempt >= 2 * RANGE_ROUNDS:      # reserved, never in use
+            first = [str(240 + rnd.below(16))]
+        elif attempt >= RANGE_ROUNDS and keep == 2:
+            first = ["10"]
         return ".".join(first + [str(rnd.below(256)) for _ in range(4 - len(first))])
     if kind in ("phone", "ssn", "account"):
         keep = 1 + _country_digits(norm) if norm.startswith("+") else 0
-        body = rnd.digits(len(norm) - keep)
+        body = rnd.digits(len(norm) - keep + attempt // DIGIT_ROUNDS)
         out = norm[:keep] + body
         if kind == "account" and luhn_ok(norm):
             out = next(out[:-1] + str(d) for d in range(10) if luhn_ok(out[:-1] + str(d)))
@@ -245,11 +255,12 @@ def surrogate(kind: str, norm: str, detail: str, attempt: int, key: bytes) -> st
         hexes = all(c in "0123456789abcdef" for c in norm)
         letters = "abcdef" if hexes else "abcdefghijklmnopqrstuvwxyz"
         mixed = "0123456789" + letters
-        return "".join(mixed[rnd.below(len(mixed))] if c.isalnum() else c for c in norm)
+        return "".join(mixed[rnd.below(len(mixed))] if c.isalnum() or attempt >= SYMBOL_ROUNDS else c
+                       for c in norm)
     if kind == "surname":
         script = _script(norm)
         gender = detail or ("m", "f")[rnd.below(2)]
-        return (rnd.word(script, 4) + ENDINGS.get((script, gender), "")).casefold()
+        return (rnd.word(script, 4 + attempt // WORD_ROUNDS) + ENDINGS.get((script, gender), "")).casefold()
     # a whole name: given names before the (first) surrogate of its surname,
     # which is replaced by the assigned one (``full_name``)
     parts = norm.split(" ")
@@ -272,7 +283,7 @@ def render(kind: str, mention: str, norm: str, value: str) -> str:
     """The surrogate ``value`` (a normal form) in the mention's own format."""
     if kind in ("phone", "ssn", "account", "iban"):
         rest = iter(value.lstrip("+") if kind != "iban" else value)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join([*(next(rest) if c.isalnum() else c for c in mention), *rest])
     if kind == "name":
         if mention.isupper():
             return value.upper()

@@ -138,3 +138,29 @@ def test_surnames_agree_with_full_names(spark, make_docs):
     people = [re.fullmatch(r"Mr (\w+ \w+) spoke", by[10 + i]).group(1) for i in range(52)]
     assert len(set(people)) == 52 and {p.split()[1] for p in people} == {one}
     assert not {p.split()[0] for p in people} & {t.split()[1] for _, t in rows[3:]}
+
+
+def test_full_surrogate_spaces_grow(spark, make_docs, monkeypatch):
+    """More surnames than words of four syllables, more short numbers than
+    digits, secrets without a letter."""
+    monkeypatch.setitem(P.SYLLABLES, "latin", ["ba", "co"])
+    surnames = [f"Zor{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    rows = [(i, f"Mr {s} called") for i, s in enumerate(surnames)] + [(100, "password: ________ ok"),
+                                                                      (101, "password: --------")]
+    by = {r["doc_id"]: r["text"] for r in replaced(spark, make_docs, rows)}
+    new = {by[i].split()[1] for i in range(len(surnames))}
+    assert len(new) == len(surnames) and not new & set(surnames)
+    assert "____" not in by[100] and "----" not in by[101]
+
+
+def test_later_draws_leave_small_ranges():
+    def values(kind, norm, attempts):
+        return {P.surrogate(kind, norm, "", a, KEY) for a in attempts}
+    for norm in ("192.168.3.4", "169.254.3.4"):
+        assert all(v.startswith(norm[:8]) for v in values("ipv4", norm, range(8)))
+        assert all(v.startswith("10.") for v in values("ipv4", norm, range(8, 16)))
+        assert all(240 <= int(v.split(".")[0]) <= 255 for v in values("ipv4", norm, range(16, 100)))
+    assert len(P.surrogate("phone", "+491234", "", 0, KEY)) == 7 < len(P.surrogate("phone", "+491234", "", 8, KEY))
+    longer = P.surrogate("phone", "+491234", "", 9, KEY)
+    assert P.normal_form("phone", P.render("phone", "+49 1 2 34", "+491234", longer)) == longer
+    assert P.luhn_ok(P.surrogate("account", "4111111111111111", "", 20, KEY))
