@@ -204,12 +204,13 @@ def training_rows(docs: DataFrame, train: Column | None, rows: int = ROWS, text:
     part = docs if train is None else docs.where(train)
     part = (part.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS))
             .select(F.col(text).alias("text"), F.col(lang).alias("lang")))
-    sizes = part.groupBy("lang").agg(F.count("*").alias("n"))
+    u = F.xxhash64("text", F.lit(7))
+    # copies count once: a large group of them must not thin out the other texts
+    sizes = part.select("lang", u.alias("u")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
     kinds = sizes.count()
     most = max(MIN_ROWS, rows // max(1, kinds))
-    # of a large language only rows with a small hash are ranked, four times
+    # of a large language only texts with a small hash are ranked, four times
     # as many as needed on average
-    u = F.xxhash64("text", F.lit(7))
     near = (u.cast("double") / float(1 << 63) + 1) / 2 * F.col("n") <= 4.0 * most
     by = Window.partitionBy("lang").orderBy(u, "text")
     got = (part.join(small_side(sizes, kinds, 64), "lang").where(near).dropDuplicates(["lang", "text"])

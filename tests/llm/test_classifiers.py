@@ -255,6 +255,16 @@ def test_language_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
     assert language.identify(make_docs([])).count() == 0
 
 
+def test_copies_do_not_thin_out_the_training_texts(spark, make_docs):
+    """A language whose rows are mostly copies of one text keeps its others."""
+    rows = [(i, "the same copied text", "en") for i in range(5000)]
+    rows += [(5000 + i, f"other text number {i}", "en") for i in range(60)]
+    rows += [(6000 + i, f"anderer text nummer {i}", "de") for i in range(60)]
+    got = language.training_rows(make_docs(rows), None, rows=100)
+    assert len(set(got)) == len(got) == 100
+    assert [lang for _, lang in got].count("en") == 50
+
+
 def test_scripts():
     assert [language.script_of(w) for w in ("abc", "мир", "κόσμος", "世界", "가", "1x", "שלום")] == \
         ["Latin", "Cyrillic", "Greek", "Han", "Hangul", "Latin", "Hebrew"]
