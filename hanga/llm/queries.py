@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mixing, pii, quality_pu, quality_trees, simhash, substrings, toxicity, urls
+from . import (decontam, dialogue, language, lines, mixing, negatives, pii, quality_pu, quality_trees, simhash,
+               substrings, toxicity, urls)
 from .common import in_fold, read_table
 
 
@@ -149,9 +150,134 @@ def _op10_sql() -> str:
     FROM keyed LEFT JOIN p USING (c_source, c_lang, c_topic)"""
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = lines.drop_frequent_lines(docs)
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP11_SQL = """
+WITH l AS (SELECT doc_id, i, line,
+                  translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+           FROM (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+often AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN often USING (key) GROUP BY doc_id"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id and both scores."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors, F.col("id") % 50 == 0, label=label)
+
+
+_OP12_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y,
+         list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, b.id, a.y = b.y AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of ``conversations`` after their damage; lost ones stay, with
+    ``present`` false. Nulls read as one space."""
+    key = F.concat(*[F.coalesce(c, F.lit(" ")) for c in (F.col("conv_id").cast("string"), F.lit(":"),
+                                                         F.col("turn").cast("string"))])
+    kind = F.crc32(key.cast("binary")) % 20
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"),
+        F.coalesce("text", F.lit(" ")).alias("text"), kind.alias("damage"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("damage") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("damage") == 1, F.lit("")).when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text")).alias("text"), (F.col("damage") != 0).alias("present"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("damage") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, cheapest repair and digest."""
+    rows = damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return dialogue.repair(rows, present=F.col("present"))[0]
+
+
+_BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# CRC-32 by its table; the cheapest script row by row, keeping the best per state
+_OP13_SQL = f"""
+WITH RECURSIVE crc_table AS MATERIALIZED (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+key AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS d FROM key, crc_table),
+r AS MATERIALIZED (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i
+  FROM hit, (SELECT unnest([0, 1]) AS copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+f AS MATERIALIZED (
+  SELECT conv_id, turn, i, role, text, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS s,
+         CASE WHEN rtrim(text, {_BLANKS_SQL}) = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(rtrim(text, {_BLANKS_SQL}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM r),
+step(p, s, q, role) AS (VALUES (0, 's', 1, NULL), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (3, 'u', 2, 'user'),
+                               (2, 'a', 3, 'assistant')),
+ins(p, q, c, a, t) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+  (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+e AS MATERIALIZED (
+  SELECT conv_id, i, p, p AS q, 2 AS c, 'D' AS a, []::VARCHAR[] AS t FROM f, (SELECT unnest([0, 1, 2, 3]) AS p)
+  UNION ALL SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || text]
+  FROM f JOIN step USING (s) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [step.role || ':' || text]
+  FROM f, step WHERE fault NOT IN ('blank', 'duplicate') AND step.role IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+w AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS c, '' AS a, []::VARCHAR[] AS t FROM ids
+      UNION ALL SELECT * FROM (
+        SELECT w.conv_id, e.i, e.q, w.c + ins.c + e.c AS c, w.a || ins.a || e.a AS a, w.t || ins.t || e.t AS t
+        FROM w JOIN ins ON ins.p = w.q
+        JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.p = ins.q
+        QUALIFY row_number() OVER (PARTITION BY w.conv_id, e.q ORDER BY w.c + ins.c + e.c, w.a || ins.a || e.a) = 1)),
+best AS (SELECT w.conv_id, w.c + ins.c AS c, w.a || ins.a AS a, w.t || ins.t AS t FROM w JOIN ins ON ins.p = w.q
+         WHERE ins.q IN (0, 3) AND w.i = (SELECT count(*) FROM r WHERE r.conv_id IS NOT DISTINCT FROM w.conv_id)
+         QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.c + ins.c, w.a || ins.a) = 1),
+pair AS (SELECT conv_id, lag(s) OVER (PARTITION BY conv_id ORDER BY i) || s AS x FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated FROM f GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated,
+       (SELECT count(*) FROM pair WHERE pair.conv_id IS NOT DISTINCT FROM best.conv_id
+        AND x NOT IN ('su', 'ua', 'au')) AS illegal,
+       c AS cost, a AS audit, sha256(array_to_string(t, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
     "op2_quality_pu": op2_quality_pu,
     "op3_toxicity_mil": op3_toxicity_mil,
     "op4_url_filter": op4_url_filter,
@@ -161,4 +287,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": _op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": _op10_sql(), "op11_line_dedup": _OP11_SQL,
+                              "op12_hard_negatives": _OP12_SQL,
+                              "op13_conversation_repair": _OP13_SQL}
