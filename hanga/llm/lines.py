@@ -39,27 +39,25 @@ from .common import map_texts, shared_table, shielded, slices, small_side, text_
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-BLANKS = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+BLANKS = b" \t\n\x0b\x0c\r"
 _ROW = 24       # bytes of a frequent key: two halves of the hash and its count
 
 
-def line_key(line: str) -> str:
-    line = line.strip(BLANKS)
-    return line.lower() if line.isascii() else line.translate(_LOWER)
+def line_keys(text: str | None) -> list[bytes]:
+    """The keys of a text's lines in UTF-8, where lower-casing bytes changes
+    A-Z only and blanks are single bytes."""
+    return [x.strip(BLANKS) for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def _hashes(lines: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(128-bit hashes as two columns, which lines can be frequent at all)."""
-    keys = [line_key(x) for x in lines]
-    digest = xxhash.xxh3_128_digest
-    raw = b"".join([digest(k.encode("utf-8", "surrogatepass")) for k in keys])
-    counts = np.fromiter((len(k) >= min_chars for k in keys), bool, len(keys))
-    return np.frombuffer(raw, "<i8").reshape(-1, 2), counts
+def _can_count(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
 
 
-def _lines(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+def _hashes(keys: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """(128-bit hashes as two columns, which keys can be frequent at all)."""
+    raw = b"".join(map(xxhash.xxh3_128_digest, keys))
+    counts = np.fromiter((_can_count(k, min_chars) for k in keys), bool, len(keys))
+    return np.frombuffer(raw, "<i8").reshape(-1, 2), counts
 
 
 def _ordered(pairs: np.ndarray) -> np.ndarray:
@@ -89,12 +87,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     """(h1, h2, n_docs): hashes of the keys found in ``min_docs`` rows or more."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [np.zeros((0, 2), np.int64)]
+            found: list[bytes] = []
             for t in b.column(0).to_pylist():
-                pairs, can = _hashes(_lines(t), min_chars)
-                if can.any():
-                    found.append(_distinct(pairs[can])[0])
-            pairs = np.concatenate(found)
+                found += {k for k in line_keys(t) if _can_count(k, min_chars)}
+            pairs, _ = _hashes(found, 0)
             if len(pairs):
                 pairs, n = _distinct(pairs)
                 yield pa.RecordBatch.from_arrays(
@@ -105,9 +101,9 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
 
 
 def _cut(text: str | None, dropped: np.ndarray | None) -> tuple[str, int, int]:
-    lines = _lines(text)
     if dropped is None or not dropped.any():
-        return text or "", len(lines), 0
+        return text or "", (text or "").count("\n") + 1, 0
+    lines = text.split("\n")
     return "\n".join([x for x, d in zip(lines, dropped, strict=True) if not d]), len(lines), int(dropped.sum())
 
 
@@ -119,8 +115,8 @@ def _dropped_by_broadcast(docs: DataFrame, frequent: DataFrame, min_chars: int)
     shared = spark.sparkContext.broadcast(keys)
 
     def run(texts: list) -> tuple[list, list, list]:
-        split = [_lines(t) for t in texts]
-        pairs, can = _hashes([x for lines in split for x in lines], min_chars)
+        split = [line_keys(t) for t in texts]
+        pairs, can = _hashes([k for keys in split for k in keys], min_chars)
         drop = np.zeros(len(can), bool)
         drop[can] = _is_in(pairs[can], shared.value)
         ends = np.cumsum([len(x) for x in split])
@@ -143,7 +139,7 @@ def _dropped_by_shuffle(docs: DataFrame, frequent: DataFrame, min_chars: int) ->
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
             for i, t in enumerate(b.column(2).to_pylist()):
-                pairs, can = _hashes(_lines(t), min_chars)
+                pairs, can = _hashes(line_keys(t), min_chars)
                 at = np.flatnonzero(can)
                 if not len(at):
                     continue
@@ -179,7 +175,7 @@ def _dropped_by_shuffle(docs: DataFrame, frequent: DataFrame, min_chars: int) ->
         for t, lost in zip(texts, lists, strict=True):
             dropped = None
             if lost:
-                dropped = np.zeros(len(_lines(t)), bool)
+                dropped = np.zeros((t or "").count("\n") + 1, bool)
                 dropped[lost] = True
             rows.append(_cut(t, dropped))
         return tuple(zip(*rows, strict=True)) if rows else ([], [], [])
