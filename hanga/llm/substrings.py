@@ -17,18 +17,24 @@ input byte, so only suffixes that decide something are sorted:
   equal to it are cut into single starts.
 
 Each level is the same sort: sampled splitters range-partition the suffixes by
-leading tokens (the first eight bytes, then the core's fingerprint, the whole
-piece's fingerprint and the row, so that equal suffixes are spread over
-buckets when they are many); each bucket is sorted locally by multikey
-quicksort; neighbours are compared, and the first and last suffix of each
-bucket with those of the next. A piece equal to a neighbour is repeated
-whole; a piece that shares only the core with a neighbour goes down a level.
-Nothing else can repeat, so the result is exact up to 128-bit fingerprints
-plus eight real bytes.
+leading tokens (the first eight bytes, then the core's rolling hash, the whole
+piece's digest and the row, so that equal suffixes are spread over buckets when
+they are many); each bucket is sorted locally by multikey quicksort; neighbours
+are compared, and the first and last suffix of each bucket with those of the
+next. A piece equal to a neighbour is repeated whole; a piece that shares only
+the core with a neighbour goes down a level. Nothing else can repeat.
+
+Two hashes, two duties. Anchors and cores use a rolling hash modulo 2^64: it is
+the same for equal strings, and where it is also the same for different ones
+(self-similar texts), more pieces go down a level, no more. Only equality of
+whole pieces removes bytes, and that is decided by eight real bytes and a keyed
+128-bit BLAKE2b digest of all bytes of the piece: different bytes count as
+equal only if that digest collides.
 
 Scale. Every level moves a bounded number of fixed-size rows per repeated run,
-not texts. The driver sees two rows per bucket. A document's list of removed
-runs is bounded by its own length.
+not texts; they are written once, counted, and dealt into buckets of bounded
+size. The driver sees two rows per bucket. A document's list of removed runs is
+bounded by its own length.
 
 Defined results: null text is empty; texts shorter than ``length`` lose
 nothing; repeated rows are separate places, so both lose what they share; null
@@ -39,6 +45,7 @@ empty result. Bytes are judged on the input, not on what is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +60,12 @@ GRAM = 200
 PIECE = 16
 _POS_BITS = 20                    # positions inside one chunk
 _CHUNK = (1 << _POS_BITS) - 4096  # window starts handled at a time
+BUCKET_ROWS = 1_000_000           # suffixes of a bucket, at most about
+_DIGEST_KEY = b"substrings 1"
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
-_MULT = (_rng.integers(0, 2**63, size=2, dtype=np.uint64) * np.uint64(2)) | np.uint64(1)
-_powers: list[list[np.ndarray]] = []
+_BYTE = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
+_MULT = (int(_rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1) % (1 << 64)
+_powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,43 +76,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power_table(n: int) -> list[list[np.ndarray]]:
-    """Powers of the two multipliers and of their inverses, at least n long."""
-    if not _powers or len(_powers[0][0]) < n:
-        size = max(n, 1 << 17)
+def _power_table(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, at least n long."""
+    if not _powers or len(_powers[0]) < n:
         made = []
-        for m in _MULT.tolist():
-            pair = []
-            for base in (m, pow(m, -1, 1 << 64)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                pair.append(np.multiply.accumulate(p))
-            made.append(pair)
+        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 17), base, np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
         _powers[:] = made
     return _powers
 
 
 class Rolling:
-    """Fingerprints of any substring of one byte string (two functions)."""
+    """Rolling hash of any substring of one byte string. Equal strings agree;
+    so may different ones (a polynomial modulo 2^64)."""
 
-    def __init__(self, data: np.ndarray, which: tuple[int, ...] = (0, 1)):
+    def __init__(self, data: np.ndarray):
         n = len(data)
-        table = _power_table(n + 1)
-        self.inverse = {w: table[w][1] for w in which}
-        self.sums = {}
-        for w in which:
-            s = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[w][data] * table[w][0][:n], out=s[1:])
-            self.sums[w] = s
+        powers, self.inverse = _power_table(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers[:n], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        s = self.sums[which]
-        return _mix((s[end] - s[start]) * self.inverse[which][start] + (end - start).astype(np.uint64))
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        s = self.sums
+        return _mix((s[end] - s[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
-    def grams(self, size: int, which: int = 0) -> np.ndarray:
-        s = self.sums[which]
-        n = len(s) - size
-        return _mix((s[size:] - s[:n]) * self.inverse[which][:n] + np.uint64(size))
+    def grams(self, size: int) -> np.ndarray:
+        s, n = self.sums, len(self.sums) - size
+        return _mix((s[size:] - s[:n]) * self.inverse[:n] + np.uint64(size))
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, shift: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed 128-bit digests of the bytes in [start, end), as two columns; equal
+    bytes cut at another distance (``shift``) from their anchor differ."""
+    view = memoryview(np.ascontiguousarray(data))
+    raw = b"".join([blake2b(view[a:b], digest_size=16, key=_DIGEST_KEY).digest()
+                    for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1] ^ shift
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -129,13 +141,13 @@ def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Level 1: (anchor, first start, last start, lead, core, whole) arrays of
-    one text; the blocks' starts cover every window exactly once."""
+    """Level 1: (anchor, first start, last start, lead, core, whole, whole2)
+    arrays of one text; the blocks' starts cover every window exactly once."""
     parts = []
     width = length - gram + 1
     for lo in range(0, len(data) - length + 1, _CHUNK):
         piece = data[lo:lo + _CHUNK + length - 1]
-        roll = Rolling(piece, (0,))
+        roll = Rolling(piece)
         grams = roll.grams(gram)
         place = np.arange(len(grams), dtype=np.uint64)
         low = np.uint64((1 << _POS_BITS) - 1)
@@ -145,10 +157,9 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         last = np.concatenate([new[1:], [len(pick)]]) - 1
         anchor = (pick[new] & low).astype(np.int64)
         core = grams[anchor]
-        whole = roll.of(first, last + length, 0) + (anchor - first).astype(np.uint64)
-        parts.append((anchor + lo, first + lo, last + lo, _leading(piece, anchor),
-                      core.view(np.int64), _mix(whole).view(np.int64)))
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+        parts.append((anchor + lo, first + lo, last + lo, _leading(piece, anchor), core.view(np.int64),
+                      *_digests(piece, first, last + length, anchor - first)))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
 
 
 def pieces_of(data: np.ndarray, anchor: int, first: int, last: int, piece: int,
@@ -162,11 +173,12 @@ def pieces_of(data: np.ndarray, anchor: int, first: int, last: int, piece: int,
     high = anchor - n * piece                # aligned ends of the pieces
     low = high - piece + 1
     begin, end = np.maximum(low, first), np.minimum(high, last)
-    roll = Rolling(part)
-    core = roll.of(high - lo, low + length - lo, 0) + n.astype(np.uint64)
-    whole = roll.of(begin - lo, end + length - lo, 1) + (high - begin).astype(np.uint64)
-    return [np.full(len(n), anchor), begin, end, _leading(part, high - lo),
-            _mix(core).view(np.int64), _mix(whole).view(np.int64)]
+    core = Rolling(part).of(high - lo, low + length - lo) + n.astype(np.uint64)
+    return [np.full(len(n), anchor), begin, end, _leading(part, high - lo), _mix(core).view(np.int64),
+            *_digests(part, begin - lo, end + length - lo, high - begin)]
+
+
+TOKENS = ("lead", "core", "whole", "whole2")
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -191,11 +203,11 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _compare(lead, core, whole):
+def _compare(lead, core, whole, whole2):
     """(repeated, shares the core only) of sorted suffixes, by neighbours."""
     n = len(lead)
     same_core = (lead[1:] == lead[:-1]) & (core[1:] == core[:-1])
-    equal = same_core & (whole[1:] == whole[:-1])
+    equal = same_core & (whole[1:] == whole[:-1]) & (whole2[1:] == whole2[:-1])
     differ = same_core & ~equal
     repeated, shared = np.zeros(n, bool), np.zeros(n, bool)
     repeated[1:] |= equal
@@ -213,7 +225,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(held).combine_chunks()
     del held
-    keys = [t.column(c).to_numpy() for c in ("lead", "core", "whole")]
+    keys = [t.column(c).to_numpy() for c in TOKENS]
     order = multikey_order(keys)
     repeated, shared = _compare(*(k[order] for k in keys))
     edge = np.zeros(len(order), np.int32)
@@ -232,7 +244,10 @@ def _sorted_neighbours(suffixes: DataFrame, name: str) -> DataFrame:
     """Range partition, sort and compare; edges of neighbouring buckets are
     compared on the driver (two rows per bucket)."""
     spark = suffixes.sparkSession
-    dealt = suffixes.repartitionByRange("lead", "core", "whole", "doc_id", "text_key", "first")
+    # written first: the splitters' sample and the sort then read rows, not texts
+    suffixes = shared_table(suffixes, f"{name}-suffixes")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET_ROWS))
+    dealt = suffixes.repartitionByRange(parts, *TOKENS, "doc_id", "text_key", "first")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema.fields)
     done = shared_table(dealt.mapInArrow(
         _bucket, fields + ", repeated boolean, shared boolean, edge int, bucket int"), name)
@@ -241,7 +256,7 @@ def _sorted_neighbours(suffixes: DataFrame, name: str) -> DataFrame:
     edges.sort(key=lambda r: (r["bucket"], r["edge"] != 1))
     for a, b in zip(edges, edges[1:], strict=False):
         if a["bucket"] != b["bucket"] and (a["lead"], a["core"]) == (b["lead"], b["core"]):
-            mark = "repeated" if a["whole"] == b["whole"] else "shared"
+            mark = "repeated" if all(a[c] == b[c] for c in TOKENS) else "shared"
             a[mark] = b[mark] = True
     inner = done.where("edge = 0")
     fixed = spark.createDataFrame([tuple(r[c] for c in done.columns) for r in edges], done.schema)
@@ -252,10 +267,10 @@ def _sorted_neighbours(suffixes: DataFrame, name: str) -> DataFrame:
 def _suffix_schema(docs: DataFrame) -> str:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (f"doc_id {kind}, text_key long, anchor long, first long, last long, "
-            "lead long, core long, whole long")
+            "lead long, core long, whole long, whole2 long")
 
 
-_COLUMNS = ("anchor", "first", "last", "lead", "core", "whole")
+_COLUMNS = ("anchor", "first", "last", *TOKENS)
 
 
 def _emit(ids: pa.Array, keys: pa.Array, texts, cut) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,35 @@ def test_digest_of_kept_bytes(spark, make_docs):
     from pyspark.sql import functions as F
     got = X.remove_repeats(make_docs([(1, "é" * 10)])).select(F.sha2("kept", 256).alias("h")).first()["h"]
     assert got == hashlib.sha256(("é" * 10).encode()).hexdigest()
+
+
+def words(n, rule, seed):
+    """The n-th step of a substitution (Thue-Morse, Fibonacci ...)."""
+    for _ in range(n):
+        seed = "".join(rule[c] for c in seed)
+    return seed
+
+
+def test_self_similar_texts_of_the_same_rolling_hash(spark, make_docs):
+    """Thue-Morse orders of two tails have one polynomial hash modulo 2^64 for
+    every odd multiplier; nothing of them repeats."""
+    head = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(272))
+    order = words(5, {"0": "01", "1": "10"}, "0")
+    one = head + "".join({"0": "xlgi", "1": "ayhi"}[c] for c in order)
+    two = head + "".join({"1": "xlgi", "0": "ayhi"}[c] for c in order)
+    assert len(one) == len(two) == 400 and one != two
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in X.remove_repeats(make_docs([(1, one), (2, two)])).collect()}
+    assert got == {1: one, 2: two}
+    check(make_docs, [one, two, one + two, two], 400, 200)
+
+
+def test_structured_texts_against_brute_force(spark, make_docs):
+    thue = words(9, {"0": "01", "1": "10"}, "0")
+    long = words(12, {"0": "01", "1": "10"}, "0")
+    fib = words(13, {"a": "ab", "b": "a"}, "a")
+    tribonacci = words(9, {"a": "ab", "b": "ac", "c": "a"}, "a")
+    flipped = thue.translate(str.maketrans("01", "10"))
+    texts = [thue, flipped, fib, fib[100:300], tribonacci, "abc" * 90, "x" * 200 + "y" + "x" * 150,
+             thue[:200] + fib[:200], long[1000:1300], "z".join([thue[:70]] * 3)]
+    for length, gram, piece in ((40, 20, 4), (64, 32, 16), (100, 30, 8)):
+        check(make_docs, texts, length, gram, piece)
