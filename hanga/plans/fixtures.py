@@ -14,11 +14,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double_array
 from ..operators.catalog import label_lines as label_lines_of
+from ..sources.files import encode_ascii, encode_npy, encode_npz
 
 N_CLASSES = 15
 N_IMAGES = 25  # embeddings grouped into this many "images" for A6
@@ -58,6 +61,42 @@ def keypoints_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_double_array("embedding").alias("desc"))
 
 
+def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, content)``: one file per sample, key = md5 of the vector's id;
+    every fourth as text, some only half as wide, some no vector at all."""
+    def encode(batches):
+        for b in batches:
+            names, blobs = [], []
+            for i, key, v in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                v = np.array(v[:32] if i % 10 == 3 else v)
+                text = i % 4 == 1
+                names.append(f"{key}.{'ascii' if text else 'npy'}")
+                blobs.append(b"no vector" if i % 10 == 7 else encode_ascii(v) if text else encode_npy(v))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["name", "content"])
+
+    return samples(spark, sf_dir).select("key", F.md5(F.col("key").cast("string")), "features").mapInArrow(
+        encode, "name string, content binary")
+
+
+PER_IMAGE = 20  # keypoints of an image in the keypoint files
+
+
+def keypoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, content)``: one ``.npz`` per 20 consecutive vectors, six
+    attributes (the first is the vector's id, the last its label) before the
+    descriptor."""
+    def encode(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        desc = np.array(t.column("features").to_pylist())
+        a = np.zeros((len(desc), 6 + desc.shape[1]))
+        a[:, 0], a[:, 5], a[:, 6:] = t.column("key").to_numpy(), t.column("class_id").to_numpy(), desc
+        return pa.table({"name": [t.column("image")[0].as_py() + ".sift.npz"], "content": [encode_npz(a)]})
+
+    image = F.md5(F.floor(F.col("key") / PER_IMAGE).cast("string"))
+    return samples(spark, sf_dir).withColumn("image", image).groupBy("image").applyInArrow(
+        encode, "name string, content binary")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue records: artist = source, key = checksum of the content."""
     return table(spark, sf_dir, "documents").select(

@@ -162,7 +162,24 @@ FROM documents""",
 SELECT source AS value, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY source""",
 
     "keyed_shard": """
-SELECT DISTINCT md5(text) AS key FROM documents WHERE substr(md5(text), 1, 1) IN ('7', 'a')""",
+SELECT DISTINCT md5(text) AS key, substr(md5(text), 1, 1) AS shard FROM documents""",
+
+    "vector_files": """
+SELECT md5(CAST(vec_id AS VARCHAR)) AS key, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim,
+       round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM embeddings WHERE vec_id % 6 <> 5 AND vec_id % 10 NOT IN (3, 7)""",
+
+    "vector_file_rejects": """
+SELECT md5(CAST(vec_id AS VARCHAR)) AS key,
+       CASE vec_id % 10 WHEN 3 THEN 'width_mismatch' ELSE 'unreadable' END AS reason
+FROM embeddings WHERE vec_id % 6 <> 5 AND vec_id % 10 IN (3, 7)""",
+
+    "keypoint_files": """
+WITH k AS (SELECT vec_id, label, embedding, vec_id // 20 AS image,
+                  row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) - 1 AS kp FROM embeddings)
+SELECT md5(CAST(image AS VARCHAR)) AS key, CAST(kp AS INTEGER) AS kp_id, vec_id, CAST(label AS DOUBLE) AS response,
+       CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim, round(CAST(unnest(embedding) AS DOUBLE), 6) AS value
+FROM k""",
 
     "catalogue_rejects": """
 SELECT doc_id, CASE doc_id % 9 WHEN 4 THEN 'bad_json' ELSE 'no_artist' END AS reason

@@ -7,6 +7,8 @@ between engines, and named exactly as in ``oracle.ORACLE_SQL``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,7 @@ from ..operators import vectors as V
 from ..session import cut_lineage, remove_path, scratch_path
 from ..sources import catalogue as SC
 from ..sources import files as FS
+from ..sources import keyed_files as KF
 from . import fixtures as X
 
 QUERY_KEY = 0  # the query sample for the k-NN family (index 0 is valid, K1)
@@ -213,11 +216,45 @@ def q_keyed_shard(spark: SparkSession, sf: str) -> DataFrame:
     docs = X.documents(spark, sf).dropDuplicates(["key"]).select("key")
     FS.write_keyed(docs.where(F.col("key") < "8"), path, shard_chars=1)
     FS.write_keyed(C.pending(docs, spark.read.parquet(path), "key", "key"), path, shard_chars=1)
-    out = cut_lineage(spark.read.parquet(path).where(F.col("shard").isin("7", "a")).select("key"))
+    out = cut_lineage(spark.read.parquet(path).select("key", "shard"))
     remove_path(spark, path)
     return out
 
 
+def _vector_files(spark: SparkSession, sf: str):
+    """The sample vectors as files (some as text, some narrower, some broken),
+    and what is read back for the labelled keys (S6, S13, P12): (ok, rejected)."""
+    path = scratch_path(spark, "vector-files")
+    files = X.vector_files(spark, sf)
+    KF.write_files(files, path)
+    keys = X.samples(spark, sf).where("key % 6 <> 5").select(F.md5(F.col("key").cast("string")).alias("key"))
+    ok, bad = FS.read_vectors(spark, path, keys=keys, width=64)
+    remove_path(spark, path)
+    return ok, bad
+
+
+def q_vector_files(spark: SparkSession, sf: str) -> DataFrame:
+    ok, _ = _vector_files(spark, sf)
+    return ok.select("key", F.posexplode("features").alias("dim", "value")).select("key", "dim", _r("value").alias("value"))
+
+
+def q_vector_file_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    _, bad = _vector_files(spark, sf)
+    return bad.select("key", F.split("reason", ":")[0].alias("reason"))
+
+
+def q_keypoint_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Keypoint blocks written and read again, shard after shard."""
+    path = scratch_path(spark, "keypoint-files")
+    KF.write_files(X.keypoint_files(spark, sf), path)
+    shards = [FS.read_keypoints(spark, path, n_dims=64, prefix=p)[0] for p in "0123456789abcdef"]
+    out = cut_lineage(reduce(DataFrame.unionByName, shards).select(
+        "key", "kp_id", F.col("x").cast("bigint").alias("vec_id"), _r("response").alias("response"),
+        F.posexplode("desc").alias("dim", "value")))
+    remove_path(spark, path)
+    return out.withColumn("value", _r("value"))
+
+
 def q_catalogue_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue lines that are no JSON or name no artist."""
     d = X.table(spark, sf, "documents").select("doc_id", "source")
@@ -263,6 +300,9 @@ QUERIES.update({
     "label_lines": q_label_lines,
     "value_list": q_value_list,
     "keyed_shard": q_keyed_shard,
+    "vector_files": q_vector_files,
+    "vector_file_rejects": q_vector_file_rejects,
+    "keypoint_files": q_keypoint_files,
     "catalogue_rejects": q_catalogue_rejects,
     "descriptor_job": q_descriptor_job,
 })

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-TABLES = ["embeddings", "documents", "labels", "pages", "lineitem", "events", "benchmark"]
+TABLES = ["embeddings", "documents", "labels", "pages", "lineitem", "events", "benchmark", "conversations"]
 
 
 def _norm(v):
