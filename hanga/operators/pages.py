@@ -4,9 +4,9 @@ F7, F8).
 Crawling is replaced by a table ``pages(page_id, url, html)``; every
 extraction is a pure projection of it, so re-running extraction never
 re-fetches anything. All operators here are built-in column expressions
-(one map-only stage); the frontier is the only shuffle (a distinct plus an
-anti join against the visited URLs, which grow with the crawl and are
-therefore not broadcast).
+(one map-only stage); only the frontier (a distinct plus an anti join against
+the visited URLs, which grow with the crawl and are therefore not broadcast)
+and the closure over stored pages shuffle.
 
 A catalogue record is one projection: the regions of the page become columns
 first, each field is an expression over its region, and the conditions a page
@@ -16,12 +16,15 @@ is the reject reason.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.text import (cut_at_marker, default_to, first_present, page_key,
                               shorten_key, site_prefix, unicode_trim)
+from ..session import broadcast_limit, cut_lineage
 
 # Markup of the two catalogue sites (class tokens, headings,
 # link texts, field keys and markers); they must equal the sites' pages.
@@ -100,6 +103,41 @@ def frontier(found: DataFrame, visited: DataFrame, link_col: str = "link",
             .join(seen, F.col(link_col) == F.col("__seen"), "left_anti"))
 
 
+def crawl_closure(pages: DataFrame, seeds: DataFrame, host_suffixes: list[str], box: str | None = RESULT_BOX,
+                  max_depth: int | None = None, url_col: str = "url") -> DataFrame:
+    """Every page that following result and pager links reaches from ``seeds``
+    (a table with ``url_col``), with the least number of links to it:
+    ``(url, depth, stored)``; ``stored`` says whether the page is in ``pages``
+    (the others are what a crawl still has to fetch). ``max_depth`` stops
+    after so many links; cycles end by themselves.
+
+    Semi-naive: links are taken from the pages once; a round joins only the
+    pages that the round before found with them, and keeps what no round has
+    found yet. Each round is a table in the shared folder, so that plans do not
+    grow and a lost executor costs one round at most. A page that millions
+    link to is one row per task before the shuffle."""
+    spark = pages.sparkSession
+    edges = cut_lineage(outgoing(pages.select(F.col("url").alias("page_id"), "url", "html"), host_suffixes, box)
+                        .select(F.col("page_id").alias("__src"), "link")
+                        .where("__src is not null and link is not null").distinct())
+    found = cut_lineage(seeds.select(F.col(url_col).alias("url")).where("url is not null").distinct()
+                        .withColumn("depth", F.lit(0)))
+    rounds, size, depth = [found], found.count(), 0
+    while size and (max_depth is None or depth < max_depth):
+        depth += 1
+        last = rounds[-1].select(F.col("url").alias("__src"))
+        if size * 256 <= broadcast_limit(spark):
+            last = F.broadcast(last)
+        known = reduce(DataFrame.unionByName, rounds).select(F.col("url").alias("__seen"))
+        new = (edges.join(last, "__src").select(F.col("link").alias("url")).distinct()
+               .join(known, F.col("url") == F.col("__seen"), "left_anti").withColumn("depth", F.lit(depth)))
+        rounds.append(cut_lineage(new))
+        size = rounds[-1].count()
+    stored = pages.select(F.col("url").alias("__page"), F.lit(True).alias("__in")).where("__page is not null").distinct()
+    return (reduce(DataFrame.unionByName, rounds).join(stored, F.col("url") == F.col("__page"), "left")
+            .select("url", "depth", F.coalesce("__in", F.lit(False)).alias("stored")))
+
+
 def record_fields(pages: DataFrame) -> DataFrame:
     """Common record fields of a stored page: key, title, first heading, first
     comment and its image source, the ``<br>`` date span of the first

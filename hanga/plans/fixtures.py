@@ -161,6 +161,18 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("page_id"), _page(SITE, "/search/", i).alias("url"), html.alias("html"))
 
 
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages that link to each other: page i to 2i and 2i + 1 in its
+    result box (the later ones are not stored), its pager back to i / 3, so
+    there are cycles of every length; every seventh page is not stored."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i")).where("i % 7 <> 6")
+    i = F.col("i")
+    html = _page('<a href="/p/', i + 7, '">nav</a><div class="search-result-data"><a href="/p/', 2 * i,
+                 '">one</a><div><a href="', SITE, "/p/", 2 * i + 1,
+                 '">two</a></div></div><li class="pager-next"><a href="/p/', F.floor(i / 3), '">next</a></li>')
+    return d.select(i.alias("page_id"), _page(SITE, "/p/", i).alias("url"), html.alias("html"))
+
+
 def object_pages_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site-A object pages whose fields are columns of ``documents``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -370,6 +370,17 @@ SELECT page_id, site || '/o/' || i || '?a=1&b=2' AS link FROM p
 UNION ALL SELECT page_id, site || '/p/' || i FROM p
 UNION ALL SELECT page_id, site || '/s?page=' || i FROM p WHERE page_id % 4 <> 0""",
 
+    "crawl_closure": """
+WITH RECURSIVE e AS (
+  SELECT doc_id AS src, unnest([2 * doc_id, 2 * doc_id + 1, doc_id // 3]) AS dst FROM documents WHERE doc_id % 7 <> 6),
+r(i, depth) USING KEY (i) AS (
+  SELECT CAST(1 AS BIGINT), CAST(0 AS INTEGER)
+  UNION
+  SELECT e.dst, CAST(min(r.depth) + 1 AS INTEGER) FROM r JOIN e ON e.src = r.i
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS k WHERE k.i = e.dst) GROUP BY e.dst)
+SELECT 'http://collections.example.org/p/' || i AS url, depth,
+       i IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 6) AS stored FROM r""",
+
     "site_a_records": """
 SELECT CAST(doc_id AS VARCHAR) AS page_key, 'Work & ' || doc_id AS title_EN, lang AS title_JP,
        CASE WHEN doc_id % 7 <> 2 THEN source END AS artist, CAST(n_chars AS VARCHAR) AS date,

@@ -438,6 +438,12 @@ def q_listing_links(spark: SparkSession, sf: str) -> DataFrame:
     return PG.outgoing(X.listing_pages(spark, sf), X.HOSTS)
 
 
+def q_crawl_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """All that following result and pager links from page 1 reaches (H1, H2)."""
+    seeds = spark.createDataFrame([(f"{X.SITE}/p/1",)], "url string")
+    return PG.crawl_closure(X.crawl_pages(spark, sf), seeds, X.HOSTS)
+
+
 def q_site_a_records(spark: SparkSession, sf: str) -> DataFrame:
     r = PG.records_a(X.object_pages_a(spark, sf), "example.org")
     return r.select("page_key", "title_EN", "title_JP", "artist", "date", "dimensions", "series",
@@ -463,6 +469,7 @@ QUERIES.update({
     "page_frontier": q_page_frontier,
     "page_record": q_page_record,
     "listing_links": q_listing_links,
+    "crawl_closure": q_crawl_closure,
     "site_a_records": q_site_a_records,
     "site_b_records": q_site_b_records,
 })

@@ -190,3 +190,29 @@ def test_outgoing_includes_next_page_once(spark):
     assert links == ["http://c.example.org/o/1", "http://c.example.org/s?page=2"]
     f = sorted(r["link"] for r in PG.frontier(PG.outgoing(pages, ["example.org"]), pages).collect())
     assert f == ["http://c.example.org/o/1", "http://c.example.org/s?page=2"]
+
+
+def test_crawl_closure_ends_in_cycles_and_keeps_least_depth(spark):
+    """a <-> b, a page that links to itself, two ways of different length to
+    one page, a seed that is not stored, a null link."""
+    def page(url, *links, pager=None):
+        box = "".join(f'<a href="{x}">x</a>' for x in links)
+        more = f'<li class="pager-next"><a href="{pager}">n</a></li>' if pager else ""
+        return (url, f'<a href="/never">nav</a><div class="search-result-data">{box}</div>{more}')
+    site = "http://x.example.org"
+    rows = [page(f"{site}/a", "/b", "/a"), page(f"{site}/b", "/a", pager="/c"), page(f"{site}/c", "/d", "mailto:x@y.z"),
+            page(f"{site}/d", "/b", "/e"), page(f"{site}/far", "/a"), page(f"{site}/a", "/e"), (None, "<p>")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    seeds = spark.createDataFrame([(f"{site}/a",), (f"{site}/gone",), (None,), (f"{site}/a",)], "url string")
+    want = {"a": (0, True), "gone": (0, False), "b": (1, True), "e": (1, False), "c": (2, True), "d": (3, True)}
+    for limit, broadcast in ((None, None), (None, "1"), (1, None), (0, None)):
+        if broadcast:
+            spark.conf.set("hanga.broadcast.maxBytes", broadcast)
+        try:
+            got = PG.crawl_closure(pages, seeds, ["example.org"], max_depth=limit).collect()
+        finally:
+            spark.conf.unset("hanga.broadcast.maxBytes")
+        assert {r["url"].split("/")[-1]: (r["depth"], r["stored"]) for r in got} == {
+            k: v for k, v in want.items() if limit is None or v[0] <= limit}
+        assert len(got) == len({r["url"] for r in got})
+    assert PG.crawl_closure(pages, seeds.limit(0), ["example.org"]).count() == 0
