@@ -1,9 +1,10 @@
 """Column expressions over stored pages.
 
-Pages are text columns and everything here is a built-in expression: regular
-expressions for tags and attributes, and ``region`` / ``regions`` for the
-inside of a container, found by counting the opening and closing tags of its
-kind, so nested containers are closed correctly.
+Pages are text columns and nearly everything here is a built-in expression:
+regular expressions for tags and attributes. The inside of a container is found
+by matching the opening and closing tags of its kind, so nested containers are
+closed correctly; that is one pass over the page for all containers a record
+needs (``containers``), in an Arrow function.
 
 Patterns use ``[^\\n]`` instead of ``.`` so that a line break ends a match in
 every engine (Java's ``.`` also stops at U+0085 / U+2028). ``regexp_extract``
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,37 +59,64 @@ def _either(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), unescape(both))
 
 
-def _closed(rest: Column, tag: str) -> Column:
-    """Text up to the closing tag that belongs to an already opened ``tag``."""
-    pieces = F.split(rest, rf"(?=</?{tag}[\s>])")
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-
-    def add(state, piece):
-        depth = state["depth"] + F.when(piece.startswith(f"</{tag}"), -1) \
-            .when(piece.rlike(rf"^<{tag}[\s>]"), 1).otherwise(0)
-        inside = (state["depth"] > 0) & (depth > 0)
-        return F.struct(F.when(state["depth"] > 0, depth).otherwise(0).alias("depth"),
-                        F.when(inside, F.concat(state["text"], piece)).otherwise(state["text"]).alias("text"))
-
-    return F.aggregate(pieces, start, add, lambda s: s["text"])
+def _containers_of(html: str, specs: list[tuple[re.Pattern, str]], tags: re.Pattern) -> list[list[str]]:
+    """One pass over a page's opening and closing tags: a stack per kind of
+    tag, and for every opening tag that fits a spec the text up to the closing
+    tag that belongs to it (or the page's end, if there is none)."""
+    found: list[list] = [[] for _ in specs]
+    ends = [0] * len(specs)         # a tag does not begin inside one that fits the same spec
+    open_tags: dict[str, list] = {}
+    for event in tags.finditer(html):
+        stack = open_tags.setdefault(event[2], [])
+        if not event[1]:
+            # where this tag's text goes once it is closed: (spec, slot, start)
+            fits = []
+            for n, (pattern, tag) in enumerate(specs):
+                if tag == event[2] and event.start() >= ends[n] and (m := pattern.match(html, event.start())):
+                    ends[n] = m.end()
+                    fits.append((n, len(found[n]), m.end()))
+                    found[n].append(None)
+            stack.append(fits)
+        elif stack:
+            for n, slot, start in stack.pop():
+                found[n][slot] = html[start:event.start()]
+    for stack in open_tags.values():
+        for n, slot, start in (f for fits in stack for f in fits):
+            found[n][slot] = html[start:]
+    return found
+
+
+def containers(html, **specs: tuple[str, str]) -> Column:
+    """A struct with, per named spec ``(tag, class)``, the inside of every
+    ``<tag class="... class ...">`` in document order (nested ones are listed
+    on their own as well); empty for a null page (H12).
+
+    All specs share one pass over the page, linear in its size: the tag events
+    with their depth are kept on a stack while the page is read, one page of an
+    Arrow batch at a time. (Built-in array functions can count depth, too, but
+    copy or rescan the page for every container.)"""
+    kinds = "|".join(sorted({re.escape(tag) for tag, _ in specs.values()}))
+    tags = re.compile(rf"<(/?)({kinds})(?=[\s>])", re.ASCII)
+    wanted = [(re.compile(_open_tag(tag, cls), re.ASCII), tag) for tag, cls in specs.values()]
+    names, kind = list(specs), pa.list_(pa.string())
+
+    @F.arrow_udf(", ".join(f"{n} array<string>" for n in names))
+    def run(pages: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in names]
+        for page in pages:
+            text = page.as_py()
+            for column, got in zip(columns, _containers_of(text, wanted, tags) if text else [[]] * len(names),
+                                   strict=True):
+                column.append(got)
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c in columns], names=names)
+
+    return run(col_or_name(html))
 
 
 def regions(html, tag: str, cls: str) -> Column:
     """The inside of every ``<tag class="... cls ...">``, in document order
     (nested ones are listed on their own as well)."""
-    pattern = _open_tag(tag, cls)
-    opens = F.regexp_extract_all(col_or_name(html), F.lit(f"({pattern})"), F.lit(1))
-    parts = F.split(col_or_name(html), pattern)
-
-    def inside(i):
-        # what follows the i-th opening tag: the later pieces with their tags
-        later = F.zip_with(F.slice(parts, i + 3, F.size(parts)), F.slice(opens, i + 2, F.size(parts)),
-                           lambda text, mark: F.concat(F.coalesce(mark, F.lit("")), F.coalesce(text, F.lit(""))))
-        return _closed(F.concat(F.element_at(parts, i + 2), F.array_join(later, "")), tag)
-
-    index = F.when(F.size(opens) > 0, F.sequence(F.lit(0), F.size(opens) - 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    return F.transform(index, inside)
+    return containers(html, inside=(tag, cls)).getField("inside")
 
 
 def region(html, tag: str, cls: str, n: int = 1) -> Column:
@@ -124,8 +153,12 @@ def first_href_in(html, container_tag: str, container_class: str) -> Column:
 
 def first_attr(html, container_tag: str, container_class: str, tag: str, attr: str) -> Column:
     """First ``attr`` of ``tag`` inside a container with a class token (H4)."""
-    found = F.transform(regions(html, container_tag, container_class), lambda r: _either(
-        r, rf"<{tag}(?=\s)[^>]*?" + _attr(attr)))
+    return first_attr_of(regions(html, container_tag, container_class), tag, attr)
+
+
+def first_attr_of(inside: Column, tag: str, attr: str) -> Column:
+    """First ``attr`` of ``tag`` in an array of texts; NULL if none."""
+    found = F.transform(inside, lambda r: _either(r, rf"<{tag}(?=\s)[^>]*?" + _attr(attr)))
     return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), 0)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import (cut_at_marker, default_to, first_present, page_key,
+from ..functions.text import (cut_at_marker, default_to, first_present, null_if_empty, page_key,
                               shorten_key, site_prefix, unicode_trim)
 from ..session import broadcast_limit, cut_lineage
 
@@ -87,10 +87,12 @@ def outgoing(pages: DataFrame, host_suffixes: list[str], box: str | None = RESUL
     link (H2) — as ``(page_id, link)``, made absolute, from a single read of
     the page HTML. Links that are not web pages (``mailto:`` and the like) are
     left out."""
-    hrefs = H.link_hrefs("html", "div", box) if box else H.link_hrefs("html")
-    nxt = F.slice(H.link_hrefs("html", "li", PAGER), 1, 1)
-    exploded = pages.select("page_id", site_of("url", host_suffixes).alias("site"),
-                            F.explode(F.concat(hrefs, nxt)).alias("href"))
+    boxes = {"pager": ("li", PAGER), **({"result": ("div", box)} if box else {})}
+    parts = pages.select("page_id", "html", site_of("url", host_suffixes).alias("site"),
+                         H.containers("html", **boxes).alias("box"))
+    hrefs = F.flatten(F.transform("box.result", H.links_in)) if box else H.link_hrefs("html")
+    nxt = F.slice(F.flatten(F.transform("box.pager", H.links_in)), 1, 1)
+    exploded = parts.select("page_id", "site", F.explode(F.concat(hrefs, nxt)).alias("href"))
     other = F.col("href").rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~F.col("href").rlike("(?i)^https?://")
     return exploded.where(~other).select("page_id", absolute(F.col("site"), "href").alias("link"))
 
@@ -167,16 +169,18 @@ def records_a(pages: DataFrame, host: str, markup: dict = MARKUP_A) -> DataFrame
     parts = pages.select(
         "url", page_key("url").alias("page_key"),
         H.link_with_text("html", m["hires_link"]).alias("hires"),
-        H.first_attr("html", "div", m["lowres_box"], "img", "src").alias("lowres"),
-        F.array_join(H.regions("html", "div", m["record_box"]), "\n").alias("record"))
+        H.containers("html", lowres=("div", m["lowres_box"]), record=("div", m["record_box"])).alias("box"))
+    parts = parts.select(
+        "url", "page_key", "hires", H.first_attr_of(F.col("box.lowres"), "img", "src").alias("lowres"),
+        F.array_join("box.record", "\n").alias("record"))
+    parts = parts.withColumn("box", H.containers("record", field=("div", m["field_box"]), artist=("div", m["artist_box"])))
     parts = parts.withColumn(
-        "fields", F.transform(H.regions("record", "div", m["field_box"]),
-                              lambda f: H.unescape(F.regexp_extract(f, "^([^<]*)", 1))))
+        "fields", F.transform("box.field", lambda f: H.unescape(F.regexp_extract(f, "^([^<]*)", 1))))
     dates = F.filter(F.transform("fields", lambda f: H.anchored_field(f, m["date_prefix"])),
                      lambda d: d.isNotNull())
     hires = F.concat(F.coalesce(site_prefix("url", host), F.lit("")), F.col("hires"))
     image = first_present(F.when(F.col("hires") != "", hires), "lowres")
-    artist = H.first_text(H.region("record", "div", m["artist_box"]), "a")
+    artist = H.first_text(F.get("box.artist", 0), "a")
     records = parts.select(
         "url", "page_key",
         H.first_text("record", "h1").alias("title_EN"),
@@ -196,15 +200,19 @@ def records_b(pages: DataFrame, markup: dict = MARKUP_B) -> DataFrame:
     m = markup
     parts = with_keys(pages).select(
         "url", F.col("short_key").alias("page_key"),
-        H.region("html", "div", m["column"], m["main"]).alias("main"),
-        H.region("html", "div", m["column"], m["side"]).alias("side"),
-        H.comment_src(H.first_comment("html", "div", m["image_box"])).alias("image"),
+        H.containers("html", column=("div", m["column"]), image=("div", m["image_box"])).alias("box"),
         F.get(H.elements("html", "p"), 0).alias("first_p"))
+    parts = parts.select(
+        "url", "page_key", F.get("box.column", m["main"] - 1).alias("main"),
+        F.get("box.column", m["side"] - 1).alias("side"),
+        H.comment_src(null_if_empty(F.get(F.flatten(F.transform("box.image", H.comments)), 0))).alias("image"),
+        "first_p")
+    parts = parts.withColumn("state", F.get(H.regions("side", "div", m["state_box"]), 0))
 
     def of(region, heading, level="h4", **how):
         return H.text_after_heading(region, level, heading, **how)
 
-    state = H.first_text(H.region("side", "div", m["state_box"]), "p")
+    state = H.first_text("state", "p")
     records = parts.select(
         "url", "page_key",
         unicode_trim(H.first_text("main", "h2")).alias("title_EN"),

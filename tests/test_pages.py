@@ -216,3 +216,51 @@ def test_crawl_closure_ends_in_cycles_and_keeps_least_depth(spark):
             k: v for k, v in want.items() if limit is None or v[0] <= limit}
         assert len(got) == len({r["url"] for r in got})
     assert PG.crawl_closure(pages, seeds.limit(0), ["example.org"]).count() == 0
+
+
+def _slow_regions(html, tag, cls):
+    """Each container on its own, by counting from its opening tag."""
+    import re
+    out = []
+    for m in re.finditer(H._open_tag(tag, cls), html, re.ASCII):
+        depth, end = 1, len(html)
+        for e in re.finditer(rf"<(/?){tag}(?=[\s>])", html[m.end():], re.ASCII):
+            depth += -1 if e[1] else 1
+            if not depth:
+                end = m.end() + e.start()
+                break
+        out.append(html[m.end():end])
+    return out
+
+
+def test_containers_against_counting_each_on_its_own(spark):
+    import random
+    rnd = random.Random(2)
+    bits = ['<div class="a">', '<div class="b a">', "<div>", "</div>", "<li class='c'>", "</li>", "x", "<divx>", "　é",
+            '<div id="1" class="ab">', "<div\n class='a' >", "</div >", "<div class=\"a\"", ">"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = df.select("i", H.containers("html", a=("div", "a"), b=("div", "b"), c=("li", "c")).alias("r")).collect()
+    for r in got:
+        page = pages[r["i"]] or ""
+        assert (r["r"]["a"], r["r"]["b"], r["r"]["c"]) == (
+            _slow_regions(page, "div", "a"), _slow_regions(page, "div", "b"), _slow_regions(page, "li", "c")), page
+
+
+def test_page_structure_is_linear_in_the_page(spark):
+    """5,000 and 20,000 containers in one page: about four times the time."""
+    import time
+    import re
+    took = []
+    tags = re.compile(r"<(/?)(div)(?=[\s>])", re.ASCII)
+    spec = [(re.compile(H._open_tag("div", "grid-6"), re.ASCII), "div")]
+    for n in (5_000, 20_000):
+        page = "".join(f'<div class="grid-6"><div>{i}</div></div>' for i in range(n))
+        start = time.perf_counter()
+        got = H._containers_of(page, spec, tags)[0]
+        took.append(time.perf_counter() - start)
+        assert len(got) == n and got[-1] == f"<div>{n - 1}</div>"
+    assert took[1] < 12 * took[0] and took[1] < 2
+    wide = spark.createDataFrame([("http://x/1", "".join(f'<div class="grid-6">{i}</div>' for i in range(5_000)))],
+                                 "url string, html string")
+    assert wide.select(F.size(H.regions("html", "div", "grid-6"))).first()[0] == 5_000
