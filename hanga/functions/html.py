@@ -64,7 +64,6 @@ def _containers_of(html: str, specs: list[tuple[re.Pattern, str]], tags: re.Patt
     tag, and for every opening tag that fits a spec the text up to the closing
     tag that belongs to it (or the page's end, if there is none)."""
     found: list[list] = [[] for _ in specs]
-    ends = [0] * len(specs)         # a tag does not begin inside one that fits the same spec
     open_tags: dict[str, list] = {}
     for event in tags.finditer(html):
         stack = open_tags.setdefault(event[2], [])
@@ -72,8 +71,7 @@ def _containers_of(html: str, specs: list[tuple[re.Pattern, str]], tags: re.Patt
             # where this tag's text goes once it is closed: (spec, slot, start)
             fits = []
             for n, (pattern, tag) in enumerate(specs):
-                if tag == event[2] and event.start() >= ends[n] and (m := pattern.match(html, event.start())):
-                    ends[n] = m.end()
+                if tag == event[2] and (m := pattern.match(html, event.start())):
                     fits.append((n, len(found[n]), m.end()))
                     found[n].append(None)
             stack.append(fits)
@@ -96,7 +94,7 @@ def containers(html, **specs: tuple[str, str]) -> Column:
     Arrow batch at a time. (Built-in array functions can count depth, too, but
     copy or rescan the page for every container.)"""
     kinds = "|".join(sorted({re.escape(tag) for tag, _ in specs.values()}))
-    tags = re.compile(rf"<(/?)({kinds})(?=[\s>])", re.ASCII)
+    tags = re.compile(rf"<(/?)({kinds})(?=[\s>])[^>]*>?", re.ASCII)    # no tag begins inside another
     wanted = [(re.compile(_open_tag(tag, cls), re.ASCII), tag) for tag, cls in specs.values()]
     names, kind = list(specs), pa.list_(pa.string())
 
