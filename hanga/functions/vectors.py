@@ -40,3 +40,11 @@ def keep_last(c, m: int) -> Column:
 def vector_literal(values) -> Column:
     """A driver-side vector of bounded width as a constant ``array<double>``."""
     return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+
+
+def dense(column, width: int):
+    """Arrow list column (no nulls) as a numpy matrix, straight from its value
+    buffer; rows of another length are an error."""
+    import numpy as np
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, np.float64).reshape(len(column), width)

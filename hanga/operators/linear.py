@@ -9,17 +9,21 @@ matrix W (d+1 x J), and every optimiser iteration is **one** pass over the
 training rows for all J models together:
 
 * each task turns its Arrow batches into a dense block X, computes the
-  margins X @ W for all models, and accumulates loss, gradient and generalized
-  Hessian — only those partial sums leave the task;
+  margins X @ W for all models, and accumulates sums — only those partial sums
+  leave the task;
 * the partial sums travel as raw float64 bytes cut into small chunks and are
   added in two levels, first per (chunk, task group), then per chunk, so no
   reducer ever holds one chunk of every task;
-* the driver runs a damped Newton method for each model independently.
+* the driver runs a Newton method for each model independently.
 
-Models are solved in blocks so that the sums of one block (width squared per
-model) fit the broadcast limit; the reference's widest input (3000) takes 72
-MB for a model on its own. The method is the same at every size and limit; a
-model that does not reach the tolerance is reported, with its gradient.
+Up to ``DENSE_WIDTH`` columns the sums are loss, gradient and generalized
+Hessian (width squared per model): the fewest passes. Beyond it no Hessian is
+ever formed: the same damped Newton steps are solved by conjugate gradients,
+whose passes return Hessian-vector products (width per model), so that the
+reference's widest input (3000) takes 24 KB per model instead of 72 MB, and all
+models still share every pass. Models are solved in blocks whose sums fit the
+broadcast limit. A model that does not reach the tolerance is reported, with its
+gradient.
 
 Objective per model j (class c, cost C, fold f; bias folded into w like
 LIBLINEAR's ``bias = 1``):
@@ -38,6 +42,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -45,9 +50,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import dense
 from ..session import broadcast_limit, cut_lineage
 
 CHUNK = 32768   # doubles per reduce chunk (256 KiB)
+DENSE_WIDTH = 512   # widest input whose Hessians are formed (2 MB per model)
+CG_TOLERANCE = 1e-6     # residual of a step, relative to the gradient
 GROUPS = 64     # first-level groups of tasks in the reduction
 
 
@@ -77,12 +85,14 @@ class LinearOvRModel:
 
         def run(batches):
             w, b, names = bc.value
-            for pdf in batches:
-                x = np.array(pdf[features].tolist(), dtype=np.float64).reshape(len(pdf), w.shape[1])
-                yield pdf.assign(prediction=names[(x @ w.T + b).argmax(1)] if len(pdf) else names[:0])
+            for batch in batches:
+                x = dense(batch.column(features), w.shape[1])
+                best = names[(x @ w.T + b).argmax(1)] if len(x) else names[:0]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best)],
+                                                 names=[*batch.schema.names, "prediction"])
 
         out = T.StructType([*rows.schema.fields, T.StructField("prediction", T.IntegerType())])
-        return rows.mapInPandas(run, out)
+        return rows.mapInArrow(run, out)
 
     def weights(self, spark: SparkSession) -> DataFrame:
         """``(class_id, dim, weight)`` — model metadata, K x d values."""
@@ -123,30 +133,27 @@ def project(pca: PipelineModel, df: DataFrame, features: str = "features") -> Da
             .drop("vec", "__centred", out))
 
 
-def _block(pdf, d):
-    x = np.array(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), d)
-    return np.hstack([x, np.ones((len(pdf), 1))])
+def _rows_of(batch: pa.RecordBatch, d: int):
+    """(x with a column of ones, class numbers, folds) of one Arrow batch."""
+    x = dense(batch.column("x"), d)
+    return (np.hstack([x, np.ones((len(x), 1))]), batch.column("ci").to_numpy(), batch.column("fold").to_numpy())
 
 
-def _sum_chunk(pdf):
-    import pandas as pd
+def _sum_chunk(t: pa.Table) -> pa.Table:
     total = None
-    for blob in pdf["v"]:
-        part = np.frombuffer(blob, dtype=np.float64)
-        total = part.copy() if total is None else total + part
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "v": [total.tobytes()]})
-
-
-def _sum_group(pdf):
-    return _sum_chunk(pdf).assign(g=int(pdf["g"].iloc[0]))
+    for blob in t.column("v"):
+        part = np.frombuffer(blob.as_buffer(), dtype=np.float64)
+        total = part.copy() if total is None else np.add(total, part, out=total)
+    return t.slice(0, 1).set_column(t.column_names.index("v"), "v", pa.array([total.tobytes()], pa.binary()))
 
 
 def _reduce_chunks(parts: DataFrame, length: int) -> np.ndarray:
     """Sum the per-task partial vectors: rows ``(chunk, g, v)`` with ``v`` raw
     float64 bytes are added per (chunk, task group), then per chunk; the sums
     are decoded on the driver."""
-    summed = (parts.groupBy("chunk", "g").applyInPandas(_sum_group, "chunk int, v binary, g int")
-              .groupBy("chunk").applyInPandas(_sum_chunk, "chunk int, v binary").collect())
+    kind = "chunk int, g int, v binary"
+    summed = (parts.groupBy("chunk", "g").applyInArrow(_sum_chunk, kind)
+              .groupBy("chunk").applyInArrow(_sum_chunk, kind).collect())
     out = np.zeros(length)
     for r in summed:
         v = np.frombuffer(r["v"], dtype=np.float64)
@@ -155,14 +162,20 @@ def _reduce_chunks(parts: DataFrame, length: int) -> np.ndarray:
     return out
 
 
-def _emit(flat: np.ndarray):
+def _emit(flat: np.ndarray) -> pa.RecordBatch:
     """A task's partial vector as ``(chunk, g, v)`` rows of raw float64 bytes."""
-    import pandas as pd
-    n = len(flat)
-    g = TaskContext.get().partitionId() % GROUPS
-    chunks = [(i, g, np.ascontiguousarray(flat[i * CHUNK:(i + 1) * CHUNK]).tobytes())
-              for i in range((n + CHUNK - 1) // CHUNK)]
-    return pd.DataFrame(chunks, columns=["chunk", "g", "v"])
+    g, n = TaskContext.get().partitionId() % GROUPS, -(-len(flat) // CHUNK)
+    parts = [np.ascontiguousarray(flat[i * CHUNK:(i + 1) * CHUNK]).tobytes() for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([g] * n, pa.int32()),
+                                       pa.array(parts, pa.binary())], names=["chunk", "g", "v"])
+
+
+def _active(z: np.ndarray, ci, fold, mc, mC, mf, wm):
+    """(label signs, row costs where the hinge is active, margins' slack)."""
+    y = np.where(ci[:, None] == mc[None, :], 1.0, -1.0)
+    in_train = (mf[None, :] < 0) | (fold[:, None] != mf[None, :])
+    slack = 1.0 - y * z
+    return y, np.where((slack > 0) & in_train, mC[None, :] * wm[:, ci].T, 0.0), slack
 
 
 class _Problem:
@@ -175,95 +188,107 @@ class _Problem:
         self.weight_mat = weight_mat  # J x K: weight of a row of class k in model j
         self.J = len(m_class)
 
-    def sums(self, W: np.ndarray, cols):
-        """Loss, gradient and generalized Hessian (len(cols) x D x D) at W of
-        the models ``cols`` (W has one column each), in one pass."""
-        cols = np.asarray(cols)
-        D, J = W.shape
-        sc = self.data.sparkSession.sparkContext
-        bc = sc.broadcast((W, self.m_class[cols], self.m_C[cols], self.m_fold[cols],
-                           self.weight_mat[cols]))
+    def _pass(self, length: int, shared: tuple, add) -> np.ndarray:
+        """One pass: ``add(total, x, ci, fold, *shared)`` over every batch; the
+        tasks' totals (``length`` doubles each) are added up."""
+        bc = self.data.sparkSession.sparkContext.broadcast(shared)
         d = self.d
 
         def run(batches):
-            w, mc, mC, mf, wm = bc.value
-            n_m, dd = w.shape[1], w.shape[0]
-            loss = np.zeros(n_m)
-            grad = np.zeros_like(w)
-            hess = np.zeros((n_m, dd * dd))
-            seen = False
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                seen = True
-                xt = _block(pdf, d)
-                ci = pdf["ci"].to_numpy()
-                fold = pdf["fold"].to_numpy()
-                z = xt @ w
-                y = np.where(ci[:, None] == mc[None, :], 1.0, -1.0)
-                in_train = (mf[None, :] < 0) | (fold[:, None] != mf[None, :])
-                s = mC[None, :] * wm[:, ci].T
-                margin = 1.0 - y * z
-                coef = np.where((margin > 0) & in_train, s, 0.0)
-                loss += (coef * margin * margin).sum(0)
-                grad += xt.T @ (-2.0 * coef * y * margin)
-                if n_m > 1 and dd <= 256:
-                    # all Hessians at once: coef^T @ (row outer products), in row blocks
-                    for lo in range(0, len(xt), 512):
-                        xb = xt[lo:lo + 512]
-                        outer = (xb[:, :, None] * xb[:, None, :]).reshape(len(xb), -1)
-                        hess += 2.0 * coef[lo:lo + 512].T @ outer
-                else:
-                    for m in range(n_m):
-                        hit = coef[:, m] > 0
-                        xb = xt[hit]
-                        hess[m] += 2.0 * ((xb * coef[hit, m][:, None]).T @ xb).ravel()
+            total, seen = np.zeros(length), False
+            for batch in batches:
+                if batch.num_rows:
+                    seen = True
+                    add(total, *_rows_of(batch, d), *bc.value)
             if seen:
-                yield _emit(np.concatenate([grad.ravel(), loss, hess.ravel()]))
+                yield _emit(total)
 
-        parts = self.data.mapInPandas(run, "chunk int, g int, v binary")
-        flat = _reduce_chunks(parts, D * J + J + J * D * D)
+        out = _reduce_chunks(self.data.mapInArrow(run, "chunk int, g int, v binary"), length)
         bc.destroy()
+        return out
+
+    def _models(self, cols: np.ndarray) -> tuple:
+        return self.m_class[cols], self.m_C[cols], self.m_fold[cols], self.weight_mat[cols]
+
+    def sums(self, W: np.ndarray, cols, hessian: bool = True):
+        """Loss, gradient, trace of the generalized Hessian and, if wanted, the
+        Hessian (len(cols) x D x D; else None) at W of the models ``cols`` (W
+        has one column each), in one pass."""
+        cols = np.asarray(cols)
+        D, J = W.shape
+
+        def add(total, xt, ci, fold, w, *models):
+            y, coef, slack = _active(xt @ w, ci, fold, *models)
+            total[:D * J] += (xt.T @ (-2.0 * coef * y * slack)).ravel()
+            total[D * J:D * J + J] += (coef * slack * slack).sum(0)
+            total[D * J + J:D * J + 2 * J] += 2.0 * (xt * xt).sum(1) @ coef
+            if not hessian:
+                return
+            hess = total[D * J + 2 * J:].reshape(J, D * D)
+            if J > 1 and D <= 256:
+                # all Hessians at once: coef^T @ (row outer products), in row blocks
+                for lo in range(0, len(xt), 512):
+                    xb = xt[lo:lo + 512]
+                    outer = (xb[:, :, None] * xb[:, None, :]).reshape(len(xb), -1)
+                    hess += 2.0 * coef[lo:lo + 512].T @ outer
+            else:
+                for m in range(J):
+                    hit = coef[:, m] > 0
+                    xb = xt[hit]
+                    hess[m] += 2.0 * ((xb * coef[hit, m][:, None]).T @ xb).ravel()
+
+        flat = self._pass(D * J + 2 * J + (J * D * D if hessian else 0), (W, *self._models(cols)), add)
         grad = flat[:D * J].reshape(D, J) + W
         loss = flat[D * J:D * J + J] + 0.5 * (W * W).sum(0)
-        hess = flat[D * J + J:].reshape(J, D, D) + np.eye(D)[None]
-        return loss, grad, hess
+        trace = flat[D * J + J:D * J + 2 * J] + D
+        return loss, grad, trace, flat[D * J + 2 * J:].reshape(J, D, D) + np.eye(D)[None] if hessian else None
+
+    def hessian_times(self, W: np.ndarray, V: np.ndarray, cols) -> np.ndarray:
+        """Generalized Hessian at W times V, a column per model, in one pass;
+        the Hessian itself is never formed."""
+        def add(total, xt, ci, fold, w, v, *models):
+            _, coef, _ = _active(xt @ w, ci, fold, *models)
+            total += (xt.T @ (2.0 * coef * (xt @ v))).ravel()
+        return V + self._pass(W.size, (W, V, *self._models(np.asarray(cols))), add).reshape(W.shape)
 
     def fold_accuracy(self, W: np.ndarray, groups: list[np.ndarray], group_fold: np.ndarray,
                       ) -> np.ndarray:
         """Accuracy of each group of K models (one per class, same C and fold)
         on the rows of its held-out fold."""
-        sc = self.data.sparkSession.sparkContext
-        bc = sc.broadcast((W, np.array(groups), group_fold))
-        d = self.d
-        n_groups = len(groups)
-
-        def run(batches):
-            w, g, gf = bc.value
-            acc = np.zeros(2 * len(g))
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                xt = _block(pdf, d)
-                ci = pdf["ci"].to_numpy()
-                fold = pdf["fold"].to_numpy()
-                z = xt @ w
-                for k in range(len(g)):
-                    rows = fold == gf[k]
-                    if not rows.any():
-                        continue
-                    pred = z[rows][:, g[k]].argmax(1)
-                    acc[k] += (pred == ci[rows]).sum()
-                    acc[len(g) + k] += rows.sum()
-            yield _emit(acc)
-
-        flat = _reduce_chunks(self.data.mapInPandas(run, "chunk int, g int, v binary"),
-                              2 * n_groups)
-        bc.destroy()
-        return flat[:n_groups] / np.maximum(flat[n_groups:], 1.0)
-
-
-def _newton(problem: _Problem, D: int, cols: np.ndarray, max_iter: int, tol: float):
+        n = len(groups)
+
+        def add(total, xt, ci, fold, w, g, gf):
+            z = xt @ w
+            for k in range(n):
+                rows = fold == gf[k]
+                if rows.any():
+                    total[k] += (z[rows][:, g[k]].argmax(1) == ci[rows]).sum()
+                    total[n + k] += rows.sum()
+
+        flat = self._pass(2 * n, (W, np.array(groups), group_fold), add)
+        return flat[:n] / np.maximum(flat[n:], 1.0)
+
+
+def _conjugate_gradients(problem: _Problem, W, g, lam, cols, stop):
+    """(p, r) with (H + lam I) p = -g - r and ||r|| <= stop per model: one data
+    pass per step for all models that are not done."""
+    p, r = np.zeros_like(g), -g.copy()
+    way, rr = r.copy(), (r * r).sum(0)
+    for _ in range(2 * len(g)):
+        k = np.nonzero(np.sqrt(rr) > stop)[0]
+        if not len(k):
+            break
+        hv = problem.hessian_times(W[:, k], way[:, k], cols[k]) + lam[k] * way[:, k]
+        alpha = rr[k] / (way[:, k] * hv).sum(0)
+        p[:, k] += alpha * way[:, k]
+        r[:, k] -= alpha * hv
+        new = (r[:, k] * r[:, k]).sum(0)
+        way[:, k] = r[:, k] + new / rr[k] * way[:, k]
+        rr[k] = new
+    return p, r
+
+
+def _newton(problem: _Problem, D: int, cols: np.ndarray, max_iter: int, tol: float, dense_steps: bool = True):
     """Damped Newton (Levenberg-Marquardt) on the generalized Hessian of the
     models ``cols``, advanced together with one data pass per iteration.
 
@@ -272,11 +297,15 @@ def _newton(problem: _Problem, D: int, cols: np.ndarray, max_iter: int, tol: flo
     shrinks after good steps and grows after rejected ones. The squared hinge
     is piecewise quadratic, so undamped steps converge in a few iterations;
     damping keeps large-C models stable where the active set keeps changing.
+
+    ``dense_steps`` False solves by conjugate gradients on Hessian-vector
+    products, a pass each, to ``CG_TOLERANCE``; the driver and the tasks then
+    hold a few arrays of models x width, no more.
     Returns (W, iterations, gradient norm relative to the start's) per model."""
     J = len(cols)
-    eye = np.eye(D)
+    eye = np.eye(D) if dense_steps else None
     W = np.zeros((D, J))
-    f, g, H = problem.sums(W, cols)
+    f, g, trace, H = problem.sums(W, cols, dense_steps)
     g0 = np.maximum(np.linalg.norm(g, axis=0), 1e-12)
     lam, used = np.zeros(J), np.zeros(J, int)
     active = np.linalg.norm(g, axis=0) > tol * g0
@@ -285,16 +314,25 @@ def _newton(problem: _Problem, D: int, cols: np.ndarray, max_iter: int, tol: flo
         it += 1
         a = np.nonzero(active)[0]  # converged models are not evaluated again
         used[a] = it
-        p = np.linalg.solve(H[a] + lam[a, None, None] * eye[None], -g[:, a].T[:, :, None])[:, :, 0].T
-        f_try, g_try, H_try = problem.sums(W[:, a] + p, cols[a])
-        predicted = -(g[:, a] * p).sum(0) - 0.5 * np.einsum("jd,jde,je->j", p.T, H[a], p.T)
+        if dense_steps:
+            p = np.linalg.solve(H[a] + lam[a, None, None] * eye[None], -g[:, a].T[:, :, None])[:, :, 0].T
+            curved = np.einsum("jd,jde,je->j", p.T, H[a], p.T)
+        else:
+            # nearly exact steps: rough ones leave the active set changing back and forth
+            p, r = _conjugate_gradients(problem, W[:, a], g[:, a], lam[a], cols[a],
+                                        CG_TOLERANCE * np.linalg.norm(g[:, a], axis=0))
+            curved = (p * (-g[:, a] - r - lam[a] * p)).sum(0)
+        f_try, g_try, trace_try, H_try = problem.sums(W[:, a] + p, cols[a], dense_steps)
+        predicted = -(g[:, a] * p).sum(0) - 0.5 * curved
         ratio = (f[a] - f_try) / np.maximum(predicted, 1e-300)
         good = ((f_try < f[a]) & (ratio > 1e-4)) | \
                ((f_try <= f[a]) & (predicted <= 1e-14 * np.abs(f[a])))
         ok = a[good]
         W[:, ok] += p[:, good]
-        f[ok], g[:, ok], H[ok] = f_try[good], g_try[:, good], H_try[good]
-        scale = np.trace(H[a], axis1=1, axis2=2) / D
+        f[ok], g[:, ok], trace[ok] = f_try[good], g_try[:, good], trace_try[good]
+        if dense_steps:
+            H[ok] = H_try[good]
+        scale = trace[a] / D
         lam[a] = np.where(good, np.where(ratio > 0.75, lam[a] / 10, lam[a]),
                           np.maximum(lam[a] * 10, 1e-6 * scale))
         lam[a] = np.where(good & (lam[a] < 1e-12 * scale), 0.0, lam[a])
@@ -328,10 +366,8 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
         pca = fit_pca(pca_fit_rows if pca_fit_rows is not None else df, n_components, width)
         df = project(pca, df, features)
     if classes is None:
-        labels = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
-        if labels.count() * 64 > broadcast_limit(spark):
-            raise ValueError("more classes than a one-vs-rest model can hold")
-        classes = sorted(r[0] for r in labels.collect())
+        # the classes are columns of the model that this returns: K x width values
+        classes = sorted(r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct().collect())
     K = len(classes)
     cls_lit = F.array(*[F.lit(int(c)) for c in classes])
     use_cv = n_folds > 0 and len(Cs) > 1 and fold_col is not None
@@ -377,8 +413,9 @@ def fit(df: DataFrame, Cs: list[float], n_folds: int = 3, classes: list[int] | N
         prob = _Problem(data, d, np.array(m_class), np.array(m_C), np.array(m_fold),
                         np.array(wmat))
         # as many models at a time as their sums fit the limit, one at least
-        step = max(1, int(broadcast_limit(spark) // (D * D * 8)))
-        solved = [_newton(prob, D, np.arange(lo, min(lo + step, prob.J)), max_iter, tol)
+        dense_steps = d <= DENSE_WIDTH
+        step = max(1, int(broadcast_limit(spark) // (D * 8 * (D if dense_steps else 2))))
+        solved = [_newton(prob, D, np.arange(lo, min(lo + step, prob.J)), max_iter, tol, dense_steps)
                   for lo in range(0, prob.J, step)]
         W, used, rel = (np.concatenate([x[i] for x in solved], axis=-1) for i in range(3))
         if use_cv:

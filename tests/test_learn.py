@@ -192,3 +192,39 @@ def test_wide_vectors_use_the_same_solver(spark):
     assert model.coef.shape == (2, 1000) and report.first()["n_unconverged"] == 0
     acc = model.transform(df).select(F.avg((F.col("prediction") == F.col("class_id")).cast("double"))).first()[0]
     assert acc == 1.0
+
+
+def test_newton_cg_finds_the_optimum_of_the_dense_solver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"{i}", int(i % 3), [float(v) for v in rng.normal(0, 1, 12) + 0.4 * (i % 3)]) for i in range(200)]
+    df = SP.stratified_folds(spark.createDataFrame(rows, "key string, class_id int, features array<double>"), 3)
+    Cs = [0.01, 1.0, 100.0]
+    dense, report = LIN.fit(df, Cs, 3, max_iter=100, tol=1e-6)
+    monkeypatch.setattr(LIN, "DENSE_WIDTH", 1)
+    free, report2 = LIN.fit(df, Cs, 3, max_iter=100, tol=1e-6)
+    assert free.C == dense.C
+    assert np.allclose(free.coef, dense.coef, atol=1e-4) and np.allclose(free.intercept, dense.intercept, atol=1e-4)
+    for a, b in zip(report.collect(), report2.collect(), strict=True):
+        assert (a["C"], a["best"], a["n_models"]) == (b["C"], b["best"], b["n_models"])
+        assert a["cv_accuracy"] == pytest.approx(b["cv_accuracy"], abs=0.02) and b["n_unconverged"] == 0
+
+
+def test_3000_wide_vectors_need_no_array_of_width_squared(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(80, 3000))
+    y = np.arange(80) % 4
+    x[np.arange(80), y] += 30
+    df = spark.createDataFrame([(str(i), int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))],
+                               "key string, class_id int, features array<double>").repartition(3)
+    lengths, plain = [], LIN._reduce_chunks
+
+    def noted(parts, length):
+        lengths.append(length)
+        return plain(parts, length)
+
+    monkeypatch.setattr(LIN, "_reduce_chunks", noted)
+    model, report = LIN.fit(df, [1e-4], 0, max_iter=50)
+    assert max(lengths) <= 4 * 3001 + 8     # models x width, a loss and a trace each
+    assert report.first()["n_unconverged"] == 0
+    got = model.transform(df)
+    assert got.where("prediction = class_id").count() == 80
