@@ -3,7 +3,7 @@
 A codebook ``(code int, center array<double>)`` is shipped to tasks in blocks
 whose measured size fits the broadcast limit, one block after the other, so
 any codebook works. Nearest-codeword search runs inside each task as a numpy
-matrix product over Arrow batches (``mapInPandas``); measured 3x faster than
+matrix product over Arrow batches (``mapInArrow``); measured 3x faster than
 the built-in higher-order-function form even for k = 16, m = 64, whose
 interpreted lambdas cost k x m calls per row (kept as ``method="jvm"``). No
 keypoint x codeword rows are ever materialised.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark import StorageLevel
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import keep_last, l2_distance
-from ..session import bounded_broadcast, broadcast_limit, path_exists, vector_width
+from ..functions.vectors import dense, keep_last, l2_distance
+from ..session import bounded_broadcast, broadcast_limit, cut_lineage, path_exists, vector_width
 
 ROUND = 6
 
@@ -96,7 +97,7 @@ def nearest_codes(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[pick].astype(np.int32), exact[pick]
 
 
-def _assign_pandas(df: DataFrame, desc_col: str, codes: np.ndarray, centers: np.ndarray,
+def _assign_arrow(df: DataFrame, desc_col: str, codes: np.ndarray, centers: np.ndarray,
                    first: bool) -> DataFrame:
     """Nearest code of one block; after the first block a row keeps what it has
     unless the block is nearer (rounded), or as near with a lower code."""
@@ -106,18 +107,20 @@ def _assign_pandas(df: DataFrame, desc_col: str, codes: np.ndarray, centers: np.
 
     def run(batches):
         names, c = bc.value
-        for pdf in batches:
-            x = np.array(pdf[desc_col].tolist(), dtype=np.float64).reshape(len(pdf), c.shape[1])
-            at, dist = nearest_codes(x, c)
+        for b in batches:
+            at, dist = nearest_codes(dense(b.column(desc_col), c.shape[1]), c)
             code = names[at]
             if not first:
-                have, had = pdf["code"].to_numpy(), pdf["dist"].to_numpy()
+                have, had = b.column("code").to_numpy(), b.column("dist").to_numpy()
                 new, old = np.round(dist, ROUND), np.round(had, ROUND)
                 better = (new < old) | ((new == old) & (code < have))
                 code, dist = np.where(better, code, have), np.where(better, dist, had)
-            yield pdf.assign(code=code.astype(np.int32), dist=dist)
+            kept = [x for x, n in zip(b.columns, b.schema.names, strict=True) if first or n not in ("code", "dist")]
+            names_out = [n for n in b.schema.names if first or n not in ("code", "dist")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(code.astype(np.int32)), pa.array(dist)],
+                                             names=[*names_out, "code", "dist"])
 
-    return df.mapInPandas(run, out_schema)
+    return df.mapInArrow(run, out_schema)
 
 
 def assign(kps: DataFrame, codebook: DataFrame | np.ndarray, desc_col: str = "desc",
@@ -133,11 +136,11 @@ def assign(kps: DataFrame, codebook: DataFrame | np.ndarray, desc_col: str = "de
             m = centers.shape[1]
             df = kps.withColumn(desc_col, keep_last(F.col(desc_col).cast("array<double>"), m))
             out = (_assign_jvm(df, desc_col, codes, centers) if method == "jvm"
-                   else _assign_pandas(df, desc_col, codes, centers, True))
+                   else _assign_arrow(df, desc_col, codes, centers, True))
         elif method == "jvm":
             raise ValueError("the jvm form takes one block; use the default method")
         else:
-            out = _assign_pandas(out, desc_col, codes, centers, False)
+            out = _assign_arrow(out, desc_col, codes, centers, False)
     if out is None:
         raise ValueError("empty codebook")
     return out
@@ -147,17 +150,22 @@ def histogram(assigned: DataFrame, k: int, keys: DataFrame | None = None,
               key_col: str = "key") -> DataFrame:
     """Dense bag-of-codewords per image (A6): ``(key, histogram
     array<double>)`` of length k. Counts are combined per (image, code) in
-    each task first; the per-image map has at most k entries. Images listed
-    in ``keys`` without any keypoint get all zeros (quirk K13)."""
+    each task first; an image's counts, at most k, are then sorted by code and
+    written between runs of zeros, so the work per image grows with k and not
+    with its square. Images listed in ``keys`` without any keypoint get all
+    zeros (quirk K13); codes outside 0..k-1 are not counted."""
     counts = assigned.groupBy(key_col, "code").agg(F.count(F.lit(1)).alias("cnt"))
-    per_key = counts.groupBy(key_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("code", "cnt"))).alias("__m"))
+    known = F.filter(F.array_sort(F.collect_list(F.struct("code", "cnt"))), lambda c: c["code"].between(0, k - 1))
+    per_key = counts.groupBy(key_col).agg(known.alias("__s"))
     if keys is not None:
         per_key = keys.select(key_col).join(per_key, key_col, "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                        lambda c: F.coalesce(F.element_at(F.col("__m"), c), F.lit(0))
-                        .cast("double"))
-    return per_key.select(key_col, dense.alias("histogram"))
+    sparse = F.coalesce("__s", F.array().cast("array<struct<code:int,cnt:bigint>>"))
+    # zeros before each counted code, then its count; zeros after the last one
+    before = F.concat(F.array(F.lit(-1)), F.transform(sparse, lambda c: c["code"]))
+    runs = F.zip_with(sparse, F.slice(before, 1, F.size(sparse)), lambda c, last: F.concat(
+        F.array_repeat(F.lit(0.0), c["code"] - last - 1), F.array(c["cnt"].cast("double"))))
+    rest = F.array_repeat(F.lit(0.0), F.lit(k - 1) - F.element_at(before, -1))
+    return per_key.select(key_col, F.concat(F.flatten(runs), rest).alias("histogram"))
 
 
 def histogram_long(hist: DataFrame, key_col: str = "key") -> DataFrame:
@@ -170,10 +178,8 @@ def histogram_long(hist: DataFrame, key_col: str = "key") -> DataFrame:
 def hash_init(points: DataFrame, k: int, key_col: str = "key", feat_col: str = "features",
               seed: int = 0) -> np.ndarray:
     """k starting centres: the points with the lowest md5(seed:key) — a
-    seeded random pick; Spark's top-k keeps only k rows per task."""
-    width = vector_width(points, feat_col)
-    if k * width * 8 > broadcast_limit(points.sparkSession):
-        raise ValueError(f"{k} starting centres of width {width} exceed the broadcast limit")
+    seeded random pick; Spark's top-k keeps only k rows per task. The centres
+    are the result (k x width values on the driver)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
     rows = points.select(feat_col, h.alias("__h"), key_col).orderBy("__h", key_col).limit(k)
     return np.array([r[feat_col] for r in rows.collect()], dtype=np.float64)
@@ -226,13 +232,13 @@ def lloyd(points: DataFrame, centers: np.ndarray, max_iter: int = 10, tol: float
     return centers, counts
 
 
-def _multi_init(points: DataFrame, k: int, attempts: int, seed: int, key_col: str,
+def _multi_init(points: DataFrame, k: int, attempts: range, seed: int, key_col: str,
                 feat_col: str) -> np.ndarray:
     """Starting centres for every attempt: attempt a takes the k points with
     the lowest md5((seed + a):key). Only keys are ranked, in two levels (per
     source-partition group, then per attempt); the vectors of the at most
     attempts x k winners are fetched by a join. Returns (attempts, k, m)."""
-    att = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt")
+    att = F.explode(F.sequence(F.lit(attempts.start), F.lit(attempts.stop - 1))).alias("attempt")
     h = F.md5(F.concat((F.col("attempt") + F.lit(seed)).cast("string"), F.lit(":"),
                        F.col(key_col).cast("string")))
     ranked = points.select(key_col, att).withColumn("__h", h).withColumnRenamed(key_col, "__key")
@@ -241,85 +247,185 @@ def _multi_init(points: DataFrame, k: int, attempts: int, seed: int, key_col: st
         w = Window.partitionBy(*by).orderBy("__h", "__key")
         ranked = ranked.withColumn(r, F.row_number().over(w)).where(F.col(r) <= k)
     starts = ranked.select("__key", "attempt", "__r")
-    width = vector_width(points, feat_col)
-    if attempts * k * width * 8 > broadcast_limit(points.sparkSession):
-        raise ValueError(f"{attempts} x {k} starting centres of width {width} exceed the broadcast limit")
-    rows = (points.join(F.broadcast(starts), F.col(key_col) == F.col("__key"))  # attempts x k keys
-            .select("attempt", "__r", feat_col).collect())
-    if len(rows) < attempts * k:
+    if len(attempts) * k * 64 <= broadcast_limit(points.sparkSession):     # attempts x k keys
+        starts = F.broadcast(starts)
+    rows = (points.join(starts, F.col(key_col) == F.col("__key")).select("attempt", "__r", feat_col).collect())
+    if len(rows) < len(attempts) * k:
         raise ValueError(f"fewer than k={k} points")
     rows.sort(key=lambda r: (r["attempt"], r["__r"]))
-    return np.array([r[feat_col] for r in rows], dtype=np.float64).reshape(attempts, k, -1)
-
-
-def _cluster_sums(points: DataFrame, centers: np.ndarray, feat_col: str) -> list:
-    """One pass over the points for every attempt at once. Each task assigns
-    its points to the nearest centre of every attempt and accumulates, over
-    all its batches, one sum per (attempt, code); Spark then adds the tasks'
-    sums. Returns collected (attempt, code, n, sum, cost), as large as the
-    centres that were sent (checked when they were made)."""
-    bc = points.sparkSession.sparkContext.broadcast(centers)
-    schema = "attempt int, code int, n long, s array<double>, cost double"
+    return np.array([r[feat_col] for r in rows], dtype=np.float64).reshape(len(attempts), k, -1)
+
+
+SLACK = 1e-4    # bounds must be apart by more than the rounding of compared distances
+_STATE = ("features array<double>, code array<int>, upper array<double>, lower array<double>, "
+          "attempt int, centre int, n long, s array<double>, cost double, dists long")
+
+
+def _second_nearest(x: np.ndarray, centers: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Distance to the nearest centre other than ``code``."""
+    if len(centers) < 2 or not len(x):
+        return np.full(len(x), np.inf)
+    d2 = (x * x).sum(1)[:, None] - 2.0 * (x @ centers.T) + (centers * centers).sum(1)[None, :]
+    d2[np.arange(len(x)), code] = np.inf
+    return np.sqrt(np.maximum(d2.min(1), 0.0))
+
+
+class _Attempt:
+    """What a pass needs to know of one attempt: its centres, how far each has
+    moved since the pass before, and half the way to the nearest other one."""
+
+    def __init__(self, centers: np.ndarray, before: np.ndarray):
+        k = len(centers)
+        self.centers = centers
+        self.moved = np.sqrt(((centers - before) ** 2).sum(1))
+        order = np.argsort(-self.moved)
+        self.others = np.full(k, self.moved[order[0]])      # the farthest move of any other centre
+        self.others[order[0]] = self.moved[order[1]] if k > 1 else 0.0
+        self.half = _second_nearest(centers, centers, np.arange(k)) / 2
+
+    def assign(self, x, code, upper, lower):
+        """New (code, upper, lower, distances computed): a point whose upper
+        bound stays below its lower bound, or below half the gap around its
+        centre, keeps its centre without a distance; next its own distance is
+        tried, and only then all of them."""
+        c = self.centers
+        if code is None:
+            code, dist = nearest_codes(x, c)
+            return code, dist, _second_nearest(x, c, code), len(x) * len(c)
+        upper, lower = upper + self.moved[code], lower - self.others[code]
+        safe = np.maximum(lower, self.half[code]) - SLACK
+        at = np.flatnonzero(upper >= safe)
+        diff = x[at] - c[code[at]]
+        upper[at] = np.sqrt((diff * diff).sum(1))
+        open_ = at[upper[at] >= safe[at]]
+        code = code.copy()
+        code[open_], upper[open_] = nearest_codes(x[open_], c)
+        lower[open_] = _second_nearest(x[open_], c, code[open_])
+        return code, upper, lower, len(at) + len(open_) * len(c)
+
+
+def _bounded_pass(state: DataFrame, attempts: dict[int, _Attempt], n_att: int, k: int, m: int,
+                  first: bool, with_cost: bool) -> DataFrame:
+    """One pass over the points for the given attempts: rows with their new
+    codes and bounds and, per task, one sum per (attempt, centre)."""
+    bc = state.sparkSession.sparkContext.broadcast(attempts)
+
+    def lists(values: np.ndarray, kind) -> pa.Array:
+        offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel(), kind))
+
+    names = [c.split()[0] for c in _STATE.split(", ")]
+    empty = [pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    blank = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64()]
 
     def run(batches):
-        import pandas as pd
-        cs = bc.value
-        n_att, k, m = cs.shape
-        n, sums, cost = np.zeros((n_att, k), np.int64), np.zeros((n_att, k, m)), np.zeros((n_att, k))
-        for pdf in batches:
-            x = np.array(pdf[feat_col].tolist(), dtype=np.float64).reshape(len(pdf), m)
-            for a in range(n_att):
-                code, dist = nearest_codes(x, cs[a])
-                n[a] += np.bincount(code, minlength=k)
-                np.add.at(sums[a], code, x)
-                cost[a] += np.bincount(code, weights=dist * dist, minlength=k)
+        todo = bc.value
+        n, sums = np.zeros((n_att, k), np.int64), np.zeros((n_att, k, m))
+        cost, dists = np.zeros((n_att, k)), np.zeros(n_att, np.int64)
+        for b in batches:
+            x = dense(b.column("features"), m)
+            if first:
+                code = np.zeros((len(x), n_att), np.int32)
+                upper, lower = np.zeros((len(x), n_att)), np.zeros((len(x), n_att))
+            else:
+                code = b.column("code").flatten().to_numpy().reshape(len(x), n_att).copy()
+                upper, lower = dense(b.column("upper"), n_att).copy(), dense(b.column("lower"), n_att).copy()
+            for a, attempt in todo.items():
+                old = (None,) * 3 if first else (code[:, a], upper[:, a], lower[:, a])
+                code[:, a], upper[:, a], lower[:, a], count = attempt.assign(x, *old)
+                dists[a] += count
+                n[a] += np.bincount(code[:, a], minlength=k)
+                np.add.at(sums[a], code[:, a], x)
+                if with_cost:
+                    diff = x - attempt.centers[code[:, a]]
+                    cost[a] += np.bincount(code[:, a], weights=(diff * diff).sum(1), minlength=k)
+                    dists[a] += len(x)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("features"), lists(code, pa.int32()), lists(upper, pa.float64()),
+                 lists(lower, pa.float64()), *[pa.nulls(len(x), t) for t in blank]], names=names)
         at, codes = np.nonzero(n)
         for lo in range(0, len(at), 512):
             a, c = at[lo:lo + 512], codes[lo:lo + 512]
-            yield pd.DataFrame({"attempt": a.astype(np.int32), "code": c.astype(np.int32), "n": n[a, c],
-                                "s": [v.tolist() for v in sums[a, c]], "cost": cost[a, c]})
+            # the attempt's count of distances travels with its first centre
+            own = np.where(np.concatenate([[lo == 0 or at[lo - 1] != a[0]], a[1:] != a[:-1]]), dists[a], 0)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.nulls(len(a), t) for t in empty], pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)),
+                 pa.array(n[a, c]), lists(sums[a, c], pa.float64()), pa.array(cost[a, c]), pa.array(own)], names=names)
+
+    return cut_lineage(state.mapInArrow(run, _STATE))
+
 
-    parts = points.select(feat_col).mapInPandas(run, schema)
-    return (parts.groupBy("attempt", "code")
-            .agg(F.sum("n").alias("n"),
-                 vector_to_array(Summarizer.sum(array_to_vector("s")), "float64").alias("s"),
-                 F.sum("cost").alias("cost"))
-            .collect())
+def _sums_of(done: DataFrame) -> list:
+    """The tasks' sums added up, as large as the centres they are for."""
+    return (done.where("attempt is not null").groupBy("attempt", "centre")
+            .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("s")), "float64").alias("s"),
+                 F.sum("cost").alias("cost"), F.sum("dists").alias("dists")).collect())
+
+
+def _attempts(points: DataFrame, centers: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Lloyd iterations of several attempts at once: (centres, costs, number of
+    distances computed)."""
+    n_att, k, m = centers.shape
+    state, dists, first = points.select("features"), 0, True
+    centers, assigned = centers.copy(), centers.copy()      # assigned: those that the bounds refer to
+    active = np.arange(n_att)
+    for _ in range(max_iter):
+        if not len(active):
+            break
+        state = _bounded_pass(state, {int(a): _Attempt(centers[a], assigned[a]) for a in active}, n_att, k, m,
+                              first, False)
+        assigned[active], first = centers[active], False
+        for r in _sums_of(state):
+            centers[r["attempt"], r["centre"]] = np.array(r["s"]) / r["n"]
+            dists += r["dists"]
+        state = state.where("features is not null")
+        shift = np.sqrt(((centers - assigned) ** 2).sum(2)).max(1)
+        active = active[shift[active] > tol]
+    done = _bounded_pass(state, {a: _Attempt(centers[a], assigned[a]) for a in range(n_att)}, n_att, k, m, first, True)
+    costs = np.zeros(n_att)
+    for r in _sums_of(done):
+        costs[r["attempt"]] += r["cost"]
+        dists += r["dists"]
+    return centers, costs, dists
 
 
 def kmeans_codebook(points: DataFrame, k: int, max_iter: int = 10, tol: float = 1e-4,
                     attempts: int = 10, seed: int = 0, feat_col: str = "features",
-                    key_col: str = "key") -> tuple[DataFrame, float, list[float]]:
+                    key_col: str = "key", report: dict | None = None) -> tuple[DataFrame, float, list[float]]:
     """Best of ``attempts`` random-start k-means runs by compactness (M2).
 
-    All attempts advance together: each iteration is a single pass over the
-    points (``_cluster_sums``), so 10 attempts cost one scan per iteration,
-    not ten. An attempt stops when no centre moves more than ``tol`` (the
-    reference's EPS criterion, absolute in feature space — trap 2) or after
+    All attempts advance together, in groups whose centres fit the broadcast
+    limit (one attempt at least): each iteration is a single pass over the
+    points, so 10 attempts cost one scan per iteration, not ten. A point carries
+    bounds of its distances between passes (triangle inequality: a centre that
+    moved by d is at most d nearer or farther), and distances are computed only
+    where the bounds leave the assignment open; the result is that of plain
+    Lloyd iterations. An attempt stops when no centre moves more than ``tol``
+    (the reference's EPS criterion, absolute in feature space — trap 2) or after
     ``max_iter`` iterations; an empty cluster keeps its centre. Returns
     ``(codebook(code, center), best cost, cost per attempt)``, cost = sum of
-    squared distances to the nearest final centre."""
-    pts = points.select(key_col, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
+    squared distances to the nearest final centre. ``report`` receives the
+    number of distances computed (``distances``)."""
+    spark = points.sparkSession
+    pts = points.select(F.col(key_col).alias("key"), F.col(feat_col).cast("array<double>").alias("features"))
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centers = _multi_init(pts, k, attempts, seed, key_col, feat_col)
-        active = np.ones(attempts, dtype=bool)
-        for _ in range(max_iter):
-            idx = np.nonzero(active)[0]
-            if len(idx) == 0:
-                break
-            new = centers[idx].copy()
-            for r in _cluster_sums(pts, centers[idx], feat_col):
-                new[r["attempt"], r["code"]] = np.array(r["s"]) / r["n"]
-            shift = np.sqrt(((new - centers[idx]) ** 2).sum(2)).max(1)
-            centers[idx] = new
-            active[idx[shift <= tol]] = False
-        costs = np.zeros(attempts)
-        for r in _cluster_sums(pts, centers, feat_col):
-            costs[r["attempt"]] += r["cost"]
+        width = vector_width(pts, "features")
+        group = max(1, broadcast_limit(spark) // (k * width * 8))
+        best, costs, dists = None, [], 0
+        for lo in range(0, attempts, group):
+            start = _multi_init(pts, k, range(lo, min(lo + group, attempts)), seed, "key", "features")
+            centers, own, count = _attempts(pts, start, max_iter, tol)
+            at = int(np.argmin(own))
+            if best is None or own[at] < min(costs):
+                best = centers[at]
+            costs += own.tolist()
+            dists += count
     finally:
         pts.unpersist()
-    best = int(np.argmin(costs))
-    return codebook_frame(points.sparkSession, centers[best]), float(costs[best]), costs.tolist()
+    if report is not None:
+        report["distances"] = dists
+    return codebook_frame(spark, best), float(min(costs)), costs
 
 
 def write_codebook(codebook: DataFrame, path: str) -> bool:

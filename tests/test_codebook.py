@@ -3,6 +3,7 @@ K13, S9)."""
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from hanga.operators import codebook as CB
@@ -112,3 +113,62 @@ def test_half_written_codebook_is_replaced(spark, tmp_path):
     (path / "part-0").write_bytes(b"junk")
     assert CB.write_codebook(CB.codebook_frame(spark, np.eye(2)), str(path)) is True
     assert CB.read_codebook(spark, str(path)).count() == 2
+
+
+def test_bounds_give_the_plain_result_with_fewer_distances(spark):
+    rng = np.random.default_rng(3)
+    n, k, attempts = 2000, 20, 2
+    x = rng.normal(0, 1, (n, 6)) + rng.integers(0, 12, n)[:, None] * 4
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key int, features array<double>").repartition(4)
+    report = {}
+    book, cost, costs = CB.kmeans_codebook(pts, k, max_iter=15, tol=-1.0, attempts=attempts, seed=5, report=report)
+    plain = []
+    for a in range(attempts):
+        start = CB.hash_init(pts, k, seed=5 + a)
+        centers = start
+        for _ in range(15):
+            code, _ = CB.nearest_codes(x, centers)
+            centers = np.array([x[code == c].mean(0) if (code == c).any() else centers[c] for c in range(k)])
+        plain.append((float((CB.nearest_codes(x, centers)[1] ** 2).sum()), centers))
+    assert np.allclose(costs, [p[0] for p in plain])
+    got = np.array([r["center"] for r in book.orderBy("code").collect()])
+    assert np.allclose(got, min(plain, key=lambda p: p[0])[1])
+    assert cost == min(costs)
+    assert report["distances"] < 0.5 * n * k * attempts * 16      # 15 passes and the last one
+
+
+def test_attempts_in_groups_whatever_the_limit(spark):
+    rng = np.random.default_rng(4)
+    pts = spark.createDataFrame([(i, rng.normal(0, 1, 3).tolist()) for i in range(60)], "key int, features array<double>")
+    whole = CB.kmeans_codebook(pts, 4, attempts=3, max_iter=4)
+    spark.conf.set("hanga.broadcast.maxBytes", "1")
+    try:
+        parts = CB.kmeans_codebook(pts, 4, attempts=3, max_iter=4)
+        assert CB.hash_init(pts, 4).shape == (4, 3)
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+    assert np.allclose(whole[2], parts[2]) and whole[1] == pytest.approx(parts[1])
+    assert np.allclose([r["center"] for r in whole[0].collect()], [r["center"] for r in parts[0].collect()])
+
+
+def test_histogram_grows_with_k_not_its_square(spark):
+    """Dense histograms of 1,000 codes, and ten times as many codes in far less
+    than a hundred times the time."""
+    import time
+    rows = [(i % 40, (i * 37) % 1000) for i in range(20_000)]
+    assigned = spark.createDataFrame(rows, "key int, code int")
+    want = {}
+    for key, code in rows:
+        want.setdefault(key, [0.0] * 1000)[code] += 1
+    got = {r["key"]: r["histogram"] for r in CB.histogram(assigned, 1000).collect()}
+    assert got == want
+    odd = spark.createDataFrame([("a", 0), ("a", 4), ("a", 9), ("b", None), ("c", 4)], "key string, code int")
+    assert {r["key"]: r["histogram"] for r in CB.histogram(odd, 5).collect()} == {
+        "a": [1.0, 0, 0, 0, 1], "b": [0.0] * 5, "c": [0.0, 0, 0, 0, 1]}
+    took = []
+    for k in (2_000, 20_000):
+        many = spark.range(200_000).select((F.col("id") % 4).cast("int").alias("key"), (F.col("id") % k).cast("int").alias("code"))
+        start = time.perf_counter()
+        CB.histogram(many, k).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0]
