@@ -14,7 +14,7 @@ third of all lines is combined inside each task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import checksum_from_path, file_key, unicode_trim
@@ -156,6 +156,51 @@ def read_labels(lines: DataFrame, class_dim: DataFrame,
     return dedup_labels(labelled, order_col)
 
 
+class Counts:
+    """Named counts of the rows that pass a point of a plan, taken by whatever
+    action runs it (``DataFrame.observe``); no second pass. They can be read
+    once that action has ended. Where Spark sees that its input is empty and
+    runs nothing, it reports a row without columns: every count is zero."""
+
+    def __init__(self, name: str, **counts: Column):
+        self.observation, self.counts = Observation(name), counts
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.observation, *[c.alias(n) for n, c in self.counts.items()])
+
+    def get(self) -> dict[str, int]:
+        row = self.observation._jo.getRow()
+        found = self.observation.get if row.length() else {}
+        return {n: int(found.get(n) or 0) for n in self.counts}
+
+
+def observed_labels(lines: DataFrame, class_dim: DataFrame, order_col: str = "line_no"
+                    ) -> tuple[DataFrame, list[Counts]]:
+    """Label map ``(key, class_id, n_lines)`` and the counts of its ingest (A1,
+    F6), taken while the lines are read: whatever action first runs the labels
+    fills them, and no line is read a second time."""
+    read = Counts("label_lines", lines_read=F.count(F.lit(1)),
+                  rejected_bad_format=F.count_if(F.col("reason") == "bad_format"),
+                  rejected_unknown_artist=F.count_if(F.col("reason") == "unknown_artist"))
+    kept = Counts("labels", labels_kept=F.count(F.lit(1)))
+    tagged = read.on(tag_label_lines(lines, class_dim))
+    return kept.on(dedup_labels(tagged.where(F.col("reason").isNull()), order_col)), [read, kept]
+
+
+def observed_join(samples: DataFrame, labels: DataFrame) -> tuple[DataFrame, Counts]:
+    """Samples with a label (J2) and how many there were before and after,
+    counted in the same pass. (The join is an outer one up to the count, so
+    that an empty label table does not make Spark leave the samples unread.)"""
+    seen = Counts("samples", samples_read=F.count(F.lit(1)), samples_kept=F.count_if("__label"))
+    joined = seen.on(samples.join(labels.withColumn("__label", F.lit(True)), "key", "left"))
+    return joined.where("__label").drop("__label"), seen
+
+
+def counts_of(spark: SparkSession, *counts: Counts) -> DataFrame:
+    """``(metric, value)`` of counts whose frames have been run."""
+    return spark.createDataFrame([x for c in counts for x in c.get().items()], "metric string, value bigint")
+
+
 def join_labels(samples: DataFrame, labels: DataFrame) -> DataFrame:
     """Samples with a label; unlabelled samples are discarded."""
     return samples.join(labels, "key", "inner")
@@ -189,3 +234,10 @@ def pending(items: DataFrame, done: DataFrame, key_col: str = "key",
         done = done.where(F.get(F.split(F.col(done_col), r"\."), 1) == descriptor)
     done_keys = done.select(file_key(F.col(done_col)).alias("__done"))
     return items.join(done_keys, F.col(key_col) == F.col("__done"), "left_anti")
+
+
+def pending_keys(items: DataFrame, done: DataFrame, key_col: str = "key") -> DataFrame:
+    """:func:`pending` for a table of bare done keys in a column of the same
+    name: nothing is computed from the keys, so tables bucketed by them are
+    joined as they lie."""
+    return items.join(done.select(key_col), key_col, "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_KEYPOINTS = 4000   # kept per image by response
@@ -74,6 +74,7 @@ def sample(kps: DataFrame, n: int = SAMPLE_PER_IMAGE, key_col: str = "key",
 
 # --- descriptor plug point (U1) -------------------------------------------------
 
+SQL_CHUNK = 512     # rows of a SQL partition handed to a descriptor at once
 DescriptorFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _DESCRIPTORS: dict[str, tuple[DescriptorFn, str]] = {}
 
@@ -96,3 +97,50 @@ def describe(images: DataFrame, name: str) -> DataFrame:
         raise KeyError(f"unknown descriptor {name!r}; known: {sorted(_DESCRIPTORS)}")
     fn, schema = _DESCRIPTORS[name]
     return images.mapInPandas(fn, schema).withColumn("descriptor_name", F.lit(name))
+
+
+def _table_function(name: str):
+    """The registered descriptor as a table function over (key, content) rows:
+    rows are handed to it in chunks, and those of the last chunk at the end of
+    each SQL partition."""
+    fn, schema = _DESCRIPTORS[name]
+
+    class Describe:
+        def __init__(self):
+            self.rows: list[tuple] = []
+
+        def _run(self):
+            pdf, self.rows = pd.DataFrame(self.rows, columns=["key", "content"]), []
+            for out in fn(iter([pdf])):
+                # plain Python values: a table function returns rows, not arrays
+                yield from zip(*[out[c].astype(object) for c in out.columns], strict=True)
+
+        def eval(self, row):
+            self.rows.append((row["key"], row["content"]))
+            if len(self.rows) >= SQL_CHUNK:
+                yield from self._run()
+
+        def terminate(self):
+            if self.rows:
+                yield from self._run()
+
+    return F.udtf(Describe, returnType=schema)
+
+
+def register_sql(spark: SparkSession) -> list[str]:
+    """Make every registered descriptor callable from SQL (U1) as
+    ``describe_<name>(TABLE(images) PARTITION BY key)``; returns the names."""
+    for name in _DESCRIPTORS:
+        spark.udtf.register(f"describe_{name}", _table_function(name))
+    return [f"describe_{name}" for name in _DESCRIPTORS]
+
+
+def describe_sql(images: DataFrame, name: str) -> DataFrame:
+    """:func:`describe` through SQL: ``images`` (key, content) partitioned by
+    key. An unknown name is an error that lists the known ones."""
+    if name not in _DESCRIPTORS:
+        raise KeyError(f"unknown descriptor {name!r}; known: {sorted(_DESCRIPTORS)}")
+    spark = images.sparkSession
+    register_sql(spark)
+    return spark.sql(f"SELECT *, '{name}' AS descriptor_name "
+                     f"FROM describe_{name}(TABLE(SELECT key, content FROM {{images}}) PARTITION BY key)", images=images)

@@ -473,3 +473,11 @@ FROM (SELECT DISTINCT class_id FROM sp WHERE split = 'train'), range(1, 6) t(i)"
 WITH {_S}, {_SPLIT}
 SELECT key, class_id AS label, TRUE AS same FROM sp WHERE split = 'test'""",
 })
+
+# the same results by other means: counts taken in passing, bucketed joins, SQL table functions
+ORACLE_SQL.update({
+    "ingest_counts": ORACLE_SQL["label_counts"],
+    "bucketed_label_join": ORACLE_SQL["label_join"],
+    "bucketed_pending": ORACLE_SQL["incremental_pending"],
+    "descriptor_sql": ORACLE_SQL["descriptor_job"],
+})

@@ -24,6 +24,7 @@ from ..operators import pages as PG
 from ..operators import split as SP
 from ..operators import vectors as V
 from ..session import cut_lineage, remove_path, scratch_path
+from ..sources import bucketed as BK
 from ..sources import catalogue as SC
 from ..sources import files as FS
 from ..sources import keyed_files as KF
@@ -266,6 +267,38 @@ def q_catalogue_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return SC.catalogue_rejects(parsed).select(F.col("line_order").alias("doc_id"), "reason")
 
 
+def q_ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the label step, taken while the joined samples are written."""
+    path = scratch_path(spark, "ingest")
+    labels, seen = C.observed_labels(X.label_lines(spark, sf), X.class_dim(spark))
+    labels.drop("n_lines").write.parquet(f"{path}/labels")
+    kept, samples = C.observed_join(X.labelled_features(spark, sf), spark.read.parquet(f"{path}/labels"))
+    kept.write.parquet(f"{path}/samples")
+    remove_path(spark, path)
+    return C.counts_of(spark, *seen, samples)
+
+
+def q_bucketed_label_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The label join over samples laid out in buckets."""
+    labels = C.read_labels(X.label_lines(spark, sf), X.class_dim(spark), "line_no")
+    table = BK.write_bucketed(X.labelled_features(spark, sf))
+    out = cut_lineage(C.join_labels(spark.table(table), labels.drop("n_lines")).select(
+        "doc_id", "key", "class_id", "quality", "toxic"))
+    BK.drop_bucketed(spark, table)
+    return out
+
+
+def q_bucketed_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending items against a done table laid out in buckets."""
+    items = X.table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"))
+    done = X.table(spark, sf, "benchmark").where("item_id % 3 <> 0").select(F.col("item_id").cast("string").alias("key"))
+    left, right = BK.write_bucketed(items), BK.write_bucketed(done)
+    out = cut_lineage(C.pending_keys(spark.table(left), spark.table(right)).select("doc_id", "key"))
+    BK.drop_bucketed(spark, left)
+    BK.drop_bucketed(spark, right)
+    return out
+
+
 @KP.register_descriptor("letters", "key long, kp_id int, response double, desc array<double>")
 def _letters(batches):
     """A stand-in descriptor: one keypoint per non-empty image, described by
@@ -279,9 +312,18 @@ def _letters(batches):
 def q_descriptor_job(spark: SparkSession, sf: str) -> DataFrame:
     """A registered descriptor over whole documents."""
     docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
-    got = KP.describe(docs, "letters")
-    return got.select("key", F.col("response").cast("long").alias("size"),
-                      *[F.get("desc", i).cast("long").alias(f"n_{c}") for i, c in enumerate("aeio")])
+    return _letter_counts(KP.describe(docs, "letters"))
+
+
+def q_descriptor_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same descriptor as a SQL table function."""
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    return _letter_counts(KP.describe_sql(docs, "letters"))
+
+
+def _letter_counts(described: DataFrame) -> DataFrame:
+    return described.select("key", F.col("response").cast("long").alias("size"),
+                            *[F.get("desc", i).cast("long").alias(f"n_{c}") for i, c in enumerate("aeio")])
 
 
 QUERIES.update({
@@ -305,6 +347,10 @@ QUERIES.update({
     "keypoint_files": q_keypoint_files,
     "catalogue_rejects": q_catalogue_rejects,
     "descriptor_job": q_descriptor_job,
+    "descriptor_sql": q_descriptor_sql,
+    "ingest_counts": q_ingest_counts,
+    "bucketed_label_join": q_bucketed_label_join,
+    "bucketed_pending": q_bucketed_pending,
 })
 
 

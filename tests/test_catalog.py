@@ -122,3 +122,48 @@ def test_line_numbers_exact_across_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(got[f"line{i}"] == i for i in range(20000))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_join_without_a_shuffle_of_the_large_side(spark):
+    from hanga.sources import bucketed as BK
+    samples = spark.range(500).selectExpr("concat('k', id) AS key", "id AS doc_id")
+    labels = spark.range(0, 500, 3).selectExpr("concat('k', id) AS key", "cast(id % 4 AS int) AS class_id")
+    big, side = BK.write_bucketed(samples, buckets=6), BK.write_bucketed(labels, buckets=6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = C.join_labels(spark.table(big), spark.table(side))
+        assert "SortMergeJoin" in _plan(both) and "Exchange" not in _plan(both)
+        one = C.join_labels(spark.table(big), labels)        # labels of this run: dealt into the same buckets
+        assert _plan(one).count("Exchange") == 1
+        left = C.pending_keys(spark.table(big), spark.table(side))
+        assert "LeftAnti" in _plan(left) and "Exchange" not in _plan(left)
+        assert sorted(map(tuple, both.collect())) == sorted(map(tuple, one.collect())) == sorted(
+            map(tuple, C.join_labels(samples, labels).collect()))
+        assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(500) if i % 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        BK.drop_bucketed(spark, big)
+        BK.drop_bucketed(spark, side)
+
+
+def test_counts_are_taken_while_the_samples_are_written(spark, tmp_path):
+    """One scan of the lines and one of the samples, and the counts are those
+    of a second pass, also without any label."""
+    dim = spark.createDataFrame([("a", 0), ("b", 1)], "class_name string, class_id int")
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(
+        ["k1::a", "k1::b", "k2::zz", "bad", "k3::a::x", "k4::b", "k9::a"])], "line_no long, value string")
+    samples = spark.createDataFrame([("k1", 1), ("k4", 2), ("k5", 3), ("k1", 4)], "key string, x int")
+    lines.write.parquet(str(tmp_path / "lines"))
+    for n, some in enumerate((spark.read.parquet(str(tmp_path / "lines")), lines.limit(0))):
+        labels, seen = C.observed_labels(some, dim)
+        if not n:
+            assert _plan(labels).count("FileScan") == 1
+        labels.write.parquet(str(tmp_path / f"labels{n}"))
+        kept, own = C.observed_join(samples, spark.read.parquet(str(tmp_path / f"labels{n}")))
+        kept.write.parquet(str(tmp_path / f"samples{n}"))
+        assert rows(C.counts_of(spark, *seen, own)) == rows(C.label_summary(some, dim, samples))
+        assert spark.read.parquet(str(tmp_path / f"samples{n}")).count() == (0 if n else 3)

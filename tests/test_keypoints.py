@@ -98,3 +98,29 @@ def test_selection_plans_without_a_job_and_needs_ids(spark):
         KP.strongest(kps, 3)
     with pytest.raises(ValueError):
         KP.sample(kps, 3)
+
+
+def test_descriptors_from_sql(spark):
+    """A registered descriptor as a table function, partitioned by image; chunks
+    of rows, nulls, and an unknown name."""
+    @KP.register_descriptor("sizes", "key string, kp_id int, response double, desc array<double>")
+    def _sizes(batches):
+        for pdf in batches:
+            seen = pdf[pdf["content"].notna()]
+            yield seen[["key"]].assign(kp_id=0, response=seen["content"].str.len().astype(float),
+                                       desc=[[float(len(c)), 1.0] for c in seen["content"]])
+
+    images = spark.createDataFrame([(f"k{i % 7}", "x" * i if i % 5 else None) for i in range(1200)],
+                                   "key string, content string")
+    want = sorted(map(tuple, KP.describe(images, "sizes").select("key", "response", "desc", "descriptor_name").collect()))
+    assert "describe_sizes" in KP.register_sql(spark)
+    images.createOrReplaceTempView("images_of_test")
+    got = spark.sql("SELECT key, response, desc, 'sizes' AS descriptor_name "
+                    "FROM describe_sizes(TABLE(images_of_test) PARTITION BY key) WHERE response >= 0")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 960
+    assert sorted(map(tuple, KP.describe_sql(images, "sizes").select(
+        "key", "response", "desc", "descriptor_name").collect())) == want
+    with pytest.raises(KeyError, match="sizes"):
+        KP.describe_sql(images, "nope")
+    with pytest.raises(Exception, match="describe_nope"):
+        spark.sql("SELECT * FROM describe_nope(TABLE(images_of_test) PARTITION BY key)").collect()

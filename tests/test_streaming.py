@@ -4,6 +4,7 @@ files, replays write nothing twice."""
 import numpy as np
 
 from hanga.operators import codebook as CB
+from hanga.session import path_exists
 from hanga.sources import files as FS
 from hanga.streaming.incremental import run_available
 
@@ -58,9 +59,11 @@ def test_stream_checkpoint_is_the_same_in_every_application(spark):
 
 def test_storage_errors_are_not_taken_for_a_fresh_start(spark):
     import pytest
-    from hanga.streaming.incremental import _done_keys
+    from hanga.streaming.done_index import batches
     with pytest.raises(Exception):
-        _done_keys(spark, "nosuchscheme://bucket/out")
+        batches(spark, "nosuchscheme://bucket/out")
+    with pytest.raises(Exception):
+        path_exists(spark, "nosuchscheme://bucket/out")
 
 
 def test_cluster_without_shared_folder_is_an_error():
@@ -81,3 +84,83 @@ def test_cluster_without_shared_folder_is_an_error():
     Fake.sparkContext.master = "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError):
         S.shared_root(Fake())
+
+
+def _written(spark, out, name, keys):
+    from hanga.streaming import done_index as D
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    df.write.mode("overwrite").parquet(f"{out}/batch={name}")
+    D.write_sketch(df, out, name)
+
+
+def test_sketches_name_the_batches_that_hold_a_key(spark, tmp_path):
+    from hanga.streaming import done_index as D
+    out = str(tmp_path / "out")
+    assert D.may_hold(spark.createDataFrame([("x",)], "key string"), out) == []
+    for b in range(6):
+        _written(spark, out, f"s-{b}", [f"key{i}" for i in range(b, 9000, 6)] if b else [])
+    new = spark.createDataFrame([("key1",), ("key8",), ("other",)], "key string")
+    assert D.may_hold(new, out) == ["s-1", "s-2"]
+    many = spark.range(9000, 12000).selectExpr("concat('key', id) AS key")
+    assert len(D.may_hold(many, out)) <= 2         # hardly ever by mistake
+    assert D.may_hold(new.limit(0), out) == []
+    # never missed, whatever the key
+    for b in range(1, 6):
+        assert f"s-{b}" in D.may_hold(spark.createDataFrame([(f"key{b + 6 * 700}",)], "key string"), out)
+    spark.createDataFrame([("late",)], "key string").write.parquet(f"{out}/batch=s-9")    # no sketch written
+    assert D.may_hold(new, out) == ["s-1", "s-2", "s-9"]
+    spark.conf.set("hanga.broadcast.maxBytes", "1")
+    try:
+        assert len(D.may_hold(new, out)) == 7
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+
+
+def test_old_batches_stay_unread_and_replays_write_nothing_twice(spark, tmp_path):
+    import shutil
+
+    import pytest
+    src, out, ck = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
+    src.mkdir()
+
+    def process(new):
+        return new.select("key")
+
+    def run():
+        return run_available(spark, str(src), str(out), process, "*.txt", str(ck))
+
+    def keys():
+        return sorted(r["key"] for r in spark.read.parquet(str(out)).collect())
+
+    (src / "a.txt").write_text("x")
+    (src / "b.txt").write_text("x")
+    run()
+    (src / "b.again.txt").write_text("x")       # the same key in a later file
+    (src / "c.txt").write_text("x")
+    shutil.copytree(ck, tmp_path / "before")
+    run()
+    assert keys() == ["a", "b", "c"]
+    # the second batch again, as after a failure before it was recorded
+    shutil.rmtree(ck)
+    shutil.copytree(tmp_path / "before", ck)
+    run()
+    assert keys() == ["a", "b", "c"]
+    # files of old batches that nobody opens may as well be broken
+    first = next(p for p in out.iterdir() if p.name.endswith("-0") and p.name.startswith("batch="))
+    for f in first.glob("*.parquet"):
+        f.write_bytes(b"broken")
+        (first / f".{f.name}.crc").unlink(missing_ok=True)
+    (src / "d.txt").write_text("x")
+    run()
+    assert [r["key"] for r in spark.read.parquet(str(next(p for p in out.iterdir() if p.name.endswith("-2")))).collect()] == ["d"]
+    (src / "a.new.txt").write_text("x")
+    with pytest.raises(Exception):              # this key needs the broken batch
+        run()
+
+
+def test_output_of_another_layout_is_refused(spark, tmp_path):
+    import pytest
+    from hanga.streaming.done_index import batches
+    spark.range(3).write.parquet(str(tmp_path / "flat"))
+    with pytest.raises(ValueError, match="batch by batch"):
+        batches(spark, str(tmp_path / "flat"))
