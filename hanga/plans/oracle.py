@@ -446,11 +446,71 @@ SELECT code, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value, round(cost,
 FROM (SELECT code, unnest(range(0, len(cf))) AS dim, unnest(cf) AS value, cost FROM {last} JOIN best USING (att))"""
 
 
+SVM_C = 0.01
+
+
+def _svm_sql(C: float = SVM_C, steps: int = 60) -> str:
+    """``svm(class_id, w)``: the one-vs-rest squared-hinge optimum, the bias
+    last, by accelerated gradient steps (fixed momentum; step sizes from the
+    Frobenius norm of the Gram matrix, for the bias from the number of rows).
+    At this C the steps end at the optimum to the last digits."""
+    return f"""tr AS MATERIALIZED (SELECT class_id, list_append(f, CAST(1 AS DOUBLE)) AS x FROM sp WHERE split = 'train'),
+nc AS (SELECT class_id AS c, count(*) AS n FROM tr GROUP BY class_id),
+cls AS MATERIALIZED (SELECT c, (SELECT count(*) FROM tr) / ((SELECT count(*) FROM nc) * n) AS s FROM nc),
+ex AS (SELECT row_number() OVER () AS r, x FROM tr),
+el AS MATERIALIZED (SELECT r, unnest(range(1, len(x))) AS d, unnest(x[:-2]) AS v FROM ex),
+size AS (SELECT (SELECT count(*) FROM tr) AS n, (SELECT greatest(1, max(s)) FROM cls) AS s,
+                sqrt(sum(m * m)) AS fro FROM (SELECT sum(a.v * b.v) AS m FROM el a JOIN el b USING (r) GROUP BY a.d, b.d)),
+lip AS MATERIALIZED (SELECT 1 + 4 * {C} * s * fro AS lf, 1 + 4 * {C} * s * n AS lb FROM size),
+it AS (
+  SELECT 0 AS i, c, list_transform(range(0, (SELECT max(len(x)) FROM tr)), lambda d: CAST(0 AS DOUBLE)) AS w,
+         list_transform(range(0, (SELECT max(len(x)) FROM tr)), lambda d: CAST(0 AS DOUBLE)) AS v FROM cls
+  UNION ALL
+  SELECT i + 1, c, w2, list_transform(list_zip(w2, w), lambda t: t[1] + (1 - sqrt(1 / lf)) / (1 + sqrt(1 / lf)) * (t[1] - t[2]))
+  FROM (SELECT i, c, w, lf, list_transform(list_zip(v, g, range(1, len(v) + 1)),
+               lambda t: t[1] - (t[1] + t[2]) / CASE WHEN t[3] = len(v) THEN lb ELSE lf END) AS w2
+        FROM (SELECT i, c, any_value(w) AS w, any_value(v) AS v, list(g ORDER BY d) AS g
+              FROM (SELECT i, c, d, any_value(w) AS w, any_value(v) AS v, sum(k * e) AS g
+                    FROM (SELECT i, c, w, v, k, unnest(range(1, len(x) + 1)) AS d, unnest(x) AS e
+                          FROM (SELECT it.i, it.c, it.w, it.v, tr.x,
+                                       CASE WHEN tr.class_id = it.c THEN -2 * {C} * cls.s * greatest(0, 1 - list_dot_product(tr.x, it.v))
+                                            ELSE 2 * {C} * greatest(0, 1 + list_dot_product(tr.x, it.v)) END AS k
+                                FROM it JOIN cls USING (c), tr WHERE it.i < {steps}))
+                    GROUP BY i, c, d) GROUP BY i, c), lip)),
+svm AS MATERIALIZED (SELECT c AS class_id, w FROM it WHERE i = {steps})"""
+
+
+PCA_K = 3
+
+
+def _pca_sql(k: int = PCA_K, squarings: int = 16) -> str:
+    """Leading eigenvectors of the covariance one after the other: a matrix
+    squared again and again (scaled each time) ends as the outer product of its
+    first eigenvector; that component is taken out, and so on."""
+    ctes = ["""m AS (SELECT dim, avg(v) AS m FROM e GROUP BY dim),
+z AS MATERIALIZED (SELECT key, class_id, dim, v - m AS v FROM e JOIN m USING (dim)),
+a0 AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, sum(a.v * b.v) AS v FROM z a JOIN z b USING (key) GROUP BY a.dim, b.dim)"""]
+    for c in range(k):
+        last = f"a{c}"
+        for t in range(squarings):
+            ctes.append(f"""q{c}_{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v
+       FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY a.i, b.j)""")
+            ctes.append(f"s{c}_{t} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM q{c}_{t}) AS v FROM q{c}_{t})")
+            last = f"s{c}_{t}"
+        ctes.append(f"""u{c} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {last}
+       WHERE j = (SELECT j FROM {last} WHERE i = j ORDER BY v DESC, j LIMIT 1))""")
+        ctes.append(f"""a{c + 1} AS MATERIALIZED (SELECT a.i, a.j, a.v - x.v * y.v * (
+         SELECT sum(p.v * b.v * r.v) FROM a{c} b JOIN u{c} p ON p.i = b.i JOIN u{c} r ON r.i = b.j) AS v
+       FROM a{c} a JOIN u{c} x ON x.i = a.i JOIN u{c} y ON y.i = a.j)""")
+    parts = ", ".join(f"round(power(sum(z.v * u{c}.v), 2), 6) AS sq_{c}" for c in range(k))
+    joins = " ".join(f"JOIN u{c} ON u{c}.i = z.dim" for c in range(k))
+    return f"""
+WITH {_S}, {_E}, {", ".join(ctes)}
+SELECT key, class_id, {parts} FROM z {joins} GROUP BY key, class_id"""
+
+
 ORACLE_SQL.update({
-    "pca_project": f"""
-WITH {_S}, {_E}, m AS (SELECT dim, avg(v) AS m FROM e GROUP BY dim)
-SELECT key, class_id, round(sum((v - m) * (v - m)), 6) AS sq_length FROM e JOIN m USING (dim)
-GROUP BY key, class_id""",
+    "pca_project": _pca_sql(),
 
     "kmeans_codebook": _kmeans_sql(),
 
@@ -465,13 +525,17 @@ SELECT CAST(i AS INTEGER) AS log_c, CAST(4 * k AS INTEGER) AS n_models, CAST(0 A
 FROM range(-2, 11) t(i), k""",
 
     "svm_top_weights": f"""
-WITH {_S}, {_SPLIT}
-SELECT class_id, CAST(i AS INTEGER) AS rank, TRUE AS named
-FROM (SELECT DISTINCT class_id FROM sp WHERE split = 'train'), range(1, 6) t(i)""",
+WITH RECURSIVE {_S}, {_SPLIT}, {_svm_sql()},
+l AS (SELECT class_id, unnest(range(0, len(w) - 1)) AS dim, unnest(w[:-2]) AS v FROM svm)
+SELECT class_id, CAST(row_number() OVER (PARTITION BY class_id ORDER BY abs(v) DESC, dim) AS INTEGER) AS rank,
+       CAST(dim AS INTEGER) AS dim, 'feature ' || dim AS name, round(v, 6) AS weight
+FROM l QUALIFY rank <= 5""",
 
     "model_roundtrip": f"""
-WITH {_S}, {_SPLIT}
-SELECT key, class_id AS label, TRUE AS same FROM sp WHERE split = 'test'""",
+WITH RECURSIVE {_S}, {_SPLIT}, {_svm_sql()},
+z AS (SELECT key, sp.class_id AS label, svm.class_id AS c, list_dot_product(list_append(f, CAST(1 AS DOUBLE)), w) AS z
+      FROM sp, svm WHERE split = 'test')
+SELECT key, label, arg_max(c, (z, -c)) AS prediction, round(max(z), 6) AS margin FROM z GROUP BY key, label""",
 })
 
 # the same results by other means: counts taken in passing, bucketed joins, SQL table functions
