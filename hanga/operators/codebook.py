@@ -256,6 +256,7 @@ def _multi_init(points: DataFrame, k: int, attempts: range, seed: int, key_col:
     return np.array([r[feat_col] for r in rows], dtype=np.float64).reshape(len(attempts), k, -1)
 
 
+CUT_EVERY = 5   # passes between two cuts of the lineage
 SLACK = 1e-4    # bounds must be apart by more than the rounding of compared distances
 _STATE = ("features array<double>, code array<int>, upper array<double>, lower array<double>, "
           "attempt int, centre int, n long, s array<double>, cost double, dists long")
@@ -352,7 +353,7 @@ def _bounded_pass(state: DataFrame, attempts: dict[int, _Attempt], n_att: int, k
                 [*[pa.nulls(len(a), t) for t in empty], pa.array(a.astype(np.int32)), pa.array(c.astype(np.int32)),
                  pa.array(n[a, c]), lists(sums[a, c], pa.float64()), pa.array(cost[a, c]), pa.array(own)], names=names)
 
-    return cut_lineage(state.mapInArrow(run, _STATE))
+    return state.mapInArrow(run, _STATE)
 
 
 def _sums_of(done: DataFrame) -> list:
@@ -368,17 +369,21 @@ def _attempts(points: DataFrame, centers: np.ndarray, max_iter: int, tol: float)
     n_att, k, m = centers.shape
     state, dists, first = points.select("features"), 0, True
     centers, assigned = centers.copy(), centers.copy()      # assigned: those that the bounds refer to
-    active = np.arange(n_att)
-    for _ in range(max_iter):
+    active, held = np.arange(n_att), None
+    for n in range(max_iter):
         if not len(active):
             break
-        state = _bounded_pass(state, {int(a): _Attempt(centers[a], assigned[a]) for a in active}, n_att, k, m,
-                              first, False)
+        done = _bounded_pass(state, {int(a): _Attempt(centers[a], assigned[a]) for a in active}, n_att, k, m,
+                             first, False)
+        # kept for the next pass; every few passes the lineage is cut in the shared folder
+        done = cut_lineage(done) if n % CUT_EVERY == CUT_EVERY - 1 else done.persist(StorageLevel.MEMORY_AND_DISK)
         assigned[active], first = centers[active], False
-        for r in _sums_of(state):
+        for r in _sums_of(done):
             centers[r["attempt"], r["centre"]] = np.array(r["s"]) / r["n"]
             dists += r["dists"]
-        state = state.where("features is not null")
+        if held is not None:
+            held.unpersist()
+        state, held = done.where("features is not null"), done
         shift = np.sqrt(((centers - assigned) ** 2).sum(2)).max(1)
         active = active[shift[active] > tol]
     done = _bounded_pass(state, {a: _Attempt(centers[a], assigned[a]) for a in range(n_att)}, n_att, k, m, first, True)
@@ -386,6 +391,8 @@ def _attempts(points: DataFrame, centers: np.ndarray, max_iter: int, tol: float)
     for r in _sums_of(done):
         costs[r["attempt"]] += r["cost"]
         dists += r["dists"]
+    if held is not None:
+        held.unpersist()
     return centers, costs, dists
 
 

@@ -146,18 +146,6 @@ def measured_broadcast(df: DataFrame, row_bytes: int = 64, sized: str | None = N
     return F.broadcast(done) if size <= broadcast_limit(df.sparkSession) else done
 
 
-def bounded_collect(df: DataFrame, max_rows: int, row_bytes: int, what: str = "rows") -> list:
-    """Collect a small result in one job, refusing it when it has more than
-    ``max_rows`` rows or ``max_rows * row_bytes`` exceeds the broadcast limit
-    (the query never pulls more than ``max_rows + 1`` rows)."""
-    if max_rows * row_bytes > broadcast_limit(df.sparkSession):
-        raise ValueError(f"{what}: {max_rows} x {row_bytes} bytes exceeds the broadcast limit")
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows")
-    return rows
-
-
 def vector_width(df: DataFrame, col: str) -> int:
     """Width of the first vector (the reference fixes the width from its first
     accepted sample). One ``LIMIT 1`` job."""
