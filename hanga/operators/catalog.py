@@ -159,7 +159,8 @@ def read_labels(lines: DataFrame, class_dim: DataFrame,
 class Counts:
     """Named counts of the rows that pass a point of a plan, taken by whatever
     action runs it (``DataFrame.observe``); no second pass. They can be read
-    once that action has ended. Where Spark sees that its input is empty and
+    once that action has ended. Observe frames of a ``session.sibling_session``
+    if the session also runs MLlib models. Where Spark sees that its input is empty and
     runs nothing, it reports a row without columns: every count is zero."""
 
     def __init__(self, name: str, **counts: Column):

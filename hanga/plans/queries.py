@@ -26,7 +26,7 @@ from ..operators import metrics as M
 from ..operators import pages as PG
 from ..operators import split as SP
 from ..operators import vectors as V
-from ..session import cut_lineage, remove_path, scratch_path
+from ..session import cut_lineage, remove_path, scratch_path, sibling_session
 from ..sources import bucketed as BK
 from ..sources import catalogue as SC
 from ..sources import files as FS
@@ -272,10 +272,10 @@ def q_catalogue_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the label step, taken while the joined samples are written."""
-    path = scratch_path(spark, "ingest")
-    labels, seen = C.observed_labels(X.label_lines(spark, sf), X.class_dim(spark))
+    path, own = scratch_path(spark, "ingest"), sibling_session(spark)
+    labels, seen = C.observed_labels(X.label_lines(own, sf), X.class_dim(own))
     labels.drop("n_lines").write.parquet(f"{path}/labels")
-    kept, samples = C.observed_join(X.labelled_features(spark, sf), spark.read.parquet(f"{path}/labels"))
+    kept, samples = C.observed_join(X.labelled_features(own, sf), own.read.parquet(f"{path}/labels"))
     kept.write.parquet(f"{path}/samples")
     remove_path(spark, path)
     return C.counts_of(spark, *seen, samples)

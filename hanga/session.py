@@ -61,6 +61,20 @@ def build_session(master: str | None = None, app: str = "hanga",
     return spark
 
 
+def sibling_session(spark: SparkSession) -> SparkSession:
+    """A session of its own in the same application, with the same settings.
+
+    For jobs that use ``DataFrame.observe``: from the first observation on,
+    Spark 4.1 cannot ship functions that hold on to the session (MLlib's
+    one-vs-rest model does), because its observation manager is not
+    serialisable. Observed in a sibling, the caller's session stays usable."""
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 

@@ -152,7 +152,11 @@ def test_bucketed_tables_join_without_a_shuffle_of_the_large_side(spark):
 
 def test_counts_are_taken_while_the_samples_are_written(spark, tmp_path):
     """One scan of the lines and one of the samples, and the counts are those
-    of a second pass, also without any label."""
+    of a second pass, also without any label; the caller's session still ships
+    functions that hold on to it (MLlib's one-vs-rest)."""
+    from hanga.operators import learn as LN
+    from hanga.session import sibling_session
+    caller, spark = spark, sibling_session(spark)
     dim = spark.createDataFrame([("a", 0), ("b", 1)], "class_name string, class_id int")
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(
         ["k1::a", "k1::b", "k2::zz", "bad", "k3::a::x", "k4::b", "k9::a"])], "line_no long, value string")
@@ -167,3 +171,8 @@ def test_counts_are_taken_while_the_samples_are_written(spark, tmp_path):
         kept.write.parquet(str(tmp_path / f"samples{n}"))
         assert rows(C.counts_of(spark, *seen, own)) == rows(C.label_summary(some, dim, samples))
         assert spark.read.parquet(str(tmp_path / f"samples{n}")).count() == (0 if n else 3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == caller.conf.get("spark.sql.shuffle.partitions")
+    points = caller.createDataFrame([(str(i), i % 2, [float(i % 2), 1.0]) for i in range(8)],
+                                    "key string, class_id int, features array<double>")
+    assert LN.predict(LN.fit_svm(points, 2, C=1.0, max_iter=5), points).count() == 8
+    assert LN.predict(LN.fit_svm(points, 2, C=1.0, max_iter=5), points).collect()
