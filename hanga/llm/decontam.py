@@ -4,19 +4,23 @@ Texts and items are cut into lower-cased words (letters and digits). Against an
 item of n words every window of n words of a document is a candidate
 (of a document with fewer words the whole document, as its only window). Window
 and item fingerprints (SimHash of the words) are matched through multi-index
-Hamming blocks: the 64 bits are cut into ``radius + 1`` blocks, and
-fingerprints within ``radius`` bits agree in at least one block, so looking
-every window up in all block tables finds every item within the radius. Candidates are then verified exactly: weighted
-Jaccard similarity of their multisets of ``SHINGLE``-word shingles must reach
+Hamming blocks: the 64 bits are cut into ``BLOCKS`` blocks of 16, and of
+fingerprints within ``radius`` bits at least one block differs in at most its
+share of the radius (3 of 15 bits). A block table lists every item under all
+values within a part of that share, a window asks for all values within the
+rest, so every item within the radius is found; of unrelated items 4 % share
+a block with a window. Candidates are then verified exactly: weighted Jaccard
+similarity of their multisets of ``SHINGLE``-word shingles must reach
 ``MIN_SIMILARITY``. A shingle weighs the sum of its words' weights: a word of
-the item its rarity in the benchmark, any other word as much as the rarest.
+the item its rarity in the benchmark, any other word the mean of the item's.
 
 Windows that hold no shingle of any item of their size have similarity 0 and
 are not fingerprinted (no result changes).
 
 Scale. Documents are never shuffled: the benchmark travels to them, in blocks
 of items whose size is checked, so any benchmark size works (one pass over the
-documents per block). Memory per document is linear in its length.
+documents per block; the leaks of a block are written before the next one is
+sent). Memory per document is linear in its length.
 
 Defined results: null and empty texts match nothing; items with fewer words
 than a shingle are compared by their whole word sequence as one shingle; items
@@ -30,6 +34,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -38,12 +43,16 @@ from pyspark.sql import functions as F
 
 from hanga.session import broadcast_limit
 
-from .common import map_texts, shielded
+from .common import map_texts, shared_table, shielded
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-RADIUS = 19
-ITEM_BYTES = 64          # of an index per word of an item
+RADIUS = 15
+BLOCKS = 4
+BLOCK_BITS = 64 // BLOCKS
+CHAR_BYTES = 64          # of an index per character of an item
+ITEM_BYTES = 4096        # and per item, for the block tables
+PAIRS = 1 << 20          # candidates compared at once
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -83,6 +92,7 @@ class Item:
     words: list[str]
     shingles: Counter
     weights: dict                          # of the item's words
+    other: float                           # of any other word
 
 
 @dataclass
@@ -90,7 +100,6 @@ class Index:
     """Everything a task needs about one block of items."""
     radius: int
     min_similarity: float
-    default: float                         # weight of a word that the item lacks
     by_size: dict = field(default_factory=dict)
     first: np.ndarray = None               # sorted hashes of all items' shingles
     sizes_of: dict = field(default_factory=dict)  # shingle hash -> window sizes it matters for
@@ -101,11 +110,59 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of ``radius + 1`` blocks over 64 bits."""
-    n = radius + 1
-    width = [64 // n + (i < 64 % n) for i in range(n)]
-    return [(sum(width[:i]), (1 << w) - 1) for i, w in enumerate(width)]
+def _flips(bits: int) -> np.ndarray:
+    """All values of a block with at most ``bits`` bits set."""
+    return np.array([sum(1 << i for i in c) for n in range(bits + 1)
+                     for c in combinations(range(BLOCK_BITS), n)], np.uint16)
+
+
+def _shares(radius: int) -> list[int]:
+    """Bits that each block may differ in (-1: the block need not be asked).
+    If every block differed in more, the sum would exceed ``radius``."""
+    each, rest = divmod(radius, BLOCKS)
+    return [each if i <= rest else each - 1 for i in range(BLOCKS)]
+
+
+def _block(prints: np.ndarray, no: int) -> np.ndarray:
+    return (prints >> np.uint64(no * BLOCK_BITS)).astype(np.uint16)
+
+
+def block_tables(prints: np.ndarray, radius: int) -> list[tuple]:
+    """(block, values, items, flips) per block: the sorted values under which
+    items are listed, and what a window flips in its own value to ask."""
+    out = []
+    for no, share in enumerate(_shares(radius)):
+        if share < 0:
+            continue
+        asked = share // 2
+        listed = _flips(share - asked)
+        values = (_block(prints, no)[:, None] ^ listed).ravel()
+        order = np.argsort(values, kind="stable")
+        items = np.repeat(np.arange(len(prints), dtype=np.int32), len(listed))
+        out.append((no, values[order], items[order], _flips(asked)))
+    return out
+
+
+def near_pairs(fp: np.ndarray, prints: np.ndarray, tables: list[tuple], radius: int) -> tuple:
+    """(windows, items) of all pairs of fingerprints within ``radius`` bits."""
+    found = []
+    for no, values, items, flips in tables:
+        asked = (_block(fp, no)[:, None] ^ flips).ravel()
+        lo = np.searchsorted(values, asked)
+        many = np.searchsorted(values, asked, "right") - lo
+        ends = np.cumsum(many)
+        if not many.any():
+            continue
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], PAIRS), "right")).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(asked)], strict=True):
+            m = many[a:b]
+            w = np.repeat(np.arange(a, b), m) // len(flips)
+            step = np.arange(len(w)) - np.repeat(np.cumsum(m) - m, m)
+            i = items[np.repeat(lo[a:b], m) + step]
+            near = np.bitwise_count(fp[w] ^ prints[i]) <= radius
+            found.append(np.unique(w[near] * len(prints) + i[near]))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, int)
+    return pairs // max(len(prints), 1), pairs % max(len(prints), 1)
 
 
 def shingles_of(words: list[str]) -> Counter:
@@ -114,10 +171,11 @@ def shingles_of(words: list[str]) -> Counter:
     return Counter(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
 
 
-def similarity(a: Counter, b: Counter, weights: dict, default: float) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles."""
+def similarity(a: Counter, b: Counter, weights: dict, other: float) -> float:
+    """Weighted Jaccard similarity of two multisets of shingles; a word without
+    a weight weighs ``other``."""
     def mass(s, n):
-        return n * sum(weights.get(w, default) for w in s)
+        return n * sum(weights.get(w, other) for w in s)
     both = sum(mass(s, min(n, b[s])) for s, n in a.items() if s in b)
     total = sum(mass(s, n) for s, n in a.items()) + sum(mass(s, n) for s, n in b.items()) - both
     return both / total if total else 0.0
@@ -128,9 +186,9 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return 2 * _bits(hashes).astype(np.int32) - 1
 
 
-def build_index(items: list[tuple], weights: dict, default: float, radius: int = RADIUS,
+def build_index(items: list[tuple], weights: dict, radius: int = RADIUS,
                 min_similarity: float = MIN_SIMILARITY) -> Index:
-    index, hashes = Index(radius, min_similarity, default), WordHashes()
+    index, hashes = Index(radius, min_similarity), WordHashes()
     sizes = defaultdict(set)
     groups: dict[int, list[Item]] = defaultdict(list)
     for no, (item_id, text) in enumerate(items):
@@ -140,7 +198,8 @@ def build_index(items: list[tuple], weights: dict, default: float, radius: int =
         if len(words) < SHINGLE:
             index.short.setdefault(tuple(words), []).append((no, item_id))
             continue
-        groups[len(words)].append(Item(item_id, words, shingles_of(words), {w: weights[w] for w in words}))
+        own = {w: weights[w] for w in words}
+        groups[len(words)].append(Item(item_id, words, shingles_of(words), own, sum(own.values()) / len(own)))
         for h in np.unique(shingle_hashes(hashes.of(words))).tolist():
             sizes[h].add(len(words))
     for size, group in groups.items():
@@ -148,13 +207,7 @@ def build_index(items: list[tuple], weights: dict, default: float, radius: int =
         for i, item in enumerate(group):
             votes = _votes(hashes.of(item.words)).sum(axis=0)
             prints[i] = np.packbits(votes > 0, bitorder="little").view(np.uint64)[0]
-        tables = []
-        for shift, mask in _blocks(radius):
-            table = defaultdict(list)
-            for i, p in enumerate(prints.tolist()):
-                table[p >> shift & mask].append(i)
-            tables.append((shift, mask, {k: np.array(v) for k, v in table.items()}))
-        index.by_size[size] = (group, prints, tables)
+        index.by_size[size] = (group, prints, block_tables(prints, radius))
     index.first = np.array(sorted(sizes), np.uint64)
     index.sizes_of = {h: sorted(s) for h, s in sizes.items()}
     return index
@@ -208,23 +261,12 @@ def _match(words, hashes, lo, hi, width, size, index, best) -> None:
     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes, axis=0, dtype=np.int32)])
     window = sums[width:] - sums[:-width]
     fp = np.packbits(window > 0, axis=1, bitorder="little").view(np.uint64).ravel()
-    pairs = set()
-    for shift, mask, table in tables:
-        keys = (fp >> np.uint64(shift)) & np.uint64(mask)
-        for key in np.unique(keys).tolist():
-            found = table.get(key)
-            if found is None:
-                continue
-            at = np.flatnonzero(keys == key)
-            near = np.bitwise_count(fp[at][:, None] ^ prints[found][None, :]) <= index.radius
-            w, i = np.nonzero(near)
-            pairs.update(zip(at[w].tolist(), found[i].tolist(), strict=True))
     made: dict[int, Counter] = {}
-    for w, i in sorted(pairs):
+    for w, i in zip(*(x.tolist() for x in near_pairs(fp, prints, tables, index.radius)), strict=True):
         item = group[i]
         if w not in made:
             made[w] = shingles_of(part[w:w + width])
-        s = similarity(made[w], item.shingles, item.weights, index.default)
+        s = similarity(made[w], item.shingles, item.weights, item.other)
         if s >= index.min_similarity:
             key = (size, i)
             if key not in best or s > best[key][1] + 1e-12:
@@ -232,7 +274,7 @@ def _match(words, hashes, lo, hi, width, size, index, best) -> None:
 
 
 def item_blocks(benchmark: DataFrame, limit: int, item_id: str = "item_id", text: str = "text"):
-    """(items, word weights) of blocks whose index fits ``limit`` bytes each.
+    """(items, word weights, whether it is the last) of blocks whose index fits ``limit`` bytes each.
 
     A word weighs 1 + log(items / items that have it), counted over the whole
     benchmark. The table is dealt by hash into as many blocks as its counted
@@ -241,16 +283,15 @@ def item_blocks(benchmark: DataFrame, limit: int, item_id: str = "item_id", text
     worded = map_texts(sized, ["text"], lambda texts: [[sorted(set(words_of(t))) for t in texts]],
                        "words array<string>")
     total, size = sized.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
-    default = 1.0 + float(np.log(max(total, 1)))
     has = worded.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    parts = max(1, -(-int(size) * ITEM_BYTES // max(limit, 1)))
+    parts = max(1, -(-(int(size) * CHAR_BYTES + total * ITEM_BYTES) // max(limit, 1)))
     for p in range(parts):
         mine = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p
         own = worded.where(mine).select(F.explode("words").alias("word")).distinct()
         n_of = has.join(own, "word", "left_semi").collect()
         weights = {r["word"]: 1.0 + float(np.log(total / r["n"])) for r in n_of}
         items = [(r["item_id"], r["text"]) for r in sized.where(mine).collect()]
-        yield sorted(items, key=lambda r: (str(r[0]), r[1] or "")), weights, default
+        yield sorted(items, key=lambda r: (str(r[0]), r[1] or "")), weights, p == parts - 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
@@ -258,18 +299,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
                item_id: str = "item_id") -> DataFrame:
     """One row per leak: doc_id, item_id, similarity, first_word, n_words."""
     marked = None
-    for index in _indexes(docs, benchmark, radius, min_similarity, item_id):
+    for index, last in _indexes(docs, benchmark, radius, min_similarity, item_id):
         got = _with_leaks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
                           index, "text", benchmark.schema[item_id].dataType.simpleString())
         rows = got.select("doc_id", F.explode("_leaks").alias("l")).select("doc_id", "l.*")
+        if not last:                  # written, so that its items need not stay
+            rows = shared_table(rows, "leaks")
+            index.destroy()
         marked = rows if marked is None else marked.unionByName(rows)
     return marked
 
 
 def _indexes(docs, benchmark, radius, min_similarity, item_id):
     spark = docs.sparkSession
-    for items, weights, default in item_blocks(benchmark, broadcast_limit(spark), item_id):
-        yield spark.sparkContext.broadcast(build_index(items, weights, default, radius, min_similarity))
+    for items, weights, last in item_blocks(benchmark, broadcast_limit(spark), item_id):
+        yield spark.sparkContext.broadcast(build_index(items, weights, radius, min_similarity)), last
 
 
 def _with_leaks(docs: DataFrame, index, text: str, id_type: str) -> DataFrame:
@@ -293,7 +337,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
 
     def run(d):
         columns = d.columns
-        for index in _indexes(d, benchmark, radius, min_similarity, item_id):
+        for index, _ in _indexes(d, benchmark, radius, min_similarity, item_id):
             d = _with_leaks(d, index, text, id_type).where(F.size("_leaks") == 0).select(*columns)
         return d
 

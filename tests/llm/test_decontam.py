@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from hanga.llm import decontam as D
@@ -17,7 +18,6 @@ def slow_leaks(text, items, min_similarity=0.8):
     words = D.words_of(text)
     total = len(items)
     df = Counter(w for _, t in items for w in set(D.words_of(t)))
-    import math
     weights = {w: 1 + math.log(total / n) for w, n in df.items()}
     out = {}
     for item_id, t in items:
@@ -27,7 +27,7 @@ def slow_leaks(text, items, min_similarity=0.8):
             continue
         b = D.shingles_of(iw)
         own = {w: weights[w] for w in iw}
-        sims = [D.similarity(D.shingles_of(words[i:i + n]), b, own, 1 + math.log(max(total, 1)))
+        sims = [D.similarity(D.shingles_of(words[i:i + n]), b, own, sum(own.values()) / len(own))
                 for i in range(len(words) - n + 1)]
         if max(sims) >= min_similarity - 1e-9:
             out[item_id] = max(sims)
@@ -79,16 +79,83 @@ def test_blocks_of_items_give_the_same_result(spark, make_docs):
         spark.conf.unset("hanga.broadcast.maxBytes")
 
 
-def test_every_pair_within_the_radius_shares_a_block():
-    rnd = random.Random(4)
-    blocks = D._blocks(D.RADIUS)
-    for _ in range(300):
-        a = rnd.getrandbits(64)
-        b = a
-        for bit in rnd.sample(range(64), D.RADIUS):
-            b ^= 1 << bit
-        assert any(a >> s & m == b >> s & m for s, m in blocks)
-    assert sum(m.bit_length() for _, m in blocks) == 64
+@pytest.mark.parametrize("radius", [0, 2, 7, D.RADIUS, 19])
+def test_every_pair_within_the_radius_is_found(radius):
+    rnd = random.Random(radius)
+    prints = [rnd.getrandbits(64) for _ in range(60)] + [5, 5]
+    asked = []
+    for p in prints:
+        for n in (0, radius, min(64, radius + 1), 30):
+            q = p
+            for bit in rnd.sample(range(64), n):
+                q ^= 1 << bit
+            asked.append(q)
+    fp, items = np.array(asked, np.uint64), np.array(prints, np.uint64)
+    got = set(zip(*(x.tolist() for x in D.near_pairs(fp, items, D.block_tables(items, radius), radius)),
+                  strict=True))
+    want = {(w, i) for w, a in enumerate(asked) for i, b in enumerate(prints) if (a ^ b).bit_count() <= radius}
+    assert got == want and len(want) >= 2 * len(prints)
+    shares = D._shares(radius)      # one bit more in every block would exceed the radius
+    assert sum(s + 1 for s in shares) == radius + 1
+
+
+def test_candidates_in_slices(monkeypatch):
+    rnd = random.Random(6)
+    items = np.array([rnd.getrandbits(64) for _ in range(40)] + [7] * 30, np.uint64)
+    tables = D.block_tables(items, D.RADIUS)
+    whole = [x.tolist() for x in D.near_pairs(items, items, tables, D.RADIUS)]
+    monkeypatch.setattr(D, "PAIRS", 13)
+    assert [x.tolist() for x in D.near_pairs(items, items, tables, D.RADIUS)] == whole
+    none = D.near_pairs(np.zeros(0, np.uint64), items, tables, D.RADIUS)
+    assert [len(x) for x in none] == [0, 0]
+
+
+def test_blocks_select_few_and_find_edited_items():
+    """Every window of every size looked up, no shingle prefilter: of unrelated
+    items 4 % share a block, and windows with a plain 5-word similarity of 0.8
+    are within the radius (recall at least 0.98)."""
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    hashes = D.WordHashes()
+
+    def fingerprint(words):
+        votes = D._votes(hashes.of(words)).sum(axis=0)
+        return np.packbits(votes > 0, bitorder="little").view(np.uint64)[0]
+
+    def jaccard(a, b):
+        a, b = D.shingles_of(a), D.shingles_of(b)
+        return sum((a & b).values()) / sum((a | b).values())
+
+    items = [[rnd.choice(vocab) for _ in range(rnd.randint(14, 60))] for _ in range(300)]
+    prints = np.array([fingerprint(w) for w in items], np.uint64)
+    found = near = 0
+    for i, words in enumerate(items):
+        for _ in range(12):
+            edited, n = list(words), rnd.randint(1, 6)
+            at = rnd.choice([0, len(words) - n, rnd.randrange(len(words) - n)])   # clustered, often at an end
+            edited[at:at + n] = [rnd.choice(vocab) for _ in range(n)]
+            if jaccard(words, edited) >= 0.8:
+                near += 1
+                fp = np.array([fingerprint(edited)], np.uint64)
+                got = D.near_pairs(fp, prints, D.block_tables(prints, D.RADIUS), D.RADIUS)[1]
+                found += i in got.tolist()
+    assert near > 400 and found / near >= 0.98
+    fp = np.array([fingerprint([rnd.choice(vocab) for _ in range(30)]) for _ in range(200)], np.uint64)
+    shared = np.zeros((len(fp), len(prints)), bool)
+    for no, share in enumerate(D._shares(D.RADIUS)):
+        shared |= np.bitwise_count(D._block(fp, no)[:, None] ^ D._block(prints, no)[None, :]) <= share
+    assert shared.mean() < 0.06
+
+
+def test_unknown_words_weigh_as_the_items_mean():
+    """Items of the same frequent words: one unknown word among 60 leaves a plain
+    similarity of 51 / 61, and the weighted one agrees."""
+    rnd = random.Random(9)
+    items = [(i, " ".join(rnd.sample([f"w{j}" for j in range(60)], 60))) for i in range(20)]
+    index = D.build_index(items, {f"w{j}": 1.0 for j in range(60)})
+    words = items[4][1].split()
+    words[30] = "unknown"
+    assert [(i, round(s, 6)) for i, s, *_ in D.leaks_in(" ".join(words), index)] == [(4, round(51 / 61, 6))]
 
 
 def test_punctuation_case_and_short_items(spark, make_docs):
@@ -115,7 +182,7 @@ def test_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
 def test_documents_shorter_than_an_item(spark, make_docs):
     """A truncated item is a leak; every document is one window of what it has."""
     items = corpus(5)[1]
-    default, total = 1 + math.log(len(items)), len(items)
+    total = len(items)
     df = Counter(w for _, t in items for w in set(D.words_of(t)))
     docs, want = [], {}
     for item_id, t in items:
@@ -128,7 +195,7 @@ def test_documents_shorter_than_an_item(spark, make_docs):
                 iw = u.split()
                 n = min(len(iw), len(part))
                 own = {w: 1 + math.log(total / df[w]) for w in iw}
-                s = max(D.similarity(D.shingles_of(part[i:i + n]), D.shingles_of(iw), own, default)
+                s = max(D.similarity(D.shingles_of(part[i:i + n]), D.shingles_of(iw), own, sum(own.values()) / len(own))
                         for i in range(len(part) - n + 1))
                 if s >= D.MIN_SIMILARITY:
                     want[d, other] = s
