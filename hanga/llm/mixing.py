@@ -3,7 +3,9 @@
 Token counts are summed over cells (source, language, topic); categories that
 have no target fall into ``other``, so the number of cells is bounded by the
 targets and not by the data. Raking scales the cells to each marginal in turn
-until every marginal is met; a document's weight is the ratio of its cell's
+until every marginal's shares are met within ``TOLERANCE``; targets that no
+weights can meet (cells that are empty) end after ``MAX_ROUNDS`` with the gap
+that is left per marginal in ``Mix.gaps`` and a warning. A document's weight is the ratio of its cell's
 fitted to its actual tokens. Inclusion probabilities are proportional to the
 weights, calibrated to the token budget (a probability is at most 1; what the
 full cells cannot take is spread over the others), and a document is drawn
@@ -20,6 +22,7 @@ apart; extra columns are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -32,7 +35,8 @@ from hanga.session import broadcast_limit
 from .common import shielded
 
 OTHER = "other"
-ROUNDS = 30
+TOLERANCE = 1e-10        # of a share
+MAX_ROUNDS = 1000
 SEED = "mix-1"
 MARGINS = ("source", "lang", "topic")
 
@@ -67,24 +71,35 @@ class Mix:
     tokens: np.ndarray
     weight: np.ndarray = field(default=None)       # fitted / actual
     probability: np.ndarray = field(default=None)
+    gaps: dict[str, float] = field(default_factory=dict)   # marginal -> largest gap of a share
 
 
 def rake(cells: list[tuple], tokens: np.ndarray, targets: list[Mapping[str, float]],
-         rounds: int = ROUNDS) -> np.ndarray:
-    """Fitted tokens of every cell after ``rounds`` rounds over the marginals."""
+         max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, list[float]]:
+    """Fitted tokens of every cell, and per marginal the largest difference
+    between a category's share and its target."""
     total = float(tokens.sum())
     fitted = tokens.astype(float).copy()
-    for _ in range(rounds):
-        for axis, target in enumerate(targets):
-            names = [c[axis] for c in cells]
-            have: dict[str, float] = {}
-            for n, v in zip(names, fitted.tolist(), strict=True):
-                have[n] = have.get(n, 0.0) + v
-            reached = sum(target.get(n, 0.0) for n, v in have.items() if v > 0)
-            scale = {n: (total * target.get(n, 0.0) / reached / v if v > 0 and reached > 0 else 0.0)
-                     for n, v in have.items()}
-            fitted *= np.array([scale[n] for n in names])
-    return fitted
+    axes = []
+    for axis, target in enumerate(targets):
+        names = sorted({c[axis] for c in cells})
+        place = {n: i for i, n in enumerate(names)}
+        axes.append((np.array([place[c[axis]] for c in cells], int), np.array([target.get(n, 0.0) for n in names])))
+
+    def wanted(at, share):
+        have = np.bincount(at, fitted, len(share))
+        reached = share[have > 0].sum()
+        return have, np.where(have > 0, total * share / reached, 0.0) if reached > 0 else np.zeros(len(share))
+
+    gaps = [0.0] * len(axes)
+    for _ in range(max_rounds):
+        for at, share in axes:
+            have, want = wanted(at, share)
+            fitted *= (want / np.where(have > 0, have, 1.0))[at]
+        gaps = [float(np.abs(np.subtract(*wanted(*axis))).max(initial=0.0)) / max(total, 1.0) for axis in axes]
+        if max(gaps) <= tolerance:
+            break
+    return fitted, gaps
 
 
 def calibrate(tokens: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarray:
@@ -115,8 +130,8 @@ def cell_columns(targets: Mapping[str, Mapping[str, float]]) -> list[Column]:
 
 
 def fit_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float,
-            rounds: int = ROUNDS) -> Mix:
-    """Cells, weights and probabilities of ``docs`` (columns source, lang,
+            max_rounds: int = MAX_ROUNDS) -> Mix:
+    """Cells, weights, probabilities and gaps of ``docs`` (columns source, lang,
     topic, tokens). At most the product of the targets' sizes is collected."""
     bound = np.prod([len(targets[m]) + 1 for m in MARGINS]) * 100
     if bound > broadcast_limit(docs.sparkSession):
@@ -126,13 +141,16 @@ def fit_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share:
     rows.sort(key=lambda r: tuple(r[m] for m in MARGINS))
     cells = [tuple(r[m] for m in MARGINS) for r in rows]
     tokens = np.array([r["tokens"] for r in rows], float)
-    fitted = rake(cells, tokens, [targets[m] for m in MARGINS], rounds)
+    fitted, gaps = rake(cells, tokens, [targets[m] for m in MARGINS], max_rounds)
+    left = dict(zip(MARGINS, gaps, strict=True))
+    if max(gaps) > TOLERANCE:
+        warnings.warn(f"targets not met after {max_rounds} rounds, gaps of shares: {left}", stacklevel=2)
     weight = fitted / np.maximum(tokens, 1.0)
-    return Mix(cells, tokens, weight, calibrate(tokens, weight, share * tokens.sum()))
+    return Mix(cells, tokens, weight, calibrate(tokens, weight, share * tokens.sum()), left)
 
 
 def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float,
-               rounds: int = ROUNDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text",
+               max_rounds: int = MAX_ROUNDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text",
                source: str = "source", lang: str = "lang", topic: Column | None = None,
                keep_all: bool = False) -> DataFrame:
     """Documents drawn towards ``targets`` (marginal -> category -> share of
@@ -141,16 +159,16 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], shar
     ``mix_probability`` and ``mix_drawn``; ``keep_all`` keeps the undrawn."""
     added = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
     return shielded(docs, [doc_id, text, source, lang], lambda d: _sample(
-        d, targets, share, rounds, seed, doc_id, text, source, lang, topic, keep_all), added)
+        d, targets, share, max_rounds, seed, doc_id, text, source, lang, topic, keep_all), added)
 
 
-def _sample(docs, targets, share, rounds, seed, doc_id, text, source, lang, topic, keep_all) -> DataFrame:
+def _sample(docs, targets, share, max_rounds, seed, doc_id, text, source, lang, topic, keep_all) -> DataFrame:
     spark = docs.sparkSession
     marked = docs.withColumn("mix_topic", topic_of(text) if topic is None else topic) \
                  .withColumn("mix_tokens", token_count(text))
     plain = marked.select(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
                           F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"))
-    mix = fit_mix(plain, targets, share, rounds)
+    mix = fit_mix(plain, targets, share, max_rounds)
     rows = [(*c, float(w), float(p)) for c, w, p in zip(mix.cells, mix.weight, mix.probability, strict=True)]
     table = spark.createDataFrame(rows, "_source string, _lang string, _topic string, "
                                         "mix_weight double, mix_probability double")

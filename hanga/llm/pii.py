@@ -12,7 +12,9 @@ with as many parts. The last word of a name is its surname, an entity of its
 own: "John Smith" and "Mr Smith" get the same one.
 
 Collision checks. Over the whole corpus two different entities must not share
-a surrogate, and no surrogate may equal a real entity. Entities that lose such
+a surrogate, and no surrogate may equal a real entity; numbers and secrets are
+compared across their kinds, by letters and digits alone, so a phone's
+surrogate is no real account number in another format. Entities that lose such
 a clash (the smallest keeps its surrogate) are drawn again with a counter,
 until none is left. Small spaces (surnames, private addresses, short phone
 numbers) can fill up, so later draws are from larger ones: more syllables or
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, shared_table, shielded, small_side, text_key
 
-KEY = "surrogate-key-1"   # production callers pass their own
+TEST_KEY = "surrogate-key-1"   # public: for test tables only
+NUMBERS = ("phone", "ssn", "account", "iban", "secret")   # told apart by letters and digits only
 MAX_ROUNDS = 100
 GIVEN_ROUNDS = 4          # draws of a given name before it gets longer
 WORD_ROUNDS = 2           # draws per syllable that a surname gets longer by
@@ -333,15 +336,22 @@ of the surname, distinct as surnames are). A name's gender is the one
                                                    pa.string())],
                          "value string").withColumn("attempt", F.lit(attempt))
 
+    def shown(value: str):
+        """What a reader can compare: numbers without format and kind, others by kind."""
+        bare = F.lower(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
+        return F.when(F.col("kind").isin(*NUMBERS) & (bare != ""), bare) \
+                .otherwise(F.concat_ws(":", "kind", value)).alias("shown")
+
     def clashes(rows: DataFrame, settled: DataFrame | None) -> DataFrame:
         """Entities of ``rows`` whose surrogate is taken."""
-        first = rows.groupBy("kind", "value").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
-        second = (rows.join(first.where("n > 1"), ["kind", "value"]).where(F.col("norm") != F.col("first"))
-                  .select("kind", "norm"))
-        real = rows.join(entities.select("kind", F.col("norm").alias("value")), ["kind", "value"], "left_semi")
+        rows = rows.select("kind", "norm", shown("value"))
+        who = F.struct("kind", "norm")
+        first = rows.groupBy("shown").agg(F.min(who).alias("first"), F.count("*").alias("n"))
+        second = rows.join(first.where("n > 1"), "shown").where(who != F.col("first")).select("kind", "norm")
+        real = rows.join(entities.select(shown("norm")), "shown", "left_semi")
         lost = second.unionByName(real.select("kind", "norm"))
         if settled is not None:
-            old = rows.join(settled.select("kind", "value"), ["kind", "value"], "left_semi")
+            old = rows.join(settled.select(shown("value")), "shown", "left_semi")
             lost = lost.unionByName(old.select("kind", "norm"))
         return lost.distinct()
 
@@ -357,10 +367,13 @@ of the surname, distinct as surnames are). A name's gender is the one
     raise RuntimeError(f"surrogates still clash after {MAX_ROUNDS} draws")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, doc_id: str = "doc_id", text: str = "text",
+def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text",
                 spans: str = "pii_spans") -> DataFrame:
     """``docs`` with surrogates in ``text`` and an added column ``spans``:
-    (start, end, kind) of every replacement in the new text."""
+    (start, end, kind) of every replacement in the new text. Whoever knows
+    ``key`` can recompute surrogates; an empty one is refused."""
+    if not key:
+        raise ValueError("replace_pii needs a secret key")
     return shielded(docs, [doc_id, text], lambda d: _replace(d, key.encode("utf-8"), doc_id, text, spans),
                     (spans,))
 

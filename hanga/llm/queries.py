@@ -14,10 +14,16 @@ from . import (decontam, dialogue, language, lines, mixing, negatives, pii, qual
 from .common import in_fold, read_table
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The surrogate key from ``hanga.pii.key``; only tables without real
+    personal data, like the test tables, may go without the setting."""
+    return spark.conf.get("hanga.pii.key", pii.TEST_KEY)
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates in its text, and their places and kinds."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_pii(docs)
+    return pii.replace_pii(docs, pii_key(spark))
 
 
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +100,7 @@ MIX_TARGETS = {
     "topic": {"prose": 0.7, "table": 0.1, "contact": 0.1, "license": 0.05, "code": 0.05},
 }
 MIX_SHARE = 0.5
+SQL_ROUNDS = 30          # rounds that the SQL below unrolls; it has no test of convergence
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +134,7 @@ def _op10_sql() -> str:
                                                          for k, v in MIX_TARGETS[a].items()) + ")"
               for a in axes]
     n = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for a in axes:
             steps.append(f"m{n} AS MATERIALIZED (SELECT c_{a} AS name, sum(f) AS v FROM f{n} GROUP BY 1)")
             steps.append(f"""f{n + 1} AS MATERIALIZED (

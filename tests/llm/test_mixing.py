@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hanga.llm import mixing as M
 from hanga.llm.queries import MIX_SHARE, MIX_TARGETS
@@ -13,7 +14,8 @@ def test_rake_meets_every_marginal():
     rng = np.random.default_rng(1)
     cells = [(s, lang, t) for s in ("a", "b", "other") for lang in ("en", "de") for t in ("prose", "table")]
     tokens = rng.integers(10, 1000, len(cells)).astype(float)
-    fitted = M.rake(cells, tokens, [TARGETS[m] for m in M.MARGINS], 200)
+    fitted, gaps = M.rake(cells, tokens, [TARGETS[m] for m in M.MARGINS])
+    assert max(gaps) <= M.TOLERANCE
     assert fitted.sum() == pytest.approx(tokens.sum())
     for axis, name in enumerate(M.MARGINS):
         for k, share in TARGETS[name].items():
@@ -23,7 +25,7 @@ def test_rake_meets_every_marginal():
 
 def test_rake_rescales_absent_categories_and_drops_untargeted():
     cells = [("a", "en", "prose"), ("zz", "en", "prose")]
-    fitted = M.rake(cells, np.array([10.0, 30.0]), [{"a": 0.5, "b": 0.5}, {"en": 1.0}, {"prose": 1.0}])
+    fitted, _ = M.rake(cells, np.array([10.0, 30.0]), [{"a": 0.5, "b": 0.5}, {"en": 1.0}, {"prose": 1.0}])
     assert fitted.tolist() == [40.0, 0.0]
 
 
@@ -74,7 +76,20 @@ def test_hard_rows_and_empty_tables(spark, make_docs, hard_rows):
     assert M.sample_mix(make_docs([]), TARGETS, 0.5).count() == 0
     nulls = make_docs([(1, "a b", None, None), (1, "a b", None, None), (None, None, None, None)])
     two = M.sample_mix(nulls, {"source": {"other": 1.0}, "lang": {"other": 1.0}, "topic": {"prose": 1.0}}, 1.0)
-    assert two.count() == 3 or two.count() == 2
+    assert sorted(map(str, [r["doc_id"] for r in two.collect()])) == ["1", "1", "None"]   # a null text has its cell's
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, make_docs):
+    """All of one source is of one language, so both marginals cannot be met."""
+    cells = [("a", "en", "prose"), ("b", "de", "prose")]
+    fitted, gaps = M.rake(cells, np.array([10.0, 30.0]),
+                          [{"a": 0.5, "b": 0.5}, {"en": 0.9, "de": 0.1}, {"prose": 1.0}], 50)
+    assert gaps == pytest.approx([0.4, 0.0, 0.0]) and fitted.sum() == pytest.approx(40.0)
+    docs = make_docs([(1, "a b", "en", "a"), (2, "a b c", "de", "b")]).select(
+        "source", "lang", F.lit("prose").alias("topic"), F.lit(3).alias("tokens"))
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}, "topic": {"prose": 1.0}}
+    with pytest.warns(UserWarning, match="not met"):
+        assert M.fit_mix(docs, targets, 0.5, 20).gaps["source"] > 0.3
 
 
 def test_unlisted_sources_and_languages_are_drawn_by_the_query(spark, make_docs):

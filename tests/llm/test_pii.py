@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from hanga.llm import pii as P
 from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
@@ -77,7 +79,7 @@ def test_everything_detected_is_gone_and_spans_point_at_surrogates(spark, make_d
     for r in got:
         if r["doc_id"] is None or r["doc_id"] < 30:
             assert (r["doc_id"], r["text"]) in hard_rows and r["pii_spans"] == []
-    assert P.replace_pii(make_docs([])).count() == 0
+    assert P.replace_pii(make_docs([]), "k").count() == 0
 
 
 def test_clashes_are_drawn_again(spark, make_docs, monkeypatch):
@@ -164,3 +166,24 @@ def test_later_draws_leave_small_ranges():
     longer = P.surrogate("phone", "+491234", "", 9, KEY)
     assert P.normal_form("phone", P.render("phone", "+49 1 2 34", "+491234", longer)) == longer
     assert P.luhn_ok(P.surrogate("account", "4111111111111111", "", 20, KEY))
+
+
+def test_a_key_is_required(make_docs):
+    with pytest.raises(TypeError):
+        P.replace_pii(make_docs([]))
+    with pytest.raises(ValueError):
+        P.replace_pii(make_docs([]), "")
+
+
+def test_surrogates_are_compared_across_kinds(spark, monkeypatch):
+    """The first draw of a phone is a real account number in another format, and
+    two kinds draw the same digits: both are drawn again."""
+    def fake(kind, norm, detail, attempt, key):
+        return {0: {"phone": "+15550001111", "ssn": "222334444", "account": "222334444"}[kind]}.get(
+            attempt, f"{kind}-{norm}-{attempt}".translate(str.maketrans("-", "x")))
+
+    monkeypatch.setattr(P, "surrogate", fake)
+    rows = [("phone", "+4912345", ""), ("account", "15550001111", ""), ("ssn", "111223333", "")]
+    found = spark.createDataFrame(rows, "kind string, norm string, detail string")
+    got = {r["kind"]: (r["attempt"], r["value"]) for r in P.assign(found, b"k").collect()}
+    assert got["phone"][0] == 1 and got["account"] == (0, "222334444") and got["ssn"][0] == 1
