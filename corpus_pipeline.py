@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hanga.llm import decontam, mixing, pii, simhash, toxicity
 from hanga.llm.common import in_fold, read_table, shared_table, shielded
-from hanga.llm.queries import MIX_SHARE, MIX_TARGETS
+from hanga.llm.queries import MIX_SHARE, MIX_TARGETS, pii_key
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; ``n_chars`` follows the text."""
     def run(d):
-        new = pii.replace_pii(d)
+        new = pii.replace_pii(d, pii_key(spark))
         changed = F.when(F.size("pii_spans") > 0, F.length("text")).otherwise(F.col("n_chars"))
         return new.withColumn("n_chars", changed.cast("long")).drop("pii_spans")
 
