@@ -100,13 +100,13 @@ MIX_TARGETS = {
     "topic": {"prose": 0.7, "table": 0.1, "contact": 0.1, "license": 0.05, "code": 0.05},
 }
 MIX_SHARE = 0.5
-SQL_ROUNDS = 30          # rounds that the SQL below unrolls; it has no test of convergence
+MIX_ROUNDS = 30          # at most, in the query: its SQL unrolls them (tiny tables cannot meet the targets)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, its cell, weight, probability (6 digits) and whether it is drawn."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    got = mixing.sample_mix(docs, MIX_TARGETS, MIX_SHARE, keep_all=True)
+    got = mixing.sample_mix(docs, MIX_TARGETS, MIX_SHARE, MIX_ROUNDS, keep_all=True)
     return got.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"),
                       F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"),
                       F.round("mix_probability", 6).alias("probability"),
@@ -134,7 +134,7 @@ def _op10_sql() -> str:
                                                          for k, v in MIX_TARGETS[a].items()) + ")"
               for a in axes]
     n = 0
-    for _ in range(SQL_ROUNDS):
+    for _ in range(MIX_ROUNDS):
         for a in axes:
             steps.append(f"m{n} AS MATERIALIZED (SELECT c_{a} AS name, sum(f) AS v FROM f{n} GROUP BY 1)")
             steps.append(f"""f{n + 1} AS MATERIALIZED (
