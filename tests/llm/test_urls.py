@@ -1,4 +1,9 @@
+import math
 import re
+import zlib
+
+import numpy as np
+import pytest
 
 from hanga.llm import urls
 
@@ -40,14 +45,97 @@ def test_rules_hosts_and_paths(spark):
     assert urls.filter_urls(df.limit(0), RULES).count() == 0
 
 
-def test_model_separates_its_table_and_unseen_hosts():
-    model = urls.fit(urls.LABELLED_URLS)
-    for url, y in urls.LABELLED_URLS:
-        assert (model.probability(*urls._host_path(url)) >= 0.5) == bool(y), url
+def rates(model, table):
+    """(blocked share of the urls to block, blocked share of the others)."""
+    p = model.probabilities(*map(list, zip(*[urls._host_path(u) for u, _ in table], strict=True)))
+    y = np.array([v for _, v in table])
+    return (p[y == 1] >= 0.5).mean(), (p[y == 0] >= 0.5).mean()
+
+
+def test_model_on_held_out_urls_and_words():
+    table = urls.labelled_urls()
+    assert {v for _, v in table} == {0, 1} and len(set(table)) == len(table) > 3000
+    fold = [zlib.crc32(u.encode()) % 5 for u, _ in table]
+    caught, wrong = rates(urls.fit([t for t, f in zip(table, fold, strict=True) if f]),
+                          [t for t, f in zip(table, fold, strict=True) if not f])
+    assert caught >= 0.95 and wrong <= 0.01
+
+    def unseen(w):
+        return zlib.crc32(w.encode()) % 5 == 0
+
+    parts = [[[w for w in words if unseen(w) == held] for words in (urls.BLOCK_WORDS, urls.PLAIN_WORDS)]
+             for held in (False, True)]
+    caught, wrong = rates(urls.fit(urls.labelled_urls(24, *parts[0])), urls.labelled_urls(24, *parts[1]))
+    assert caught >= 0.4 and wrong <= 0.1          # words that no training url holds
+
+
+def test_model_on_single_hosts_and_constant_tables():
+    model = urls.fit(urls.labelled_urls())
     assert model.probability("royal-casino.example.org", "/en/9") > 0.5
     assert model.probability("www.onthe.example.org", "/en/9.html") < 0.5
     assert urls.fit([]).probability("a", "/") < 0.5
     assert urls.fit([("http://a/", 1)]).probability("b", "/") > 0.5
+    assert urls.fit([("http://a/", 0)]).probability("b", "/") < 0.5
+
+
+def plain_gram(gram, part, dims):
+    h, size, mask = ord(gram[0]) + 1 + part, len(gram), (1 << 64) - 1
+    for c in gram[1:]:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+    x = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask
+    return (x ^ (x >> 32)) % dims
+
+
+def test_bulk_slots_against_one_gram_at_a_time(monkeypatch):
+    hosts = ["", "a", "ab.example.org", "ab.example.org", "ünï.пример", "x" * 50 + "yz" * 40, "q"]
+    paths = ["", "/", "/en/1.html", "", "/日本", "/" + "ab" * 60, "/a"]
+    want = sorted({(i, plain_gram(text[k:k + n], part, 512)) for i, (h, p) in enumerate(zip(hosts, paths, strict=True))
+                   for part, text in ((1, f"<{h}>"), (2, p)) for n in range(urls.LOW, urls.HIGH + 1)
+                   for k in range(len(text) - n + 1)})
+    for piece in (1 << 18, 64, 7):                 # whole, several groups, long texts in pieces
+        monkeypatch.setattr(urls, "PIECE", piece)
+        assert list(zip(*(x.tolist() for x in urls.bulk_slots(hosts, paths, 512)), strict=True)) == want
+    assert [len(x) for x in urls.bulk_slots([], [], 512)] == [0, 0]
+
+
+def test_scores_follow_the_model_for_very_long_urls(spark):
+    texts = ["http://casino.example.com/" + "en/" * 300_000, "http://" + "library." * 50_000 + "org/", "http://a.org/"]
+    model = urls.fit(urls.labelled_urls())
+    got = {r["url"]: r["score"] for r in urls.filter_urls(
+        spark.createDataFrame([(t,) for t in texts], "url string")).collect()}
+    for t in texts:
+        host, path = urls._host_path(t)
+        slots = sorted({plain_gram(text[k:k + n], part, urls.DIMS) for part, text in ((1, f"<{host}>"), (2, path))
+                        for n in range(urls.LOW, urls.HIGH + 1) for k in range(len(text) - n + 1)})
+        z = sum(model.weights[s] for s in slots) / len(slots) ** 0.5 + model.bias
+        assert abs(got[t] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_rules_of_equal_length(spark):
+    """Only equal rules are equally long and fit one url: the first given holds."""
+    df = spark.createDataFrame([("http://a.org/x",), ("http://b.a.org/",), ("http://ab.org/",)], "url string")
+    rules = [("allow", "a.org", "/"), ("block", "a.org", "/"), ("block", "org", "/ab/")]
+    got = {r["url"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(df, rules, []).collect()}
+    assert got == {"http://a.org/x": ("a.org/", "allow"), "http://b.a.org/": ("a.org/", "allow"),
+                   "http://ab.org/": (None, "allow")}
+    # one host and path cut differently are as long together
+    same = [("block", "c.org", "/"), ("allow", "org", "/c/")]
+    df = spark.createDataFrame([("http://c.org/c/",)], "url string")
+    assert urls.filter_urls(df, same, []).first()["verdict"] == "block"
+    assert urls.filter_urls(df, same[::-1], []).first()["verdict"] == "allow"
+
+
+def test_labelled_table_as_dataframe(spark):
+    rows = [(u, v) for u, v in urls.labelled_urls() if zlib.crc32(u.encode()) % 4 == 0]
+    table = spark.createDataFrame([*rows, *rows[:50], (None, 1), ("http://x/", None), (rows[0][0], 1)],
+                                  "url string, block int").repartition(5)
+    got = urls.read_table(table)
+    assert got == sorted({**dict(rows), rows[0][0]: 1}.items())
+    assert len(urls.read_table(table, 40)) == 40 and set(urls.read_table(table, 40)) <= set(got)
+    pages = spark.createDataFrame([("http://free-casino.example.com/",)], "url string")
+    scored = urls.filter_urls(pages, (), table).first()["score"]
+    assert scored == pytest.approx(urls.fit(got).probability("free-casino.example.com", "/"), abs=1e-12)
+    assert urls.filter_urls(pages, (), table.limit(0)).first()["verdict"] == "allow"
 
 
 def test_python_and_column_split_agree(spark):
