@@ -11,6 +11,12 @@ weights, calibrated to the token budget (a probability is at most 1; what the
 full cells cannot take is spread over the others), and a document is drawn
 when a keyed hash of its id and text lies below its probability.
 
+Cells that occur are counted first; as long as they fit the broadcast limit
+they are raked on the driver. More of them stay a table: raking then holds one
+factor per category (as many as there are targets), sums every marginal by a
+job over the cells, and a document's weight is the product of its three
+factors, so documents are not shuffled.
+
 Defined results: a null or unknown source, language or topic is ``other``; a
 null or empty text has no token, takes no part in the sums, and its cell's
 probability (its own cell may be empty: then it is never drawn); categories
@@ -32,13 +38,16 @@ from pyspark.sql import functions as F
 
 from hanga.session import broadcast_limit
 
-from .common import shielded
+from .common import shared_table, shielded, small_side
 
 OTHER = "other"
 TOLERANCE = 1e-10        # of a share
 MAX_ROUNDS = 1000
 SEED = "mix-1"
 MARGINS = ("source", "lang", "topic")
+CELL = ("_source", "_lang", "_topic")    # a document's cell
+CELL_BYTES = 200         # of a cell or category, held on the driver or broadcast
+SALTS = 16
 
 # Topic by the first pattern that a text contains (a text of none is "prose").
 TOPIC_PATTERNS = [("license", "Licensed under the"), ("table", " | "), ("contact", "@"), ("code", " = \"")]
@@ -129,26 +138,109 @@ def cell_columns(targets: Mapping[str, Mapping[str, float]]) -> list[Column]:
     return out
 
 
+def cell_table(docs: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(source, lang, topic, tokens) of the cells of ``docs`` that hold tokens."""
+    return (docs.where(F.col("tokens") > 0).select(*cell_columns(targets), "tokens")
+            .groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+
+
+def _warn(gaps: Mapping[str, float], max_rounds: int) -> None:
+    if max(gaps.values()) > TOLERANCE:
+        warnings.warn(f"targets not met after {max_rounds} rounds, gaps of shares: {gaps}", stacklevel=3)
+
+
 def fit_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float,
             max_rounds: int = MAX_ROUNDS) -> Mix:
     """Cells, weights, probabilities and gaps of ``docs`` (columns source, lang,
-    topic, tokens). At most the product of the targets' sizes is collected."""
-    bound = np.prod([len(targets[m]) + 1 for m in MARGINS]) * 100
-    if bound > broadcast_limit(docs.sparkSession):
-        raise ValueError(f"targets span more cells than the limit allows ({bound} bytes)")
-    rows = (docs.where(F.col("tokens") > 0).select(*cell_columns(targets), "tokens")
-            .groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).collect())
+    topic, tokens), raked on the driver: for cells that fit it (``sample_mix``
+    counts them first)."""
+    rows = cell_table(docs, targets).collect()
     rows.sort(key=lambda r: tuple(r[m] for m in MARGINS))
     cells = [tuple(r[m] for m in MARGINS) for r in rows]
     tokens = np.array([r["tokens"] for r in rows], float)
     fitted, gaps = rake(cells, tokens, [targets[m] for m in MARGINS], max_rounds)
     left = dict(zip(MARGINS, gaps, strict=True))
-    if max(gaps) > TOLERANCE:
-        warnings.warn(f"targets not met after {max_rounds} rounds, gaps of shares: {left}", stacklevel=2)
+    _warn(left, max_rounds)
     weight = fitted / np.maximum(tokens, 1.0)
     return Mix(cells, tokens, weight, calibrate(tokens, weight, share * tokens.sum()), left)
 
 
+@dataclass
+class FactorMix:
+    """A fit as factors: a cell's weight is the product of its categories'."""
+
+    factors: dict[str, dict[str, float]]    # marginal -> category -> factor
+    slope: float                            # probability of an open cell / its weight
+    full: float                             # from this weight on the probability is 1
+    gaps: dict[str, float]
+
+    def joined(self, df: DataFrame, columns: tuple[str, ...] = MARGINS) -> DataFrame:
+        """``df`` (its categories in ``columns``) and ``mix_weight``, ``mix_probability``."""
+        weight = F.lit(1.0)
+        for name, column in zip(MARGINS, columns, strict=True):
+            table = df.sparkSession.createDataFrame(list(self.factors[name].items()),
+                                                    f"{column} string, _f_{name} double")
+            df = df.join(small_side(table, len(self.factors[name]), CELL_BYTES), column, "left")
+            weight = weight * F.coalesce(f"_f_{name}", F.lit(0.0))
+        probability = F.when(weight <= 0, 0.0).when(weight >= self.full, 1.0).otherwise(weight * self.slope)
+        return (df.withColumn("mix_weight", weight).withColumn("mix_probability", probability)
+                .drop(*[f"_f_{name}" for name in MARGINS]))
+
+
+def fit_factors(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float,
+                max_rounds: int = MAX_ROUNDS) -> FactorMix:
+    """The same fit over a table of cells of any size, a job per marginal and
+    round; only sums per category reach the driver."""
+    mix = FactorMix({m: {k: 1.0 for k in {*targets[m], OTHER}} for m in MARGINS}, 0.0, float("inf"), {})
+
+    def sums(*names):
+        """Fitted tokens per category of the named marginals, in one job."""
+        fitted = mix.joined(cells).withColumn("_fitted", F.col("tokens") * F.col("mix_weight"))
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), F.col(n).alias("k")) for n in names])).alias("p")
+        got = fitted.select(pairs, "_fitted").groupBy("p").agg(F.sum("_fitted").alias("v")).collect()
+        out = {n: {} for n in names}
+        for r in got:
+            out[r["p"]["m"]][r["p"]["k"]] = r["v"]
+        return out
+
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+
+    def wanted(name, have):
+        reached = sum(targets[name].get(k, 0.0) for k, v in have.items() if v > 0)
+        return {k: total * targets[name].get(k, 0.0) / reached if v > 0 and reached > 0 else 0.0
+                for k, v in have.items()}
+
+    have = sums(*MARGINS)
+    for _ in range(max_rounds):
+        for i, name in enumerate(MARGINS):
+            now = have[name] if i == 0 else sums(name)[name]
+            want = wanted(name, now)
+            for k, v in now.items():
+                mix.factors[name][k] *= want[k] / v if v > 0 else 0.0
+        have = sums(*MARGINS)
+        mix.gaps = {n: max((abs(w - have[n][k]) for k, w in wanted(n, have[n]).items()), default=0.0) / max(total, 1.0)
+                    for n in MARGINS}
+        if max(mix.gaps.values()) <= TOLERANCE:
+            break
+    _warn(mix.gaps, max_rounds)
+    # the heaviest cells fill up until the slope that spends the budget on the
+    # others fills no further one; the slope only grows, so this ends
+    weighed = mix.joined(cells)
+    w, t = F.col("mix_weight"), F.col("tokens")
+    filled = None
+    while True:
+        spent, rest, n = weighed.agg(
+            F.coalesce(F.sum(F.when((w > 0) & (w >= mix.full), t)), F.lit(0)),
+            F.coalesce(F.sum(F.when(w < mix.full, t * w)), F.lit(0.0)),
+            F.count(F.when((w > 0) & (w >= mix.full), 1))).first()
+        mix.slope = max(share * total - spent, 0.0) / rest if rest > 0 else 0.0
+        if n == filled:
+            return mix
+        filled = n
+        if mix.slope > 0:
+            mix.full = min(mix.full, 1 / mix.slope)
+
+
 def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], share: float,
                max_rounds: int = MAX_ROUNDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text",
                source: str = "source", lang: str = "lang", topic: Column | None = None,
@@ -163,24 +255,38 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], shar
 
 
 def _sample(docs, targets, share, max_rounds, seed, doc_id, text, source, lang, topic, keep_all) -> DataFrame:
-    spark = docs.sparkSession
     marked = docs.withColumn("mix_topic", topic_of(text) if topic is None else topic) \
                  .withColumn("mix_tokens", token_count(text))
     plain = marked.select(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"),
                           F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"))
-    mix = fit_mix(plain, targets, share, max_rounds)
-    rows = [(*c, float(w), float(p)) for c, w, p in zip(mix.cells, mix.weight, mix.probability, strict=True)]
-    table = spark.createDataFrame(rows, "_source string, _lang string, _topic string, "
-                                        "mix_weight double, mix_probability double")
-    keys = []
-    for name, column in (("source", source), ("lang", lang), ("topic", "mix_topic")):
+    cells = shared_table(cell_table(plain, targets), "cells")
+    for own, name, column in zip(CELL, MARGINS, (source, lang, "mix_topic"), strict=True):
         known = [k for k in targets[name] if k != OTHER]
-        keys.append(F.when(F.col(column).cast("string").isin(known), F.col(column).cast("string"))
-                    .otherwise(OTHER) == F.col(f"_{name}"))
-    # the cell table is bounded by the targets (checked in fit_mix)
-    out = (marked.join(F.broadcast(table), keys[0] & keys[1] & keys[2], "left")
-           .withColumn("mix_weight", F.coalesce("mix_weight", F.lit(0.0)))
+        c = F.col(column).cast("string")
+        marked = marked.withColumn(own, F.when(c.isin(known), c).otherwise(OTHER))
+    if cells.count() * CELL_BYTES <= broadcast_limit(docs.sparkSession):
+        mix = fit_mix(cells, targets, share, max_rounds)
+        rows = [(*c, float(w), float(p)) for c, w, p in zip(mix.cells, mix.weight, mix.probability, strict=True)]
+        table = docs.sparkSession.createDataFrame(rows, ", ".join(f"{c} string" for c in CELL)
+                                                  + ", mix_weight double, mix_probability double")
+        out = marked.join(F.broadcast(table), list(CELL), "left")      # counted above
+    else:
+        out = _by_factors(marked, cells, fit_factors(cells, targets, share, max_rounds), doc_id)
+    out = (out.withColumn("mix_weight", F.coalesce("mix_weight", F.lit(0.0)))
            .withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))
            .withColumn("mix_drawn", uniform(doc_id, text, seed=seed) < F.col("mix_probability")))
     out = out.select(*docs.columns, "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_drawn")
     return out if keep_all else out.where("mix_drawn").drop("mix_drawn")
+
+
+def _by_factors(marked: DataFrame, cells: DataFrame, mix: FactorMix, doc_id: str) -> DataFrame:
+    """Weights and probabilities from the factors. Documents without tokens
+    take their cell's only if it occurs: they alone meet the cells, salted."""
+    out = mix.joined(marked, CELL)
+    real = (cells.select(*[F.col(m).alias(c) for m, c in zip(MARGINS, CELL, strict=True)], F.lit(True).alias("_real"))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    bare = (out.where("mix_tokens = 0").withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int"))
+            .join(real, [*CELL, "_salt"], "left"))
+    for name in ("mix_weight", "mix_probability"):
+        bare = bare.withColumn(name, F.when(F.col("_real"), F.col(name)).otherwise(0.0))
+    return out.where("mix_tokens > 0").unionByName(bare.drop("_real", "_salt"))

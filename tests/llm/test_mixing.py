@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,7 +105,52 @@ def test_unlisted_sources_and_languages_are_drawn_by_the_query(spark, make_docs)
     assert drawn == set(kinds)
 
 
-def test_too_many_targets_are_refused(spark, make_docs):
-    big = {"source": {str(i): 1.0 for i in range(2000)}, "lang": {str(i): 1.0 for i in range(2000)}, "topic": {}}
-    with pytest.raises(ValueError):
-        M.sample_mix(make_docs([(1, "a")]), big, 0.5)
+def test_factors_equal_the_fit_on_the_driver(spark):
+    rng = np.random.default_rng(5)
+    names = [(f"s{a}", f"l{b}", f"t{c}") for a in range(6) for b in range(4) for c in range(3)]
+    names = [n for n in names if rng.random() < 0.7] + [("other", "l0", "t0")]
+    rows = [(*n, int(rng.integers(1, 10_000))) for n in names]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": {**{f"s{a}": 0.1 * (a + 1) for a in range(6)}, "unseen": 0.3},
+               "lang": {f"l{b}": 0.25 for b in range(4)}, "topic": {"t0": 0.6, "t1": 0.3, "t2": 0.1}}
+    for share in (0.0, 0.4, 0.9, 3.0):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            plain, table = M.fit_mix(cells, targets, share, 4), M.fit_factors(cells, targets, share, 4)
+        got = {tuple(r[m] for m in M.MARGINS): r for r in table.joined(cells).collect()}
+        for c, w, p in zip(plain.cells, plain.weight, plain.probability, strict=True):
+            assert got[c]["mix_weight"] == pytest.approx(w, rel=1e-9)
+            assert got[c]["mix_probability"] == pytest.approx(p, rel=1e-9, abs=1e-12)
+        assert table.gaps == pytest.approx(plain.gaps, abs=1e-9)
+
+
+def test_more_cells_than_the_limit(spark, make_docs, hard_rows):
+    """Past the limit the same rows come from factors, without the cells on the driver."""
+    rows = [(i, "word " * (1 + i % 9), ("en", "de")[i % 2], ("a", "b", "c")[i % 3]) for i in range(300)]
+    rows += [(1000 + i, t, "de", "a") for i, (_, t) in enumerate(hard_rows)]
+    rows += [(2000, "", "fr", "b"), (2001, None, "fr", "b"), (None, " ", None, None), (2002, "", "en", "a")]
+    docs = make_docs(rows, clash=True)
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}, "topic": {"prose": 1.0}}
+
+    def drawn():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            got = M.sample_mix(docs, targets, 0.4, 3, keep_all=True)
+            return sorted((str(r["doc_id"]), str(r["text"])[:9], r["mix_tokens"], round(r["mix_weight"], 9),
+                           round(r["mix_probability"], 9), r["mix_drawn"]) for r in got.collect())
+
+    small = drawn()
+    spark.conf.set("hanga.broadcast.maxBytes", "1")
+    try:
+        assert drawn() == small
+    finally:
+        spark.conf.unset("hanga.broadcast.maxBytes")
+    assert len(small) == len(rows) and any(r[5] for r in small)
+
+
+def test_targets_spanning_millions_of_cells_are_taken(spark, make_docs):
+    big = {"source": {str(i): 1.0 for i in range(2000)}, "lang": {str(i): 1.0 for i in range(2000)},
+           "topic": {"prose": 1.0}}
+    docs = make_docs([(1, "a b", "7", "5"), (2, "a", "8", "5"), (3, "a", "xx", "5")])
+    got = {r["doc_id"]: r["mix_probability"] for r in M.sample_mix(docs, big, 1.0, keep_all=True).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 0.0}
