@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, shielded, small_side
-from .labelled import MAX_CHARS
+from .labelled import texts_in_budget
 from .wordgrams import bulk_grams
 
 ROWS = 4000
@@ -200,9 +200,10 @@ def training_rows(docs: DataFrame, train: Column | None, rows: int = ROWS, text:
                   lang: str = "lang") -> list[tuple[str, str]]:
     """About ``rows`` (text, language) pairs, evenly over the languages, chosen
     by a hash of the text; at least ``MIN_ROWS`` of each language if it has
-    them."""
+    them. All texts together keep to ``labelled.SAMPLE_BYTES``; every language
+    has its first text considered before any has its second."""
     part = docs if train is None else docs.where(train)
-    part = (part.where(F.col(lang).isNotNull() & (F.length(text) <= MAX_CHARS))
+    part = (part.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
             .select(F.col(text).alias("text"), F.col(lang).alias("lang")))
     u = F.xxhash64("text", F.lit(7))
     # copies count once: a large group of them must not thin out the other texts
@@ -213,9 +214,10 @@ def training_rows(docs: DataFrame, train: Column | None, rows: int = ROWS, text:
     # as many as needed on average
     near = (u.cast("double") / float(1 << 63) + 1) / 2 * F.col("n") <= 4.0 * most
     by = Window.partitionBy("lang").orderBy(u, "text")
-    got = (part.join(small_side(sizes, kinds, 64), "lang").where(near).dropDuplicates(["lang", "text"])
-           .withColumn("_r", F.row_number().over(by))
-           .where(F.col("_r") <= most).select("text", "lang").collect())
+    chosen = (part.join(small_side(sizes, kinds, 64), "lang").where(near).dropDuplicates(["lang", "text"])
+              .withColumn("_r", F.row_number().over(by))
+              .where(F.col("_r") <= most).select("_r", "lang", "text"))
+    got = texts_in_budget(chosen, "text", ["_r", "lang"])
     return sorted((r["text"], r["lang"]) for r in got)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, shielded
-from .labelled import MAX_CHARS, labelled_sample, smallest_hashes
+from .labelled import SAMPLE_BYTES, among_smallest, labelled_sample, texts_in_budget
 from .textstats import NAMES, text_stats
 from .wordgrams import Adam, sigmoid
 
@@ -134,13 +134,17 @@ def stats_matrix(texts) -> np.ndarray:
 
 
 def unlabelled_sample(docs: DataFrame, rows: int, fold: Column | None = None,
-                      max_chars: int = MAX_CHARS, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """At most ``rows`` texts by a hash of id and text, labels unseen."""
+                      max_bytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text") -> list[str]:
+    """At most ``rows`` texts of at most ``max_bytes`` together by a hash of id
+    and text, labels unseen."""
     part = docs if fold is None else docs.where(fold)
-    short = (part.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-             .where(F.length("_t") <= max_chars))
-    got = smallest_hashes(short, rows, "_id", "_t").select("_t").collect()
-    return [r["_t"] for r in got]
+    texts = (part.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+             .select(F.xxhash64("_id", "_t").alias("_h"), "_t"))
+    near = among_smallest(texts, rows, F.col("_h"))
+    first = texts.where(near).select("_h").distinct().orderBy("_h").limit(rows)     # hashes only in one task
+    chosen = texts.where(near).join(F.broadcast(first), "_h").groupBy("_h").agg(F.min("_t").alias("_t"))
+    got = texts_in_budget(chosen, "_t", ["_h"], max_bytes)
+    return [r["_t"] for r in sorted(got, key=lambda r: (r["_h"], r["_t"]))]
 
 
 def score(docs: DataFrame, model: PUModel, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

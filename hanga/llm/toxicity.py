@@ -9,7 +9,7 @@ Defined results: a text without words (null, empty, only signs) scores 0 and
 has no spans; repeated rows, null ids and extra columns are kept as they are;
 without any labelled document, or with labels of one class only, the model is
 the constant prior of sentences that gives that share. Fitting uses at most
-``ROWS`` labelled documents (texts up to ``labelled.MAX_CHARS``); scoring reads
+``ROWS`` labelled documents (together up to ``labelled.SAMPLE_BYTES``); scoring reads
 every text whole.
 """
 

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from hanga.llm import language, quality_pu, quality_trees, textstats, toxicity
+from hanga.llm import labelled, language, quality_pu, quality_trees, textstats, toxicity
 from hanga.llm.common import in_fold
 from llm_fixtures import hard_rows, make_docs, make_labels  # noqa: F401
 
@@ -268,3 +269,38 @@ def test_copies_do_not_thin_out_the_training_texts(spark, make_docs):
 def test_scripts():
     assert [language.script_of(w) for w in ("abc", "мир", "κόσμος", "世界", "가", "1x", "שלום")] == \
         ["Latin", "Cyrillic", "Greek", "Han", "Hangul", "Latin", "Hebrew"]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 500, 5000, 10**9])
+def test_samples_keep_to_their_bytes(spark, make_docs, make_labels, budget):
+    """Greedy in hash order; whole texts only, long ones too."""
+    docs = make_docs([(i, "ä" * (1 + i * i % 700)) for i in range(60)] + [(60, None), (None, "x")])
+    labels = make_labels([(i, i % 2, None) for i in range(61)] + [(None, 1, 1)])
+    order = [r["doc_id"] for r in docs.where("doc_id is not null").orderBy(F.xxhash64("doc_id")).collect()]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    left, want = budget, []
+    for i in order[:40]:
+        if len(texts[i].encode()) <= left:
+            left -= len(texts[i].encode())
+            want.append(i)
+    got = labelled.labelled_sample(docs, labels, "quality", 40, max_bytes=budget)
+    assert got == [(texts[i], i % 2) for i in sorted(want, key=str)]
+    others = quality_pu.unlabelled_sample(docs, 1000, max_bytes=budget)
+    assert sum(len(t.encode()) for t in others) <= budget
+    assert budget < 10**9 or sorted(others) == sorted([*texts.values()])
+
+
+def test_unlabelled_sample_is_by_smallest_hash(spark, make_docs):
+    docs = make_docs([(i % 150, f"text {i % 200}") for i in range(900)] + [(None, "n"), (None, None), (None, None)])
+    want = [r["t"] for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).distinct()
+            .orderBy(F.xxhash64("doc_id", "t")).collect()]
+    for rows in (5, 100, 5000):
+        assert quality_pu.unlabelled_sample(docs.repartition(3), rows) == want[:rows]
+
+
+def test_very_long_texts_reach_the_fits(spark, make_docs, make_labels):
+    long_text = "schwer " * 40_000                        # 280,000 characters
+    docs = make_docs([(1, long_text, "de"), (2, "easy words", "en")])
+    labels = make_labels([(1, 1, 1), (2, 0, 0)])
+    assert labelled.labelled_sample(docs, labels, "toxic", 10) == [(long_text, 1), ("easy words", 0)]
+    assert (long_text, "de") in language.training_rows(docs, None)
