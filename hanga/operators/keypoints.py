@@ -75,6 +75,7 @@ def sample(kps: DataFrame, n: int = SAMPLE_PER_IMAGE, key_col: str = "key",
 # --- descriptor plug point (U1) -------------------------------------------------
 
 SQL_CHUNK = 512     # rows of a SQL partition handed to a descriptor at once
+SQL_CHUNK_BYTES = 16 * 1024 * 1024      # and bytes (of text: characters) of their content, one row at least
 DescriptorFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 _DESCRIPTORS: dict[str, tuple[DescriptorFn, str]] = {}
 
@@ -99,25 +100,36 @@ def describe(images: DataFrame, name: str) -> DataFrame:
     return images.mapInPandas(fn, schema).withColumn("descriptor_name", F.lit(name))
 
 
+def _object_column(values: list) -> pd.Series:
+    """Values as they are: beside a null, pandas would read whole numbers as
+    floating-point ones."""
+    return pd.Series(values, dtype=object if any(v is None for v in values) else None)
+
+
 def _table_function(name: str):
     """The registered descriptor as a table function over (key, content) rows:
     rows are handed to it in chunks, and those of the last chunk at the end of
-    each SQL partition."""
+    each SQL partition (without ``PARTITION BY``: of each task's rows)."""
     fn, schema = _DESCRIPTORS[name]
 
     class Describe:
         def __init__(self):
             self.rows: list[tuple] = []
+            self.size = 0
 
         def _run(self):
-            pdf, self.rows = pd.DataFrame(self.rows, columns=["key", "content"]), []
+            keys, contents = zip(*self.rows, strict=True)
+            self.rows, self.size = [], 0
+            pdf = pd.DataFrame({"key": _object_column(keys), "content": _object_column(contents)})
             for out in fn(iter([pdf])):
                 # plain Python values: a table function returns rows, not arrays
                 yield from zip(*[out[c].astype(object) for c in out.columns], strict=True)
 
         def eval(self, row):
-            self.rows.append((row["key"], row["content"]))
-            if len(self.rows) >= SQL_CHUNK:
+            key, content = row["key"], row["content"]
+            self.rows.append((key, content))
+            self.size += len(content) if hasattr(content, "__len__") else 8
+            if len(self.rows) >= SQL_CHUNK or self.size >= SQL_CHUNK_BYTES:
                 yield from self._run()
 
         def terminate(self):
@@ -129,18 +141,21 @@ def _table_function(name: str):
 
 def register_sql(spark: SparkSession) -> list[str]:
     """Make every registered descriptor callable from SQL (U1) as
-    ``describe_<name>(TABLE(images) PARTITION BY key)``; returns the names."""
+    ``describe_<name>(TABLE(images))``, which describes the rows where they are,
+    many at a time; returns the names. ``PARTITION BY key`` gives the same rows
+    after a sort of all contents and a call of the descriptor for every key."""
     for name in _DESCRIPTORS:
         spark.udtf.register(f"describe_{name}", _table_function(name))
     return [f"describe_{name}" for name in _DESCRIPTORS]
 
 
 def describe_sql(images: DataFrame, name: str) -> DataFrame:
-    """:func:`describe` through SQL: ``images`` (key, content) partitioned by
-    key. An unknown name is an error that lists the known ones."""
+    """:func:`describe` through SQL, over the rows of ``images`` (key, content)
+    as they are partitioned. An unknown name is an error that lists the known
+    ones."""
     if name not in _DESCRIPTORS:
         raise KeyError(f"unknown descriptor {name!r}; known: {sorted(_DESCRIPTORS)}")
     spark = images.sparkSession
     register_sql(spark)
     return spark.sql(f"SELECT *, '{name}' AS descriptor_name "
-                     f"FROM describe_{name}(TABLE(SELECT key, content FROM {{images}}) PARTITION BY key)", images=images)
+                     f"FROM describe_{name}(TABLE(SELECT key, content FROM {{images}}))", images=images)

@@ -124,3 +124,23 @@ def test_descriptors_from_sql(spark):
         KP.describe_sql(images, "nope")
     with pytest.raises(Exception, match="describe_nope"):
         spark.sql("SELECT * FROM describe_nope(TABLE(images_of_test) PARTITION BY key)").collect()
+
+
+def test_sql_descriptors_take_many_images_at_once(spark):
+    """Images of different keys go to the descriptor together and stay where
+    they are; null and large keys come back as they are; large contents are
+    handed on by their size."""
+    @KP.register_descriptor("together", "key long, kp_id int, response double, desc array<double>")
+    def _together(batches):
+        for pdf in batches:
+            yield pdf[["key"]].assign(kp_id=0, response=float(len(pdf)), desc=[[1.0]] * len(pdf))
+
+    keys = [None if i % 300 == 7 else 2 ** 60 + i for i in range(1200)]
+    images = spark.createDataFrame([(k, "x") for k in keys], "key long, content string").coalesce(1)
+    out = KP.describe_sql(images, "together")
+    got = out.collect()
+    assert sorted((r["key"] for r in got), key=str) == sorted(keys, key=str)
+    assert {r["response"] for r in got} == {512.0, 176.0}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    large = spark.range(3).selectExpr("id AS key", "repeat('x', 9000000) AS content").coalesce(1)
+    assert sorted(r["response"] for r in KP.describe_sql(large, "together").select("response").collect()) == [1.0, 2.0, 2.0]
