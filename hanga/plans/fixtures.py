@@ -25,6 +25,7 @@ from ..sources.files import encode_ascii, encode_npy, encode_npz
 
 N_CLASSES = 15
 N_IMAGES = 25  # embeddings grouped into this many "images" for A6
+FILES_PER_TASK = 2000   # vector files that one task writes, about
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +75,10 @@ def vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 blobs.append(b"no vector" if i % 10 == 7 else encode_ascii(v) if text else encode_npy(v))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["name", "content"])
 
-    return samples(spark, sf_dir).select("key", F.md5(F.col("key").cast("string")), "features").mapInArrow(
+    # a stored table of vectors is a few partitions, too few to write a file per row
+    rows = samples(spark, sf_dir)
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // FILES_PER_TASK))
+    return rows.repartition(parts).select("key", F.md5(F.col("key").cast("string")), "features").mapInArrow(
         encode, "name string, content binary")
 
 

@@ -233,7 +233,7 @@ def _vector_files(spark: SparkSession, sf: str):
     KF.write_files(files, path)
     keys = X.samples(spark, sf).where("key % 6 <> 5").select(F.md5(F.col("key").cast("string")).alias("key"))
     ok, bad = FS.read_vectors(spark, path, keys=keys, width=64)
-    remove_path(spark, path)
+    KF.remove_files(path)
     return ok, bad
 
 
@@ -255,7 +255,7 @@ def q_keypoint_files(spark: SparkSession, sf: str) -> DataFrame:
     out = cut_lineage(reduce(DataFrame.unionByName, shards).select(
         "key", "kp_id", F.col("x").cast("bigint").alias("vec_id"), _r("response").alias("response"),
         F.posexplode("desc").alias("dim", "value")))
-    remove_path(spark, path)
+    KF.remove_files(path)
     return out.withColumn("value", _r("value"))
 
 

@@ -7,12 +7,13 @@ first dot, ext = after the last. Filters on ``key``, ``name`` and ``ext``
 opened: a shard prefix or a list of names never costs more than the listing.
 Partitions are packed by file size (``maxPartitionBytes``, with
 ``openCostInBytes`` for every file), so neither a million small files nor a few
-large ones make uneven tasks; a task holds one batch of files of at most
-``BATCH_BYTES`` (one file at least). With the option ``content=false`` nothing
-is opened at all.
+large ones make uneven tasks; a job too small to fill its cores that way is cut
+finer. A task holds one batch of files of at most ``BATCH_BYTES`` (one file at
+least). With the option ``content=false`` nothing is opened at all, and a file
+costs the few bytes of its listing.
 
-Writing takes ``(name, content)`` rows and writes one file each, under a
-temporary name first: a task that runs twice writes the same files twice, and no
+Writing takes ``(name, content)`` rows and writes one file each, in a hidden
+folder of the task first: a task that runs twice writes the same files twice, and no
 reader sees half a file.
 
 The files are reached through Arrow's file systems (local, S3, GCS, HDFS where
@@ -35,7 +36,11 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "key string, name string, ext string, path string, length long, content binary"
 BATCH_BYTES = 16 * 1024 * 1024
-PARTITION_BYTES, OPEN_COST = 128 * 1024 * 1024, 4 * 1024 * 1024     # Spark's defaults for files
+PARTITION_BYTES = 128 * 1024 * 1024     # Spark's default for files
+# Spark's default of 4 MiB makes a task of every 32 small files, and starting it takes longer than reading them
+OPEN_COST = 128 * 1024          # at most 1,024 files in a task
+LEAST_BYTES = 32 * OPEN_COST    # at least 32 small files in one
+LISTED_BYTES = 1024             # of a file that is only listed
 _ARROW = pa.schema([("key", pa.string()), ("name", pa.string()), ("ext", pa.string()), ("path", pa.string()),
                     ("length", pa.int64()), ("content", pa.binary())])
 
@@ -67,6 +72,12 @@ def ext_of(name: str) -> str | None:
     return name.rsplit(".", 1)[1] if "." in name else None
 
 
+def split_bytes(total: int, cores: int, most: int = PARTITION_BYTES) -> int:
+    """Bytes of a partition: ``most``, or less when ``total`` would leave cores
+    without one."""
+    return min(most, max(LEAST_BYTES, -(-total // max(1, cores))))
+
+
 @dataclass
 class FileBatch(InputPartition):
     """The (name, length) of the files of one task."""
@@ -93,6 +104,7 @@ class KeyedFilesReader(DataSourceReader):
         self.content = options.get("content", "true").lower() != "false"
         self.most = int(options.get("maxpartitionbytes", PARTITION_BYTES))
         self.open_cost = int(options.get("opencostinbytes", OPEN_COST))
+        self.cores = int(options.get("parallelism", 1))
         self.taken: list[tuple[str, str, tuple]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -123,8 +135,15 @@ class KeyedFilesReader(DataSourceReader):
                 and i.base_name[:1] not in (".", "_") and self._wanted(i.base_name)]
 
     def partitions(self) -> list[InputPartition]:
+        files = self.files()
+        if self.content:
+            total = sum(length + self.open_cost for _, length in files)
+            made = packed(files, split_bytes(total, self.cores, self.most), self.open_cost)
+        else:
+            n = max(1, self.most // LISTED_BYTES)
+            made = [FileBatch(files[lo:lo + n]) for lo in range(0, len(files), n)]
         # Spark reads an empty list as one partition without a description
-        return packed(self.files(), self.most, self.open_cost) or [FileBatch([])]
+        return made or [FileBatch([])]
 
     def open_file(self, fs: pafs.FileSystem, path: str) -> bytes:
         with fs.open_input_stream(path) as f:
@@ -155,13 +174,16 @@ class KeyedFilesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = filesystem(self.root)
-        fs.create_dir(base, recursive=True)
-        for b in iterator:
-            for name, blob in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
-                part = f"{base}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as f:
-                    f.write(blob.as_buffer())
-                fs.move(part, f"{base}/{name}")
+        own = f"{base}/.{uuid.uuid4().hex}"     # tasks that make files in one folder wait for each other
+        fs.create_dir(own, recursive=True)
+        try:
+            for b in iterator:
+                for name, blob in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                    with fs.open_output_stream(f"{own}/part") as f:
+                        f.write(blob.as_buffer())
+                    fs.move(f"{own}/part", f"{base}/{name}")
+        finally:
+            fs.delete_dir(own)
         return WriterCommitMessage()
 
 
@@ -191,7 +213,8 @@ def register(spark: SparkSession, source: type[DataSource] = KeyedFiles) -> None
 
 def reader(spark: SparkSession, content: bool = True) -> DataFrameReader:
     register(spark)
-    return spark.read.format("keyed_files").option("content", str(content).lower())
+    return (spark.read.format("keyed_files").option("content", str(content).lower())
+            .option("parallelism", spark.sparkContext.defaultParallelism))
 
 
 def write_files(files: DataFrame, path: str) -> None:
@@ -200,13 +223,22 @@ def write_files(files: DataFrame, path: str) -> None:
     files.select("name", "content").write.format("keyed_files").mode("append").save(path)
 
 
+def remove_files(path: str) -> None:
+    """Delete a scratch folder of our own with all its files, by Arrow's file
+    system: Hadoop's local one takes a third of a millisecond for each."""
+    if reachable(path):
+        fs, base = filesystem(path)
+        fs.delete_dir(base)
+
+
 def opened(files: DataFrame, root: str, open_file=KeyedFilesReader.open_file) -> DataFrame:
     """``files`` (rows of a listing of ``root``) with their ``content``: only
     these files are opened. Rows are dealt over tasks by their number and total
     size, both counted from the listing."""
     from pyspark.sql import functions as F
     n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    parts = max(1, -(-(size + n * OPEN_COST) // PARTITION_BYTES))
+    total = size + n * OPEN_COST
+    parts = max(1, -(-total // split_bytes(total, files.sparkSession.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(root)

@@ -114,3 +114,30 @@ def test_file_systems_by_path():
     assert KF.filesystem("file:/tmp/a%20b")[1] == "/tmp/a%20b" == KF.filesystem("file:///tmp/a%20b")[1]
     assert KF.filesystem("/tmp/x#1")[1] == "/tmp/x#1"
     assert not KF.reachable("viewfs://store/in") and not KF.reachable("/no/such/folder") and KF.reachable("/tmp")
+
+
+def test_small_files_make_few_tasks(spark, tmp_path):
+    """Many small files: one task lists them, and as many tasks as there are
+    cores open them (before, one for every 32 files)."""
+    d = tmp_path / "many"
+    KF.write_files(spark.range(2000).selectExpr("concat(id, '.npy') AS name", "binary('x') AS content"), str(d))
+    assert len(list(d.iterdir())) == 2000       # the tasks' own folders are gone
+    options = {"path": str(d), "parallelism": "4"}
+    listing, reading = (KF.KeyedFilesReader(options | o).partitions() for o in ({"content": "false"}, {}))
+    assert [len(p.files) for p in listing] == [2000]
+    assert len(reading) in (4, 5) and sorted(f for p in reading for f in p.files) == sorted(listing[0].files)
+    few = KF.KeyedFilesReader(options | {"content": "false", "maxpartitionbytes": "700000"}).partitions()
+    assert [len(p.files) for p in few] == [683, 683, 634]
+    opened = KF.opened(FS.list_files(spark, str(d)), str(d))
+    assert opened.rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism) + 1
+    assert opened.agg(F.count("content"), F.countDistinct("name")).first()[:] == (2000, 2000)
+    KF.remove_files(str(d))
+    KF.remove_files(str(d))
+    assert not d.exists()
+
+
+def test_vector_files_are_made_by_every_core(spark):
+    from hanga.plans import fixtures as X
+    files = X.vector_files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert files.select("name").distinct().count() == X.samples(spark, "/root/testdata/sf0.001").count()
