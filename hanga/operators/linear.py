@@ -8,9 +8,9 @@ optimiser iteration *per model*. Here every model is a column of one weight
 matrix W (d+1 x J), and every optimiser iteration is **one** pass over the
 training rows for all J models together:
 
-* each task turns its Arrow batches into a dense block X, computes the
-  margins X @ W for all models, and accumulates sums — only those partial sums
-  leave the task;
+* each task turns its Arrow batches into dense blocks X of at most 512 rows,
+  computes the margins X @ W for all models, and accumulates sums — only those
+  partial sums leave the task, and its memory does not follow the batches;
 * the partial sums travel as raw float64 bytes cut into small chunks and are
   added in two levels, first per (chunk, task group), then per chunk, so no
   reducer ever holds one chunk of every task;
@@ -57,6 +57,7 @@ CHUNK = 32768   # doubles per reduce chunk (256 KiB)
 DENSE_WIDTH = 512   # widest input whose Hessians are formed (2 MB per model)
 CG_TOLERANCE = 1e-6     # residual of a step, relative to the gradient
 GROUPS = 64     # first-level groups of tasks in the reduction
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 * 1024 * 1024      # of a (rows x models) matrix in a task
 
 
 @dataclass
@@ -189,17 +190,19 @@ class _Problem:
         self.J = len(m_class)
 
     def _pass(self, length: int, shared: tuple, add) -> np.ndarray:
-        """One pass: ``add(total, x, ci, fold, *shared)`` over every batch; the
-        tasks' totals (``length`` doubles each) are added up."""
+        """One pass: ``add(total, x, ci, fold, *shared)`` over blocks of every
+        batch; the tasks' totals (``length`` doubles each) are added up. The
+        first of ``shared`` is the weights, a column per model: a block's
+        matrices of rows x models hold ``BLOCK_BYTES`` each at most."""
         bc = self.data.sparkSession.sparkContext.broadcast(shared)
-        d = self.d
+        d, rows = self.d, max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(shared[0].shape))))
 
         def run(batches):
             total, seen = np.zeros(length), False
             for batch in batches:
-                if batch.num_rows:
+                for lo in range(0, batch.num_rows, rows):
                     seen = True
-                    add(total, *_rows_of(batch, d), *bc.value)
+                    add(total, *_rows_of(batch.slice(lo, rows), d), *bc.value)
             if seen:
                 yield _emit(total)
 

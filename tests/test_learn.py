@@ -228,3 +228,24 @@ def test_3000_wide_vectors_need_no_array_of_width_squared(spark, monkeypatch):
     assert report.first()["n_unconverged"] == 0
     got = model.transform(df)
     assert got.where("prediction = class_id").count() == 80
+
+
+def test_a_pass_takes_a_batch_in_blocks(spark):
+    """A task's matrices of rows x models do not grow with the Arrow batches."""
+    rows = spark.range(0, 3000, 1, 1).selectExpr("array(double(id), 1D) AS x", "int(id % 2) AS ci", "0 AS fold")
+
+    def add(total, x, ci, fold, w):
+        total += [len(x), x[:, 0].sum(), ci.sum(), max(0, len(x) * w.shape[1] * 8 - (4 << 20)), len(x) > 512]
+
+    for n_models in (3, 4000):
+        p = LIN._Problem(rows, 2, *[np.zeros(n_models)] * 4)
+        got = p._pass(5, (np.zeros((3, n_models)),), add)
+        assert got[:3].tolist() == [3000, 2999 * 1500, 1500] and not got[3:].any()
+    z = np.random.default_rng(1).normal(size=(3, 3))
+    few, many = (LIN._Problem(rows.limit(n), 2, np.array([0, 1, 0]), np.ones(3), np.array([-1, -1, 0]), np.ones((3, 2)))
+                 .sums(z, np.arange(3)) for n in (512, 3000))
+    whole = np.array([(i, 1.0, 1.0) for i in range(3000)])
+    y = np.where(np.arange(3000)[:, None] % 2 == np.array([0, 1, 0]), 1.0, -1.0)
+    slack = np.maximum(1 - y * (whole @ z), 0) * [1, 1, 0]      # the third model's fold is all rows
+    assert np.allclose(many[0], (slack ** 2).sum(0) + 0.5 * (z * z).sum(0))
+    assert np.allclose(many[1], whole.T @ (-2 * y * slack) + z) and not np.allclose(few[0][:2], many[0][:2])
