@@ -72,15 +72,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                read_table(spark, sf_dir, "benchmark"))
 
 
+# Words of a passage that op8 reports wherever it occurs twice
+PASSAGE_WORDS = 50
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and
-    the text that stays (a character that a cut splits reads as U+FFFD)."""
-    got = substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, the
+    text that stays (a character that a cut splits reads as U+FFFD), and
+    n_passage_words: words in passages of PASSAGE_WORDS or more words that occur
+    anywhere else too. Passages under 400 bytes are only reported there."""
+    got = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), passage_words=PASSAGE_WORDS)
     return got.select("doc_id", "n_bytes",
                       (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"),
                       F.sha2("kept", 256).alias("kept_sha256"),
-                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+                      F.aggregate("passages", F.lit(0).cast("long"),
+                                  lambda n, p: n + p["end"] - p["start"]).alias("n_passage_words"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

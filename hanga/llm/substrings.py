@@ -31,6 +31,13 @@ whole pieces removes bytes, and that is decided by eight real bytes and a keyed
 128-bit BLAKE2b digest of all bytes of the piece: different bytes count as
 equal only if that digest collides.
 
+Passages. On request the same sort also decides windows of ``passage_words``
+words (at word starts, from the first byte of the first word to the last byte of
+the last, so white space counts): a passage shorter than ``length`` bytes is
+reported, not removed. Its rows carry other cores than those of byte windows, so
+the two never meet. Words are hashed by their length, first and last eight bytes;
+again this only chooses anchors and candidates, digests of all bytes decide.
+
 Scale. Every level moves a bounded number of fixed-size rows per repeated run,
 not texts; they are written once, counted, and dealt into buckets of bounded
 size. The driver sees two rows per bucket. A document's list of removed runs is
@@ -58,6 +65,8 @@ from .common import shared_table, slices, small_side, text_key
 LENGTH = 400
 GRAM = 200
 PIECE = 16
+PASSAGE_GRAM = 10                 # words of an anchor string
+PASSAGE_PIECE = 4                 # word starts of a piece
 _POS_BITS = 20                    # positions inside one chunk
 _CHUNK = (1 << _POS_BITS) - 4096  # window starts handled at a time
 BUCKET_ROWS = 1_000_000           # suffixes of a bucket, at most about
@@ -65,6 +74,8 @@ _DIGEST_KEY = b"substrings 1"
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, size=256, dtype=np.uint64)
 _MULT = (int(_rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1) % (1 << 64)
+_WORD_CORE = np.uint64(_rng.integers(0, 2**64, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _powers: list[np.ndarray] = []
 
 
@@ -89,14 +100,15 @@ def _power_table(n: int) -> list[np.ndarray]:
 
 
 class Rolling:
-    """Rolling hash of any substring of one byte string. Equal strings agree;
-    so may different ones (a polynomial modulo 2^64)."""
+    """Rolling hash of any substring of one byte string, or of any run of word
+    codes. Equal ones agree; so may different ones (a polynomial modulo 2^64)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         powers, self.inverse = _power_table(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * powers[:n], out=self.sums[1:])
+        codes = _BYTE[data] if data.dtype == np.uint8 else data
+        np.cumsum(codes * powers[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         s = self.sums
@@ -159,7 +171,7 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         core = grams[anchor]
         parts.append((anchor + lo, first + lo, last + lo, _leading(piece, anchor), core.view(np.int64),
                       *_digests(piece, first, last + length, anchor - first)))
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else _no_rows()
 
 
 def pieces_of(data: np.ndarray, anchor: int, first: int, last: int, piece: int,
@@ -178,6 +190,63 @@ def pieces_of(data: np.ndarray, anchor: int, first: int, last: int, piece: int,
             *_digests(part, begin - lo, end + length - lo, high - begin)]
 
 
+class Words:
+    """Places and codes of the words (runs of bytes outside 20 and 09-0D hex) of one text."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+        inside = np.concatenate([[False], ~_SPACE[data], [False]])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
+        size = self.end - self.start
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+        mask = np.uint64(2**64 - 1) >> ((8 - np.minimum(size, 8)) * 8).astype(np.uint64)
+        head = eight[self.start] & mask
+        tail = eight[np.maximum(self.end - 8, self.start)] & mask
+        self.codes = _mix(_mix(head + size.astype(np.uint64)) + tail)
+
+    def blocks(self, length: int, gram: int = PASSAGE_GRAM):
+        """Level 1: the columns of :func:`blocks_of` for windows of ``length``
+        words; anchor, first and last are numbers of words."""
+        parts = []
+        width = length - gram + 1
+        for lo in range(0, len(self.codes) - length + 1, _CHUNK):
+            grams = Rolling(self.codes[lo:lo + _CHUNK + length - 1]).grams(gram)
+            low = np.uint64((1 << _POS_BITS) - 1)
+            pick = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width)
+            first = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
+            last = np.concatenate([first[1:], [len(pick)]]) - 1
+            anchor = (pick[first] & low).astype(np.int64)
+            parts.append(self._rows(anchor + lo, first + lo, last + lo, anchor + lo, grams[anchor], length,
+                                    anchor - first))
+        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else _no_rows()
+
+    def pieces(self, anchor: int, first: int, last: int, piece: int, length: int):
+        """Levels 2 and 3: the columns of :func:`pieces_of`, in words."""
+        lo = max(0, anchor - ((anchor - first) // piece + 1) * piece)
+        n = np.arange((anchor - last) // piece, (anchor - first) // piece + 1)
+        high = anchor - n * piece
+        low = high - piece + 1
+        begin, end = np.maximum(low, first), np.minimum(high, last)
+        core = _mix(Rolling(self.codes[lo:last + length]).of(high - lo, low + length - lo) + n.astype(np.uint64))
+        return self._rows(np.full(len(n), anchor), begin, end, high, core, length, high - begin)
+
+    def _rows(self, anchor, first, last, lead, core, length, shift):
+        return [anchor, first, last, _leading(self.data, self.start[lead]), (core ^ _WORD_CORE).view(np.int64),
+                *_digests(self.data, self.start[first], self.end[last + length - 1], shift)]
+
+
+def _no_rows() -> list[np.ndarray]:
+    return [np.zeros(0, np.int64)] * 7
+
+
+def _of_both(in_bytes: list, in_words: list) -> list[np.ndarray]:
+    """Rows of byte windows and of word windows, with a flag for the latter."""
+    flag = np.repeat([False, True], [len(in_bytes[0]), len(in_words[0])])
+    return [*(np.concatenate(c) for c in zip(in_bytes, in_words, strict=True)), flag]
+
+
 TOKENS = ("lead", "core", "whole", "whole2")
 
 
@@ -260,17 +329,17 @@ def _sorted_neighbours(suffixes: DataFrame, name: str) -> DataFrame:
             a[mark] = b[mark] = True
     inner = done.where("edge = 0")
     fixed = spark.createDataFrame([tuple(r[c] for c in done.columns) for r in edges], done.schema)
-    return inner.unionByName(fixed).select("doc_id", "text_key", "anchor", "first", "last",
+    return inner.unionByName(fixed).select("doc_id", "text_key", "anchor", "first", "last", "words",
                                            "repeated", "shared")
 
 
 def _suffix_schema(docs: DataFrame) -> str:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (f"doc_id {kind}, text_key long, anchor long, first long, last long, "
-            "lead long, core long, whole long, whole2 long")
+            "lead long, core long, whole long, whole2 long, words boolean")
 
 
-_COLUMNS = ("anchor", "first", "last", *TOKENS)
+_COLUMNS = ("anchor", "first", "last", *TOKENS, "words")
 
 
 def _emit(ids: pa.Array, keys: pa.Array, texts, cut) -> Iterator[pa.RecordBatch]:
@@ -296,23 +365,29 @@ def _emit(ids: pa.Array, keys: pa.Array, texts, cut) -> Iterator[pa.RecordBatch]
                                          names=["doc_id", "text_key", *_COLUMNS])
 
 
-def _first_level(length: int, gram: int):
+def _first_level(length: int, gram: int, passage_words: int | None):
+    def cut(i, data):
+        return _of_both(blocks_of(data, length, gram),
+                        Words(data).blocks(passage_words) if passage_words else _no_rows())
+
     def run(batches):
         for b in slices(batches):
-            yield from _emit(b.column(0), b.column(1), b.column(2).to_pylist(),
-                             lambda i, data: blocks_of(data, length, gram))
+            yield from _emit(b.column(0), b.column(1), b.column(2).to_pylist(), cut)
     return run
 
 
-def _next_level(length: int, piece: int):
+def _next_level(length: int, piece: int, passage_words: int | None, passage_piece: int):
     def run(batches):
         for b in slices(batches):
             todo = b.column(3).to_pylist()
 
             def cut(i, data, todo=todo):
-                made = [pieces_of(data, r["anchor"], r["first"], r["last"], piece, length)
-                        for r in todo[i]]
-                return [np.concatenate(c) for c in zip(*made, strict=True)]
+                at = [(r["anchor"], r["first"], r["last"]) for r in todo[i] if not r["words"]]
+                made = [_no_rows(), *(pieces_of(data, *r, piece, length) for r in at)]
+                at = [(r["anchor"], r["first"], r["last"]) for r in todo[i] if r["words"]]
+                words = Words(data) if at else None
+                said = [_no_rows(), *(words.pieces(*r, passage_piece, passage_words) for r in at)]
+                return _of_both(*([np.concatenate(c) for c in zip(*x, strict=True)] for x in (made, said)))
             yield from _emit(b.column(0), b.column(1), b.column(2).to_pylist(), cut)
     return run
 
@@ -329,21 +404,24 @@ def _with_lists(docs: DataFrame, rows: DataFrame, item: str, how: str) -> DataFr
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                  piece: int = PIECE) -> DataFrame:
-    """(doc_id, text_key, first, last): runs of starts whose ``length``-byte
-    string also starts anywhere else. ``docs`` has doc_id, text_key, text."""
+                  piece: int = PIECE, passage_words: int | None = None) -> DataFrame:
+    """(doc_id, text_key, first, last, words): runs of starts whose ``length``-byte
+    string also starts anywhere else and, where ``words`` is true, runs of words
+    at which a string of ``passage_words`` words starts that is found anywhere
+    else. ``docs`` has doc_id, text_key, text."""
     schema = _suffix_schema(docs)
     docs = docs.select("doc_id", "text_key", "text")
-    level = _sorted_neighbours(docs.mapInArrow(_first_level(length, gram), schema), "blocks")
-    runs = level.where("repeated").select("doc_id", "text_key", "first", "last")
-    for size, name in ((piece, "pieces"), (1, "starts")):
+    level = _sorted_neighbours(docs.mapInArrow(_first_level(length, gram, passage_words), schema), "blocks")
+    columns = ["doc_id", "text_key", "first", "last", "words"]
+    runs = level.where("repeated").select(columns)
+    for size, said, name in ((piece, PASSAGE_PIECE, "pieces"), (1, 1, "starts")):
         # a repeated piece goes down too when it meets a different one: its
         # starts are what the other's starts may equal
-        listed = _with_lists(docs, level.where("shared"), "struct(anchor, first, last)", "inner")
+        listed = _with_lists(docs, level.where("shared"), "struct(anchor, first, last, words)", "inner")
         cut = listed.select("doc_id", "text_key", "text", "todo").mapInArrow(
-            _next_level(length, size), schema)
+            _next_level(length, size, passage_words, said), schema)
         level = _sorted_neighbours(cut, name)
-        runs = runs.unionByName(level.where("repeated").select("doc_id", "text_key", "first", "last"))
+        runs = runs.unionByName(level.where("repeated").select(columns))
     return runs
 
 
@@ -359,26 +437,35 @@ def merge_spans(runs: list, length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                   piece: int = PIECE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                   piece: int = PIECE, doc_id: str = "doc_id", text: str = "text",
+                   passage_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (merged removed byte ranges
-    [start, end)) and ``kept`` (the remaining bytes, concatenated)."""
+    [start, end)) and ``kept`` (the remaining bytes, concatenated). With
+    ``passage_words`` (more than ``PASSAGE_GRAM``) also ``passages``: merged
+    ranges [start, end) of word numbers covered by a string of that many words
+    found anywhere else, whether their bytes are removed or not."""
+    if passage_words is not None and passage_words <= PASSAGE_GRAM:
+        raise ValueError(f"passage_words must be over {PASSAGE_GRAM}")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"),
                         F.col(text).alias("text"))
-    runs = repeated_runs(keyed, length, gram, piece)
+    runs = repeated_runs(keyed, length, gram, piece, passage_words)
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def merge(batches):
         for b in batches:
-            spans = [[{"start": s, "end": e} for s, e in merge_spans(x, length)]
-                     for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(spans, span_type)], names=["_id", "_key", "spans"])
+            lists = b.column(2).to_pylist()
+            made = [pa.array([[{"start": s, "end": e} for s, e in
+                               merge_spans([r for r in x if r["words"] == said], size)] for x in lists], span_type)
+                    for said, size in ((False, length), (True, passage_words))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made],
+                                             names=["_id", "_key", "spans", "passages"])
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    ranges = "array<struct<start:long,end:long>>"
     merged = shared_table(
-        runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-        .mapInArrow(merge, f"_id {kind}, _key long, spans array<struct<start:long,end:long>>"), "spans")
-    n, items = merged.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+        runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "words")).alias("runs"))
+        .mapInArrow(merge, f"_id {kind}, _key long, spans {ranges}, passages {ranges}"), "spans")
+    n, items = merged.agg(F.count("*"), F.coalesce(F.sum(F.size("spans") + F.size("passages")), F.lit(0))).first()
     cond = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
     joined = keyed.join(small_side(merged, 1, 64 * n + 24 * items), cond, "left")
 
@@ -395,8 +482,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 kept.append(b"".join([*parts, data[at:]]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()),
-                 pa.array([s or [] for s in spans], span_type), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"])
+                 pa.array([s or [] for s in spans], span_type), pa.array(kept, pa.binary()),
+                 pa.array([s or [] for s in b.column(3).to_pylist()], span_type)],
+                names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(
-        cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = joined.select("doc_id", "text", "spans", "passages").mapInArrow(
+        cut, f"doc_id {kind}, n_bytes long, spans {ranges}, kept binary, passages {ranges}")
+    return out if passage_words else out.drop("passages")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,63 @@ def test_structured_texts_against_brute_force(spark, make_docs):
              thue[:200] + fib[:200], long[1000:1300], "z".join([thue[:70]] * 3)]
     for length, gram, piece in ((40, 20, 4), (64, 32, 16), (100, 30, 8)):
         check(make_docs, texts, length, gram, piece)
+
+
+def brute_passages(texts, n):
+    """Words covered by strings of n words that also start anywhere else."""
+    places = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", (t or "").encode())] for t in texts]
+    cut = [[(t or "").encode()[p[i][0]:p[i + n - 1][1]] for i in range(len(p) - n + 1)]
+           for t, p in zip(texts, places, strict=True)]
+    seen = Counter(w for c in cut for w in c)
+    return [len({k for i, w in enumerate(c) if seen[w] > 1 for k in range(i, i + n)}) for c in cut]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_against_brute_force(spark, make_docs, hard_rows, seed):
+    rnd = random.Random(seed)
+    known = ["ab", "ba", "a", "é", "longerthansixteenbytes1", "longerthXnsixteenbytes1"][:2 if seed == 1 else 6]
+    passages = [[rnd.choice(known) for _ in range(rnd.randint(12, 40))] for _ in range(6)]
+    texts = [None, "", "  ", "ab " * 60, "x " * 30 + "y " + "x " * 30] + [t for _, t in hard_rows]
+    for _ in range(25):
+        words = []
+        for _ in range(rnd.randint(0, 4)):
+            words += rnd.choice(passages) if rnd.random() < 0.6 else [rnd.choice(known) for _ in range(15)]
+        texts.append(rnd.choice(["", " "]) + "".join(w + rnd.choice([" "] * 9 + ["\n"]) for w in words))
+    texts = [t for t in texts if t is None or len(t) < 2000]
+    got = X.remove_repeats(make_docs(list(enumerate(texts)), clash=True), 400, 200, passage_words=14).collect()
+    have = {r["doc_id"]: sum(p["end"] - p["start"] for p in r["passages"]) for r in got}
+    assert have == dict(enumerate(brute_passages(texts, 14)))
+    assert any(have.values()) and not all(have.values())
+
+
+def test_short_passages_are_reported_and_stay(spark, tmp_path, make_docs):
+    """51 words under 400 bytes in two documents: no byte goes by contract, both
+    are reported; 49 shared words and unshared texts are not."""
+    from hanga.llm.queries import op8_suffix_dedup
+    rnd = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    short, less = prose(51), prose(49)
+    assert len(short) < 400
+    texts = [f"{prose(70)} {short} {prose(30)}", f"{short} {prose(90)}", f"{prose(30)} {less} {prose(9)}",
+             f"{prose(20)} {less}", prose(200), None]
+    make_docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[i]["n_passage_words"] for i in range(6)] == [51, 51, 0, 0, 0, 0]
+    assert all(rows[i]["n_removed"] == 0 and rows[i]["text"] == (texts[i] or "") for i in range(6))
+
+
+def test_words_in_chunks(monkeypatch):
+    monkeypatch.setattr(X, "_CHUNK", 100)
+    text = " ".join(random.Random(2).choice(["ab", "ba"]) for _ in range(1000))
+    anchor, first, last, *_ = X.Words(np.frombuffer(text.encode(), np.uint8)).blocks(50)
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+    assert covered.tolist() == list(range(1000 - 50 + 1))
+    assert ((anchor >= last) & (anchor <= first + 40)).all()
+
+
+@pytest.mark.parametrize("words", [1, 10])
+def test_passages_shorter_than_their_anchor_are_refused(make_docs, words):
+    with pytest.raises(ValueError, match="passage_words"):
+        X.remove_repeats(make_docs([]), passage_words=words)
