@@ -174,20 +174,36 @@ def blocks_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else _no_rows()
 
 
-def pieces_of(data: np.ndarray, anchor: int, first: int, last: int, piece: int,
+def _aligned(anchor: np.ndarray, first: np.ndarray, last: np.ndarray, piece: int):
+    """Starts [first, last] of blocks cut at aligned distances from their anchors:
+    (block's number, distance in pieces, aligned end, first start, last start)."""
+    least = (anchor - last) // piece
+    count = (anchor - first) // piece - least + 1
+    block = np.repeat(np.arange(len(anchor)), count)
+    n = np.arange(len(block)) + (least - (np.cumsum(count) - count))[block]
+    high = anchor[block] - n * piece
+    return block, n, high, np.maximum(high - piece + 1, first[block]), np.minimum(high, last[block])
+
+
+def _cores(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Rolling hashes of the ``size`` codes from each place, a chunk at a time."""
+    out = np.zeros(len(at), np.uint64)
+    for lo in np.unique(at // _CHUNK).tolist():
+        here = np.flatnonzero(at // _CHUNK == lo)
+        least, most = int(at[here].min()), int(at[here].max())
+        out[here] = Rolling(codes[least:most + size]).of(at[here] - least, at[here] - least + size)
+    return out
+
+
+def pieces_of(data: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, piece: int,
               length: int = LENGTH):
-    """Levels 2 and 3: cut the starts [first, last] of one block at aligned
-    distances from its anchor (``piece`` starts each); same columns as
+    """Levels 2 and 3: cut the starts [first, last] of blocks of one text at
+    aligned distances from their anchors (``piece`` starts each); same columns as
     :func:`blocks_of` with the piece's own first and last start."""
-    lo = max(0, anchor - ((anchor - first) // piece + 1) * piece)
-    part = data[lo:last + length]
-    n = np.arange((anchor - last) // piece, (anchor - first) // piece + 1)
-    high = anchor - n * piece                # aligned ends of the pieces
-    low = high - piece + 1
-    begin, end = np.maximum(low, first), np.minimum(high, last)
-    core = Rolling(part).of(high - lo, low + length - lo) + n.astype(np.uint64)
-    return [np.full(len(n), anchor), begin, end, _leading(part, high - lo), _mix(core).view(np.int64),
-            *_digests(part, begin - lo, end + length - lo, high - begin)]
+    block, n, high, begin, end = _aligned(anchor, first, last, piece)
+    core = _mix(_cores(data, high, length - piece + 1) + n.astype(np.uint64))
+    return [anchor[block], begin, end, _leading(data, high), core.view(np.int64),
+            *_digests(data, begin, end + length, high - begin)]
 
 
 class Words:
@@ -222,15 +238,11 @@ class Words:
                                     anchor - first))
         return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else _no_rows()
 
-    def pieces(self, anchor: int, first: int, last: int, piece: int, length: int):
+    def pieces(self, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, piece: int, length: int):
         """Levels 2 and 3: the columns of :func:`pieces_of`, in words."""
-        lo = max(0, anchor - ((anchor - first) // piece + 1) * piece)
-        n = np.arange((anchor - last) // piece, (anchor - first) // piece + 1)
-        high = anchor - n * piece
-        low = high - piece + 1
-        begin, end = np.maximum(low, first), np.minimum(high, last)
-        core = _mix(Rolling(self.codes[lo:last + length]).of(high - lo, low + length - lo) + n.astype(np.uint64))
-        return self._rows(np.full(len(n), anchor), begin, end, high, core, length, high - begin)
+        block, n, high, begin, end = _aligned(anchor, first, last, piece)
+        core = _mix(_cores(self.codes, high, length - piece + 1) + n.astype(np.uint64))
+        return self._rows(anchor[block], begin, end, high, core, length, high - begin)
 
     def _rows(self, anchor, first, last, lead, core, length, shift):
         return [anchor, first, last, _leading(self.data, self.start[lead]), (core ^ _WORD_CORE).view(np.int64),
@@ -365,6 +377,13 @@ def _emit(ids: pa.Array, keys: pa.Array, texts, cut) -> Iterator[pa.RecordBatch]
                                          names=["doc_id", "text_key", *_COLUMNS])
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs without nulls: the row of every item, and
+    the items' fields."""
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    return of, [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
+
+
 def _first_level(length: int, gram: int, passage_words: int | None):
     def cut(i, data):
         return _of_both(blocks_of(data, length, gram),
@@ -379,15 +398,17 @@ def _first_level(length: int, gram: int, passage_words: int | None):
 def _next_level(length: int, piece: int, passage_words: int | None, passage_piece: int):
     def run(batches):
         for b in slices(batches):
-            todo = b.column(3).to_pylist()
-
-            def cut(i, data, todo=todo):
-                at = [(r["anchor"], r["first"], r["last"]) for r in todo[i] if not r["words"]]
-                made = [_no_rows(), *(pieces_of(data, *r, piece, length) for r in at)]
-                at = [(r["anchor"], r["first"], r["last"]) for r in todo[i] if r["words"]]
-                words = Words(data) if at else None
-                said = [_no_rows(), *(words.pieces(*r, passage_piece, passage_words) for r in at)]
-                return _of_both(*([np.concatenate(c) for c in zip(*x, strict=True)] for x in (made, said)))
+            of, (anchor, first, last, words) = _flat(b.column(3))
+            ends = np.searchsorted(of, np.arange(b.num_rows + 1))
+
+            def cut(i, data, ends=ends, anchor=anchor, first=first, last=last, words=words):
+                at = np.arange(ends[i], ends[i + 1])
+                plain, said = at[~words[at]], at[words[at]]
+                return _of_both(
+                    pieces_of(data, anchor[plain], first[plain], last[plain], piece, length)
+                    if len(plain) else _no_rows(),
+                    Words(data).pieces(anchor[said], first[said], last[said], passage_piece, passage_words)
+                    if len(said) else _no_rows())
             yield from _emit(b.column(0), b.column(1), b.column(2).to_pylist(), cut)
     return run
 
@@ -425,15 +446,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return runs
 
 
-def merge_spans(runs: list, length: int) -> list[tuple[int, int]]:
-    """Covered byte ranges [start, end) of runs of starts, merged."""
-    out: list[list[int]] = []
-    for first, last in sorted((r["first"], r["last"]) for r in runs):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + length)
-        else:
-            out.append([first, last + length])
-    return [(a, b) for a, b in out]
+def merge_spans(of: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, rows: int) -> pa.Array:
+    """Covered ranges [start, end) of runs of starts, merged, as one list for
+    each of ``rows`` rows; ``of`` is the row of every run."""
+    order = np.lexsort((first, of))
+    of, first, end = of[order], first[order], last[order] + length
+    base = of * (int(end.max(initial=0)) + 1)       # rows do not meet
+    reach = np.maximum.accumulate(base + end)
+    new = np.flatnonzero(np.concatenate([[True], (base + first)[1:] > reach[:-1]])[:len(of)])
+    until = np.concatenate([new[1:], [len(of)]])[:len(new)] - 1
+    spans = pa.StructArray.from_arrays([pa.array(first[new]), pa.array((reach - base)[until])], ["start", "end"])
+    offsets = np.searchsorted(of[new], np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), spans)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -453,10 +477,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     def merge(batches):
         for b in batches:
-            lists = b.column(2).to_pylist()
-            made = [pa.array([[{"start": s, "end": e} for s, e in
-                               merge_spans([r for r in x if r["words"] == said], size)] for x in lists], span_type)
-                    for said, size in ((False, length), (True, passage_words))]
+            of, (first, last, words) = _flat(b.column(2))
+            made = [merge_spans(of[at], first[at], last[at], size, b.num_rows)
+                    for at, size in ((~words, length), (words, passage_words or 0))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made],
                                              names=["_id", "_key", "spans", "passages"])
 
@@ -483,9 +506,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()),
                  pa.array([s or [] for s in spans], span_type), pa.array(kept, pa.binary()),
-                 pa.array([s or [] for s in b.column(3).to_pylist()], span_type)],
+                 b.column(3)],
                 names=["doc_id", "n_bytes", "spans", "kept", "passages"])
 
-    out = joined.select("doc_id", "text", "spans", "passages").mapInArrow(
+    found = F.coalesce("passages", F.array().cast(ranges)).alias("passages")
+    out = joined.select("doc_id", "text", "spans", found).mapInArrow(
         cut, f"doc_id {kind}, n_bytes long, spans {ranges}, kept binary, passages {ranges}")
     return out if passage_words else out.drop("passages")
